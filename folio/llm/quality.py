@@ -8,7 +8,7 @@ at most 3 ** rules whatever the input, so only they reach the driver.
 
 A document without words, null text included, fails the base test and is rejected.
 Equal texts get equal results; rows are kept one for one; extra columns are ignored
-by ``features``. An empty table gives an empty result.
+by ``quality`` and kept by ``keep_good``. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from folio.llm.bytehash import IS_SPACE, Words, mix, text_bytes
 from folio.llm.shared import materialize
@@ -33,7 +34,8 @@ U64 = np.uint64
 WINDOW = 8
 
 FEATURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_lower", "n_wide", "n_marks", "n_symbol_ends"]
-FEATURE_SCHEMA = "doc_id long, " + ", ".join(f"{x} long" for x in FEATURES)
+#: Before the names of the counts, so that no column of the documents clashes.
+PREFIX = "_count_"
 
 
 def _per_text(mask: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -65,36 +67,45 @@ def repeated_words(words: Words, n: int = WINDOW) -> np.ndarray:
     return _per_text(np.cumsum(cover[:-1]) > 0, words.of)
 
 
-def features(docs: DataFrame) -> DataFrame:
-    """The counts of each document's whole text."""
+def _counts(column: pa.Array) -> list[pa.Array]:
+    words = Words(column)
+    offsets, data = text_bytes(column)
+    lines, repeats = _lines(column.to_pylist())
+    cols = [
+        words.counts(),
+        _per_text(~IS_SPACE[data] & ((data & 0xC0) != 0x80), offsets),
+        _per_text(_SYMBOL[data], offsets),
+        repeats,
+        repeated_words(words),
+        lines,
+        _per_text((data >= 65) & (data <= 90), offsets),
+        _per_text((data >= 97) & (data <= 122), offsets),
+        _per_text(data >= 0xC0, offsets),
+        _per_text((data == 33) | (data == 63), offsets),
+        _per_text(_SYMBOL[data[words.ends - 1]], words.of),
+    ]
+    return [pa.array(x, pa.int64()) for x in cols]
+
+
+def with_features(docs: DataFrame) -> DataFrame:
+    """All columns, and the counts of each document's whole text under ``PREFIX``."""
+    names = [*docs.columns, *(PREFIX + x for x in FEATURES)]
+    schema = StructType([*docs.schema.fields, *(StructField(PREFIX + x, LongType()) for x in FEATURES)])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in text_groups(whole, "text"):
-                column = batch.column("text")
-                words = Words(column)
-                offsets, data = text_bytes(column)
-                lines, repeats = _lines(column.to_pylist())
-                cols = [
-                    words.counts(),
-                    _per_text(~IS_SPACE[data] & ((data & 0xC0) != 0x80), offsets),
-                    _per_text(_SYMBOL[data], offsets),
-                    repeats,
-                    repeated_words(words),
-                    lines,
-                    _per_text((data >= 65) & (data <= 90), offsets),
-                    _per_text((data >= 97) & (data <= 122), offsets),
-                    _per_text(data >= 0xC0, offsets),
-                    _per_text((data == 33) | (data == 63), offsets),
-                    _per_text(_SYMBOL[data[words.ends - 1]], words.of),
-                ]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in cols)], ["doc_id", *FEATURES])
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(count, FEATURE_SCHEMA)
+                yield pa.RecordBatch.from_arrays([*batch.columns, *_counts(batch.column("text"))], names)
+
+    return docs.mapInArrow(count, schema)
+
+
+def count(name: str) -> Column:
+    return F.col(PREFIX + name)
 
 
 def base_failed() -> Column:
-    return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+    return (count("n_words") < 20) | (100 * count("n_repeat_words") > 30 * count("n_words"))
 
 
 @dataclass(frozen=True)
@@ -115,21 +126,21 @@ class VoteRule:
 
 def vote_rules() -> list[VoteRule]:
     """The production rules; a ratio without a denominator is null and gives no vote."""
-    words, letters = F.col("n_words"), F.col("n_upper") + F.col("n_lower")
+    words, letters = count("n_words"), count("n_upper") + count("n_lower")
 
     def share(a: Column, b: Column) -> Column:
         return F.when(b > 0, a / b)
 
-    mean_word = share(F.col("word_chars"), words)
+    mean_word = share(count("word_chars"), words)
     return [
         VoteRule("length", words, 40, 20, high_is_good=True),
-        VoteRule("symbols", share(F.col("n_symbols"), words), 0.05, 0.3),
-        VoteRule("repeats", share(F.col("n_repeat_words"), words), 0.1, 0.3),
-        VoteRule("lines", F.when(F.col("n_lines") >= 3, F.col("n_dup_lines") / F.col("n_lines")), 0.1, 0.3),
-        VoteRule("shouting", share(F.col("n_upper"), letters), 0.15, 0.4),
-        VoteRule("marks", share(F.col("n_marks"), words), 0.05, 0.3),
-        VoteRule("letters", share(letters + F.col("n_wide"), F.col("word_chars")), 0.93, 0.84, high_is_good=True),
-        VoteRule("symbol_ends", share(F.col("n_symbol_ends"), words), 0.05, 0.3),
+        VoteRule("symbols", share(count("n_symbols"), words), 0.05, 0.3),
+        VoteRule("repeats", share(count("n_repeat_words"), words), 0.1, 0.3),
+        VoteRule("lines", F.when(count("n_lines") >= 3, count("n_dup_lines") / count("n_lines")), 0.1, 0.3),
+        VoteRule("shouting", share(count("n_upper"), letters), 0.15, 0.4),
+        VoteRule("marks", share(count("n_marks"), words), 0.05, 0.3),
+        VoteRule("letters", share(letters + count("n_wide"), count("word_chars")), 0.93, 0.84, high_is_good=True),
+        VoteRule("symbol_ends", share(count("n_symbol_ends"), words), 0.05, 0.3),
         VoteRule("word_size", F.abs(mean_word - 6), 2.5, 4.5),
     ]
 
@@ -176,17 +187,32 @@ def fit_label_model(patterns: list[tuple[tuple[int, ...], int]], rules: int, rou
     return LabelModel(prior, as_logs(good), as_logs(bad))
 
 
-def judge(counts: DataFrame, rules: list[VoteRule] | None = None, least: float = 0.5) -> DataFrame:
-    """Add votes, base_failed, p_good and kept to a written table of features."""
-    rules = vote_rules() if rules is None else rules
-    voted = counts.withColumn("base_failed", base_failed()).select("*", *(r.vote().cast("int").alias(f"vote_{r.name}") for r in rules))
-    names = [f"vote_{r.name}" for r in rules]
-    patterns = voted.groupBy(*names).count().collect()  # at most 3 ** rules rows
-    model = fit_label_model([(tuple(x[:-1]), x[-1]) for x in patterns], len(rules))
-    p = 1 / (1 + F.exp(-model.log_odds([F.col(x) for x in names])))
-    return voted.withColumn("p_good", p).withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= least))
+def fit(counted: DataFrame, rules: list[VoteRule]) -> LabelModel:
+    """The label model of all documents, from counts of their vote patterns."""
+    votes = counted.select(*(r.vote().alias(r.name) for r in rules))
+    patterns = votes.groupBy(*(r.name for r in rules)).count().collect()  # at most 3 ** rules rows
+    return fit_label_model([(tuple(x[:-1]), x[-1]) for x in patterns], len(rules))
 
 
-def quality(docs: DataFrame) -> DataFrame:
-    """Counts, votes, posterior and verdict of every document."""
-    return judge(materialize(features(docs), "quality-features"))
+def p_good(model: LabelModel, rules: list[VoteRule]) -> Column:
+    return 1 / (1 + F.exp(-model.log_odds([r.vote() for r in rules])))
+
+
+def quality(docs: DataFrame, least: float = 0.5) -> DataFrame:
+    """doc_id, the counts, base_failed, p_good and kept of every document."""
+    counted = materialize(with_features(docs.select(F.col("doc_id").cast("long"), "text")).drop("text"), "quality-features")
+    rules = vote_rules()
+    judged = counted.withColumn("p_good", p_good(fit(counted, rules), rules)).withColumn("base_failed", base_failed())
+    return judged.select("doc_id", *(count(x).alias(x) for x in FEATURES), "base_failed", "p_good", (~F.col("base_failed") & (F.col("p_good") >= least)).alias("kept"))
+
+
+def keep_good(docs: DataFrame, least: float = 0.5) -> DataFrame:
+    """The documents that are kept, as they are.
+
+    Texts are counted twice, once for the model and once for the verdict, which is
+    cheaper than a shuffle of them.
+    """
+    rules = vote_rules()
+    counted = with_features(docs)
+    model = fit(with_features(docs.select("text")), rules)
+    return counted.where(~base_failed() & (p_good(model, rules) >= least)).select(*docs.columns)

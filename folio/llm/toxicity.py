@@ -90,9 +90,13 @@ class Model:
     intercept: float
 
     def score(self, value: np.ndarray, of: np.ndarray) -> np.ndarray:
-        total = np.concatenate([[0.0], np.cumsum(self.weights[value], dtype=np.float64)])
-        size = np.sqrt(np.maximum(np.diff(of), 1))
-        return 1 / (1 + np.exp(-np.clip((total[of[1:]] - total[of[:-1]]) + 0 * size + self.intercept, -30, 30)))
+        """Probability of toxic; a feature counts once in a text, as in training."""
+        last, totals = np.empty(BUCKETS, np.int32), np.empty(len(of) - 1)
+        for k, (a, b) in enumerate(zip(of[:-1].tolist(), of[1:].tolist(), strict=True)):
+            own, number = value[a:b], np.arange(b - a, dtype=np.int32)
+            last[own] = number
+            totals[k] = self.weights[own[last[own] == number]].sum(dtype=np.float64)
+        return 1 / (1 + np.exp(-np.clip(totals + self.intercept, -30, 30)))
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
