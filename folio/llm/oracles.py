@@ -1,5 +1,98 @@
-"""DuckDB SQL for the queries of this package that SQL can express."""
+"""DuckDB SQL for the queries of this package that SQL can express.
+
+The toxicity model, the quality model (expectation-maximisation), the tokenizers and
+packing have none: tests hold them against brute-force versions.
+"""
 
 from __future__ import annotations
 
+from folio.llm import mixing, neardup, secrets
+
 ORACLES: dict[str, str] = {}
+
+#: Words of a text in the engine's own regular expressions.
+_WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+#: A-Z to a-z alone.
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _mixing() -> str:
+    """The sweeps are unrolled; more of them than the data need change nothing."""
+    sizes = {c: f"(length(t) - length(translate(t, '{c}', '')))" for c in ("|", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "#*$%&<>")}
+    pipe, upper, mark = (f"{x} / greatest(length(t), 1)" for x in sizes.values())
+    sql = f"""
+WITH d AS MATERIALIZED (SELECT doc_id, coalesce(source, chr(0) || 'null') AS source, coalesce(lang, chr(0) || 'null') AS lang, coalesce(text, '') AS t FROM documents),
+g AS MATERIALIZED (SELECT doc_id, source, lang, len({_WORDS.format("t")}) AS n, CASE WHEN {pipe} > 0.05 THEN 'table' WHEN {upper} > 0.3 THEN 'shout' WHEN {mark} > 0.1 THEN 'symbol' ELSE 'prose' END AS topic FROM d),
+w0 AS MATERIALIZED (SELECT source, lang, topic, CAST(sum(n) AS DOUBLE) AS n, CAST(sum(n) AS DOUBLE) AS w FROM g GROUP BY source, lang, topic HAVING sum(n) > 0),
+all_ AS MATERIALIZED (SELECT sum(n) AS n FROM w0)"""
+    for name, power in (("source", 0.5), ("lang", 0.7), ("topic", 1.0)):
+        sql += f",\ngoal_{name} AS MATERIALIZED (SELECT {name}, p / sum(p) OVER () AS share FROM (SELECT {name}, pow(sum(n), {power}::DOUBLE) AS p FROM w0 GROUP BY {name}))"
+    k = 0
+    for _ in range(12):
+        for name in ("source", "lang", "topic"):
+            sql += f",\nw{k + 1} AS MATERIALIZED (SELECT a.source, a.lang, a.topic, a.n, a.w * b.share * (SELECT n FROM all_) / sum(a.w) OVER (PARTITION BY a.{name}) AS w FROM w{k} a JOIN goal_{name} b ON a.{name} = b.{name})"
+            k += 1
+    # the scale, in rounds that take cells at probability 1 out
+    sql += f",\ns0 AS MATERIALIZED (SELECT {mixing.BUDGET} * sum(n) / sum(w) AS s FROM w{k})"
+    for j in range(8):
+        full = f"w * (SELECT s FROM s{j}) >= n"
+        sql += f",\ns{j + 1} AS MATERIALIZED (SELECT CASE WHEN sum(CASE WHEN {full} THEN 0.0 ELSE w END) = 0 THEN (SELECT s FROM s{j}) ELSE ({mixing.BUDGET} * sum(n) - sum(CASE WHEN {full} THEN n ELSE 0.0 END)) / sum(CASE WHEN {full} THEN 0.0 ELSE w END) END AS s FROM w{k})"
+    return sql + f""",
+p AS (SELECT g.doc_id, g.n, g.topic, coalesce(c.w / c.n, 0.0) AS factor, least(1.0, coalesce((SELECT s FROM s8) * c.w / c.n, 0.0)) AS p, ('0x' || substring(md5('mix:' || g.doc_id), 1, 12))::BIGINT / pow(2.0::DOUBLE, 48) AS u FROM g LEFT JOIN w{k} c ON g.source = c.source AND g.lang = c.lang AND g.topic = c.topic)
+SELECT doc_id, n AS n_tokens, topic, round(factor, 6) AS factor, round(p, 6) AS probability, u < p AS sampled FROM p"""
+
+
+ORACLES["op1_source_mixing"] = _mixing()
+
+ORACLES["op2_embedding_near_dedup"] = f"""
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label IS NOT NULL),
+l AS MATERIALIZED (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= {neardup.THRESHOLD}),
+r(node, root) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT l.y, r.root FROM r JOIN l ON l.x = r.node AND r.root < l.y),
+c AS (SELECT node, min(root) AS root FROM r GROUP BY node)
+SELECT e.vec_id, (SELECT count(*) FROM l WHERE l.x = e.vec_id) AS n_links, c.root AS component_id, c.root = e.vec_id AS kept FROM embeddings e JOIN c ON c.node = e.vec_id"""
+
+
+def _secrets() -> str:
+    parts = []
+    for k, r in enumerate(secrets.RULES):
+        pattern = r.pattern.replace("'", "''")
+        parts.append(f"""SELECT doc_id, {k} AS rule, '{r.kind}' AS kind, {r.least} AS least, unnest(range(1, len(m) + 1)) AS i, m, g, s FROM (
+  SELECT doc_id, regexp_extract_all(t, '{pattern}', 0) AS m, regexp_extract_all(t, '{pattern}', {r.group}) AS g, string_split_regex(t, '{pattern}') AS s FROM d WHERE regexp_matches(t, '{pattern}'))""")
+    base = ", ".join(f"'{r.kind}'" for r in secrets.BASE_RULES)
+    counts = ", ".join(f"count(*) FILTER (kind = '{r.kind}') AS n_{r.kind}" for r in secrets.BASE_RULES)
+    return f"""
+WITH d AS MATERIALIZED (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+m AS ({" UNION ALL ".join(parts)}),
+p AS (SELECT doc_id, rule, kind, length(m[i]) AS size, CAST(list_sum(list_transform(m[1:i], lambda x: length(x))) + list_sum(list_transform(s[1:i], lambda x: length(x))) AS BIGINT) AS stop FROM m WHERE length(g[i]) >= least),
+f AS (SELECT *, stop - size AS start, kind || ':' || (stop - size) || ':' || stop AS span FROM p),
+a AS (SELECT doc_id, {counts}, string_agg(span, ',' ORDER BY start, rule, stop) FILTER (kind IN ({base})) AS base, string_agg(span, ',' ORDER BY start, rule, stop) AS spans FROM f GROUP BY doc_id)
+SELECT doc_id, {", ".join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in secrets.BASE_RULES)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM documents LEFT JOIN a USING (doc_id)"""
+
+
+ORACLES["op3_secret_scans"] = _secrets()
+
+ORACLES["op5_warc"] = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS h FROM pages),
+r AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first FROM p)
+SELECT page_id, n AS payload_bytes, h AS payload_digest, CASE WHEN n >= 100 AND first <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN n >= 100 AND first <> page_id THEN first END AS refers_to FROM r"""
+
+ORACLES["op8_ngram_jaccard_join"] = f"""
+WITH RECURSIVE w AS MATERIALIZED (SELECT doc_id, {_WORDS.format(_LOWER)} AS w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) END) AS g FROM w),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+o AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS MATERIALIZED (SELECT x, y FROM o JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 75 * (a.n + b.n - c)),
+r(node, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT l.y, r.root FROM r JOIN l ON l.x = r.node AND r.root < l.y),
+c AS (SELECT node, min(root) AS root FROM r GROUP BY node)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.root AS component_id FROM documents d LEFT JOIN n USING (doc_id) JOIN c ON c.node = d.doc_id"""
+
+ORACLES["op9_lm_scoring"] = f"""
+WITH w AS MATERIALIZED (SELECT doc_id, {_WORDS.format(_LOWER)} AS w FROM documents),
+t AS MATERIALIZED (SELECT doc_id, unnest(w) AS b, unnest(range(len(w))) AS i FROM w),
+p AS MATERIALIZED (SELECT x.doc_id, x.i, y.b AS a, x.b FROM t x LEFT JOIN t y ON y.doc_id = x.doc_id AND y.i = x.i - 1),
+n1 AS MATERIALIZED (SELECT b, count(*) AS c FROM t GROUP BY b), o1 AS MATERIALIZED (SELECT doc_id, b, count(*) AS c FROM t GROUP BY doc_id, b),
+n2 AS MATERIALIZED (SELECT a, b, count(*) AS c FROM p WHERE i > 0 GROUP BY a, b), o2 AS MATERIALIZED (SELECT doc_id, a, b, count(*) AS c FROM p WHERE i > 0 GROUP BY doc_id, a, b),
+k AS (SELECT p.doc_id, p.i, n1.c - o1.c AS c1, n2.c - o2.c AS c2, m1.c - q1.c AS ca, (SELECT count(*) FROM t) - len(w.w) AS others FROM p JOIN w USING (doc_id) JOIN n1 ON n1.b = p.b JOIN o1 ON o1.doc_id = p.doc_id AND o1.b = p.b
+  LEFT JOIN n2 ON n2.a = p.a AND n2.b = p.b AND p.i > 0 LEFT JOIN o2 ON o2.doc_id = p.doc_id AND o2.a = p.a AND o2.b = p.b AND p.i > 0 LEFT JOIN n1 m1 ON m1.b = p.a LEFT JOIN o1 q1 ON q1.doc_id = p.doc_id AND q1.b = p.a),
+s AS (SELECT doc_id, sum(CASE WHEN i > 0 AND c2 > 0 THEN ln(c2 / ca) ELSE ln(greatest(c1, 1) / greatest(others, 1)) + CASE WHEN i > 0 THEN ln(0.4) ELSE 0 END END) AS score, count(*) FILTER (i > 0 AND c2 = 0) AS late FROM k GROUP BY doc_id)
+SELECT w.doc_id, len(w.w) AS n_tokens, coalesce(late, 0) AS n_backoff, round(coalesce(score, 0.0), 4) AS log_score, CASE WHEN len(w.w) > 0 THEN round(score / len(w.w), 6) END AS mean_log_score FROM w LEFT JOIN s USING (doc_id)"""
