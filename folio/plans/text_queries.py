@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folio.functions import headings as H
 from folio.functions import text as T
-from folio.operators import chunking, labelling
+from folio.operators import chunking, evidence, labelling
 from folio.operators import relational as R
 from folio.sources.files import page_sections
 
@@ -223,3 +224,39 @@ SELECT conv_id, string_agg(text, ' ' ORDER BY turn) AS text, count(*) AS n_turns
 def conversation_texts(spark: SparkSession, sf: str) -> DataFrame:
     c = spark.read.parquet(f"{sf}/conversations.parquet")
     return c.groupBy("conv_id").agg(R.ordered_concat("text", "turn").alias("text"), F.count(F.lit(1)).alias("n_turns"), F.count_distinct("role").alias("n_roles"), F.min_by("role", "turn").alias("first_role"))
+
+
+_NOTES = [(1, "Accepted to STOC 2024", None), (2, "code available at github.com/x", None), (3, None, "ACM Computing Surveys"), (4, "we ran a chi-square test", None), (5, "industry track, position paper", "Winter Simulation Conference"), (6, None, None)]
+
+
+@query("SELECT * FROM (VALUES (1, 'theory_venue'), (2, 'code_release'), (3, 'survey_venue'), (4, ''), (5, 'industry_track;simulation_venue;position'), (6, '')) AS t(id, found)")
+def venue_signals(spark: SparkSession, sf: str) -> DataFrame:
+    rows = spark.createDataFrame(_NOTES, "id int, comments string, journal string")
+    flags = evidence.signals(F.col("comments"), F.col("journal"))
+    return rows.select("id", F.array_join(F.filter(F.array(*(F.when(c, n) for n, c in flags.items())), lambda x: x.isNotNull()), ";").alias("found"))
+
+
+_TOPICS = [(1, ["Machine Learning", "databases", "Databases "]), (2, ["machine learning", "databases"]), (3, ["mathematics"]), (4, ["other"]), (5, ["machine learning", "mathematics"])]
+
+
+@query("SELECT * FROM (VALUES (1, 'IS'), (2, NULL), (3, NULL), (4, NULL), (5, 'DS')) AS t(id, label)")
+def topic_labels(spark: SparkSession, sf: str) -> DataFrame:
+    items = spark.createDataFrame(_TOPICS, "id int, topics array<string>")
+    mapping = spark.createDataFrame([("machine learning", "DS"), ("databases", "IS"), ("mathematics", "DS")], "topic string, label string")
+    return evidence.topic_majority(items, "id", "topics", mapping, ["mathematics"])
+
+
+@query()
+def document_types(spark: SparkSession, sf: str) -> DataFrame:
+    return H.typed(docs_of(spark, sf)).select("doc_id", "n_structural", "doc_type")
+
+
+@query()
+def quality_baseline(spark: SparkSession, sf: str) -> DataFrame:
+    """Held-out predictions of the quality label by words and word pairs."""
+    from folio.plans.baselines import fit_baseline
+
+    labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", F.col("quality").cast("double").alias("label"))
+    rows = R.add_splits(docs_of(spark, sf).join(labels, "doc_id"), ["label"], "doc_id", 0.8, 0.0)
+    model = fit_baseline(rows.where("split = 'train'"), "nb", 5000)
+    return model.transform(rows.where("split = 'test'")).select("doc_id", "label", "prediction")

@@ -7,10 +7,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from folio.functions import headings as H
 from folio.functions import text as T
 from folio.functions import vectors as V
-from folio.operators import chunking, conformal, labelling, metrics, scoring
+from folio.operators import chunking, conformal, evidence, labelling, metrics, scoring
 from folio.operators import relational as R
+from folio.plans import baselines
 from folio.sources import files
 from folio.streaming import chunks as stream
 
@@ -189,3 +191,34 @@ def test_stream_equals_batch(spark, sf, tmp_path):
     got = spark.read.parquet(str(tmp_path / "out"))
     expected = chunking.window_chunks(spark.read.parquet(str(tmp_path / "in")), "doc_id")
     assert got.exceptAll(expected).count() == 0 and got.count() == expected.count()
+
+
+def test_plain_sections_and_types(spark):
+    paper = "A lead line here.\nAbstract\nWe do.\n1. Introduction\nwords\nTABLE III\n3) Our New Method\nsteps\nRELATED WORK\nothers\nThe results show that our model outperforms\nReferences\n[1] x"
+    docs = spark.createDataFrame([(1, paper), (2, "just prose"), (3, None)], "doc_id long, text string")
+    rows = {(r.doc_id, r.section_index): (r.heading, r.section) for r in H.plain_sections(docs, "doc_id").collect()}
+    assert [v for k, v in sorted(rows.items()) if k[0] == 1] == [(None, "abstract"), ("Abstract", "abstract"), ("1. Introduction", "introduction"), ("3) Our New Method", "methods"), ("RELATED WORK", "related_work"), ("References", "references")]
+    assert {r.doc_id: r.doc_type for r in H.typed(docs).collect()} == {1: "paper", 2: "paragraph", 3: "paragraph"}
+    assert not docs.select(H.is_strict_name(F.lit("The results show that our model outperforms")).alias("x")).first()["x"]
+
+
+def test_paper_text_falls_back(spark):
+    rows = [(1, 0, "abstract", "A"), (1, 1, "methods", "M  m"), (2, 0, "introduction", "I"), (2, 1, "abstract", "B")]
+    out = evidence.paper_text(spark.createDataFrame(rows, "id int, chunk_index int, section string, text string"), "id").collect()
+    assert {r.id: r.text for r in out} == {1: "m m a", 2: "b i"}
+
+
+def test_evidence_first_and_label_sets(spark):
+    rows = spark.createDataFrame([(1, "abstract"), (1, "body"), (2, "body")], "id int, section string")
+    assert sorted(tuple(r) for r in evidence.evidence_first(rows, "id", F.col("section") == "abstract").collect()) == [(1, "abstract"), (2, "body")]
+    items = spark.createDataFrame([(1, ["a", "b"])], "id int, c array<string>")
+    mapping = spark.createDataFrame([("a", "X", "Y"), ("b", "Z", None)], "category string, label string, secondary string")
+    assert tuple(evidence.label_sets(items, "id", "c", mapping).first()) == (1, ["X", "Z"], ["Y"])
+
+
+@pytest.mark.parametrize("name", baselines.CLASSIFIERS)
+def test_baselines_learn(spark, name):
+    rows = [(f"{'alpha beta gamma' if k % 2 else 'delta epsilon zeta'} word{k % 5}", float(k % 2)) for k in range(60)]
+    df = spark.createDataFrame(rows, "text string, label double")
+    out = baselines.fit_baseline(df, name, 200).transform(df)
+    assert out.where("prediction = label").count() >= 57
