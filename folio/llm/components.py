@@ -43,6 +43,21 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[linked], nodes[root[linked]]
 
 
+def spanning(links: np.ndarray, xs: np.ndarray, ys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A forest of a matrix of links between ids xs and ys: few are joined one by one,
+    many by spreading the least id."""
+    i, j = np.nonzero(links)
+    if len(i) <= 20 * (len(xs) + len(ys)):
+        return forest(xs[i], ys[j])
+    own, other, big = xs.copy(), ys.copy(), np.iinfo(np.int64).max
+    while True:
+        new_own = np.minimum(own, np.where(links, other[None, :], big).min(1))
+        new_other = np.minimum(other, np.where(links, new_own[:, None], big).min(0))
+        if (new_own == own).all() and (new_other == other).all():
+            return forest(np.concatenate([xs, ys]), np.concatenate([own, other]))
+        own, other = new_own, new_other
+
+
 def _thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     a, b = np.zeros(0, np.int64), np.zeros(0, np.int64)
     for batch in batches:  # never more than a forest and a batch in memory

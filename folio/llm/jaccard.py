@@ -11,10 +11,13 @@ are six times as many for each fourfold set size, which bounds the combinations;
 set near the border of two sizes is indexed for both.
 
 Sets that meet in a signature are verified exactly. Every set is first compared with
-one hub, the set it meets most often among the smallest of its signatures; then only
-sets of different components that meet are compared, each pair once. A group of many
-near copies so costs as many comparisons as members, yet no link between components
-is missed. Equal sets are one node from the start.
+one hub, the set it meets most often among those its signatures name; most members of
+a group of near copies so join one component for one comparison each. What is left,
+sets of different components that meet, is compared without exception: a family of
+such sets is cut into tiles and every pair of tiles that may hold a pair of different
+components is one group of bounded size, whose overlaps come from matrix products.
+Pairs are never rows, and only a spanning forest of the links leaves a group. Equal
+sets are one node from the start.
 
 Counts come from ``blockcounts``: no shingle list is collected, broadcast or sampled.
 
@@ -35,7 +38,7 @@ from pyspark.sql import functions as F
 
 from folio.llm.blockcounts import U64, bucket_count, corpus_size, in_blocks, joined_totals, totals, with_totals
 from folio.llm.bytehash import Words, distinct_sets, mix
-from folio.llm.components import components
+from folio.llm.components import components, spanning
 from folio.llm.shared import materialize
 
 SHINGLE_WORDS = 5
@@ -46,7 +49,12 @@ RARE_SETS = 12
 #: Sets of size 12 * 4**k to 48 * 4**k use 6 * 4**k classes.
 TIER_SIZE, TIER_CLASSES = 12, 6
 
-TABLE_SCHEMA = "kind int, doc_id long, set_id long, n_shingles int, sig long, shingles binary"
+#: Sets in a tile, on average.
+TILE_SETS = 128
+#: Shingles in a matrix product at once.
+COLUMNS = 8192
+
+TABLE_SCHEMA = "kind int, doc_id long, set_id long, n_shingles int, sig long, block long, shingles binary"
 
 
 def _sets(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -120,7 +128,7 @@ def _index(table: pa.Table, answers: pa.Table) -> pa.Table:
     size, ids, first, values, of = _sets(table)
     keys = _keys_of(first, values, of)
     df = joined_totals(answers)[np.searchsorted(np.unique(keys), keys)] if len(keys) else np.zeros(0, np.int64)
-    parts = [pa.table({"kind": pa.array(np.zeros(len(size), np.int32)), "doc_id": table.column("doc_id"), "set_id": pa.array(ids, mask=size == 0), "n_shingles": pa.array(size, pa.int32()), "sig": pa.nulls(len(size), pa.int64()), "shingles": pa.nulls(len(size), pa.binary())})]
+    parts = [pa.table({"kind": pa.array(np.zeros(len(size), np.int32)), "doc_id": table.column("doc_id"), "set_id": pa.array(ids, mask=size == 0), "n_shingles": pa.array(size, pa.int32()), "sig": pa.nulls(len(size), pa.int64()), "block": pa.nulls(len(size), pa.int64()), "shingles": pa.nulls(len(size), pa.binary())})]
     at, sets, sigs, sizes, kept = 0, [], [], [], []
     for k in first.tolist():
         n = int(size[k])
@@ -134,9 +142,9 @@ def _index(table: pa.Table, answers: pa.Table) -> pa.Table:
             kept.append((int(ids[k]), n, own.tobytes()))
     if kept:
         joined = [np.concatenate(x) for x in (sets, sizes, sigs)]
-        parts.append(pa.table({"kind": pa.array(np.ones(len(joined[0]), np.int32)), "doc_id": pa.nulls(len(joined[0]), pa.int64()), "set_id": joined[0], "n_shingles": joined[1], "sig": joined[2], "shingles": pa.nulls(len(joined[0]), pa.binary())}))
+        parts.append(pa.table({"kind": pa.array(np.ones(len(joined[0]), np.int32)), "doc_id": pa.nulls(len(joined[0]), pa.int64()), "set_id": joined[0], "n_shingles": joined[1], "sig": joined[2], "block": pa.nulls(len(joined[0]), pa.int64()), "shingles": pa.nulls(len(joined[0]), pa.binary())}))
         own_id, own_n, own_raw = zip(*kept, strict=True)
-        parts.append(pa.table({"kind": pa.array(np.full(len(kept), 2, np.int32)), "doc_id": pa.nulls(len(kept), pa.int64()), "set_id": pa.array(own_id, pa.int64()), "n_shingles": pa.array(own_n, pa.int32()), "sig": pa.nulls(len(kept), pa.int64()), "shingles": pa.array(own_raw, pa.binary())}))
+        parts.append(pa.table({"kind": pa.array(np.full(len(kept), 2, np.int32)), "doc_id": pa.nulls(len(kept), pa.int64()), "set_id": pa.array(own_id, pa.int64()), "n_shingles": pa.array(own_n, pa.int32()), "sig": pa.nulls(len(kept), pa.int64()), "block": table.column("_block").slice(0, 1).take(pa.array(np.zeros(len(kept), np.int64))), "shingles": pa.array(own_raw, pa.binary())}))
     return pa.concat_tables(parts)
 
 
@@ -164,26 +172,93 @@ def _close(a: str, b: str):
 
 
 def hub_pairs(sigs: DataFrame) -> DataFrame:
-    """Each set with the hub that it meets in most signatures."""
+    """Each set with the hub that it meets in most signatures.
+
+    This only saves comparisons: sets that it leaves apart are compared later.
+    """
     hubs = sigs.groupBy("sig").agg(F.min(F.struct("set_id", "n_shingles")).alias("hub"), F.max("set_id").alias("last")).where("hub.set_id < last").select("sig", F.col("hub.set_id").alias("a"), F.col("hub.n_shingles").alias("a_n"))
     met = sigs.join(hubs, "sig").where((F.col("set_id") != F.col("a")) & _close("n_shingles", "a_n"))
     times = met.groupBy("set_id", "a").count()
     return times.groupBy("set_id").agg(F.max(F.struct("count", "a")).alias("x")).select("x.a", F.col("set_id").alias("b"))
 
 
-def cross_pairs(sigs: DataFrame) -> DataFrame:
-    """Pairs of sets of different components that meet in a signature, each once.
-
-    Components are paired within a signature before sets are, so the members of one
-    component never meet each other here.
+def overlaps(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Common shingles of all x with all y, as products of 0/1 matrices."""
+    values, which = np.unique(np.concatenate([*x, *y]), return_inverse=True)
+    n_x = sum(map(len, x))
+    both = np.zeros(len(values), bool)
+    both[which[:n_x]] = True
+    there = np.zeros(len(values), bool)
+    there[which[n_x:]] = True
+    column = np.cumsum(both & there) - 1
+    column[~(both & there)] = -1
+    column = column[which]
+    row = np.concatenate([np.repeat(np.arange(len(s)), [len(v) for v in s]) for s in (x, y)])
+    out = np.zeros((len(x), len(y)), np.float32)
+    for a in range(0, int(column.max(initial=-1)) + 1, COLUMNS):
+        mine = (column >= a) & (column < a + COLUMNS)
+        parts = []
+        for side, size in ((slice(0, n_x), len(x)), (slice(n_x, None), len(y))):
+            m = np.zeros((size, COLUMNS), np.float32)
+            m[row[side][mine[side]], column[side][mine[side]] - a] = 1
+            parts.append(m)
+        out += parts[0] @ parts[1].T
+    return out.astype(np.int64)
+
+
+def _linked(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    same = overlaps(x, y)
+    n_x, n_y = np.array([len(v) for v in x]), np.array([len(v) for v in y])
+    return 100 * same >= THRESHOLD * (n_x[:, None] + n_y[None, :] - same)
+
+
+def _compare(table: pa.Table) -> pa.Table:
+    """Links of one pair of tiles, or of the small families of one bin, as a forest."""
+    sets = [np.frombuffer(x, U64) for x in table.column("shingles").to_pylist()]
+    ids, family, tile = (table.column(c).to_numpy() for c in ("set_id", "family", "tile"))
+    one, two = table.column("one")[0].as_py(), table.column("two")[0].as_py()
+    if one < 0:
+        order = np.argsort(family, kind="stable")
+        groups = np.split(order, np.flatnonzero(np.diff(family[order])) + 1)
+        sides = [(g, g) for g in groups]
+    else:
+        sides = [(np.flatnonzero(tile == one), np.flatnonzero(tile == two))]
+    a, b = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for left, right in sides:
+        if len(left) and len(right):
+            new = spanning(_linked([sets[k] for k in left], [sets[k] for k in right]), ids[left], ids[right])
+            a, b = np.concatenate([a, new[0]]), np.concatenate([b, new[1]])
+    return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["src", "dst"])
+
+
+def cross_links(sigs: DataFrame, sets: DataFrame) -> DataFrame:
+    """A forest of all links between sets of different components that meet in a signature.
+
+    Sets that meet, directly or through others, are a family. The members of its
+    largest component need not be compared with each other, so their tiles meet only
+    those of the rest. Families below a tile's size share bins.
     """
-    mixed = sigs.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("sig")
-    left = materialize(sigs.join(mixed, "sig", "left_semi"), "cross-signatures")
-    groups = left.select("sig", "component").distinct()
-    meet = groups.select("sig", F.col("component").alias("ca")).join(groups.select("sig", F.col("component").alias("cb")), "sig").where("ca < cb")
-    a = left.select("sig", F.col("component").alias("ca"), F.col("set_id").alias("a"), F.col("n_shingles").alias("a_n"))
-    b = left.select("sig", F.col("component").alias("cb"), F.col("set_id").alias("b"), F.col("n_shingles").alias("b_n"))
-    return meet.join(a, ["sig", "ca"]).join(b, ["sig", "cb"]).where(_close("a_n", "b_n")).select("a", "b").distinct()
+    mixed = sigs.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min("set_id").alias("hub")).where("x < y").select("sig", "hub")
+    left = materialize(sigs.join(mixed, "sig").select("set_id", "component", "hub").distinct(), "meetings")
+    families = components(left.select(F.col("set_id").alias("src"), F.col("hub").alias("dst"))).select(F.col("node").alias("set_id"), F.col("component").alias("family"))
+    members = materialize(left.select("set_id", "component").distinct().join(families, "set_id"), "families")
+    sizes = members.groupBy("family", "component").agg(F.count(F.lit(1)).alias("n"))
+    of_family = sizes.groupBy("family").agg(F.sum("n").alias("all"), F.max(F.struct("n", "component")).alias("main")).select("family", "all", F.col("main.n").alias("n_main"), F.col("main.component").alias("main"))
+    bins = F.lit(max(1, members.count() // TILE_SETS))
+    tiles = lambda n: F.ceil(n / TILE_SETS).cast("int")
+    hashed = F.xxhash64("set_id")
+    placed = members.join(of_family, "family").withColumn("small", F.col("all") <= TILE_SETS).withColumn("mains", tiles(F.col("n_main"))).withColumn("rest", tiles(F.col("all") - F.col("n_main")))
+    is_main = F.col("component") == F.col("main")
+    placed = placed.withColumn("tile", F.when(is_main, F.pmod(hashed, "mains")).otherwise(F.col("mains") + F.pmod(hashed, F.greatest("rest", F.lit(1)))).cast("int"))
+    whole = F.col("mains") + F.col("rest") - 1
+    partners = F.when(F.col("small"), F.array(F.lit(-1))).when(is_main, F.sequence("mains", whole)).otherwise(F.sequence(F.lit(0), whole))
+    met = placed.join(sets, "set_id").withColumn("partner", F.explode(partners))
+    met = met.select("set_id", "shingles", "tile", "family", F.when(F.col("small"), F.pmod(F.xxhash64("family"), bins)).otherwise(F.col("family")).alias("group"), F.when(F.col("small"), F.lit(-1)).otherwise(F.greatest("tile", "partner")).alias("one"), F.when(F.col("small"), F.lit(-1)).otherwise(F.least("tile", "partner")).alias("two"))
+    return met.groupBy("group", "one", "two").applyInArrow(_compare, "src long, dst long")
+
+
+def _placed(sigs: DataFrame, found: DataFrame) -> DataFrame:
+    return sigs.join(found.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -194,11 +269,11 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     table = materialize(with_totals(blocks, answers, _index, TABLE_SCHEMA), "shingle-index")
     rows = table.where("kind = 0").select("doc_id", "set_id", "n_shingles")
     sigs = table.where("kind = 1").select("sig", "set_id", "n_shingles").distinct()
-    sets = table.where("kind = 2").select("set_id", "shingles").dropDuplicates(["set_id"])
+    found = table.where("kind = 2").select("set_id", "block", "shingles")
+    # one of the blocks that have the set, settled without its shingles
+    sets = found.join(found.groupBy("set_id").agg(F.min("block").alias("block")), ["set_id", "block"]).select("set_id", "shingles")
     links = materialize(verified(hub_pairs(sigs), sets), "hub-links")
-    near = components(links)
-    placed = sigs.join(near.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
-    more = materialize(verified(cross_pairs(placed), sets), "cross-links")
+    more = materialize(cross_links(_placed(sigs, components(links)), sets), "cross-links")
     whole = components(links.union(more)).withColumnRenamed("node", "set_id")
     tagged = rows.join(whole, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     least = tagged.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("least"))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.components import components, forest
+from folio.llm.components import components, forest, spanning
 from folio.llm.shared import materialize
 
 THRESHOLD = 0.93
@@ -114,22 +114,6 @@ def links_between(x: np.ndarray, y: np.ndarray, threshold: float = THRESHOLD) ->
             yield a, cosines
 
 
-def _spanning(links: np.ndarray, xs: np.ndarray, ys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A forest of the links: few are joined one by one, many by spreading the least id."""
-    i, j = np.nonzero(links)
-    if len(i) > 20 * (len(xs) + len(ys)):
-        own, other = xs.copy(), ys.copy()
-        while True:
-            big = np.iinfo(np.int64).max
-            new_own = np.minimum(own, np.where(links, other[None, :], big).min(1))
-            new_other = np.minimum(other, np.where(links, new_own[:, None], big).min(0))
-            if (new_own == own).all() and (new_other == other).all():
-                break
-            own, other = new_own, new_other
-        return forest(np.concatenate([xs, ys]), np.concatenate([own, other]))
-    return forest(xs[i], ys[j])
-
-
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tile_rows: int = TILE_ROWS) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row."""
     rows = vectors.select(F.col("vec_id").cast("long"), "label", "embedding")
@@ -161,7 +145,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tile_rows:
             if one != two:
                 count[right] += times[mine] @ links
             if links.any():
-                new = _spanning(links, ids[mine], ids[right])
+                new = spanning(links, ids[mine], ids[right])
                 a, b = forest(np.concatenate([a, new[0]]), np.concatenate([b, new[1]]))
         some = np.flatnonzero(count)
         nothing = pa.nulls(len(some), pa.int64())
