@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folio.functions import vectors as V
+from folio.operators.relational import running_sums
 
 INFINITY = float("inf")
 
@@ -31,9 +32,8 @@ def scores(probs: Column, method: str = "lac") -> Column:
 def quantiles(calibration: DataFrame, score: str, alphas: list[float], group: str | None = None) -> DataFrame:
     """([group,] alpha, n, qhat): order statistic min(k, n - 1) from 0, k = ceil((n + 1)(1 - alpha)).
 
-    Infinite where k exceeds n. One sort of the scores serves every alpha: each keeps
-    the rows up to its own rank, and no score list is gathered. Without a group the
-    scores are ranked by range partitions' sizes, not in one task.
+    Infinite where k exceeds n. One running count of the distinct scores serves every
+    alpha, and no score list is gathered.
     """
     if not all(0 < a < 1 for a in alphas):
         raise ValueError("alpha must be between 0 and 1")
@@ -43,8 +43,7 @@ def quantiles(calibration: DataFrame, score: str, alphas: list[float], group: st
     want = sizes.select(*keys, "n", grid.alias("alpha")).withColumn("_k", F.ceil((F.col("n") + 1) * (F.lit(1.0) - F.col("alpha")))).withColumn("_at", F.least("_k", F.col("n") - 1) + 1)
     # how many scores are at or below each distinct score
     per = calibration.groupBy(*keys, score).agg(F.count(F.lit(1)).alias("_c"))
-    run = Window.partitionBy(*keys).orderBy(score).rowsBetween(Window.unboundedPreceding, 0)
-    steps = per.withColumn("_hi", F.sum("_c").over(run)).withColumn("_lo", F.col("_hi") - F.col("_c"))
+    steps = running_sums(per, score, ["_c"], keys).withColumn("_hi", F.col("run__c")).withColumn("_lo", F.col("_hi") - F.col("_c"))
     steps = steps.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col(score).alias("_score"), "_lo", "_hi")
     on = (F.col("_at") > F.col("_lo")) & (F.col("_at") <= F.col("_hi"))
     for k in keys:

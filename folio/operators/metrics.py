@@ -7,6 +7,8 @@ from math import comb
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folio.operators.relational import running_sums
+
 
 def _share(c: Column) -> Column:
     return F.avg(c.cast("double"))
@@ -101,8 +103,7 @@ def roc_auc(rows: DataFrame, score: str, truth: str, groups: list[str] | None =
     """
     keys = groups or []
     per = rows.groupBy(*keys, score).agg(F.count(F.lit(1)).alias("_n"), F.sum(F.col(truth).cast("int")).alias("_pos"))
-    run = Window.partitionBy(*keys).orderBy(score).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = per.withColumn("_rank", F.sum("_n").over(run) - (F.col("_n") - 1) / 2.0)
+    ranked = running_sums(per, score, ["_n"], keys).withColumn("_rank", F.col("run__n") - (F.col("_n") - 1) / 2.0)
     pos, neg = F.sum("_pos"), F.sum(F.col("_n") - F.col("_pos"))
     auc = (F.sum(F.col("_rank") * F.col("_pos")) - pos * (pos + 1) / 2.0) / (pos * neg)
     return ranked.groupBy(*keys).agg(pos.alias("positives"), neg.alias("negatives"), F.when((pos > 0) & (neg > 0), auc).alias("auc"))
@@ -111,8 +112,7 @@ def roc_auc(rows: DataFrame, score: str, truth: str, groups: list[str] | None =
 def average_precision(rows: DataFrame, score: str, truth: str, groups: list[str] | None = None) -> DataFrame:
     keys = groups or []
     per = rows.groupBy(*keys, score).agg(F.count(F.lit(1)).alias("_n"), F.sum(F.col(truth).cast("int")).alias("_pos"))
-    run = Window.partitionBy(*keys).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    precision = per.withColumn("_p", F.sum("_pos").over(run) / F.sum("_n").over(run))
+    precision = running_sums(per, score, ["_n", "_pos"], keys, descending=True).withColumn("_p", F.col("run__pos") / F.col("run__n"))
     return precision.groupBy(*keys).agg((F.sum(F.col("_p") * F.col("_pos")) / F.nullif(F.sum("_pos"), F.lit(0))).alias("average_precision"))
 
 

@@ -71,6 +71,29 @@ def without(df: DataFrame, keys: list[DataFrame], key: str) -> DataFrame:
     return df.join(seen.distinct(), key, "left_anti")
 
 
+def running_sums(df: DataFrame, order: str, amounts: list[str], keys: list[str] | None = None, descending: bool = False, buckets: int = 1024) -> DataFrame:
+    """Add ``run_<amount>``: inclusive running sums in the order of a numeric column.
+
+    Without keys the values are cut into buckets of equal width; each bucket runs on
+    its own, behind the totals of those before it (at most ``buckets`` rows), so no task
+    gets the whole table. Rows of equal order must be merged beforehand.
+    """
+    by = F.desc(order) if descending else F.asc(order)
+    if keys:
+        run = Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, 0)
+        return df.select("*", *(F.sum(a).over(run).alias(f"run_{a}") for a in amounts))
+    lo, hi = df.agg(F.min(order), F.max(order)).first()
+    width = (hi - lo) if lo is not None and hi > lo else 1.0
+    place = F.least(F.floor((F.col(order) - F.lit(lo or 0)) / F.lit(width) * buckets), F.lit(buckets - 1)).cast("int")
+    cut = df.withColumn("_b", place)
+    before = Window.orderBy(F.desc("_b") if descending else F.asc("_b")).rowsBetween(Window.unboundedPreceding, -1)
+    totals = cut.groupBy("_b").agg(*(F.sum(a).alias(a) for a in amounts))
+    offsets = totals.select("_b", *(F.coalesce(F.sum(a).over(before), F.lit(0)).alias(f"_o_{a}") for a in amounts))
+    run = Window.partitionBy("_b").orderBy(by).rowsBetween(Window.unboundedPreceding, 0)
+    out = cut.join(offsets, "_b")
+    return out.select(*df.columns, *((F.col(f"_o_{a}") + F.sum(a).over(run)).alias(f"run_{a}") for a in amounts))
+
+
 def value_counts(df: DataFrame, column: str) -> DataFrame:
     """Counts and shares, most frequent first, ties by value."""
     counts = df.groupBy(column).agg(F.count(F.lit(1)).alias("n"))

@@ -127,9 +127,21 @@ def neighbour_vote(found: DataFrame, labels: DataFrame, key: str, label: str, qu
 def subspaces(vectors: DataFrame, label: str, r: int, vector: str = "embedding") -> dict:
     """By label, the top r principal axes (uncentred), from d * d sums that Spark adds up."""
     import numpy as np
-
-    pairs = vectors.select(label, F.posexplode(vector).alias("i", "a"), vector).select(label, "i", "a", F.posexplode(vector).alias("j", "b"))
-    cells = pairs.groupBy(label, "i", "j").agg(F.sum(F.col("a").cast("double") * F.col("b").cast("double")).alias("s")).toPandas()
+    import pandas as pd
+
+    def moments(batches):
+        sums: dict = {}
+        for pdf in batches:
+            for name, own in pdf.groupby(label):
+                x = np.array(own[vector].tolist(), dtype=np.float64)
+                sums[name] = sums.get(name, 0) + x.T @ x
+        for name, m in sums.items():
+            i, j = np.indices(m.shape)
+            yield pd.DataFrame({label: name, "i": i.ravel(), "j": j.ravel(), "s": m.ravel()})
+
+    kind = vectors.schema[label].dataType.simpleString()
+    parts = vectors.where(F.col(label).isNotNull() & F.col(vector).isNotNull()).select(label, vector).mapInPandas(moments, f"{label} {kind}, i int, j int, s double")
+    cells = parts.groupBy(label, "i", "j").agg(F.sum("s").alias("s")).toPandas()
     axes = {}
     for name, own in cells.groupby(label):
         d = own["i"].max() + 1

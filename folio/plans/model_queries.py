@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from folio.functions import vectors as V
 from folio.operators import conformal, labelling, metrics, scoring
 from folio.operators import relational as R
+from folio.plans import reports
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -381,3 +382,39 @@ def temporal_holdout(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT p_partkey, p_type FROM (SELECT p_partkey, p_type, count(*) OVER (PARTITION BY p_type) AS n FROM part) WHERE n >= 15")
 def supported_types(spark: SparkSession, sf: str) -> DataFrame:
     return R.min_support(spark.read.parquet(f"{sf}/part.parquet"), "p_type", 15).select("p_partkey", "p_type")
+
+
+# --- reports ---
+
+
+@query(_Q + f""", t AS (SELECT p.vec_id, p.truth, p.k, q.alpha, q.qhat, 1.0 - p.p <= q.qhat AS inside FROM p, q WHERE NOT ({_CAL})),
+u AS (SELECT vec_id, alpha, qhat, count(*) FILTER (inside) AS size, bool_or(inside AND k = truth) AS covered FROM t GROUP BY vec_id, alpha, qhat)
+SELECT alpha, round(qhat, 6) AS qhat, round(avg(covered::INT), 6) AS coverage, round(avg(size), 6) AS avg_size, round(avg((size <> 1)::INT), 6) AS routed FROM u GROUP BY alpha, qhat""")
+def coverage_curve(spark: SparkSession, sf: str) -> DataFrame:
+    fit, test = _halves(spark, sf)
+    r = reports.coverage_curve(fit, test, "scores", "own", "truth", ALPHAS)
+    return r.select("alpha", *(F.round(c, 6).alias(c) for c in r.columns if c != "alpha"))
+
+
+@query(_P + "SELECT s AS section_id, count(*) AS n, round(avg(correct::INT), 6) AS recall FROM v JOIN c USING (vec_id) GROUP BY s HAVING count(*) >= 10")
+def recall_by_section(spark: SparkSession, sf: str) -> DataFrame:
+    r = reports.recall_by(scored(spark, sf).withColumn("section_id", F.col("vec_id") % 4), "section_id", "correct")
+    return r.withColumn("recall", F.round("recall", 6))
+
+
+@query(_W + """, q AS (SELECT doc, k, sum(ww * p) / sum(ww) AS q FROM x JOIN p USING (vec_id) GROUP BY doc, k),
+n AS (SELECT doc, k, greatest(q, 1e-9) / sum(greatest(q, 1e-9)) OVER (PARTITION BY doc) AS p FROM q),
+o AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY p DESC, k) AS rn FROM n),
+z AS (SELECT doc, max(CASE WHEN rn = 1 THEN k END) AS label, max(CASE WHEN rn = 1 THEN p END) AS confidence, max(CASE WHEN rn = 1 THEN p END) - max(CASE WHEN rn = 2 THEN p END) AS gap, count(*) FILTER (1.0 - p <= 0.8) AS size FROM o GROUP BY doc)
+SELECT doc, label, round(confidence, 6) AS confidence, greatest(size, 1) AS set_size, size <> 1 AS routed, CASE WHEN size <> 1 THEN CASE WHEN confidence < 0.4 THEN 'LOW_CONFIDENCE' WHEN gap < 0.1 THEN 'TIGHT_GAP' ELSE 'SET' END END AS flag FROM z""")
+def routed_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunks to documents to sets to a routing decision."""
+    bank = spark.createDataFrame([(0.1, 100, 0.8), (0.3, 100, 0.5)], "alpha double, n long, qhat double")
+    r = reports.route_documents(weighted(spark, sf), "doc", bank, 0.12)
+    return r.select("doc", "label", F.round("confidence", 6).alias("confidence"), F.size("set").cast("long").alias("set_size"), "routed", "flag")
+
+
+@query("SELECT string_agg(rn || '. ' || r_name || ': ' || r_regionkey, chr(10) ORDER BY rn) AS scope FROM (SELECT *, row_number() OVER (ORDER BY r_regionkey) AS rn FROM region)")
+def scope_prompt(spark: SparkSession, sf: str) -> DataFrame:
+    r = spark.read.parquet(f"{sf}/region.parquet").withColumn("d", F.col("r_regionkey").cast("string"))
+    return reports.scope_text(r, "r_name", "d", "r_regionkey")

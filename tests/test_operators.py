@@ -12,7 +12,7 @@ from folio.functions import text as T
 from folio.functions import vectors as V
 from folio.operators import chunking, conformal, evidence, labelling, metrics, scoring
 from folio.operators import relational as R
-from folio.plans import baselines
+from folio.plans import baselines, reports
 from folio.sources import files
 from folio.streaming import chunks as stream
 
@@ -222,3 +222,30 @@ def test_baselines_learn(spark, name):
     df = spark.createDataFrame(rows, "text string, label double")
     out = baselines.fit_baseline(df, name, 200).transform(df)
     assert out.where("prediction = label").count() >= 57
+
+
+def test_bank_round_trip(spark, tmp_path):
+    bank = spark.createDataFrame([(0.1, 50, 0.7), (0.01, 50, math.inf)], "alpha double, n long, qhat double")
+    reports.save_bank(bank, str(tmp_path / "bank"))
+    loaded = reports.load_bank(spark, str(tmp_path / "bank"))
+    assert sorted(tuple(r) for r in loaded.collect()) == [(0.01, 50, math.inf), (0.1, 50, 0.7)]
+    assert conformal.nearest_alpha(loaded, 0.2).first()["qhat"] == 0.7
+
+
+def test_candidates(spark):
+    probs = F.array(*(F.lit(x) for x in (0.1, 0.5, 0.4)))
+    row = spark.range(1).select(reports.candidates(F.array(F.lit(2), F.lit(1)), probs, F.lit(None)).alias("a"), reports.candidates(F.array(F.lit(1)), probs, F.lit("TIGHT_GAP")).alias("b"), reports.candidates(F.array(F.lit(1)), probs, F.lit(None)).alias("c")).first()
+    assert (row.a, row.b, row.c) == ([1, 2], [1, 2], [1])
+
+
+def test_section_weights_favour_what_informs(spark):
+    rng = np.random.default_rng(6)
+    rows = []
+    for d in range(200):
+        y = int(rng.integers(0, 2))
+        for s, sure in (("methods", 0.9), ("body", 0.5)):
+            p = sure if rng.random() < 0.95 else 1 - sure
+            rows.append((d, s, [1 - p, p] if y else [p, 1 - p], 100, y))
+    df = spark.createDataFrame(rows, "doc int, section string, probs array<double>, n_words int, label int")
+    out = reports.section_weights(df.drop("label"), "doc", df.select("doc", "label").distinct(), {"methods": 1.0, "body": 1.0}, 8)
+    assert out["methods"] > out["body"]
