@@ -19,6 +19,12 @@ _COUNT = np.array([n for n, _ in SLOTS])
 _WORDS = np.array([2] + [1] * 15)
 
 
+def _bit_lengths(values: np.ndarray) -> np.ndarray:
+    high = (values >> U64(32)).astype(np.float64)
+    low = (values & U64(0xFFFFFFFF)).astype(np.float64)
+    return np.where(high > 0, np.frexp(high)[1] + 32, np.frexp(low)[1]).astype(np.uint8)
+
+
 def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All words, and the word at which each block begins."""
     values = values.astype(U64)
@@ -26,21 +32,21 @@ def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     blocks = -(-n // BLOCK)
     if not n:
         return np.zeros(0, U64), np.zeros(0, np.int64)
-    bits = np.full(blocks * BLOCK, 255, np.uint8)  # beyond the end nothing fits
-    bits[:n] = 0
-    for k in range(64):
-        if not (more := values >= U64(1 << k)).any():
-            break
-        bits[:n] += more
     ends = np.minimum(np.arange(1, blocks + 1) * BLOCK, n)
-    bits = bits.reshape(blocks, BLOCK)
-    choice = np.zeros((blocks, BLOCK), np.int8)
-    wide = np.zeros((blocks, BLOCK + 1), np.int16)
+    bits = _bit_lengths(values)
+    most = int(bits.max())
+    choice = np.zeros(n, np.int8)
+    inside = np.repeat(ends, BLOCK)[:n] - np.arange(n)  # values left in the block
     for k in range(len(SLOTS) - 1, 0, -1):  # the selector of most values last, so that it stays
         count, width = SLOTS[k]
-        np.cumsum(bits > width, axis=1, out=wide[:, 1:], dtype=np.int16)
-        choice[:, : BLOCK - count + 1][wide[:, count:] == wide[:, :-count]] = k
-    choice = choice.reshape(-1)
+        if most <= width:
+            choice[inside >= count] = k
+            continue
+        # of the values that are narrow enough, those that begin a run of count
+        narrow = np.flatnonzero(bits <= width)
+        if len(narrow) >= count:
+            run = narrow[: len(narrow) - count + 1][narrow[count - 1 :] - narrow[: len(narrow) - count + 1] == count - 1]
+            choice[run[inside[run] >= count]] = k
     # walk all blocks side by side
     at = np.arange(blocks) * BLOCK
     steps, live = [], np.arange(blocks)

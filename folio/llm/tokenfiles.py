@@ -83,7 +83,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
 
         for whole in batches:
             for batch in text_groups(whole, "text"):
-                ids, of = encoder(tokenizer).encode(batch.column("text").to_pylist())
+                ids, of = encoder(tokenizer).encode(batch.column("text"))
                 if tail:
                     ids = np.insert(ids, of[1:], tail[0])
                     of = of + np.arange(len(of))

@@ -1,10 +1,12 @@
 """Token ids of many texts by a public tokenizer file, with each distinct piece encoded once.
 
-A byte-level or word-end BPE splits its input before it merges, and never inside
-a run of non-spaces next to a single space. So a text is cut at each space that
-stands between two non-spaces, every new piece is encoded by the tokenizers
-library, and the ids of a text are those of its pieces. Pieces recur, so most
-are looked up.
+A BPE tokenizer splits its input before it merges, never within the white space in
+front of a word and always after a word that white space follows. So a text is cut
+into pieces, each a word with the white space before it; every new piece is encoded
+by the tokenizers library, and the ids of a text are those of its pieces. Pieces
+recur, so most are found by hash (64 bits, mixed with the white space) in a table of
+arrays, and no Python code runs per word. Texts with white space beyond ASCII, whose
+pieces could join, are encoded whole.
 """
 
 from __future__ import annotations
@@ -13,20 +15,103 @@ import os
 import re
 
 import numpy as np
+import pyarrow as pa
 
-#: Pieces a worker remembers; at the limit it forgets all (speed only, not results).
-REMEMBERED_PIECES = 600_000
-#: Longer pieces are encoded each time.
-REMEMBERED_CHARS = 64
+from folio.llm.bytehash import Words, mix
 
-_NEAR_SPACES = re.compile(r" \s|\s ")
-#: One space at most, in front, and no mark that could be a separator's.
+U64 = np.uint64
+#: Pieces a worker remembers; beyond that it forgets all (speed only, not results).
+REMEMBERED_PIECES = 2_000_000
+
+#: No space but one in front, and no mark that could be a separator's.
 _PLAIN = re.compile(r" ?[^\s\x00-\x1f]+")
-_LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
+_ODD_SPACE = re.compile(r"[^\S \t\n\x0b\x0c\r]")
+
+
+class _Table:
+    """Keys (64-bit hashes, not 0) to numbers, by open addressing on whole arrays."""
+
+    def __init__(self, bits: int = 16):
+        self.bits, self.size = bits, 0
+        self.keys, self.values = np.zeros(1 << bits, U64), np.zeros(1 << bits, np.int32)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The number of each key, -1 where it is absent."""
+        out = np.full(len(keys), -1, np.int32)
+        slot = (keys >> U64(64 - self.bits)).astype(np.int64)
+        open_ = np.arange(len(keys))
+        while len(open_):
+            there = self.keys[slot]
+            hit = there == keys[open_]
+            out[open_[hit]] = self.values[slot[hit]]
+            go = ~hit & (there != 0)
+            open_, slot = open_[go], (slot[go] + 1) & ((1 << self.bits) - 1)
+        return out
+
+    def add(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Distinct absent keys."""
+        if 2 * (self.size + len(keys)) > len(self.keys):
+            used = np.flatnonzero(self.keys)
+            old = self.keys[used], self.values[used]
+            while 2 * (self.size + len(keys)) > 1 << self.bits:
+                self.bits += 1
+            self.keys, self.values = np.zeros(1 << self.bits, U64), np.zeros(1 << self.bits, np.int32)
+            self._place(*old)
+        self._place(keys, values)
+        self.size += len(keys)
+
+    def _place(self, keys: np.ndarray, values: np.ndarray) -> None:
+        slot = (keys >> U64(64 - self.bits)).astype(np.int64)
+        while len(keys):
+            free = np.flatnonzero(self.keys[slot] == 0)
+            _, first = np.unique(slot[free], return_index=True)
+            mine = free[first]
+            self.keys[slot[mine]], self.values[slot[mine]] = keys[mine], values[mine]
+            rest = np.ones(len(keys), bool)
+            rest[mine] = False
+            keys, values, slot = keys[rest], values[rest], (slot[rest] + 1) & ((1 << self.bits) - 1)
+
+
+def _pieces(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All pieces: key, begin, end (bytes), where each text's begin, and the bytes."""
+    words = Words(column)
+    data, offsets = words.data, words.offsets
+    n = words.counts()
+    begin = np.empty(len(words.starts), np.int64)
+    begin[1:] = words.ends[:-1]
+    first = words.of[:-1][n > 0]
+    begin[first] = offsets[:-1][n > 0]
+    gap = words.starts - begin
+    # what the white space in front is: nothing, one byte, or several
+    space = np.where(gap == 0, 0, data[np.maximum(words.starts - 1, 0)]).astype(U64) if len(data) else np.zeros(0, U64)
+    for k in np.flatnonzero(gap > 1).tolist():
+        space[k] = _bytes_key(data[begin[k] : words.starts[k]])
+    key = mix(words.hashes ^ mix(space + U64(1)))
+    # white space at the end of a text is a piece of its own
+    last = np.where(n > 0, words.ends[np.maximum(words.of[1:] - 1, 0)] if len(words.ends) else 0, offsets[:-1])
+    tail = np.flatnonzero(last < offsets[1:])
+    if len(tail):
+        extra = np.array([_bytes_key(data[last[k] : offsets[k + 1]]) for k in tail.tolist()], U64)
+        at = words.of[1:][tail]
+        key = np.insert(key, at, mix(extra + U64(2)))
+        begin, end = np.insert(begin, at, last[tail]), np.insert(words.ends, at, offsets[1:][tail])
+        n = n.copy()
+        n[tail] += 1
+    else:
+        end = words.ends
+    key[key == 0] = 1
+    return key, begin, end, np.concatenate([[0], np.cumsum(n)]), data
+
+
+def _bytes_key(part: np.ndarray) -> int:
+    total = 0xCBF29CE484222325
+    for x in part.tolist():
+        total = (total * 0x100000001B3 + x + 1) & 0xFFFFFFFFFFFFFFFF
+    return total
 
 
 class PieceEncoder:
-    """``encode(texts)`` gives all ids in order and where each text's begin."""
+    """``encode(column)`` gives all ids in order and where each text's begin."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -38,10 +123,10 @@ class PieceEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.places: dict[str, int] = {}
+        self.table = _Table()
         self.ids = np.empty(1 << 16, np.uint32)
         self.at = np.empty(1 << 16, np.int64)
-        self.size = np.empty(1 << 16, np.int64)
+        self.size = np.empty(1 << 16, np.int32)
         self.used = 0
 
     def _separator(self) -> tuple[str, int] | None:
@@ -53,72 +138,75 @@ class PieceEncoder:
                 return mark, whole[len(left)]
         return None
 
-    def _encoded(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all pieces, and how many each has."""
-        if self.separator and len(pieces) > 1:
-            mark, mark_id = self.separator
-            groups = [pieces[k : k + 500] for k in range(0, len(pieces), 500)]
-            found = self.tokenizer.encode_batch_fast([mark.join(x) for x in groups], add_special_tokens=False)
-            ids = np.concatenate([np.array(x.ids + [mark_id], np.uint32) for x in found])
-            marks = np.flatnonzero(ids == mark_id)
-            if len(marks) == len(pieces):
-                return np.delete(ids, marks), np.diff(marks, prepend=-1) - 1
-        return self._one_by_one(pieces)
-
     def _one_by_one(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         found = [x.ids for x in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         return np.fromiter((i for x in found for i in x), np.uint32, int(sizes.sum())), sizes
 
-    def _learn(self, pieces: list[str]) -> None:
-        odd = [x for x in pieces if not _PLAIN.fullmatch(x)]
-        if odd:
-            plain = set(odd)
-            pieces = [x for x in pieces if x not in plain] + odd
-        count = len(pieces) - len(odd)
-        parts = [self._encoded(pieces[:count])] if count else []
-        parts += [self._one_by_one(odd)] if odd else []
-        ids, sizes = (np.concatenate(x) for x in zip(*parts, strict=True))
-        total, n = len(ids), len(self.places)
-        while self.used + total > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
-        while n + len(pieces) > len(self.at):
+    def _together(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces that hold no separator, encoded many in one text."""
+        if not self.separator:
+            return self._one_by_one(pieces)
+        mark, mark_id = self.separator
+        groups = [mark.join(pieces[k : k + 500]) for k in range(0, len(pieces), 500)]
+        found = self.tokenizer.encode_batch_fast(groups, add_special_tokens=False)
+        ids = np.concatenate([np.array(x.ids + [mark_id], np.uint32) for x in found])
+        marks = np.flatnonzero(ids == mark_id)
+        if len(marks) != len(pieces):
+            return self._one_by_one(pieces)
+        return np.delete(ids, marks), np.diff(marks, prepend=-1) - 1
+
+    def _learn(self, keys: np.ndarray, pieces: list[str]) -> None:
+        first = self.table.size
+        n = first + len(pieces)
+        while n > len(self.at):
             self.at = np.concatenate([self.at, np.empty_like(self.at)])
             self.size = np.concatenate([self.size, np.empty_like(self.size)])
-        self.ids[self.used : self.used + total] = ids
-        self.at[n : n + len(pieces)] = self.used + np.cumsum(sizes) - sizes
-        self.size[n : n + len(pieces)] = sizes
-        self.places.update(zip(pieces, range(n, n + len(pieces)), strict=True))
-        self.used += total
-
-    def _pieces(self, text: str) -> list[str]:
-        if _NEAR_SPACES.search(text):
-            parts = _LONE_SPACE.split(text)
-            return [parts[0], *(" " + x for x in parts[1:])]
-        return text.replace(" ", "\0 ").split("\0") if "\0" not in text else [text]
-
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.places) > REMEMBERED_PIECES:
+        plain = np.fromiter((_PLAIN.fullmatch(x) is not None for x in pieces), bool, len(pieces))
+        for which, encode in ((np.flatnonzero(plain), self._together), (np.flatnonzero(~plain), self._one_by_one)):
+            if not len(which):
+                continue
+            ids, sizes = encode([pieces[k] for k in which.tolist()])
+            while self.used + len(ids) > len(self.ids):
+                self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
+            self.ids[self.used : self.used + len(ids)] = ids
+            self.at[first + which] = self.used + np.cumsum(sizes) - sizes
+            self.size[first + which] = sizes
+            self.used += len(ids)
+        self.table.add(keys, np.arange(first, n, dtype=np.int32))
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        if self.table.size > REMEMBERED_PIECES:
             self._forget()
-        pieces: list[str] = []
-        of = np.zeros(len(texts) + 1, np.int64)
-        for k, text in enumerate(texts):
-            if text:
-                pieces += self._pieces(text)
-            of[k + 1] = len(pieces)
-        places = self.places
-        new = list(dict.fromkeys(x for x in pieces if x not in places))
-        if new:
-            self._learn(new)
-        which = np.fromiter(map(places.__getitem__, pieces), np.int64, len(pieces))
-        size, at = self.size[which], self.at[which]
+        odd = [k for k, x in enumerate(column.to_pylist()) if x and not x.isascii() and _ODD_SPACE.search(x)] if _may_be_odd(column) else []
+        key, begin, end, of, data = _pieces(column)
+        which = self.table.find(key)
+        new = np.flatnonzero(which < 0)
+        if len(new):
+            keys, first = np.unique(key[new], return_index=True)
+            pieces = [data[a:b].tobytes().decode() for a, b in zip(begin[new[first]].tolist(), end[new[first]].tolist(), strict=True)]
+            self._learn(keys, pieces)
+            which[new] = self.table.find(key[new])
+        size, at = self.size[which].astype(np.int64), self.at[which]
         ends = np.cumsum(size)
         total = int(ends[-1]) if len(ends) else 0
         ids = self.ids[np.repeat(at - (ends - size), size) + np.arange(total)]
-        for piece in [x for x in new if len(x) > REMEMBERED_CHARS]:
-            del places[piece]
-            places[f"\0{len(places)}"] = -1  # the place stays taken
-        return ids, np.concatenate([[0], ends])[of]
+        of = np.concatenate([[0], ends])[of]
+        return (ids, of) if not odd else self._whole(column, ids, of, odd)
+
+    def _whole(self, column: pa.Array, ids: np.ndarray, of: np.ndarray, odd: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """Put the ids of the texts ``odd``, each encoded at once, in place of those from pieces."""
+        parts = [ids[a:b] for a, b in zip(of[:-1], of[1:], strict=True)]
+        for k in odd:
+            parts[k] = np.array(self.tokenizer.encode(column[k].as_py(), add_special_tokens=False).ids, np.uint32)
+        return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
+
+
+def _may_be_odd(column: pa.Array) -> bool:
+    """Could any text hold white space beyond ASCII, or a separator that counts as such?"""
+    import pyarrow.compute as pc
+
+    return bool(pc.any(pc.match_substring_regex(column, r"[\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]")).as_py())
 
 
 _encoders: dict[str, PieceEncoder] = {}
