@@ -23,13 +23,13 @@ def new_file(folder: str, suffix: str):
     uri = f"{folder}/{uuid.uuid4().hex}{suffix}"
     fs, path = _open(uri)
     fs.create_dir(path.rpartition("/")[0], recursive=True)
-    with fs.open_output_stream(path) as stream:
+    with fs.open_output_stream(path, compression=None) as stream:
         yield uri, stream
 
 
 def read_file(uri: str) -> bytes:
     fs, path = _open(uri)
-    with fs.open_input_stream(path) as stream:
+    with fs.open_input_stream(path, compression=None) as stream:
         return stream.read()
 
 

@@ -1,4 +1,5 @@
-"""WARC archives written beside an index, and read back by coalesced byte ranges.
+"""WARC archives (a gzip member per record) written beside an index, and read back by
+coalesced byte ranges.
 
 Writing yields the index first of all: one row per record with its file, offset,
 length, URL and payload digest. Reading takes any selection of index rows, sorts
@@ -14,6 +15,7 @@ of those with the smallest id. Extra columns are ignored; an empty table gives n
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,6 +48,15 @@ def _number(name: str) -> int | None:
     return None if value == "null" else int(value)
 
 
+#: Compression of a record; archives are text, so the fastest level takes most of the gain.
+GZIP_LEVEL = 1
+
+
+def packed(data: bytes) -> bytes:
+    z = zlib.compressobj(GZIP_LEVEL, zlib.DEFLATED, 31)
+    return z.compress(data) + z.flush()
+
+
 def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: str | None) -> bytes:
     """One record. A URL's line ends are percent-encoded, as headers are lines."""
     target = (url or "").replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A")
@@ -65,8 +76,9 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
     return "\r\n".join(head).encode() + body + b"\r\n\r\n"
 
 
-def parse(data: bytes) -> dict:
+def parse(member: bytes) -> dict:
     """The fields of one record; the payload of a response is held against its digest."""
+    data = zlib.decompress(member, 31)
     head, _, rest = data.partition(b"\r\n\r\n")
     fields = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
     body = rest[: int(fields["Content-Length"])]
@@ -107,7 +119,7 @@ def write_warc(pages: DataFrame, folder: str) -> DataFrame:
         size = 0
 
         def flush() -> pa.RecordBatch:
-            with storage.new_file(folder, ".warc") as (uri, stream):
+            with storage.new_file(folder, ".warc.gz") as (uri, stream):
                 for x in pending:
                     stream.write(x)
             cols = list(zip(*rows, strict=True))
@@ -122,7 +134,7 @@ def write_warc(pages: DataFrame, folder: str) -> DataFrame:
             names = ("page_id", "url", "html", "digest", "refers", "holder_id")
             for k in range(batch.num_rows):
                 page_id, url, html, digest, refers, holder = (batch.column(x)[k].as_py() for x in names)
-                data = record(page_id, url, html.encode(), digest, _name(holder) if refers else None)
+                data = packed(record(page_id, url, html.encode(), digest, _name(holder) if refers else None))
                 rows.append((page_id, size, len(data), url, digest))
                 pending.append(data)
                 size += len(data)
