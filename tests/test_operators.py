@@ -249,3 +249,9 @@ def test_section_weights_favour_what_informs(spark):
     df = spark.createDataFrame(rows, "doc int, section string, probs array<double>, n_words int, label int")
     out = reports.section_weights(df.drop("label"), "doc", df.select("doc", "label").distinct(), {"methods": 1.0, "body": 1.0}, 8)
     assert out["methods"] > out["body"]
+
+
+def test_event_windows(spark, sf):
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    out = stream.events_per_window(events, "1 day")
+    assert out.agg(F.sum("n")).first()[0] == events.count()
