@@ -24,11 +24,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folio.llm.bytehash import IS_SPACE, text_bytes
+from folio.llm.memory import release
 from folio.llm.tokenizing import text_groups
 
 U64 = np.uint64
 #: Text in a block, on average.
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 8 << 20
 #: Text whose keys a bucket counts, on average.
 BUCKET_BYTES = 6 << 20
 LEAST_BLOCKS, LEAST_BUCKETS = 24, 48
@@ -77,7 +78,7 @@ def bucket_count(size: CorpusSize) -> int:
 def _edges(keys: np.ndarray, buckets: int) -> np.ndarray:
     """Where each bucket's keys begin among sorted keys; a bucket is a range of values."""
     step = (1 << 64) // buckets + 1
-    return np.searchsorted(keys, np.array([b * step for b in range(buckets)] , U64))
+    return np.searchsorted(keys, np.array([b * step for b in range(buckets)], U64))
 
 
 def _pack(keys: np.ndarray) -> tuple[bytes | None, bytes | None, bytes | None]:
@@ -128,6 +129,7 @@ def totals(blocks: DataFrame, keys: Keys, buckets: int) -> DataFrame:
                 low, high, wide = _pack(own[x:y])
                 rows.append((b, block, low, high, wide, _narrow(counts[x:y])))
         cols = list(zip(*rows, strict=True)) if rows else [()] * 6
+        release()
         kinds = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
         return pa.table([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["_bucket", "_block", "low", "high", "wide", "counts"])
 
@@ -138,6 +140,7 @@ def totals(blocks: DataFrame, keys: Keys, buckets: int) -> DataFrame:
         total = np.bincount(which, np.concatenate(counts)).astype(np.int64)[which]
         ends = np.cumsum([len(x) for x in asked])
         parts = [_narrow(total[b - len(x) : b]) for b, x in zip(ends, asked, strict=True)]
+        release()
         return pa.table([table.column("_bucket"), table.column("_block"), pa.array(parts, pa.binary())], ["_bucket", "_block", "totals"])
 
     return blocks.groupBy("_block").applyInArrow(request, REQUEST_SCHEMA).groupBy("_bucket").applyInArrow(answer, ANSWER_SCHEMA)
@@ -152,4 +155,9 @@ def joined_totals(answers: pa.Table) -> np.ndarray:
 
 def with_totals(blocks: DataFrame, answers: DataFrame, use: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
     """Apply ``use`` to each block's documents and its answers."""
-    return blocks.groupBy("_block").cogroup(answers.groupBy("_block")).applyInArrow(use, schema)
+    def apply(docs: pa.Table, own: pa.Table) -> pa.Table:
+        out = use(docs, own)
+        release()
+        return out
+
+    return blocks.groupBy("_block").cogroup(answers.groupBy("_block")).applyInArrow(apply, schema)

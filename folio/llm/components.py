@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.shared import materialize
+from folio.llm.shared import in_few, materialize
 
 MAX_ROUNDS = 60
 
@@ -86,6 +86,7 @@ def components(links: DataFrame) -> DataFrame:
     """(node, component) for every node that has a link; component is its smallest node."""
     clean = links.select(F.greatest("src", "dst").cast("long").alias("src"), F.least("src", "dst").cast("long").alias("dst")).where("src <> dst")
     now = materialize(clean.mapInArrow(_thin, "src long, dst long"), "forest")
+    now = in_few(now, now.count())
     mark = None
     for _ in range(MAX_ROUNDS):
         now = materialize(_star(_star(now, True), False), "stars")
@@ -93,6 +94,7 @@ def components(links: DataFrame) -> DataFrame:
         if new == mark:
             break
         mark = new
+        now = in_few(now, new[0])
     else:
         raise RuntimeError("components did not settle")
     return now.select(F.col("src").alias("node"), F.col("dst").alias("component")).union(now.select(F.col("dst").alias("node"), F.col("dst").alias("component")).distinct())

@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 from folio.llm.blockcounts import U64, bucket_count, corpus_size, in_blocks, joined_totals, totals, with_totals
 from folio.llm.bytehash import Words, distinct_sets, mix
 from folio.llm.components import components, spanning
+from folio.llm.memory import release
 from folio.llm.shared import materialize
 
 SHINGLE_WORDS = 5
@@ -228,6 +229,7 @@ def _compare(table: pa.Table) -> pa.Table:
         if len(left) and len(right):
             new = spanning(_linked([sets[k] for k in left], [sets[k] for k in right]), ids[left], ids[right])
             a, b = np.concatenate([a, new[0]]), np.concatenate([b, new[1]])
+    release()
     return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["src", "dst"])
 
 

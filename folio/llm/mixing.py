@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.shared import materialize
+from folio.llm.shared import in_few, materialize
 
 #: The fit ends when no marginal is off by more than this share of all tokens.
 TOLERANCE = 1e-9
@@ -42,9 +42,9 @@ def topic(text: str = "text") -> Column:
     size = F.greatest(F.length(t), F.lit(1))
 
     def share(chars: str) -> Column:
-        return (F.length(t) - F.length(F.translate(t, chars, ""))) / size
+        return F.regexp_count(t, F.lit(chars)) / size
 
-    return F.when(share("|") > 0.05, "table").when(share("ABCDEFGHIJKLMNOPQRSTUVWXYZ") > 0.3, "shout").when(share("#*$%&<>") > 0.1, "symbol").otherwise("prose")
+    return F.when(share("[|]") > 0.05, "table").when(share("[A-Z]") > 0.3, "shout").when(share("[#*$%&<>]") > 0.1, "symbol").otherwise("prose")
 
 
 def uniform(*key: Column, seed: str = "mix") -> Column:
@@ -74,8 +74,9 @@ def fit(cells: DataFrame, targets: dict[str, DataFrame]) -> DataFrame:
     target of a value without tokens can't be met; the shares of the others hold
     relative to each other.
     """
-    total = F.lit(cells.agg(F.sum("tokens")).first()[0] or 0.0)
-    now = cells.where("tokens > 0").withColumn("weight", F.col("tokens"))
+    n, total = cells.agg(F.count(F.lit(1)), F.sum("tokens")).first()
+    total = F.lit(total or 0.0)
+    now = in_few(cells, n).where("tokens > 0").withColumn("weight", F.col("tokens"))
     for _ in range(MAX_SWEEPS):
         gap = F.lit(0.0)
         for d, target in targets.items():
@@ -85,7 +86,7 @@ def fit(cells: DataFrame, targets: dict[str, DataFrame]) -> DataFrame:
             gap = F.greatest(gap, F.col(f"_gap_{d}"))
         now = materialize(now.withColumn("_gap", gap).select(*DIMENSIONS, "tokens", "weight", "_gap"), "raked")
         worst = now.agg(F.max("_gap")).first()[0]
-        now = now.drop("_gap").where("weight > 0")
+        now = in_few(now, n).drop("_gap").where("weight > 0")
         if worst is None or worst <= TOLERANCE:
             break
     return now

@@ -43,3 +43,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 def spread_over(files: int, cores: int) -> int:
     """Tasks for reading so many files: one each, or up to 16 where there are many per core."""
     return max(1, min(files, max(4 * cores, files // 16)))
+
+
+def in_few(df: DataFrame, rows: int, most: int = 100_000) -> DataFrame:
+    """A written table in as many partitions as its rows need.
+
+    A small one is in one, where groups and joins need no shuffle; a large one is
+    dealt out as usual by what follows.
+    """
+    return df.coalesce(max(1, -(-rows // most)))

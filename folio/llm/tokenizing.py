@@ -18,10 +18,11 @@ import numpy as np
 import pyarrow as pa
 
 from folio.llm.bytehash import Words, mix
+from folio.llm.memory import release
 
 U64 = np.uint64
 #: Pieces a worker remembers; beyond that it forgets all (speed only, not results).
-REMEMBERED_PIECES = 2_000_000
+REMEMBERED_PIECES = 1_000_000
 
 #: No space but one in front, and no mark that could be a separator's.
 _PLAIN = re.compile(r" ?[^\s\x00-\x1f]+")
@@ -219,7 +220,7 @@ def encoder(path: str) -> PieceEncoder:
     return _encoders[path]
 
 
-def text_groups(batch, column: str, most: int = 4 << 20):
+def text_groups(batch, column: str, most: int = 2 << 20):
     """Slices of an Arrow batch of at most ``most`` bytes of text, or one row."""
     import pyarrow as pa
     import pyarrow.compute as pc
@@ -231,3 +232,4 @@ def text_groups(batch, column: str, most: int = 4 << 20):
         b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + most, "right")))
         yield batch.slice(a, b - a)
         a = b
+    release()
