@@ -1,6 +1,6 @@
 """Corpus-wide counts of hashed keys, joined back to the documents that hold them.
 
-Documents are dealt into blocks by a hash of their id, each of about ``BLOCK_BYTES``.
+Documents are dealt into blocks by a hash of id and text, each of about ``BLOCK_BYTES``.
 A block sends each distinct key once with its own count, sorted and cut into hash
 buckets, so a key that every document has costs one entry per block. A bucket adds
 up the counts of its keys over all blocks and answers each block in the order of
@@ -66,7 +66,10 @@ def corpus_size(docs: DataFrame) -> CorpusSize:
 
 
 def in_blocks(docs: DataFrame, key: Column, size: CorpusSize) -> DataFrame:
-    """Deal documents into blocks (``_block``): the one shuffle of the texts."""
+    """Deal documents into blocks (``_block``) by a hash of ``key``: the one shuffle of the texts.
+
+    With the text in the key, rows that share an id, or have none, spread over all blocks.
+    """
     blocks = max(LEAST_BLOCKS, math.ceil(size.bytes / BLOCK_BYTES))
     return docs.withColumn("_block", F.pmod(F.xxhash64(key), F.lit(blocks))).repartition(blocks, "_block")
 
@@ -155,6 +158,7 @@ def joined_totals(answers: pa.Table) -> np.ndarray:
 
 def with_totals(blocks: DataFrame, answers: DataFrame, use: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
     """Apply ``use`` to each block's documents and its answers."""
+
     def apply(docs: pa.Table, own: pa.Table) -> pa.Table:
         out = use(docs, own)
         release()

@@ -40,7 +40,7 @@ def _grams(table: pa.Table, order: int) -> tuple[np.ndarray, list[np.ndarray], n
 def score(docs: DataFrame, order: int = ORDER, leave_out: bool = True) -> DataFrame:
     """doc_id, n_tokens, n_backoff (words scored by less than the longest n-gram), log_score."""
     size = corpus_size(docs)
-    blocks = in_blocks(docs.select(F.col("doc_id").cast("long"), "text"), F.col("doc_id"), size)
+    blocks = in_blocks(docs.select(F.col("doc_id").cast("long"), "text"), F.struct("doc_id", "text"), size)
     n_all = size.words
 
     def keys(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
