@@ -68,7 +68,7 @@ def corpus_size(docs: DataFrame) -> CorpusSize:
 def in_blocks(docs: DataFrame, key: Column, size: CorpusSize) -> DataFrame:
     """Deal documents into blocks (``_block``) by a hash of ``key``: the one shuffle of the texts.
 
-    With the text in the key, rows that share an id, or have none, spread over all blocks.
+    With the text in the key, rows that share an id, or have none, spread by text; equal rows stay together.
     """
     blocks = max(LEAST_BLOCKS, math.ceil(size.bytes / BLOCK_BYTES))
     return docs.withColumn("_block", F.pmod(F.xxhash64(key), F.lit(blocks))).repartition(blocks, "_block")
