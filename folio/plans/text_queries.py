@@ -152,9 +152,13 @@ def keyword_fields(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def facet_label_model(spark: SparkSession, sf: str) -> DataFrame:
-    """Three regions of each document vote on a facet; the model weighs them."""
+    """Three regions of each document vote on a facet; the model weighs them.
+
+    The regions are thirds of all words, of 60 words at least: each word is in one.
+    """
     d = docs_of(spark, sf).select("doc_id", T.words(F.col("text")).alias("w"))
-    regions = [F.array_join(F.slice("w", k * 60 + 1, 60), " ") for k in range(3)]
+    size = F.greatest(F.lit(60), F.ceil(F.size("w") / 3).cast("int"))
+    regions = [F.array_join(F.slice("w", size * k + 1, size), " ") for k in range(3)]
     votes = d.select("doc_id", *(labelling.facet_vote(r, T.word_count(r), ["tion"], ["queau"]).cast("int").alias(f"v{k}") for k, r in enumerate(regions)))
     return labelling.label_model(votes, ["v0", "v1", "v2"])[0].select("doc_id", F.round("posterior", 6).alias("posterior"))
 
