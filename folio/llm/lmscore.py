@@ -26,7 +26,7 @@ from folio.llm.blockcounts import U64, bucket_count, corpus_size, in_blocks, joi
 from folio.llm.bytehash import Words
 
 #: Longest n-gram.
-ORDER = 2
+ORDER = 3
 BACKOFF = 0.4
 SCORE_SCHEMA = "doc_id long, n_tokens long, n_backoff long, log_score double"
 

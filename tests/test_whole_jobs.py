@@ -1,7 +1,9 @@
 """Queries do the whole job: no row, word or neighbour is left out."""
 
+from folio.llm.queries import QUERIES as LLM
 from folio.operators import labelling
 from folio.plans import text_queries
+from tests.llm.test_scale_operators import brute_scores
 
 
 def test_facet_regions_cover_the_text(spark, tmp_path):
@@ -21,3 +23,11 @@ def test_facet_regions_cover_the_text(spark, tmp_path):
     expected = {r.doc_id: round(r.posterior, 6) for r in labelling.label_model(table, ["v0", "v1", "v2"])[0].collect()}
     assert {r.doc_id: r.posterior for r in text_queries.facet_label_model(spark, str(tmp_path)).collect()} == expected
     assert expected[8] > expected[6] and len(expected) == len(rows)
+
+
+def test_lm_scoring_counts_contexts_of_two_words(spark, tmp_path):
+    texts = ["a b c d", "x b c d", "a b e", "b c d a b c", "a", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(((r.doc_id, r.n_tokens, r.n_backoff, r.log_score) for r in LLM["op9_lm_scoring"](spark, str(tmp_path)).collect()), key=str)
+    for a, b in zip(got, brute_scores(list(enumerate(texts)), 3), strict=True):
+        assert a[:3] == b[:3] and abs(a[3] - b[3]) < 1e-3
