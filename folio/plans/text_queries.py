@@ -145,7 +145,7 @@ v AS (SELECT *, s >= 2 AND (cat OR hits >= 2) AND margin >= 0.2 AS ok FROM g)
 SELECT doc_id, CASE WHEN ok THEN field END AS field, CAST(s AS DOUBLE) AS score, round(CAST(margin AS DOUBLE), 6) AS margin, CASE WHEN NOT ok THEN 'none' WHEN cat AND hits > 0 THEN 'both' WHEN cat THEN 'category' ELSE 'keyword' END AS evidence, runner_up FROM v""")
 def keyword_fields(spark: SparkSession, sf: str) -> DataFrame:
     fields = spark.createDataFrame(_FIELDS, "field string, field_index int, pattern string, categories array<string>")
-    items = docs_of(spark, sf).where("lang = 'en'").withColumn("title", F.substring("text", 1, 80))
+    items = docs_of(spark, sf).withColumn("title", F.substring("text", 1, 80))
     out = labelling.keyword_labels(items, "doc_id", "title", "text", "source", fields)
     return out.withColumn("margin", F.round("margin", 6))
 

@@ -4,6 +4,22 @@ from folio.llm.queries import QUERIES as LLM
 from folio.operators import labelling
 from folio.plans import text_queries
 from tests.llm.test_scale_operators import brute_scores
+from tests.test_queries import SQL, duck, plain  # noqa: F401
+
+
+def uncut(name, *cuts):
+    """The SQL of a query, each (cut, instead) in it replaced."""
+    sql = SQL[name]
+    for cut, instead in cuts:
+        assert cut in sql
+        sql = sql.replace(cut, instead)
+    return sql
+
+
+def same_rows(df, found):
+    names = [d[0] for d in found.description]
+    expected = sorted((tuple(map(plain, r)) for r in found.fetchall()), key=repr)
+    assert sorted((tuple(plain(r[n]) for n in names) for r in df.collect()), key=repr) == expected and expected
 
 
 def test_facet_regions_cover_the_text(spark, tmp_path):
@@ -31,3 +47,9 @@ def test_lm_scoring_counts_contexts_of_two_words(spark, tmp_path):
     got = sorted(((r.doc_id, r.n_tokens, r.n_backoff, r.log_score) for r in LLM["op9_lm_scoring"](spark, str(tmp_path)).collect()), key=str)
     for a, b in zip(got, brute_scores(list(enumerate(texts)), 3), strict=True):
         assert a[:3] == b[:3] and abs(a[3] - b[3]) < 1e-3
+
+
+def test_keyword_fields_label_every_language(spark, sf, duck):  # noqa: F811
+    df = text_queries.keyword_fields(spark, sf)
+    same_rows(df, duck.execute(uncut("keyword_fields", (" WHERE lang = 'en'", ""))))
+    assert df.count() == spark.read.parquet(f"{sf}/documents.parquet").count()
