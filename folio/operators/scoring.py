@@ -85,9 +85,11 @@ def fitted_temperature(curve: DataFrame) -> float:
     return curve.agg(F.min_by("temperature", F.struct("nll", "temperature"))).first()[0]
 
 
-def nearest(queries: DataFrame, store: DataFrame, k: int, query_key: str = "query_id", key: str = "vec_id", vector: str = "embedding", block_rows: int = 2048) -> DataFrame:
+def nearest(queries: DataFrame, store: DataFrame, k: int, query_key: str = "query_id", key: str = "vec_id", vector: str = "embedding", block_rows: int = 2048, skip_own: bool = False) -> DataFrame:
     """(query, key, similarity, rank) of the k most similar stored vectors, by cosine.
 
+    With ``skip_own``, a stored row with the query's own id is not an answer.
+
     Both sides are cut into blocks by hash; a pair of blocks is one group whose
     products are a matrix product, and only its k best per query leave it.
     """
@@ -107,9 +109,13 @@ def nearest(queries: DataFrame, store: DataFrame, k: int, query_key: str = "quer
         left, right = np.flatnonzero(asks), np.flatnonzero(~asks)
         right = right[np.argsort(ids[right], kind="stable")]
         similarity = x[left] @ x[right].T
+        if skip_own:
+            similarity[ids[left][:, None] == ids[right]] = -np.inf
         kept = min(k, len(right))
         order = np.argsort(-similarity, axis=1, kind="stable")[:, :kept]
-        return pa.table([np.repeat(ids[left], kept), ids[right][order].ravel(), np.take_along_axis(similarity, order, 1).ravel()], [query_key, key, "similarity"])
+        value = np.take_along_axis(similarity, order, 1).ravel()
+        there = value != -np.inf
+        return pa.table([np.repeat(ids[left], kept)[there], ids[right][order].ravel()[there], value[there]], [query_key, key, "similarity"])
 
     found = q.unionByName(s).groupBy("a", "b").applyInArrow(best, f"{query_key} long, {key} long, similarity double")
     w = Window.partitionBy(query_key).orderBy(F.desc("similarity"), key)

@@ -154,10 +154,9 @@ def nearest_vectors(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _nearest(spark: SparkSession, sf: str) -> DataFrame:
-    """The queries are the vectors whose id is divisible by 20, held against all others."""
+    """The queries are the vectors whose id is divisible by 20, held against all but themselves."""
     v = vectors_of(spark, sf)
-    asks = F.col("vec_id") % 20 == 0
-    return scoring.nearest(v.where(asks).withColumnRenamed("vec_id", "query_id"), v.where(~asks), 10)
+    return scoring.nearest(v.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id"), v, 10, skip_own=True)
 
 
 @query(_KNN + ", w AS (SELECT query_id, label, exp((sim - max(sim) OVER (PARTITION BY query_id)) / 0.05) AS w FROM k WHERE rank <= 10), g AS (SELECT query_id, label, sum(w) AS w FROM w GROUP BY query_id, label) SELECT query_id, label, round(w / sum(w) OVER (PARTITION BY query_id), 6) AS p FROM g")
@@ -167,9 +166,9 @@ def neighbour_votes(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def subspace_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """A label for every vector; the axes are fitted without those whose id is divisible by 20."""
     v = vectors_of(spark, sf)
-    fit, test = v.where("vec_id % 20 <> 0"), v.where("vec_id % 20 = 0")
-    s = scoring.subspace_scores(test, scoring.subspaces(fit, "label", 3), "vec_id")
+    s = scoring.subspace_scores(v, scoring.subspaces(v.where("vec_id % 20 <> 0"), "label", 3), "vec_id")
     return s.groupBy("vec_id").agg(F.max_by("label", F.struct("score", -F.col("label"))).alias("label"))
 
 

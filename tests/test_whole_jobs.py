@@ -1,8 +1,11 @@
 """Queries do the whole job: no row, word or neighbour is left out."""
 
+import numpy as np
+import pytest
+
 from folio.llm.queries import QUERIES as LLM
 from folio.operators import labelling
-from folio.plans import text_queries
+from folio.plans import model_queries, text_queries
 from tests.llm.test_scale_operators import brute_scores
 from tests.test_queries import SQL, duck, plain  # noqa: F401
 
@@ -53,3 +56,27 @@ def test_keyword_fields_label_every_language(spark, sf, duck):  # noqa: F811
     df = text_queries.keyword_fields(spark, sf)
     same_rows(df, duck.execute(uncut("keyword_fields", (" WHERE lang = 'en'", ""))))
     assert df.count() == spark.read.parquet(f"{sf}/documents.parquet").count()
+
+
+@pytest.mark.parametrize("name", ["nearest_vectors", "neighbour_votes"])
+def test_neighbours_come_from_all_vectors(spark, sf, duck, name):  # noqa: F811
+    whole = uncut(name, ("s.vec_id % 20 <> 0", "s.vec_id <> q.vec_id"))
+    same_rows(model_queries.QUERIES[name](spark, sf), duck.execute(whole))
+
+
+def test_queries_find_each_other_not_themselves(spark, tmp_path):
+    rows = [(0, [1.0, 0.0], 0), (20, [1.0, 0.001], 0), (7, [0.0, 1.0], 1)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    found = model_queries.nearest_vectors(spark, str(tmp_path)).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id) for r in found) == [(0, 1, 20), (0, 2, 7), (20, 1, 0), (20, 2, 7)]
+
+
+def test_subspaces_label_every_vector(spark, sf):
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").collect()
+    x = {r.vec_id: np.array(r.embedding, np.float64) for r in rows}
+    axes = {}
+    for label in {r.label for r in rows if r.vec_id % 20}:
+        m = np.array([x[r.vec_id] for r in rows if r.label == label and r.vec_id % 20])
+        axes[label] = np.linalg.svd(m, full_matrices=False)[2][:3]
+    expected = {k: max(sorted(axes), key=lambda a: ((axes[a] @ v) ** 2).sum()) for k, v in x.items()}
+    assert {r.vec_id: r.label for r in model_queries.subspace_labels(spark, sf).collect()} == expected
