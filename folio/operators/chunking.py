@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from folio.functions import text as T
 
-TARGET, OVERLAP, LEAST, SECTION_MOST, CHUNKS_MOST = 200, 40, 25, 260, 64
+TARGET, OVERLAP, LEAST, SECTION_MOST = 200, 40, 25, 260
 
 
 def windows(n: Column, target: int = TARGET, overlap: int = OVERLAP) -> Column:
@@ -25,10 +25,11 @@ def windows(n: Column, target: int = TARGET, overlap: int = OVERLAP) -> Column:
     return F.when(n > 0, spans).otherwise(F.array().cast("array<struct<start:int,stop:int>>"))
 
 
-def window_chunks(docs: DataFrame, key: str, text: str = "text", target: int = TARGET, overlap: int = OVERLAP, most: int = CHUNKS_MOST) -> DataFrame:
-    """(key, chunk_index, n_words, text) of word windows, up to ``most`` per document."""
+def window_chunks(docs: DataFrame, key: str, text: str = "text", target: int = TARGET, overlap: int = OVERLAP, most: int | None = None) -> DataFrame:
+    """(key, chunk_index, n_words, text) of word windows, all or the first ``most`` of a document."""
     w = docs.select(key, T.words(F.col(text)).alias("_w"))
-    spans = w.select(key, "_w", F.posexplode(F.slice(windows(F.size("_w"), target, overlap), 1, most)).alias("chunk_index", "_s"))
+    every = windows(F.size("_w"), target, overlap)
+    spans = w.select(key, "_w", F.posexplode(every if most is None else F.slice(every, 1, most)).alias("chunk_index", "_s"))
     size = F.col("_s.stop") - F.col("_s.start")
     return spans.select(key, "chunk_index", size.alias("n_words"), F.array_join(F.slice("_w", F.col("_s.start") + 1, size), " ").alias("text"))
 
@@ -50,8 +51,8 @@ def markdown_sections(docs: DataFrame, key: str, text: str = "text") -> DataFram
     return out.withColumn("section", F.when(F.col("section_index") == 0, "abstract").otherwise(T.normalise_heading(F.col("heading"))))
 
 
-def section_chunks(sections: DataFrame, key: str) -> DataFrame:
-    """Sections of up to SECTION_MOST words whole, longer ones in windows."""
+def section_chunks(sections: DataFrame, key: str, most: int | None = None) -> DataFrame:
+    """Sections of up to SECTION_MOST words whole, longer ones in windows; all or the first ``most`` of a document."""
     w = sections.select(key, "section_index", "section", T.words(F.col("body")).alias("_w")).where(F.size("_w") > 0)
     whole = F.array(F.struct(F.lit(0).alias("start"), F.size("_w").alias("stop")))
     spans = F.when(F.size("_w") <= SECTION_MOST, whole).otherwise(windows(F.size("_w")))
@@ -59,7 +60,7 @@ def section_chunks(sections: DataFrame, key: str) -> DataFrame:
     order = Window.partitionBy(key).orderBy("section_index", "_k")
     size = F.col("_s.stop") - F.col("_s.start")
     out = cut.select(key, "section", (F.row_number().over(order) - 1).alias("chunk_index"), size.alias("n_words"), F.array_join(F.slice("_w", F.col("_s.start") + 1, size), " ").alias("text"))
-    return out.where(F.col("chunk_index") < CHUNKS_MOST)
+    return out if most is None else out.where(F.col("chunk_index") < most)
 
 
 def classifiable(chunks: DataFrame, key: str) -> DataFrame:
@@ -95,12 +96,12 @@ def _pack(paragraphs: list[list[str]]) -> list[list[str]]:
             out[-1] = out[-1] + held
         else:
             out.append(held)
-    return out[:CHUNKS_MOST]
+    return out
 
 
-def article_chunks(docs: DataFrame, key: str, text: str = "text", paragraph: str = "\n") -> DataFrame:
+def article_chunks(docs: DataFrame, key: str, text: str = "text", paragraph: str = "\n", most: int | None = None) -> DataFrame:
     """Greedy paragraph packing. What a chunk holds depends on all before it, so each
-    document is folded in Python, in Arrow batches."""
+    document is folded in Python, in Arrow batches; all or the first ``most`` chunks."""
     kind = docs.schema[key].dataType.simpleString()
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -108,7 +109,7 @@ def article_chunks(docs: DataFrame, key: str, text: str = "text", paragraph: str
             rows = []
             for k, t in zip(pdf[key], pdf[text], strict=True):
                 parts = [w for w in (p.split() for p in (t or "").split(paragraph)) if w]
-                rows += [(k, n, len(c), " ".join(c)) for n, c in enumerate(_pack(parts))]
+                rows += [(k, n, len(c), " ".join(c)) for n, c in enumerate(_pack(parts)[:most])]
             yield pd.DataFrame(rows, columns=[key, "chunk_index", "n_words", "text"])
 
     return docs.select(key, text).mapInPandas(fold, f"{key} {kind}, chunk_index int, n_words int, text string")

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from folio.llm.queries import QUERIES as LLM
-from folio.operators import labelling
+from folio.operators import chunking, labelling
 from folio.plans import model_queries, text_queries
 from tests.llm.test_scale_operators import brute_scores
 from tests.test_queries import SQL, duck, plain  # noqa: F401
@@ -80,3 +80,26 @@ def test_subspaces_label_every_vector(spark, sf):
         axes[label] = np.linalg.svd(m, full_matrices=False)[2][:3]
     expected = {k: max(sorted(axes), key=lambda a: ((axes[a] @ v) ** 2).sum()) for k, v in x.items()}
     assert {r.vec_id: r.label for r in model_queries.subspace_labels(spark, sf).collect()} == expected
+
+
+LONG = [f"w{k}" for k in range(20_000)]
+
+
+@pytest.mark.parametrize("chunks", [chunking.window_chunks, chunking.article_chunks])
+@pytest.mark.parametrize("most", [None, 7])
+def test_chunks_keep_every_word_of_long_texts(spark, chunks, most):
+    lines = "\n".join(" ".join(LONG[k : k + 90]) for k in range(0, len(LONG), 90))
+    rows = chunks(spark.createDataFrame([(1, lines)], "doc_id long, text string"), "doc_id", most=most).orderBy("chunk_index").collect()
+    assert [r.chunk_index for r in rows] == list(range(most or len(rows)))
+    assert most or {w for r in rows for w in r.text.split()} == set(LONG)
+
+
+def test_queries_chunk_whole_texts_and_pages(spark, tmp_path):
+    text = " ".join(LONG)
+    spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "u", f"<html><body><h1>Methods</h1><p>{text}</p></body></html>")], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    n = 1 + -(-(len(LONG) - 200) // 160)
+    for query in (text_queries.window_chunks, text_queries.article_chunks, text_queries.section_chunks):
+        rows = query(spark, str(tmp_path)).orderBy("chunk_index").collect()
+        assert [r.chunk_index for r in rows] == list(range(n))
+        assert sum(r.n_words for r in rows) == len(LONG) + 40 * (n - 1)
