@@ -262,5 +262,5 @@ def quality_baseline(spark: SparkSession, sf: str) -> DataFrame:
 
     labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", F.col("quality").cast("double").alias("label"))
     rows = R.add_splits(docs_of(spark, sf).join(labels, "doc_id"), ["label"], "doc_id", 0.8, 0.0)
-    model = fit_baseline(rows.where("split = 'train'"), "nb", 5000)
+    model = fit_baseline(rows.where("split = 'train'"), "nb")
     return model.transform(rows.where("split = 'test'")).select("doc_id", "label", "prediction")

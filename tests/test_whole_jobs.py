@@ -4,8 +4,8 @@ import numpy as np
 import pytest
 
 from folio.llm.queries import QUERIES as LLM
-from folio.operators import chunking, labelling
-from folio.plans import model_queries, text_queries
+from folio.operators import chunking, labelling, metrics
+from folio.plans import baselines, model_queries, text_queries
 from tests.llm.test_scale_operators import brute_scores
 from tests.test_queries import SQL, duck, plain  # noqa: F401
 
@@ -103,3 +103,19 @@ def test_queries_chunk_whole_texts_and_pages(spark, tmp_path):
         rows = query(spark, str(tmp_path)).orderBy("chunk_index").collect()
         assert [r.chunk_index for r in rows] == list(range(n))
         assert sum(r.n_words for r in rows) == len(LONG) + 40 * (n - 1)
+
+
+def test_paired_bootstrap_draws_2000_resamples(spark, sf):
+    rows = model_queries.scored(spark, sf).selectExpr("vec_id", "correct AS a", "truth = 0 AS b")
+    got, expected, fewer = model_queries.paired_bootstrap(spark, sf).first(), *(metrics.bootstrap_difference(rows, "vec_id", "a", "b", n).first() for n in (2000, 200))
+    near = lambda r: pytest.approx(tuple(r), abs=1e-9)
+    assert tuple(got) == near(expected) and tuple(got) != near(fewer)
+
+
+def test_quality_baseline_keeps_50_000_terms(spark, sf, monkeypatch):
+    fitted = []
+    fit = baselines.fit_baseline
+    monkeypatch.setattr(baselines, "fit_baseline", lambda *a, **b: fitted.append(fit(*a, **b)) or fitted[-1])
+    assert text_queries.quality_baseline(spark, sf).count()
+    counts = next(s for s in fitted[0].stages if hasattr(s, "vocabulary"))
+    assert counts.getVocabSize() == 50_000 and len(counts.vocabulary) > 5000
