@@ -1,6 +1,6 @@
 """Corpus-wide counts of hashed keys, joined back to the documents that hold them.
 
-Documents are dealt into blocks by a hash of id and text, each of about ``BLOCK_BYTES``.
+Documents are dealt into blocks by their place in the input, each of about ``BLOCK_BYTES``.
 A block sends each distinct key once with its own count, sorted and cut into hash
 buckets, so a key that every document has costs one entry per block. A bucket adds
 up the counts of its keys over all blocks and answers each block in the order of
@@ -9,7 +9,9 @@ its request; the block makes its keys again from its documents and lines them up
 Keys travel as differences of sorted values in 48 bits, answers without keys, so
 a shuffle carries about seven bytes per distinct key of a block. A block has bounded
 size, a bucket holds a hash share of the keys and their number grows with the input:
-no group grows with the data, and no key is hot after the first step.
+no group grows with the data, and no key is hot after the first step. A block sends a
+row per bucket that it has keys in, so there are never more rows than keys, however
+many blocks and buckets there are.
 """
 
 from __future__ import annotations
@@ -20,11 +22,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folio.llm.bytehash import IS_SPACE, text_bytes
 from folio.llm.memory import release
+from folio.llm.shared import dealt
 from folio.llm.tokenizing import text_groups
 
 U64 = np.uint64
@@ -65,23 +68,19 @@ def corpus_size(docs: DataFrame) -> CorpusSize:
     return CorpusSize(row[0] or 0, row[1] or 0)
 
 
-def in_blocks(docs: DataFrame, key: Column, size: CorpusSize) -> DataFrame:
-    """Deal documents into blocks (``_block``) by a hash of ``key``: the one shuffle of the texts.
-
-    With the text in the key, rows that share an id, or have none, spread by text; equal rows stay together.
-    """
+def in_blocks(docs: DataFrame, size: CorpusSize) -> DataFrame:
+    """Deal the documents of a written table into blocks (``_block``): the one shuffle of the texts."""
     blocks = max(LEAST_BLOCKS, math.ceil(size.bytes / BLOCK_BYTES))
-    return docs.withColumn("_block", F.pmod(F.xxhash64(key), F.lit(blocks))).repartition(blocks, "_block")
+    return docs.withColumn("_block", F.pmod(dealt(), F.lit(blocks))).repartition(blocks, "_block")
 
 
 def bucket_count(size: CorpusSize) -> int:
     return max(LEAST_BUCKETS, math.ceil(size.bytes / BUCKET_BYTES))
 
 
-def _edges(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """Where each bucket's keys begin among sorted keys; a bucket is a range of values."""
-    step = (1 << 64) // buckets + 1
-    return np.searchsorted(keys, np.array([b * step for b in range(buckets)], U64))
+def _present(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets that sorted keys fall in, and where each one's keys begin; a bucket is a range of values."""
+    return np.unique(keys // U64((1 << 64) // buckets + 1), return_index=True)
 
 
 def _pack(keys: np.ndarray) -> tuple[bytes | None, bytes | None, bytes | None]:
@@ -112,25 +111,24 @@ def _widen(data: bytes) -> np.ndarray:
     return np.frombuffer(data, f"u{data[0]}", offset=1).astype(np.int64)
 
 
-Keys = Callable[[pa.Table], tuple[np.ndarray, np.ndarray]]
+Keys = Callable[..., tuple[np.ndarray, np.ndarray]]
 
 
-def totals(blocks: DataFrame, keys: Keys, buckets: int) -> DataFrame:
+def totals(blocks: DataFrame, keys: Keys, buckets: int, known: DataFrame | None = None) -> DataFrame:
     """Per block and bucket, the corpus-wide totals of the block's distinct keys.
 
     ``keys`` gives the sorted distinct keys (unsigned 64-bit) of a block's documents
-    and their counts in it.
+    and their counts in it; with ``known``, answers of an earlier round, it is given
+    the block's rows of those too.
     """
 
-    def request(table: pa.Table) -> pa.Table:
-        own, counts = keys(table)
+    def request(table: pa.Table, *answers: pa.Table) -> pa.Table:
+        own, counts = keys(table, *answers)
         block = table.column("_block")[0].as_py()
-        edges = [*_edges(own, buckets).tolist(), len(own)]
+        there, first = _present(own, buckets)
         rows = []
-        for b, (x, y) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
-            if y > x:
-                low, high, wide = _pack(own[x:y])
-                rows.append((b, block, low, high, wide, _narrow(counts[x:y])))
+        for b, x, y in zip(there.tolist(), first.tolist(), [*first[1:].tolist(), len(own)], strict=True):
+            rows.append((b, block, *_pack(own[x:y]), _narrow(counts[x:y])))
         cols = list(zip(*rows, strict=True)) if rows else [()] * 6
         release()
         kinds = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
@@ -146,7 +144,14 @@ def totals(blocks: DataFrame, keys: Keys, buckets: int) -> DataFrame:
         release()
         return pa.table([table.column("_bucket"), table.column("_block"), pa.array(parts, pa.binary())], ["_bucket", "_block", "totals"])
 
-    return blocks.groupBy("_block").applyInArrow(request, REQUEST_SCHEMA).groupBy("_bucket").applyInArrow(answer, ANSWER_SCHEMA)
+    def request_after(table: pa.Table, answers: pa.Table) -> pa.Table:
+        return request(table, answers)
+
+    if known is None:
+        asked = blocks.groupBy("_block").applyInArrow(request, REQUEST_SCHEMA)
+    else:
+        asked = blocks.groupBy("_block").cogroup(known.groupBy("_block")).applyInArrow(request_after, REQUEST_SCHEMA)
+    return asked.groupBy("_bucket").applyInArrow(answer, ANSWER_SCHEMA)
 
 
 def joined_totals(answers: pa.Table) -> np.ndarray:

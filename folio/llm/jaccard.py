@@ -266,7 +266,7 @@ def _placed(sigs: DataFrame, found: DataFrame) -> DataFrame:
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included)."""
     size = corpus_size(docs)
-    blocks = in_blocks(docs.select(F.col("doc_id").cast("long"), "text"), F.struct("doc_id", "text"), size)
+    blocks = in_blocks(docs.select(F.col("doc_id").cast("long"), "text"), size)
     answers = totals(blocks, _block_keys, bucket_count(size))
     table = materialize(with_totals(blocks, answers, _index, TABLE_SCHEMA), "shingle-index")
     rows = table.where("kind = 0").select("doc_id", "set_id", "n_shingles")

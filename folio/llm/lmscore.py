@@ -9,10 +9,18 @@ blocks' exploded n-grams, and each document's log scores are summed.
 With ``leave_out`` (the default) a document's own n-grams are taken from the counts
 first, so it is scored by the rest of the corpus, and backing off is real.
 
+An n-gram of three words or more can only be counted elsewhere if both of the
+(n - 1)-grams in it are. So counting goes by length: words and pairs first, then, length
+by length, those n-grams whose parts have passed. This leaves out no n-gram that any
+score needs, and it is what keeps the tables small, as most long n-grams are unique.
+
 Words are lower-cased (A-Z) runs of non-spaces. A word that the rest of the corpus
 lacks counts as seen once. A document without words, null text included, has score 0
 and no mean. Rows are kept one for one and equal ids are separate documents; copies
 of a text support each other. Extra columns are ignored, an empty table gives none.
+``docs`` must be a written table, as its rows are dealt by place. N-grams are known
+by 64-bit hashes: two of a corpus of 10**9 share one with a chance of 3 in 100, which
+changes the counts of those two.
 """
 
 from __future__ import annotations
@@ -31,57 +39,99 @@ BACKOFF = 0.4
 SCORE_SCHEMA = "doc_id long, n_tokens long, n_backoff long, log_score double"
 
 
-def _grams(table: pa.Table, order: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
-    """Words per text; hashes of all n-grams for n = 1..order; all words' texts."""
-    words = Words(table.column("text"), lower=True)
-    return words.of, [words.windows(n) for n in range(1, order + 1)], words.hashes
+class Grams:
+    """The n-grams of a block's documents, counted length by length."""
+
+    def __init__(self, table: pa.Table, leave_out: bool):
+        self.words, self.leave_out = Words(table.column("text"), lower=True), leave_out
+        self.counts: list[np.ndarray] = []
+        self.starts: list[np.ndarray] = []
+
+    def candidates(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes of all n-grams, where each text's begin, and which may be counted elsewhere."""
+        hashes, of = self.words.windows(n)
+        if n <= 2:
+            return hashes, of, np.ones(len(hashes), bool)
+        shorter, start = self.counts[n - 2], self.starts[n - 2]
+        first = np.repeat(start[:-1] - of[:-1], np.diff(of)) + np.arange(of[-1])
+        return hashes, of, (shorter[first] > 0) & (shorter[first + 1] > 0)
+
+    def take(self, n: int, distinct: np.ndarray, total: np.ndarray, found: tuple | None = None) -> None:
+        """Counts of all n-grams from the totals of the distinct candidates (sorted)."""
+        hashes, of, may = found or self.candidates(n)
+        count = np.zeros(len(hashes), np.int64)
+        at = np.flatnonzero(may)
+        place = np.searchsorted(distinct, hashes[at])
+        count[at] = total[place]
+        if self.leave_out:
+            doc = np.repeat(np.arange(len(of) - 1), np.diff(of))[at]
+            # the same n-gram in the same document
+            _, which, times = np.unique(doc.astype(U64) << U64(40) | place.astype(U64), return_inverse=True, return_counts=True)
+            count[at] -= times[which]
+        self.counts.append(count)
+        self.starts.append(of)
+
+
+def _level(answers: pa.Table, level: int) -> pa.Table:
+    return answers.filter(pa.array(answers.column("level").to_numpy() == level))
+
+
+def _known(table: pa.Table, answers: pa.Table, upto: int, leave_out: bool) -> Grams:
+    """The block's n-grams with counts for n = 1..upto."""
+    grams = Grams(table, leave_out)
+    both = [grams.candidates(n) for n in range(1, min(upto, 2) + 1)]
+    distinct = np.unique(np.concatenate([h for h, _, _ in both]))
+    total = joined_totals(_level(answers, 2))
+    for n, found in enumerate(both, 1):
+        grams.take(n, distinct, total, found)
+    for n in range(3, upto + 1):
+        hashes, of, may = grams.candidates(n)
+        grams.take(n, np.unique(hashes[may]), joined_totals(_level(answers, n)), (hashes, of, may))
+    return grams
 
 
 def score(docs: DataFrame, order: int = ORDER, leave_out: bool = True) -> DataFrame:
     """doc_id, n_tokens, n_backoff (words scored by less than the longest n-gram), log_score."""
     size = corpus_size(docs)
-    blocks = in_blocks(docs.select(F.col("doc_id").cast("long"), "text"), F.struct("doc_id", "text"), size)
-    n_all = size.words
+    blocks = in_blocks(docs.select(F.col("doc_id").cast("long"), "text"), size)
+    n_all, buckets = size.words, bucket_count(size)
+
+    def short_keys(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        words = Words(table.column("text"), lower=True)
+        return np.unique(np.concatenate([words.windows(n)[0] for n in range(1, min(order, 2) + 1)]), return_counts=True)
+
+    def longer_keys(n: int):
+        def keys(table: pa.Table, answers: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+            hashes, _, may = _known(table, answers, n - 1, leave_out).candidates(n)
+            return np.unique(hashes[may], return_counts=True)
+
+        return keys
 
-    def keys(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        _, grams, _ = _grams(table, order)
-        return np.unique(np.concatenate([h for h, _ in grams]), return_counts=True)
+    known = totals(blocks, short_keys, buckets).withColumn("level", F.lit(2))
+    for n in range(3, order + 1):
+        known = known.union(totals(blocks, longer_keys(n), buckets, known).withColumn("level", F.lit(n)))
 
     def use(table: pa.Table, answers: pa.Table) -> pa.Table:
-        of, grams, _ = _grams(table, order)
-        distinct = np.unique(np.concatenate([h for h, _ in grams]))
-        total = joined_totals(answers)
+        grams = _known(table, answers, order, leave_out)
+        of, counts, starts = grams.words.of, grams.counts, grams.starts
         n_words = np.diff(of)
         doc = np.repeat(np.arange(len(n_words)), n_words)
-        counts = []
-        for hashes, start in grams:
-            place = np.searchsorted(distinct, hashes)
-            count = total[place]
-            if leave_out:
-                own = np.repeat(np.arange(len(start) - 1), np.diff(start))
-                # the same n-gram in the same document
-                _, which, times = np.unique(own.astype(U64) << U64(40) | place.astype(U64), return_inverse=True, return_counts=True)
-                count = count - times[which]
-            counts.append((count, start))
         others = (n_all - n_words if leave_out else np.full(len(n_words), n_all)).clip(1)
         place_in = np.arange(len(doc)) - of[:-1][doc]
-        value = np.maximum(counts[0][0], 1) / others[doc]
+        value = np.maximum(counts[0], 1) / others[doc]
         used = np.zeros(len(doc), np.int64)
         possible = np.minimum(place_in, order - 1)  # words before that an n-gram can hold
         for n in range(2, order + 1):
-            high, start = counts[n - 1]
-            low, low_start = counts[n - 2]
             ends = np.flatnonzero(place_in >= n - 1)
             d, k = doc[ends], place_in[ends] - (n - 1)
-            seen = high[start[:-1][d] + k]
-            before = low[low_start[:-1][d] + k]
+            seen = counts[n - 1][starts[n - 1][:-1][d] + k]
+            before = counts[n - 2][starts[n - 2][:-1][d] + k]
             hit = seen > 0
             value[ends[hit]] = seen[hit] / before[hit]
             used[ends[hit]] = n - 1
         missing = possible - used
-        logs = np.log(value) + missing * np.log(BACKOFF)
-        sums = np.bincount(doc, logs, len(n_words))
+        sums = np.bincount(doc, np.log(value) + missing * np.log(BACKOFF), len(n_words))
         late = np.bincount(doc, missing > 0, len(n_words)).astype(np.int64)
         return pa.table([table.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(late), pa.array(sums, pa.float64())], ["doc_id", "n_tokens", "n_backoff", "log_score"])
 
-    return with_totals(blocks, totals(blocks, keys, bucket_count(size)), use, SCORE_SCHEMA)
+    return with_totals(blocks, known, use, SCORE_SCHEMA)

@@ -86,13 +86,17 @@ r(node, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT l.y, r.root
 c AS (SELECT node, min(root) AS root FROM r GROUP BY node)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.root AS component_id FROM documents d LEFT JOIN n USING (doc_id) JOIN c ON c.node = d.doc_id"""
 
+#: An n-gram is counted in the corpus and in each document; what others have is the difference.
 ORACLES["op9_lm_scoring"] = f"""
 WITH w AS MATERIALIZED (SELECT doc_id, {_WORDS.format(_LOWER)} AS w FROM documents),
-t AS MATERIALIZED (SELECT doc_id, unnest(w) AS b, unnest(range(len(w))) AS i FROM w),
-p AS MATERIALIZED (SELECT x.doc_id, x.i, y.b AS a, x.b FROM t x LEFT JOIN t y ON y.doc_id = x.doc_id AND y.i = x.i - 1),
-n1 AS MATERIALIZED (SELECT b, count(*) AS c FROM t GROUP BY b), o1 AS MATERIALIZED (SELECT doc_id, b, count(*) AS c FROM t GROUP BY doc_id, b),
-n2 AS MATERIALIZED (SELECT a, b, count(*) AS c FROM p WHERE i > 0 GROUP BY a, b), o2 AS MATERIALIZED (SELECT doc_id, a, b, count(*) AS c FROM p WHERE i > 0 GROUP BY doc_id, a, b),
-k AS (SELECT p.doc_id, p.i, n1.c - o1.c AS c1, n2.c - o2.c AS c2, m1.c - q1.c AS ca, (SELECT count(*) FROM t) - len(w.w) AS others FROM p JOIN w USING (doc_id) JOIN n1 ON n1.b = p.b JOIN o1 ON o1.doc_id = p.doc_id AND o1.b = p.b
-  LEFT JOIN n2 ON n2.a = p.a AND n2.b = p.b AND p.i > 0 LEFT JOIN o2 ON o2.doc_id = p.doc_id AND o2.a = p.a AND o2.b = p.b AND p.i > 0 LEFT JOIN n1 m1 ON m1.b = p.a LEFT JOIN o1 q1 ON q1.doc_id = p.doc_id AND q1.b = p.a),
-s AS (SELECT doc_id, sum(CASE WHEN i > 0 AND c2 > 0 THEN ln(c2 / ca) ELSE ln(greatest(c1, 1) / greatest(others, 1)) + CASE WHEN i > 0 THEN ln(0.4) ELSE 0 END END) AS score, count(*) FILTER (i > 0 AND c2 = 0) AS late FROM k GROUP BY doc_id)
+t AS MATERIALIZED (SELECT doc_id, i, w[i + 1] AS c, CASE WHEN i > 0 THEN w[i] END AS b, CASE WHEN i > 1 THEN w[i - 1] END AS a FROM (SELECT doc_id, w, unnest(range(len(w))) AS i FROM w)),
+n1 AS MATERIALIZED (SELECT c, sum(n) AS n FROM (SELECT c, count(*) AS n FROM t GROUP BY c) GROUP BY c),
+n2 AS MATERIALIZED (SELECT b, c, count(*) AS n FROM t WHERE i > 0 GROUP BY b, c),
+n3 AS MATERIALIZED (SELECT a, b, c, count(*) AS n FROM t WHERE i > 1 GROUP BY a, b, c),
+o AS MATERIALIZED (SELECT *, count(*) OVER (PARTITION BY doc_id, c) AS o1, count(*) OVER (PARTITION BY doc_id, b, c) AS o2, count(*) OVER (PARTITION BY doc_id, a, b, c) AS o3 FROM t),
+k AS MATERIALIZED (SELECT o.doc_id, o.i, n1.n - o1 AS c1, CASE WHEN o.i > 0 THEN n2.n - o2 END AS c2, CASE WHEN o.i > 1 THEN n3.n - o3 END AS c3
+  FROM o JOIN n1 ON n1.c = o.c LEFT JOIN n2 ON n2.b = o.b AND n2.c = o.c LEFT JOIN n3 ON n3.a = o.a AND n3.b = o.b AND n3.c = o.c),
+p AS (SELECT *, lag(c1) OVER d AS p1, lag(c2) OVER d AS p2, (SELECT count(*) FROM t) - count(*) OVER (PARTITION BY doc_id) AS others FROM k WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+s AS (SELECT doc_id, sum(CASE WHEN c3 > 0 THEN ln(c3 / p2) WHEN c2 > 0 THEN ln(c2 / p1) + CASE WHEN i > 1 THEN ln(0.4) ELSE 0 END ELSE ln(greatest(c1, 1) / greatest(others, 1)) + least(i, 2) * ln(0.4) END) AS score,
+  count(*) FILTER (CASE WHEN i = 0 THEN false WHEN i = 1 THEN c2 = 0 ELSE c3 = 0 END) AS late FROM p GROUP BY doc_id)
 SELECT w.doc_id, len(w.w) AS n_tokens, coalesce(late, 0) AS n_backoff, round(coalesce(score, 0.0), 4) AS log_score, CASE WHEN len(w.w) > 0 THEN round(score / len(w.w), 6) END AS mean_log_score FROM w LEFT JOIN s USING (doc_id)"""
