@@ -1,6 +1,6 @@
 """Corpus-wide counts of hashed keys, joined back to the documents that hold them.
 
-Documents are dealt into blocks by their place in the input, each of about ``BLOCK_BYTES``.
+Documents are dealt into blocks by their place in the input, of about ``BLOCK_BYTES`` each.
 A block sends each distinct key once with its own count, sorted and cut into hash
 buckets, so a key that every document has costs one entry per block. A bucket adds
 up the counts of its keys over all blocks and answers each block in the order of
@@ -25,9 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.bytehash import IS_SPACE, text_bytes
+from folio.llm.bytehash import IS_SPACE, mix, text_bytes
 from folio.llm.memory import release
-from folio.llm.shared import dealt
 from folio.llm.tokenizing import text_groups
 
 U64 = np.uint64
@@ -36,6 +35,8 @@ BLOCK_BYTES = 8 << 20
 #: Text whose keys a bucket counts, on average.
 BUCKET_BYTES = 6 << 20
 LEAST_BLOCKS, LEAST_BUCKETS = 24, 48
+#: Text that travels as one row, or one document.
+SLICE_BYTES = 256 << 10
 
 REQUEST_SCHEMA = "_bucket int, _block long, low binary, high binary, wide binary, counts binary"
 ANSWER_SCHEMA = "_bucket int, _block long, totals binary"
@@ -68,14 +69,44 @@ def corpus_size(docs: DataFrame) -> CorpusSize:
     return CorpusSize(row[0] or 0, row[1] or 0)
 
 
+def block_count(size: CorpusSize) -> int:
+    return max(LEAST_BLOCKS, math.ceil(size.bytes / BLOCK_BYTES))
+
+
 def in_blocks(docs: DataFrame, size: CorpusSize) -> DataFrame:
-    """Deal the documents of a written table into blocks (``_block``): the one shuffle of the texts."""
-    blocks = max(LEAST_BLOCKS, math.ceil(size.bytes / BLOCK_BYTES))
-    return docs.withColumn("_block", F.pmod(dealt(), F.lit(blocks))).repartition(blocks, "_block")
+    """Deal the documents of a written table into blocks: the one shuffle of the texts.
 
+    Slices of neighbouring rows travel as one compressed Arrow stream each. A slice's
+    block comes from its place in the input, so equal rows spread like all others and a
+    table read twice from the same files is dealt alike both times.
+    """
+    blocks = block_count(size)
 
-def bucket_count(size: CorpusSize) -> int:
-    return max(LEAST_BUCKETS, math.ceil(size.bytes / BUCKET_BYTES))
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, place = TaskContext.get().partitionId(), 0
+        options = pa.ipc.IpcWriteOptions(compression="zstd")
+        for whole in batches:
+            for batch in text_groups(whole, "text", SLICE_BYTES):
+                block = int(mix(np.array([part << 32 | place], U64))[0]) % blocks
+                place += 1
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, batch.schema, options=options) as stream:
+                    # a slice as it is would bring its whole batch along
+                    stream.write_table(pa.Table.from_batches([batch]))
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["_block", "packed"])
+
+    return docs.mapInArrow(pack, "_block long, packed binary").repartition(blocks, "_block")
+
+
+def _rows(table: pa.Table) -> pa.Table:
+    """The documents of a block, with ``_block``."""
+    parts = [pa.ipc.open_stream(x.as_buffer()).read_all() for x in table.column("packed").combine_chunks()] if table.num_rows else []
+    if not parts:
+        return pa.table({"doc_id": pa.array([], pa.int64()), "text": pa.array([], pa.string()), "_block": pa.array([], pa.int64())})
+    rows = pa.concat_tables(parts).combine_chunks()
+    return rows.append_column("_block", pa.array(np.full(rows.num_rows, table.column("_block")[0].as_py()), pa.int64()))
 
 
 def _present(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -100,21 +131,22 @@ def _unpack(low: bytes | None, high: bytes | None, wide: bytes | None) -> np.nda
 
 
 def _narrow(counts: np.ndarray) -> bytes:
-    """Counts in the fewest bytes; the size of one leads."""
-    for kind in (np.uint8, np.uint16, np.uint32, np.uint64):
-        if int(counts.max(initial=0)) <= np.iinfo(kind).max:
-            return bytes([np.dtype(kind).itemsize]) + counts.astype(kind).tobytes()
-    raise OverflowError
+    """Counts as bytes; the few from 255 on follow in full."""
+    large = counts >= 255
+    return len(counts).to_bytes(8, "little") + np.where(large, 255, counts).astype(np.uint8).tobytes() + counts[large].astype(np.int64).tobytes()
 
 
 def _widen(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, f"u{data[0]}", offset=1).astype(np.int64)
+    n = int.from_bytes(data[:8], "little")
+    counts = np.frombuffer(data, np.uint8, n, 8).astype(np.int64)
+    counts[counts == 255] = np.frombuffer(data, np.uint8, offset=8 + n).view(np.int64)
+    return counts
 
 
 Keys = Callable[..., tuple[np.ndarray, np.ndarray]]
 
 
-def totals(blocks: DataFrame, keys: Keys, buckets: int, known: DataFrame | None = None) -> DataFrame:
+def totals(blocks: DataFrame, keys: Keys, size: CorpusSize, known: DataFrame | None = None) -> DataFrame:
     """Per block and bucket, the corpus-wide totals of the block's distinct keys.
 
     ``keys`` gives the sorted distinct keys (unsigned 64-bit) of a block's documents
@@ -122,12 +154,14 @@ def totals(blocks: DataFrame, keys: Keys, buckets: int, known: DataFrame | None
     the block's rows of those too.
     """
 
+    buckets = max(LEAST_BUCKETS, math.ceil(size.bytes / BUCKET_BYTES))
+
     def request(table: pa.Table, *answers: pa.Table) -> pa.Table:
-        own, counts = keys(table, *answers)
+        own, counts = keys(_rows(table), *answers)
         block = table.column("_block")[0].as_py()
         there, first = _present(own, buckets)
         rows = []
-        for b, x, y in zip(there.tolist(), first.tolist(), [*first[1:].tolist(), len(own)], strict=True):
+        for b, x, y in zip(there.tolist(), first.tolist(), np.append(first, len(own))[1:].tolist(), strict=True):
             rows.append((b, block, *_pack(own[x:y]), _narrow(counts[x:y])))
         cols = list(zip(*rows, strict=True)) if rows else [()] * 6
         release()
@@ -151,7 +185,8 @@ def totals(blocks: DataFrame, keys: Keys, buckets: int, known: DataFrame | None
         asked = blocks.groupBy("_block").applyInArrow(request, REQUEST_SCHEMA)
     else:
         asked = blocks.groupBy("_block").cogroup(known.groupBy("_block")).applyInArrow(request_after, REQUEST_SCHEMA)
-    return asked.groupBy("_bucket").applyInArrow(answer, ANSWER_SCHEMA)
+    # dealt to the blocks here, so that several uses of the answers share one shuffle
+    return asked.groupBy("_bucket").applyInArrow(answer, ANSWER_SCHEMA).repartition(block_count(size), "_block")
 
 
 def joined_totals(answers: pa.Table) -> np.ndarray:
@@ -165,7 +200,7 @@ def with_totals(blocks: DataFrame, answers: DataFrame, use: Callable[[pa.Table,
     """Apply ``use`` to each block's documents and its answers."""
 
     def apply(docs: pa.Table, own: pa.Table) -> pa.Table:
-        out = use(docs, own)
+        out = use(_rows(docs), own)
         release()
         return out
 

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.blockcounts import U64, bucket_count, corpus_size, in_blocks, joined_totals, totals, with_totals
+from folio.llm.blockcounts import U64, corpus_size, in_blocks, joined_totals, totals, with_totals
 from folio.llm.bytehash import Words, distinct_sets, mix
 from folio.llm.components import components, spanning
 from folio.llm.memory import release
@@ -267,7 +267,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included)."""
     size = corpus_size(docs)
     blocks = in_blocks(docs.select(F.col("doc_id").cast("long"), "text"), size)
-    answers = totals(blocks, _block_keys, bucket_count(size))
+    answers = totals(blocks, _block_keys, size)
     table = materialize(with_totals(blocks, answers, _index, TABLE_SCHEMA), "shingle-index")
     rows = table.where("kind = 0").select("doc_id", "set_id", "n_shingles")
     sigs = table.where("kind = 1").select("sig", "set_id", "n_shingles").distinct()

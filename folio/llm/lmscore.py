@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.blockcounts import U64, bucket_count, corpus_size, in_blocks, joined_totals, totals, with_totals
+from folio.llm.blockcounts import U64, corpus_size, in_blocks, joined_totals, totals, with_totals
 from folio.llm.bytehash import Words
 
 #: Longest n-gram.
@@ -94,7 +94,7 @@ def score(docs: DataFrame, order: int = ORDER, leave_out: bool = True) -> DataFr
     """doc_id, n_tokens, n_backoff (words scored by less than the longest n-gram), log_score."""
     size = corpus_size(docs)
     blocks = in_blocks(docs.select(F.col("doc_id").cast("long"), "text"), size)
-    n_all, buckets = size.words, bucket_count(size)
+    n_all = size.words
 
     def short_keys(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         words = Words(table.column("text"), lower=True)
@@ -107,9 +107,9 @@ def score(docs: DataFrame, order: int = ORDER, leave_out: bool = True) -> DataFr
 
         return keys
 
-    known = totals(blocks, short_keys, buckets).withColumn("level", F.lit(2))
+    known = totals(blocks, short_keys, size).withColumn("level", F.lit(2))
     for n in range(3, order + 1):
-        known = known.union(totals(blocks, longer_keys(n), buckets, known).withColumn("level", F.lit(n)))
+        known = known.union(totals(blocks, longer_keys(n), size, known).withColumn("level", F.lit(n)))
 
     def use(table: pa.Table, answers: pa.Table) -> pa.Table:
         grams = _known(table, answers, order, leave_out)
