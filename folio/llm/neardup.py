@@ -1,23 +1,29 @@
 """Embedding near-duplicates within a label: PCA-ordered tiled comparison.
 
 Vectors are rotated to their principal axes (a rotation keeps every cosine), largest
-variance first. Rows of a label are dealt into tiles of bounded size by hash and every
-pair of tiles is one group of a grouped map. There, products of the leading axes are
-summed first; what the remaining axes can add is at most the product of the two
-suffix norms, so most pairs stop after a few axes, and only the rest go on. Cosines
-within ``CLOSE`` of the threshold are taken again from the vectors as given.
+second moment first. Two unit vectors with cosine t are at most sqrt(2 - 2 t) apart, on
+every axis, so the axes on which the vectors spread most cut a label into cells of
+that width: only vectors of the same or of touching cells can link, and pairs of other
+cells never meet. Cells are cut into tiles of bounded size by hash, and every pair of
+tiles of touching cells is one group of a grouped map. There, products of the leading
+axes are summed first; what the remaining axes can add is at most the product of the
+two suffix norms, so most pairs stop after a few axes, and only the rest go on.
+Cosines within ``CLOSE`` of the threshold are taken again from the vectors as given.
 
 Equal vectors of a label are one row with a weight, so copies cost nothing. A tile
 pair returns link counts per row and a spanning forest of its links, never all links.
 
 Null labels, null or zero vectors and those with null or non-finite components link
 with nothing; nor do vectors of different length. Extra columns are ignored. Repeated
-ids count as separate rows with the same id. An empty table gives an empty result.
+ids count as separate rows with the same id, each with the links of its own vector. A
+null id is a row like others and counts as larger than any in choosing the smallest.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +36,8 @@ from folio.llm.shared import materialize
 THRESHOLD = 0.93
 #: Rows in a tile, on average.
 TILE_ROWS = 2048
+#: Axes that cut a label into cells; each vector has up to 3 ** CELL_AXES touching cells.
+CELL_AXES = 3
 #: Axes after which pairs are dropped; the last step has all.
 STEPS = (8, 16, 32)
 #: Rows compared with a tile at once.
@@ -56,10 +64,18 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def principal_axes(vectors: DataFrame) -> dict[int, np.ndarray]:
-    """By vector length, axes in order of variance: columns of a rotation.
+@dataclass(frozen=True)
+class Axes:
+    """A rotation (columns, by second moment) and those of its axes with most variance."""
 
-    Tasks return sums of products, d * d numbers each; the driver gets their total.
+    rotation: np.ndarray
+    cut: np.ndarray
+
+
+def principal_axes(vectors: DataFrame) -> dict[int, Axes]:
+    """By vector length, axes in order of their second moment.
+
+    Tasks return sums of products, d * d + d numbers each; the driver gets their total.
     """
 
     def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,20 +84,64 @@ def principal_axes(vectors: DataFrame) -> dict[int, np.ndarray]:
             sizes = batch.column("dim").to_numpy()
             for d in np.unique(sizes).tolist():
                 x = _unit(_matrix(batch.column("embedding").filter(pa.array(sizes == d))))
+                x = np.column_stack([x, np.ones(len(x))])
                 sums[d] = sums.get(d, 0) + x.T @ x
         for d, m in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(d * d, d), pa.int32()), pa.array(np.arange(d * d), pa.int32()), pa.array(m.ravel())], ["dim", "cell", "value"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(m.size, d), pa.int32()), pa.array(np.arange(m.size), pa.int32()), pa.array(m.ravel())], ["dim", "cell", "value"])
 
     cells = vectors.select("dim", "embedding").mapInArrow(moments, "dim int, cell int, value double").groupBy("dim", "cell").agg(F.sum("value").alias("value")).toPandas()
     axes = {}
     for d, own in cells.groupby("dim"):
-        m = np.zeros(d * d)
+        m = np.zeros((d + 1) * (d + 1))
         m[own["cell"].to_numpy()] = own["value"].to_numpy()
-        m = m.reshape(d, d)
-        axes[int(d)] = np.linalg.eigh((m + m.T) / 2)[1][:, ::-1].copy()
+        m = m.reshape(d + 1, d + 1)
+        n, mean, m = m[d, d], m[d, :d] / m[d, d], m[:d, :d]
+        moment, rotation = np.linalg.eigh((m + m.T) / 2)
+        moment, rotation = moment[::-1], rotation[:, ::-1].copy()
+        spread = moment / n - (mean @ rotation) ** 2
+        axes[int(d)] = Axes(rotation, rotation[:, np.argsort(-spread, kind="stable")[:CELL_AXES]].copy())
     return axes
 
 
+def with_cells(reps: DataFrame, axes: dict[int, Axes], threshold: float) -> DataFrame:
+    """Add ``cell``, the place of each vector on the cutting axes in steps of the largest distance of a link."""
+    step = float(np.sqrt(max(2 - 2 * threshold, 0.0))) + 1e-6
+    names = [*reps.columns, "cell"]
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = batch.column("dim").to_numpy()
+            cells = np.zeros((batch.num_rows, CELL_AXES), np.int32)
+            for d in np.unique(sizes).tolist():
+                own = np.flatnonzero(sizes == d)
+                at = _unit(_matrix(batch.column("embedding").take(pa.array(own)))) @ axes[d].cut
+                cells[own, : at.shape[1]] = np.floor(at / step)
+            flat = pa.FixedSizeListArray.from_arrays(pa.array(cells.ravel()), CELL_AXES).cast(pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, flat], names)
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in reps.schema) + ", cell array<int>"
+    return reps.mapInArrow(place, schema)
+
+
+def tile_pairs(placed: DataFrame, tile_rows: int) -> DataFrame:
+    """(label, dim, cell, tile, one, two): the tile pairs that the rows of each tile take part in.
+
+    It is made of one row per cell and tile, never of vectors. ``one`` and ``two`` name
+    tiles by cell and number, the smaller first.
+    """
+    counts = placed.groupBy("label", "dim", "cell").agg(F.ceil(F.count(F.lit(1)) / tile_rows).cast("int").alias("tiles"))
+    counts = materialize(counts, "cells")
+    steps = F.array(*(F.lit(x) for x in (-1, 0, 1)))
+    near = counts.select("label", "dim", "cell", "tiles")
+    for k in range(CELL_AXES):
+        near = near.withColumn(f"_{k}", F.explode(steps))
+    beside = near.select("label", "dim", F.col("cell").alias("own"), F.col("tiles").alias("own_tiles"), F.array(*(F.col("cell")[k] + F.col(f"_{k}") for k in range(CELL_AXES))).alias("cell"))
+    met = beside.join(counts, ["label", "dim", "cell"])  # touching cells that have vectors
+    met = met.withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("own_tiles") - 1))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    mine, theirs = F.struct(F.col("own").alias("cell"), F.col("tile").alias("tile")), F.struct(F.col("cell").alias("cell"), F.col("other").alias("tile"))
+    return met.select("label", "dim", F.col("own").alias("cell"), "tile", F.least(mine, theirs).alias("one"), F.greatest(mine, theirs).alias("two"))
+
+
 def links_between(x: np.ndarray, y: np.ndarray, threshold: float = THRESHOLD) -> Iterator[tuple[int, np.ndarray]]:
     """Rotated unit rows x against y: (first row, matrix of links) by chunks of x."""
     d = x.shape[1]
@@ -119,30 +179,31 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tile_rows:
     rows = vectors.select(F.col("vec_id").cast("long"), "label", "embedding")
     good = rows.where(usable()).withColumn("dim", F.size("embedding")).withColumn("k1", F.xxhash64("embedding")).withColumn("k2", F.xxhash64(F.lit(1), "embedding"))
     copies = ["label", "dim", "k1", "k2"]
-    reps = materialize(good.groupBy(*copies).agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("times"), F.any_value("embedding").alias("embedding")), "vectors")
+    distinct = good.groupBy(*copies).agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("times"), F.any_value("embedding").alias("embedding"))
+    # a vector is a node of its own, whatever ids it has
+    reps = materialize(distinct.withColumn("node", F.monotonically_increasing_id()), "vectors")
     axes = principal_axes(reps)
 
     def compare(table: pa.Table) -> pa.Table:
-        v = axes[table.column("dim")[0].as_py()]
+        v = axes[table.column("dim")[0].as_py()].rotation
         given = _matrix(table.column("embedding"))
-        unit = _unit(given)
-        x = unit @ v
-        ids, times = table.column("rep").to_numpy(), table.column("times").to_numpy()
-        own = table.column("tile").to_numpy()
-        one, two = table.column("one")[0].as_py(), table.column("two")[0].as_py()
-        left, right = np.flatnonzero(own == one), np.flatnonzero(own == two)
+        x = _unit(given) @ v
+        ids, times, side = (table.column(c).to_numpy() for c in ("node", "times", "side"))
+        same = bool(table.column("same")[0].as_py())
+        left = np.flatnonzero(side == 1)
+        right = left if same else np.flatnonzero(side == 2)
         count = np.zeros(len(ids), np.int64)
         a, b = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for start, cosine in links_between(x[left], x[right], threshold):
+        for start, cosine in links_between(x[left], x[right], threshold) if len(left) and len(right) else ():
             mine = left[start : start + len(cosine)]
             for i, j in zip(*np.nonzero(np.abs(cosine - threshold) < CLOSE), strict=True):
                 p, q = given[mine[i]], given[right[j]]
                 cosine[i, j] = p @ q / np.sqrt((p @ p) * (q @ q))
             links = cosine >= threshold
-            if one == two:
+            if same:
                 links[np.arange(len(mine)), start + np.arange(len(mine))] = False
             count[mine] += links @ times[right]
-            if one != two:
+            if not same:
                 count[right] += times[mine] @ links
             if links.any():
                 new = spanning(links, ids[mine], ids[right])
@@ -151,14 +212,19 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tile_rows:
         nothing = pa.nulls(len(some), pa.int64())
         return pa.table([pa.array(np.concatenate([ids[some], a])), pa.concat_arrays([nothing, pa.array(b, pa.int64())]), pa.concat_arrays([pa.array(count[some]), pa.nulls(len(a), pa.int64())])], ["node", "other", "n_links"])
 
-    tiles = reps.groupBy("label", "dim").agg(F.ceil(F.count(F.lit(1)) / tile_rows).cast("int").alias("tiles"))
-    dealt = reps.join(tiles, ["label", "dim"]).withColumn("tile", F.pmod(F.xxhash64("k1", "k2"), "tiles").cast("int"))
-    partner = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
-    met = dealt.withColumn("partner", partner).select("label", "dim", "rep", "times", "embedding", "tile", F.least("tile", "partner").alias("one"), F.greatest("tile", "partner").alias("two"))
+    placed = with_cells(reps, axes, threshold)
+    pairs = materialize(tile_pairs(placed, tile_rows), "tile-pairs")
+    sizes = pairs.groupBy("label", "dim", "cell").agg((F.max("tile") + 1).alias("tiles"))
+    dealt = placed.join(sizes, ["label", "dim", "cell"]).withColumn("tile", F.pmod(F.xxhash64("k1", "k2"), "tiles").cast("int"))
+    met = dealt.join(pairs, ["label", "dim", "cell", "tile"])
+    own = F.struct("cell", "tile")
+    met = met.select("label", "dim", "node", "times", "embedding", "one", "two", F.when(own == F.col("one"), 1).otherwise(2).alias("side"), (F.col("one") == F.col("two")).alias("same"))
     found = materialize(met.groupBy("label", "dim", "one", "two").applyInArrow(compare, PAIR_SCHEMA), "tile-links")
     counts = found.where("other is null").groupBy("node").agg(F.sum("n_links").alias("links"))
     joined = components(found.where("other is not null").select(F.col("node").alias("src"), F.col("other").alias("dst")))
-    per_rep = reps.select(*copies, "rep", "times").join(counts, F.col("rep") == counts["node"], "left").drop("node").join(joined, F.col("rep") == joined["node"], "left").drop("node")
-    keys = good.select("vec_id", *copies).join(per_rep, copies).select("vec_id", (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    named = reps.select(*copies, "rep", "times", "node").join(counts, "node", "left").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
+    per_rep = named.join(least, "component")
+    keys = good.select("vec_id", *copies).join(per_rep, copies).select("vec_id", (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("n_links"), "component_id")
     alone = rows.where(~usable()).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return keys.union(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
