@@ -7,44 +7,82 @@ gives each of its documents an inclusion probability, calibrated so that the exp
 tokens meet the budget with no probability over 1. A document is kept if a hash of
 its id, uniform in [0, 1), lies below its probability, so a rerun keeps the same.
 
-Documents are shuffled once, as pre-aggregated cells; the fit works on cells alone,
-and the last join brings factors back to documents. All of it is DataFrame code.
+Nothing but pre-aggregated cells is shuffled; the fit works on cells alone, and the
+last join brings factors back to documents. All of it is DataFrame code.
+
+Without a topic of the caller's, a document's words are hashed by their first letter
+to ``TOPICS`` groups, and its topic is the group that it has most above the share which
+the whole corpus has, the first of equal ones.
 
 Null values of a dimension form a value of their own. Null text has no tokens: the
-document gets its cell's probability, or 0 where the cell has no tokens at all.
-Repeated ids share their fate. Extra columns stay. An empty table gives an empty one.
+document gets its cell's probability, or 0 where the cell has no tokens at all; empty
+and blank texts likewise. Repeated ids share their fate; a null id is never sampled.
+Extra columns stay as they are; where one has a name of a new column, the new one gets
+an underscore behind. An empty table gives an empty one.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import warnings
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folio.llm.shared import in_few, materialize
+from folio.llm.shared import free_name, in_few, materialize
 
-#: The fit ends when no marginal is off by more than this share of all tokens.
-TOLERANCE = 1e-9
-MAX_SWEEPS = 40
+#: The fit ends when no marginal is off by more than this share of all tokens, or after so many sweeps.
+TOLERANCE = 1e-12
+SWEEPS = 24
+SWEEPS_A_PLAN = 4
+#: Cells that one partition holds.
+FEW_CELLS = 100_000
+#: A gap that is reported.
+NOTED_GAP = 1e-2
 #: Share of all tokens that the sample should hold.
 BUDGET = 0.5
 DIMENSIONS = ("source", "lang", "topic")
+#: How far each marginal is drawn to even shares where no target is given: 1 keeps its mix.
+POWERS = {"source": 0.5, "lang": 0.7, "topic": 0.5}
+TOPICS = 8
+SPACES = " \t\n\x0b\x0c\r"
 NULL = "\0null"
 
 
-def n_tokens(text: str = "text") -> Column:
-    """White-space separated words."""
-    return F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+def initials(text: Column) -> Column:
+    """The first character of each white-space separated word, in order."""
+    firsts = F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]*([^\x20\x09-\x0D])[^\x20\x09-\x0D]*[\x20\x09-\x0D]*", "$1")
+    return F.translate(firsts, SPACES, "")
+
+
+def letters(group: int) -> str:
+    """The letters that a topic group has, in both cases."""
+    own = "abcdefghijklmnopqrstuvwxyz"[group::TOPICS]
+    return own + own.upper()
+
 
+def group_counts(firsts: Column) -> list[Column]:
+    """Words of each topic group."""
+    return [F.length(firsts) - F.length(F.translate(firsts, letters(k), "")) for k in range(TOPICS)]
 
-def topic(text: str = "text") -> Column:
-    """A coarse topic from the text's form: table, shout, symbol or prose."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    size = F.greatest(F.length(t), F.lit(1))
 
-    def share(chars: str) -> Column:
-        return F.regexp_count(t, F.lit(chars)) / size
+def topic_of(counts: list[Column], shares: list[float]) -> Column:
+    """The group with the largest count in relation to its share in the corpus; ``none`` without words of any."""
+    above = [F.when(c > 0, c / F.lit(s)).otherwise(F.lit(0.0)) for c, s in zip(counts, shares, strict=True) if s > 0]
+    named = [k for k, s in enumerate(shares) if s > 0]
+    if not named:
+        return F.lit("none")
+    top = F.greatest(*above) if len(above) > 1 else above[0]
+    out = F.when(top == 0, "none")
+    for k, a in zip(named, above, strict=True):
+        out = out.when(a == top, f"group{k}")
+    return out
 
-    return F.when(share("[|]") > 0.05, "table").when(share("[A-Z]") > 0.3, "shout").when(share("[#*$%&<>]") > 0.1, "symbol").otherwise("prose")
+
+def corpus_shares(docs: DataFrame) -> list[float]:
+    """Each topic group's share of all words that have one."""
+    sums = docs.select(initials(F.col("text")).alias("_firsts")).agg(*(F.sum(c) for c in group_counts(F.col("_firsts")))).first()
+    whole = sum(x or 0 for x in sums)
+    return [(x or 0) / whole if whole else 0.0 for x in sums]
 
 
 def uniform(*key: Column, seed: str = "mix") -> Column:
@@ -53,10 +91,9 @@ def uniform(*key: Column, seed: str = "mix") -> Column:
     return F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
 
 
-def cells_of(docs: DataFrame) -> DataFrame:
+def cells_of(tagged: DataFrame) -> DataFrame:
     """Tokens of each (source, lang, topic), aggregated before the shuffle."""
-    keys = [F.coalesce(F.col(x), F.lit(NULL)).alias(x) for x in DIMENSIONS]
-    return docs.select(*keys, "n_tokens").groupBy(*DIMENSIONS).agg(F.sum("n_tokens").cast("double").alias("tokens"))
+    return tagged.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").cast("double").alias("tokens"))
 
 
 def softened_targets(cells: DataFrame, dimension: str, power: float) -> DataFrame:
@@ -66,30 +103,57 @@ def softened_targets(cells: DataFrame, dimension: str, power: float) -> DataFram
     return own.select(dimension, (F.col("p") / F.lit(total)).alias("share"))
 
 
-def fit(cells: DataFrame, targets: dict[str, DataFrame]) -> DataFrame:
-    """Cells with tokens and ``weight``, whose marginals match the targets.
-
-    ``cells`` must be a written table. Each sweep is one plan of three steps and is
-    written, so the lineage stays short; the driver sees one number per sweep. A
-    target of a value without tokens can't be met; the shares of the others hold
-    relative to each other.
+def _sweep_of_few(now: DataFrame, total: Column, sweeps: int) -> DataFrame:
+    """Sweeps over cells in one partition, as windows of one plan; ``_gap`` is that of the last."""
+    for k in range(sweeps):
+        gaps = []
+        for d in DIMENSIONS:
+            held = F.sum("weight").over(Window.partitionBy(d))
+            if k == sweeps - 1:
+                now = now.withColumn(f"_gap_{d}", F.abs(F.col(f"_share_{d}") - held / total))
+                gaps.append(f"_gap_{d}")
+            now = now.withColumn("weight", F.coalesce(F.try_divide(F.col("weight") * F.col(f"_share_{d}") * total, held), F.lit(0.0)))
+    return now.withColumn("_gap", F.greatest(*gaps)).drop(*gaps)
+
+
+def _sweep_of_many(now: DataFrame, total: Column) -> DataFrame:
+    """One sweep over any number of cells: pre-aggregated sums, joined back."""
+    gaps = []
+    for d in DIMENSIONS:
+        sums = now.groupBy(d).agg(F.sum("weight").alias("_sum"))
+        now = now.join(sums, d).withColumn(f"_gap_{d}", F.abs(F.col(f"_share_{d}") - F.col("_sum") / total))
+        now = now.withColumn("weight", F.coalesce(F.try_divide(F.col("weight") * F.col(f"_share_{d}") * total, F.col("_sum")), F.lit(0.0))).drop("_sum")
+        gaps.append(f"_gap_{d}")
+    return now.withColumn("_gap", F.greatest(*gaps)).drop(*gaps)
+
+
+def fit(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = SWEEPS) -> tuple[DataFrame, float]:
+    """Cells with tokens and ``weight``, whose marginals match the targets, and the largest gap left.
+
+    ``cells`` must be a written table. Sweeps end early when the marginals match; the
+    gap, as a share of all tokens, tells how far ``sweeps`` of them came, and one
+    that is not small is a warning: some targets can't be met together, or only slowly.
+    A few sweeps of few cells, else one, are a plan, whose result is written. The
+    driver sees one number per plan. A target of a value without tokens can't be met;
+    the shares of the others hold relative to each other.
     """
     n, total = cells.agg(F.count(F.lit(1)), F.sum("tokens")).first()
     total = F.lit(total or 0.0)
     now = in_few(cells, n).where("tokens > 0").withColumn("weight", F.col("tokens"))
-    for _ in range(MAX_SWEEPS):
-        gap = F.lit(0.0)
-        for d, target in targets.items():
-            sums = now.groupBy(d).agg(F.sum("weight").alias("_sum")).join(target, d, "left")
-            step = sums.select(d, (F.coalesce("share", F.lit(0.0)) * total / F.col("_sum")).alias("_step"), F.abs(F.coalesce("share", F.lit(0.0)) - F.col("_sum") / total).alias(f"_gap_{d}"))
-            now = now.join(step, d).withColumn("weight", F.col("weight") * F.col("_step")).drop("_step")
-            gap = F.greatest(gap, F.col(f"_gap_{d}"))
-        now = materialize(now.withColumn("_gap", gap).select(*DIMENSIONS, "tokens", "weight", "_gap"), "raked")
-        worst = now.agg(F.max("_gap")).first()[0]
-        now = in_few(now, n).drop("_gap").where("weight > 0")
-        if worst is None or worst <= TOLERANCE:
+    for d, target in targets.items():
+        now = now.join(target.select(d, F.col("share").alias(f"_share_{d}")), d, "left").withColumn(f"_share_{d}", F.coalesce(f"_share_{d}", F.lit(0.0)))
+    now, few, gap = in_few(materialize(now, "goals"), n), n <= FEW_CELLS, None
+    done = 0
+    while done < sweeps and (gap is None or gap > TOLERANCE):
+        step = min(SWEEPS_A_PLAN, sweeps - done) if few else 1
+        now = materialize(_sweep_of_few(now, total, step) if few else _sweep_of_many(now, total), "raked")
+        gap = now.agg(F.max("_gap")).first()[0]
+        now, done = in_few(now, n).drop("_gap"), done + step
+        if gap is None:  # no cells
             break
-    return now
+    if gap is not None and gap > NOTED_GAP:
+        warnings.warn(f"the marginals are off by {gap:.2g} of all tokens after {done} sweeps", stacklevel=2)
+    return now.where("weight > 0").select(*DIMENSIONS, "tokens", "weight"), gap or 0.0
 
 
 def calibrate(fitted: DataFrame, budget: float) -> float:
@@ -109,21 +173,33 @@ def calibrate(fitted: DataFrame, budget: float) -> float:
         capped, scale = n, (want - held) / free
 
 
-def mix(docs: DataFrame, powers: dict[str, float] | None = None, budget: float = BUDGET, targets: dict[str, DataFrame] | None = None) -> DataFrame:
-    """All documents with n_tokens, topic, factor, probability and ``sampled``.
-
-    Targets are tables (dimension, share); those not given soften the present mix.
-    """
-    powers = {"source": 0.5, "lang": 0.7, "topic": 1.0} | (powers or {})
-    tagged = docs.withColumn("n_tokens", n_tokens()).withColumn("topic", topic())
+def weighed(docs: DataFrame, powers: dict[str, float] | None = None, budget: float = BUDGET, targets: dict[str, DataFrame] | None = None, topic: Column | None = None) -> DataFrame:
+    """(doc, n_tokens, topic, factor, probability, sampled); ``doc`` holds the row as it was."""
+    powers = POWERS | (powers or {})
+    base = docs.select(F.struct("*").alias("doc"), *(F.coalesce(F.col(x).cast("string"), F.lit(NULL)).alias(x) for x in ("source", "lang")), initials(F.col("text")).alias("firsts"), *([] if topic is None else [topic.alias("topic")]))
+    own = topic_of(group_counts(F.col("firsts")), corpus_shares(docs)) if topic is None else F.coalesce(F.col("topic").cast("string"), F.lit(NULL))
+    tagged = base.select("doc", "source", "lang", own.alias("topic"), F.length("firsts").cast("long").alias("n_tokens"))
     cells = materialize(cells_of(tagged), "cells")
     goals = {d: (targets or {}).get(d, softened_targets(cells, d, powers[d])) for d in DIMENSIONS}
     goals = {d: materialize(g, f"target-{d}") for d, g in goals.items()}
-    fitted = fit(cells, goals)
+    fitted, _ = fit(cells, goals)
     scale = calibrate(fitted, budget)
-    factors = fitted.select(*(F.col(d).alias(f"_{d}") for d in DIMENSIONS), (F.col("weight") / F.col("tokens")).alias("factor"))
-    same = [F.coalesce(F.col(d), F.lit(NULL)) == F.col(f"_{d}") for d in DIMENSIONS]
-    out = tagged.join(factors, same, "left").drop(*(f"_{d}" for d in DIMENSIONS))
-    out = out.withColumn("factor", F.coalesce("factor", F.lit(0.0)))
+    factors = fitted.select(*DIMENSIONS, (F.col("weight") / F.col("tokens")).alias("factor"))
+    out = tagged.join(factors, list(DIMENSIONS), "left").withColumn("factor", F.coalesce("factor", F.lit(0.0)))
     out = out.withColumn("probability", F.least(F.lit(1.0), F.lit(scale) * F.col("factor")))
-    return out.withColumn("sampled", F.coalesce(uniform(F.col("doc_id").cast("string")) < F.col("probability"), F.lit(False)))
+    sampled = F.coalesce(uniform(F.col("doc.doc_id").cast("string")) < F.col("probability"), F.lit(False))
+    return out.select("doc", "n_tokens", "topic", "factor", "probability", (F.col("doc.doc_id").isNotNull() & sampled).alias("sampled"))
+
+
+def mix(docs: DataFrame, powers: dict[str, float] | None = None, budget: float = BUDGET, targets: dict[str, DataFrame] | None = None, topic: Column | None = None) -> DataFrame:
+    """All documents with n_tokens, topic, factor, probability and ``sampled``.
+
+    Targets are tables (dimension, share); those not given soften the present mix.
+    """
+    new = ("n_tokens", "topic", "factor", "probability", "sampled")
+    return weighed(docs, powers, budget, targets, topic).select("doc.*", *(F.col(x).alias(free_name(docs, x)) for x in new))
+
+
+def sample(docs: DataFrame, **how) -> DataFrame:
+    """The sampled documents, as they were."""
+    return weighed(docs, **how).where("sampled").select("doc.*")
