@@ -9,11 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.llm import jaccard, lmscore, mixing, neardup, packing, quality, secrets, tokenfiles, toxicity, warc
-from folio.llm.shared import materialize, read_table
+from folio.llm.shared import read_table, scratch_path
 
 
 def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(read_table(spark, sf_dir, "documents"))
+    mixed = mixing.mix(read_table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"))
     return mixed.select("doc_id", "n_tokens", "topic", F.round("factor", 6).alias("factor"), F.round("probability", 6).alias("probability"), "sampled")
 
 
@@ -22,14 +22,16 @@ def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two increments on one ledger: the base rules, then a rule added; the second scans for that one alone."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    ledger = materialize(secrets.scan_unseen(docs, secrets.RULES), "blob-ledger")
-    found = secrets.findings_of(docs, ledger)
+    path = scratch_path(spark, "blob-ledger")
+    secrets.scan(docs, secrets.BASE_RULES, path)
+    found = secrets.findings_of(docs, secrets.scan(docs, secrets.RULES, path))
     kinds = [r.kind for r in secrets.BASE_RULES]
     spans = F.col("findings")
     base = secrets.spans_of_kind(spans, *kinds)
     counts = [F.size(secrets.spans_of_kind(spans, k)).cast("long").alias(f"n_{k}") for k in kinds]
-    return found.select("doc_id", *counts, F.sha2(secrets.digest(base), 256).alias("base_sha256"), secrets.digest(F.col("findings")).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(secrets.digest(base), 256).alias("base_sha256"), secrets.digest(spans).alias("spans"))
 
 
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

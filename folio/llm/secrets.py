@@ -1,27 +1,35 @@
 """Secret scans over an incremental blob ledger, by DataFrame operations alone.
 
-Every version of every file is content-addressed (SHA-256 of its text). The ledger
-is an append-only table with one row per scan of a blob: ``blob``, ``scanned`` (keys
-of the rule versions applied) and ``findings``. A run scans only blobs, and on them
-only rule versions, that the ledger lacks, and joins the findings back to every
-version that has the blob.
+Every version of every file is content-addressed (SHA-256 of its text). The ledger is
+an append-only Parquet table in the shared folder with one row per scan of a blob:
+``blob``, ``scanned`` (keys of the rule versions applied) and ``findings``. A run reads
+the ledger first, scans only blobs, and on them only rule versions, that it lacks,
+appends what it scanned and joins the findings back to every version that has the
+blob. A run that dies before its append leaves nothing; repeating it scans again.
 
 Positions come from the two built-in functions that agree on where a pattern
 matches: ``split`` gives what lies between the matches, ``regexp_extract_all`` the
 matches; a running sum of lengths places them.
 
-Null text counts as empty, equal texts are one blob, extra columns of the versions
-are kept by ``findings_of`` and ignored by the scan. Empty tables give empty results.
+Null text counts as empty, equal texts are one blob, repeated versions all get their
+blob's findings. ``findings_of`` keeps every column, and where the versions have a
+column of its names (``blob``, ``findings``), its own get an underscore more; the scan
+ignores extra columns. Empty tables give empty results and append nothing. Overlapping
+findings of different rules all count; ties in position go by the order of the rules.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from folio.llm.shared import free_name
+
 LEDGER_SCHEMA = "blob string, scanned array<string>, findings array<struct<start:int,rule:int,end:int,kind:string>>"
+NO_FINDINGS = "array<struct<start:int,rule:int,end:int,kind:string>>"
 
 
 @dataclass(frozen=True)
@@ -50,15 +58,25 @@ BASE_RULES = (
 RULES = (*BASE_RULES, Rule("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"))
 
 
-def with_blob(versions: DataFrame, text: str = "text") -> DataFrame:
-    """Add ``blob``, the content address."""
-    return versions.withColumn("blob", F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
+def address(text: str = "text") -> Column:
+    """The content address of a text."""
+    return F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
 
 
 def empty_ledger(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], LEDGER_SCHEMA)
 
 
+def read_ledger(spark: SparkSession, path: str) -> DataFrame:
+    """All rows of the ledger, none where nobody has written one yet."""
+    try:
+        return spark.read.schema(LEDGER_SCHEMA).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return empty_ledger(spark)
+
+
 def _matches(rule: Rule, text: Column, due: Column) -> Column:
     """Per match: length of what stands before it, its own and its group's; last what remains."""
     pattern = F.lit(rule.pattern)
@@ -88,7 +106,7 @@ def scan_unseen(versions: DataFrame, rules: tuple[Rule, ...], ledger: DataFrame
     Equal blobs collapse before the shuffle (partial aggregation), so copies of one
     text cost one row per task however many there are.
     """
-    blobs = with_blob(versions.select(F.coalesce(F.col(text), F.lit("")).alias("_text")), "_text").dropDuplicates(["blob"])
+    blobs = versions.select(F.coalesce(F.col(text), F.lit("")).alias("_text")).withColumn("blob", address("_text")).dropDuplicates(["blob"])
     if ledger is None:
         blobs = blobs.withColumn("_seen", F.array().cast("array<string>"))
     else:
@@ -104,11 +122,26 @@ def scan_unseen(versions: DataFrame, rules: tuple[Rule, ...], ledger: DataFrame
     return placed.groupBy("blob").agg(F.first("scanned").alias("scanned"), F.array_sort(F.collect_list(good)).alias("findings"))
 
 
-def findings_of(versions: DataFrame, ledger: DataFrame, text: str = "text") -> DataFrame:
-    """All versions with ``findings``, from whatever scan of their blob is in the ledger."""
-    found = ledger.where(F.size("findings") > 0).groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("findings"))).alias("findings"))
-    none = F.array().cast("array<struct<start:int,rule:int,end:int,kind:string>>")
-    return with_blob(versions, text).join(found, "blob", "left").withColumn("findings", F.coalesce("findings", none))
+def scan(versions: DataFrame, rules: tuple[Rule, ...], path: str, text: str = "text") -> DataFrame:
+    """Bring the ledger at ``path`` up to date with these versions and rules; returns all of it.
+
+    ``path`` lies in a folder that all executors share. Runs on one ledger go one after another.
+    """
+    spark = versions.sparkSession
+    ledger = read_ledger(spark, path)
+    scan_unseen(versions, rules, ledger, text).write.mode("append").parquet(path)
+    return read_ledger(spark, path)
+
+
+def findings_of(versions: DataFrame, ledger: DataFrame, text: str = "text", blob: str | None = None, findings: str | None = None) -> DataFrame:
+    """All versions with their blob and its findings, from whatever scans of it are in the ledger.
+
+    The two columns are named ``blob`` and ``findings``, or as given, or with underscores
+    behind where the versions have such columns.
+    """
+    blob, findings = blob or free_name(versions, "blob"), findings or free_name(versions, "findings")
+    found = ledger.where(F.size("findings") > 0).groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("findings"))).alias(findings)).withColumnRenamed("blob", blob)
+    return versions.withColumn(blob, address(text)).join(found, blob, "left").withColumn(findings, F.coalesce(findings, F.array().cast(NO_FINDINGS)))
 
 
 def digest(findings: Column) -> Column:
