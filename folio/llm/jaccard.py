@@ -10,20 +10,24 @@ of a class is shared), and the prefix is extended until its places suffice. Clas
 are six times as many for each fourfold set size, which bounds the combinations; a
 set near the border of two sizes is indexed for both.
 
-Sets that meet in a signature are verified exactly. Every set is first compared with
-one hub, the set it meets most often among those its signatures name; most members of
-a group of near copies so join one component for one comparison each. What is left,
-sets of different components that meet, is compared without exception: a family of
-such sets is cut into tiles and every pair of tiles that may hold a pair of different
-components is one group of bounded size, whose overlaps come from matrix products.
-Pairs are never rows, and only a spanning forest of the links leaves a group. Equal
-sets are one node from the start.
+Sets that share a signature are verified exactly, and no others. Every set is first
+compared with one hub, the set it meets most often among those its signatures name;
+most members of a group of near copies so join one component for one comparison each.
+What is left, sets of different components on the list of one signature, is compared
+without exception: long lists are cut into tiles, every pair of tiles that may hold a
+pair of different components is one group of bounded size, and its overlaps come from
+matrix products. Pairs are never rows, and only a spanning forest of the links leaves
+a group. Equal sets are one node from the start.
 
 Counts come from ``blockcounts``: no shingle list is collected, broadcast or sampled.
+Shingles and sets are known by 64-bit hashes. Two shingles of one pair of documents, or
+two sets of a corpus, that share a hash would be taken as equal; with 10**9 sets the
+chance of one such pair is 3 in 100.
 
 Null and empty texts have no shingles and link with nothing; texts under five words
 are one shingle. Rows are kept one for one; rows with equal ids stay separate. Extra
-columns are ignored. An empty table gives an empty result.
+columns are ignored. An empty table gives an empty result. ``docs`` must be a written
+table, as its rows are dealt to blocks by place. Null ids count as larger than others.
 """
 
 from __future__ import annotations
@@ -52,6 +56,8 @@ TIER_SIZE, TIER_CLASSES = 12, 6
 
 #: Sets in a tile, on average.
 TILE_SETS = 128
+#: Keys over which the sets of a component are dealt.
+SALTS = 16
 #: Shingles in a matrix product at once.
 COLUMNS = 8192
 
@@ -214,13 +220,13 @@ def _linked(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
 
 
 def _compare(table: pa.Table) -> pa.Table:
-    """Links of one pair of tiles, or of the small families of one bin, as a forest."""
+    """Links of one pair of tiles of a list, or of the short lists of one bin, as a forest."""
     sets = [np.frombuffer(x, U64) for x in table.column("shingles").to_pylist()]
-    ids, family, tile = (table.column(c).to_numpy() for c in ("set_id", "family", "tile"))
+    ids, sig, tile = (table.column(c).to_numpy() for c in ("set_id", "sig", "tile"))
     one, two = table.column("one")[0].as_py(), table.column("two")[0].as_py()
     if one < 0:
-        order = np.argsort(family, kind="stable")
-        groups = np.split(order, np.flatnonzero(np.diff(family[order])) + 1)
+        order = np.argsort(sig, kind="stable")
+        groups = np.split(order, np.flatnonzero(np.diff(sig[order])) + 1)
         sides = [(g, g) for g in groups]
     else:
         sides = [(np.flatnonzero(tile == one), np.flatnonzero(tile == two))]
@@ -233,30 +239,37 @@ def _compare(table: pa.Table) -> pa.Table:
     return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["src", "dst"])
 
 
-def cross_links(sigs: DataFrame, sets: DataFrame) -> DataFrame:
-    """A forest of all links between sets of different components that meet in a signature.
+def meetings(sigs: DataFrame) -> DataFrame:
+    """Where sets of different components that share a signature are compared.
 
-    Sets that meet, directly or through others, are a family. The members of its
-    largest component need not be compared with each other, so their tiles meet only
-    those of the rest. Families below a tile's size share bins.
+    ``sigs``: sig, set_id, component. The list of a signature is the sets that have it.
+    Lists of one component need no comparison, and of lists with the same members (known
+    by their number and 128 bits) one is enough. A list beyond a tile's size is cut into
+    tiles; members of its largest component need not be compared with each other, so
+    their tiles meet only those of the rest. Short lists share bins. Only sets of one
+    list ever meet: (sig, set_id, tile, group, one, two), a group per (group, one, two).
     """
-    mixed = sigs.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min("set_id").alias("hub")).where("x < y").select("sig", "hub")
-    left = materialize(sigs.join(mixed, "sig").select("set_id", "component", "hub").distinct(), "meetings")
-    families = components(left.select(F.col("set_id").alias("src"), F.col("hub").alias("dst"))).select(F.col("node").alias("set_id"), F.col("component").alias("family"))
-    members = materialize(left.select("set_id", "component").distinct().join(families, "set_id"), "families")
-    sizes = members.groupBy("family", "component").agg(F.count(F.lit(1)).alias("n"))
-    of_family = sizes.groupBy("family").agg(F.sum("n").alias("all"), F.max(F.struct("n", "component")).alias("main")).select("family", "all", F.col("main.n").alias("n_main"), F.col("main.component").alias("main"))
+    lists = sigs.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("all"), F.bit_xor(F.xxhash64("set_id")).alias("f1"), F.bit_xor(F.xxhash64(F.lit(1), "set_id")).alias("f2"))
+    lists = lists.where("x < y").groupBy("all", "f1", "f2").agg(F.min("sig").alias("sig")).select("sig", "all")
+    members = materialize(sigs.join(lists, "sig").select("sig", "all", "set_id", "component"), "lists")
+    sizes = members.where(F.col("all") > TILE_SETS).groupBy("sig", "component").agg(F.count(F.lit(1)).alias("n"))
+    main = sizes.groupBy("sig").agg(F.max(F.struct("n", "component")).alias("main")).select("sig", F.col("main.n").alias("n_main"), F.col("main.component").alias("main"))
     bins = F.lit(max(1, members.count() // TILE_SETS))
     tiles = lambda n: F.ceil(n / TILE_SETS).cast("int")
     hashed = F.xxhash64("set_id")
-    placed = members.join(of_family, "family").withColumn("small", F.col("all") <= TILE_SETS).withColumn("mains", tiles(F.col("n_main"))).withColumn("rest", tiles(F.col("all") - F.col("n_main")))
+    placed = members.join(main, "sig", "left").withColumn("small", F.col("all") <= TILE_SETS).withColumn("mains", tiles(F.col("n_main"))).withColumn("rest", tiles(F.col("all") - F.col("n_main")))
     is_main = F.col("component") == F.col("main")
-    placed = placed.withColumn("tile", F.when(is_main, F.pmod(hashed, "mains")).otherwise(F.col("mains") + F.pmod(hashed, F.greatest("rest", F.lit(1)))).cast("int"))
+    placed = placed.withColumn("tile", F.when(F.col("small"), 0).when(is_main, F.pmod(hashed, "mains")).otherwise(F.col("mains") + F.pmod(hashed, F.greatest("rest", F.lit(1)))).cast("int"))
     whole = F.col("mains") + F.col("rest") - 1
     partners = F.when(F.col("small"), F.array(F.lit(-1))).when(is_main, F.sequence("mains", whole)).otherwise(F.sequence(F.lit(0), whole))
-    met = placed.join(sets, "set_id").withColumn("partner", F.explode(partners))
-    met = met.select("set_id", "shingles", "tile", "family", F.when(F.col("small"), F.pmod(F.xxhash64("family"), bins)).otherwise(F.col("family")).alias("group"), F.when(F.col("small"), F.lit(-1)).otherwise(F.greatest("tile", "partner")).alias("one"), F.when(F.col("small"), F.lit(-1)).otherwise(F.least("tile", "partner")).alias("two"))
-    return met.groupBy("group", "one", "two").applyInArrow(_compare, "src long, dst long")
+    met = placed.withColumn("partner", F.explode(partners))
+    pair = lambda f: F.when(F.col("small"), F.lit(-1)).otherwise(f("tile", "partner"))
+    return met.select("sig", "set_id", "tile", F.when(F.col("small"), F.pmod(F.xxhash64("sig"), bins)).otherwise(F.col("sig")).alias("group"), pair(F.greatest).alias("one"), pair(F.least).alias("two"))
+
+
+def cross_links(sigs: DataFrame, sets: DataFrame) -> DataFrame:
+    """A forest of all links between sets of different components that share a signature."""
+    return meetings(sigs).join(sets, "set_id").groupBy("group", "one", "two").applyInArrow(_compare, "src long, dst long")
 
 
 def _placed(sigs: DataFrame, found: DataFrame) -> DataFrame:
@@ -277,7 +290,20 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     links = materialize(verified(hub_pairs(sigs), sets), "hub-links")
     more = materialize(cross_links(_placed(sigs, components(links)), sets), "cross-links")
     whole = components(links.union(more)).withColumnRenamed("node", "set_id")
-    tagged = rows.join(whole, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
-    least = tagged.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("least"))
-    out = tagged.join(least, "component", "left")
+    return with_least(rows, whole)
+
+
+def with_least(rows: DataFrame, whole: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id from rows (doc_id, set_id, n_shingles) and (set_id, component).
+
+    Copies collapse to their set before sets meet their component, and a component's
+    sets are dealt over ``SALTS`` keys, so no component's documents meet in one task.
+    """
+    of_set = rows.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("least"))
+    placed = of_set.join(whole, "set_id").withColumn("salt", F.pmod(F.xxhash64("set_id"), F.lit(SALTS)).cast("int"))
+    least = placed.groupBy("component", "salt").agg(F.min("least").alias("least")).groupBy("component").agg(F.min("least").alias("component_least"))
+    salted = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    found = placed.join(salted, ["component", "salt"]).select("set_id", "component_least")
+    ids = of_set.join(found, "set_id", "left").select("set_id", F.coalesce("component_least", "least").alias("least"))
+    out = rows.join(ids, "set_id", "left")
     return out.select("doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
