@@ -8,8 +8,10 @@ once. Of records with equal payloads of ``REVISIT_BYTES`` or more, that with the
 smallest page id holds the payload; the others are revisit records that name it.
 
 A null html is an empty payload, a null url an empty target. Null ids sort first.
-Repeated page ids stay separate records; the one that holds a shared payload is one
-of those with the smallest id. Extra columns are ignored; an empty table gives none.
+Repeated page ids, even with one url and payload, stay separate records; exactly one of
+those with the smallest id holds a shared payload. Extra columns are ignored; an empty
+table gives none. ``pages`` must be a written table: it is read twice, and its rows are
+known by their place.
 """
 
 from __future__ import annotations
@@ -105,8 +107,9 @@ def _with_holder(pages: DataFrame) -> DataFrame:
     """
     rows = pages.select(F.col("page_id").cast("long"), F.coalesce(F.col("url"), F.lit("")).alias("url"), F.coalesce(F.col("html"), F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.sha2("html", 256))
-    # the smallest id, null before all; an id that recurs is told apart by its url
-    first = rows.where(F.octet_length("html") >= REVISIT_BYTES).groupBy("digest").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct(F.col("page_id").isNotNull().alias("known"), "page_id", "url")).alias("holder")).where("times > 1")
+    # rows of one id and url are told apart by their place in the table
+    rows = rows.withColumn("row", F.monotonically_increasing_id())
+    first = rows.where(F.octet_length("html") >= REVISIT_BYTES).groupBy("digest").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct(F.col("page_id").isNotNull().alias("known"), "page_id", "row")).alias("holder")).where("times > 1")
     return rows.join(first.select("digest", "holder"), "digest", "left")
 
 
@@ -131,9 +134,8 @@ def write_warc(pages: DataFrame, folder: str) -> DataFrame:
             return out
 
         for batch in batches:
-            names = ("page_id", "url", "html", "digest", "refers", "holder_id")
-            for k in range(batch.num_rows):
-                page_id, url, html, digest, refers, holder = (batch.column(x)[k].as_py() for x in names)
+            columns = (batch.column(x).to_pylist() for x in ("page_id", "url", "html", "digest", "refers", "holder_id"))
+            for page_id, url, html, digest, refers, holder in zip(*columns, strict=True):
                 data = packed(record(page_id, url, html.encode(), digest, _name(holder) if refers else None))
                 rows.append((page_id, size, len(data), url, digest))
                 pending.append(data)
@@ -145,8 +147,7 @@ def write_warc(pages: DataFrame, folder: str) -> DataFrame:
             yield flush()
 
     held = _with_holder(pages)
-    own = F.col("page_id").eqNullSafe(F.col("holder.page_id")) & (F.col("url") == F.col("holder.url"))
-    refers = F.col("holder").isNotNull() & ~own
+    refers = F.col("holder").isNotNull() & (F.col("row") != F.col("holder.row"))
     ready = held.select("page_id", "url", "html", "digest", refers.alias("refers"), F.col("holder.page_id").alias("holder_id"))
     return materialize(ready.mapInArrow(write, INDEX_SCHEMA), "warc-index")
 
