@@ -94,8 +94,9 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
         if held:
             yield flush()
 
-    rows = docs.select(F.col("doc_id").cast("long"), "text")
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # rows that share an id, or have none, are ordered by a hash, so that they need not meet in one task
+    rows = docs.select(F.col("doc_id").cast("long"), "text", dealt().alias("tie"))
+    ordered = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
     return materialize(ordered.mapInArrow(write, INDEX_SCHEMA), "token-index")
 
 
@@ -114,8 +115,12 @@ def read_token_files(index: DataFrame) -> DataFrame:
                 crc = [zlib.crc32(raw[4 * (b - n) : 4 * b]) for b, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(doc_ids, mask=doc_ids == NULL_ID), pa.array(start + ends - sizes), pa.array(sizes), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    before = Window.orderBy(F.col("first_doc").asc_nulls_first(), "part", "place").rowsBetween(Window.unboundedPreceding, -1)
-    placed = index.withColumn("file_start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
+    # parts are in the order of ids: a running sum over the few parts, then one over the files of each
+    parts = index.groupBy("part").agg(F.sum("n_ids").alias("in_part"))
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("part", F.coalesce(F.sum("in_part").over(earlier), F.lit(0)).alias("part_start"))
+    before = Window.partitionBy("part").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    placed = index.join(parts, "part").withColumn("file_start", F.col("part_start") + F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
     spread = spread_over(index.count(), index.sparkSession.sparkContext.defaultParallelism)
     tasks = placed.select("path", "file_start").repartition(spread)
     return tasks.mapInArrow(read, DOC_SCHEMA)
