@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.shared import materialize
+from folio.llm.shared import dealt, materialize
 from folio.llm.tokenizing import encoder, text_groups
 
 #: Pieces packed together by one task.
@@ -105,14 +105,21 @@ def _improve(donor: list[int], taker: list[int], lengths: np.ndarray, capacity:
         for mine, other, flip in ((own, theirs, False), (theirs, own, True)):
             if len(mine) < 2:
                 continue
-            p, q = np.triu_indices(min(len(mine), 64), 1)
+            p, q = np.triu_indices(len(mine), 1)
             pair = mine[p] + mine[q]
-            gain = (other[None, :] - pair[:, None]) if flip else (pair[:, None] - other[None, :])
-            gain[(gain <= 0) | (gain > free)] = 0
-            if gain.size and int(gain.max()) > best:
-                best = int(gain.max())
-                x, y = np.unravel_index(int(gain.argmax()), gain.shape)
-                two, one = [int(p[x]), int(q[x])], [int(y)]
+            # of each pair's partners, the one that fills the most room
+            order = np.argsort(other, kind="stable")
+            ranked = other[order]
+            if flip:
+                at = np.searchsorted(ranked, pair + free, "right") - 1
+                gain = np.where(at >= 0, ranked[np.maximum(at, 0)] - pair, 0)
+            else:
+                at = np.searchsorted(ranked, pair - free, "left")
+                gain = np.where(at < len(ranked), pair - ranked[np.minimum(at, len(ranked) - 1)], 0)
+            if len(gain) and int(gain.max()) > best:
+                x = int(gain.argmax())
+                best = int(gain[x])
+                two, one = [int(p[x]), int(q[x])], [int(order[at[x]])]
                 change = (one, two) if flip else (two, one)
     if change is None:
         return False
@@ -186,7 +193,8 @@ def pack(piece_rows: DataFrame, capacity: int, group_pieces: int = GROUP_PIECES)
         pdf["offset"] = offset
         return pdf.drop(columns="_group")
 
-    group = F.pmod(F.xxhash64("doc_id", "piece", "length", F.lit("deal")), F.lit(groups))
+    # by place in the written table, so equal rows spread like others
+    group = F.pmod(dealt(), F.lit(groups))
     return piece_rows.withColumn("_group", group).groupBy("_group").applyInPandas(one, schema)
 
 
