@@ -100,17 +100,26 @@ class Model:
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
-    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0
+    """A row without an id counts as held out: it can't be told from the labelled ones."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(True))
+
+
+def settled(labels: DataFrame) -> DataFrame:
+    """(doc_id, toxic) of ids that are not held out and have one label; ids with both are left out."""
+    known = labels.where(F.col("toxic").isin(0, 1) & ~held_out())
+    sums = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("_most"))
+    return sums.where("toxic = _most").drop("_most")
 
 
 def training_sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """At most SAMPLE_PER_CLASS labelled texts of each class that is not held out."""
-    known = labels.where(F.col("toxic").isin(0, 1) & ~held_out()).select(F.col("doc_id").cast("long").alias("doc_id"), "toxic")
+    known = settled(labels)
     order = F.md5(F.concat(F.lit("fit:"), F.col("doc_id").cast("string")))
     some = [known.where(F.col("toxic") == k).orderBy(order, "doc_id").limit(SAMPLE_PER_CLASS) for k in (0, 1)]
-    ids = some[0].union(some[1]).dropDuplicates(["doc_id"])
-    # at most 2 * SAMPLE_PER_CLASS ids, so every executor can hold them
-    return docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(ids), "doc_id")
+    ids = some[0].union(some[1])
+    # at most 2 * SAMPLE_PER_CLASS ids, so every executor can hold them; of rows that share an id, one is learnt from
+    found = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(ids), "doc_id")
+    return found.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
 
 
 def fit(rows: list[tuple[int, np.ndarray]], prior: float) -> Model:
@@ -154,7 +163,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
                 own = [np.unique(value[a:b]).tobytes() for a, b in zip(of[:-1], of[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(own, pa.binary())], ["toxic", "features"])
 
-    shares = labels.where(F.col("toxic").isin(0, 1) & ~held_out()).agg(F.avg("toxic")).first()[0]
+    shares = settled(labels).agg(F.avg("toxic")).first()[0]
     found = training_sample(docs, labels).select("text", F.col("toxic").cast("int")).mapInArrow(extract, "toxic int, features binary").toArrow()
     rows = [(k, np.frombuffer(f, np.int32)) for k, f in zip(found.column("toxic").to_pylist(), found.column("features").to_pylist(), strict=True)]
     return fit(rows, shares or 0.0)
