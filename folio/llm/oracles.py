@@ -17,19 +17,29 @@ _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghi
 
 
 def _mixing() -> str:
-    """The sweeps are unrolled; more of them than the data need change nothing."""
-    sizes = {c: f"(length(t) - length(translate(t, '{c}', '')))" for c in ("|", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "#*$%&<>")}
-    pipe, upper, mark = (f"{x} / greatest(length(t), 1)" for x in sizes.values())
+    """The sweeps are unrolled."""
+    groups = range(mixing.TOPICS)
+    counts = ", ".join(f"length(f) - length(translate(f, '{mixing.letters(k)}', '')) AS c{k}" for k in groups)
+    sums = ", ".join(f"sum(c{k}) AS s{k}" for k in groups)
+    whole = " + ".join(f"s{k}" for k in groups)
+    shares = ", ".join(f"s{k} / ({whole}) AS m{k}" for k in groups)
+    above = ", ".join(f"CASE WHEN c{k} > 0 THEN c{k} / m{k} ELSE 0.0::DOUBLE END" for k in groups)
+    named = " ".join(f"WHEN CASE WHEN c{k} > 0 THEN c{k} / m{k} ELSE 0.0::DOUBLE END = top THEN 'group{k}'" for k in groups)
+    spaces = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
     sql = f"""
-WITH d AS MATERIALIZED (SELECT doc_id, coalesce(source, chr(0) || 'null') AS source, coalesce(lang, chr(0) || 'null') AS lang, coalesce(text, '') AS t FROM documents),
-g AS MATERIALIZED (SELECT doc_id, source, lang, len({_WORDS.format("t")}) AS n, CASE WHEN {pipe} > 0.05 THEN 'table' WHEN {upper} > 0.3 THEN 'shout' WHEN {mark} > 0.1 THEN 'symbol' ELSE 'prose' END AS topic FROM d),
+WITH d AS MATERIALIZED (SELECT doc_id, coalesce(source, chr(0) || 'null') AS source, coalesce(lang, chr(0) || 'null') AS lang,
+  translate(regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]*([^\\x20\\x09-\\x0D])[^\\x20\\x09-\\x0D]*[\\x20\\x09-\\x0D]*', '\\1', 'g'), {spaces}, '') AS f FROM documents),
+c AS MATERIALIZED (SELECT doc_id, source, lang, length(f) AS n, {counts} FROM d),
+m AS MATERIALIZED (SELECT {shares} FROM (SELECT {sums} FROM c)),
+t AS MATERIALIZED (SELECT *, greatest({above}) AS top FROM c, m),
+g AS MATERIALIZED (SELECT doc_id, source, lang, n, CASE WHEN top = 0 THEN 'none' {named} END AS topic FROM t),
 w0 AS MATERIALIZED (SELECT source, lang, topic, CAST(sum(n) AS DOUBLE) AS n, CAST(sum(n) AS DOUBLE) AS w FROM g GROUP BY source, lang, topic HAVING sum(n) > 0),
 all_ AS MATERIALIZED (SELECT sum(n) AS n FROM w0)"""
-    for name, power in (("source", 0.5), ("lang", 0.7), ("topic", 1.0)):
+    for name, power in mixing.POWERS.items():
         sql += f",\ngoal_{name} AS MATERIALIZED (SELECT {name}, p / sum(p) OVER () AS share FROM (SELECT {name}, pow(sum(n), {power}::DOUBLE) AS p FROM w0 GROUP BY {name}))"
     k = 0
-    for _ in range(12):
-        for name in ("source", "lang", "topic"):
+    for _ in range(mixing.SWEEPS):
+        for name in mixing.DIMENSIONS:
             sql += f",\nw{k + 1} AS MATERIALIZED (SELECT a.source, a.lang, a.topic, a.n, a.w * b.share * (SELECT n FROM all_) / sum(a.w) OVER (PARTITION BY a.{name}) AS w FROM w{k} a JOIN goal_{name} b ON a.{name} = b.{name})"
             k += 1
     # the scale, in rounds that take cells at probability 1 out

@@ -34,7 +34,7 @@ U64 = np.uint64
 WINDOW = 8
 
 FEATURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_lower", "n_wide", "n_marks", "n_symbol_ends"]
-#: Before the names of the counts, so that no column of the documents clashes.
+#: Before the names of the counts.
 PREFIX = "_count_"
 
 
@@ -88,16 +88,19 @@ def _counts(column: pa.Array) -> list[pa.Array]:
 
 
 def with_features(docs: DataFrame) -> DataFrame:
-    """All columns, and the counts of each document's whole text under ``PREFIX``."""
-    names = [*docs.columns, *(PREFIX + x for x in FEATURES)]
-    schema = StructType([*docs.schema.fields, *(StructField(PREFIX + x, LongType()) for x in FEATURES)])
+    """(doc, counts of its whole text under ``PREFIX``); ``doc`` holds the row as it was."""
+    names = ["doc", *(PREFIX + x for x in FEATURES)]
+    packed = docs.select(F.struct("*").alias("doc"))
+    schema = StructType([*packed.schema.fields, *(StructField(PREFIX + x, LongType()) for x in FEATURES)])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in text_groups(whole, "text"):
-                yield pa.RecordBatch.from_arrays([*batch.columns, *_counts(batch.column("text"))], names)
+            doc = whole.column("doc")
+            both = pa.RecordBatch.from_arrays([doc, doc.field("text")], ["doc", "text"])
+            for batch in text_groups(both, "text"):
+                yield pa.RecordBatch.from_arrays([batch.column("doc"), *_counts(batch.column("text"))], names)
 
-    return docs.mapInArrow(count, schema)
+    return packed.mapInArrow(count, schema)
 
 
 def count(name: str) -> Column:
@@ -200,7 +203,8 @@ def p_good(model: LabelModel, rules: list[VoteRule]) -> Column:
 
 def quality(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """doc_id, the counts, base_failed, p_good and kept of every document."""
-    counted = materialize(with_features(docs.select(F.col("doc_id").cast("long"), "text")).drop("text"), "quality-features")
+    counted = with_features(docs.select(F.col("doc_id").cast("long"), "text"))
+    counted = materialize(counted.select(F.col("doc.doc_id").alias("doc_id"), *(PREFIX + x for x in FEATURES)), "quality-features")
     rules = vote_rules()
     judged = counted.withColumn("p_good", p_good(fit(counted, rules), rules)).withColumn("base_failed", base_failed())
     return judged.select("doc_id", *(count(x).alias(x) for x in FEATURES), "base_failed", "p_good", (~F.col("base_failed") & (F.col("p_good") >= least)).alias("kept"))
@@ -215,4 +219,4 @@ def keep_good(docs: DataFrame, least: float = 0.5) -> DataFrame:
     rules = vote_rules()
     counted = with_features(docs)
     model = fit(with_features(docs.select("text")), rules)
-    return counted.where(~base_failed() & (p_good(model, rules) >= least)).select(*docs.columns)
+    return counted.where(~base_failed() & (p_good(model, rules) >= least)).select("doc.*")
