@@ -32,8 +32,8 @@ from folio.llm.shared import free_name, in_few, materialize
 
 #: The fit ends when no marginal is off by more than this share of all tokens, or after so many sweeps.
 TOLERANCE = 1e-12
-SWEEPS = 24
-SWEEPS_A_PLAN = 4
+SWEEPS = 40
+SWEEPS_A_PLAN = 8
 #: Cells that one partition holds.
 FEW_CELLS = 100_000
 #: A gap that is reported.
@@ -43,7 +43,7 @@ BUDGET = 0.5
 DIMENSIONS = ("source", "lang", "topic")
 #: How far each marginal is drawn to even shares where no target is given: 1 keeps its mix.
 POWERS = {"source": 0.5, "lang": 0.7, "topic": 0.5}
-TOPICS = 8
+TOPICS = 4
 SPACES = " \t\n\x0b\x0c\r"
 NULL = "\0null"
 
