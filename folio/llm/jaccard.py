@@ -14,9 +14,9 @@ Sets that share a signature are verified exactly, and no others. Every set is fi
 compared with one hub, the set it meets most often among those its signatures name;
 most members of a group of near copies so join one component for one comparison each.
 What is left, sets of different components on the list of one signature, is compared
-without exception: long lists are cut into tiles, every pair of tiles that may hold a
-pair of different components is one group of bounded size, and its overlaps come from
-matrix products. Pairs are never rows, and only a spanning forest of the links leaves
+without exception: lists that meet are one group, long ones are cut into tiles, every
+pair of tiles that may hold a pair of different components is a group of bounded size,
+and the overlaps of each list come from matrix products. Pairs are never rows, and only a spanning forest of the links leaves
 a group. Equal sets are one node from the start.
 
 Counts come from ``blockcounts``: no shingle list is collected, broadcast or sampled.
@@ -220,19 +220,22 @@ def _linked(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
 
 
 def _compare(table: pa.Table) -> pa.Table:
-    """Links of one pair of tiles of a list, or of the short lists of one bin, as a forest."""
+    """Links within the lists of one group, or between two tiles of it, as a forest.
+
+    Lists are taken one by one, so sets that share none are never compared.
+    """
     sets = [np.frombuffer(x, U64) for x in table.column("shingles").to_pylist()]
-    ids, sig, tile = (table.column(c).to_numpy() for c in ("set_id", "sig", "tile"))
+    ids, tile = table.column("set_id").to_numpy(), table.column("tile").to_numpy()
     one, two = table.column("one")[0].as_py(), table.column("two")[0].as_py()
-    if one < 0:
-        order = np.argsort(sig, kind="stable")
-        groups = np.split(order, np.flatnonzero(np.diff(sig[order])) + 1)
-        sides = [(g, g) for g in groups]
-    else:
-        sides = [(np.flatnonzero(tile == one), np.flatnonzero(tile == two))]
+    lists: dict[int, list[int]] = {}
+    for k, own in enumerate(table.column("lists").to_pylist()):
+        for sig in own:
+            lists.setdefault(sig, []).append(k)
     a, b = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    for left, right in sides:
-        if len(left) and len(right):
+    for members in {tuple(x) for x in lists.values()}:
+        own = np.array(members)
+        left, right = own[tile[own] == one], own[tile[own] == two]
+        if len(left) and len(right) and len(own) > 1:
             new = spanning(_linked([sets[k] for k in left], [sets[k] for k in right]), ids[left], ids[right])
             a, b = np.concatenate([a, new[0]]), np.concatenate([b, new[1]])
     release()
@@ -244,27 +247,32 @@ def meetings(sigs: DataFrame) -> DataFrame:
 
     ``sigs``: sig, set_id, component. The list of a signature is the sets that have it.
     Lists of one component need no comparison, and of lists with the same members (known
-    by their number and 128 bits) one is enough. A list beyond a tile's size is cut into
-    tiles; members of its largest component need not be compared with each other, so
-    their tiles meet only those of the rest. Short lists share bins. Only sets of one
-    list ever meet: (sig, set_id, tile, group, one, two), a group per (group, one, two).
+    by their number and 128 bits) one is enough. Lists that have the same smallest member
+    are one group, and so are all lists of a family, sets that meet directly or through
+    others, if it is no larger than a tile: a set is sent to a group once, with the lists
+    that it is in. A larger group is cut into tiles; members of its largest component need
+    not be compared with each other, so their tiles meet only those of the rest.
+    Result: (group, one, two, tile, set_id, lists), a comparison per (group, one, two).
     """
-    lists = sigs.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("all"), F.bit_xor(F.xxhash64("set_id")).alias("f1"), F.bit_xor(F.xxhash64(F.lit(1), "set_id")).alias("f2"))
-    lists = lists.where("x < y").groupBy("all", "f1", "f2").agg(F.min("sig").alias("sig")).select("sig", "all")
-    members = materialize(sigs.join(lists, "sig").select("sig", "all", "set_id", "component"), "lists")
-    sizes = members.where(F.col("all") > TILE_SETS).groupBy("sig", "component").agg(F.count(F.lit(1)).alias("n"))
-    main = sizes.groupBy("sig").agg(F.max(F.struct("n", "component")).alias("main")).select("sig", F.col("main.n").alias("n_main"), F.col("main.component").alias("main"))
-    bins = F.lit(max(1, members.count() // TILE_SETS))
+    lists = sigs.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("all"), F.min("set_id").alias("hub"), F.bit_xor(F.xxhash64("set_id")).alias("f1"), F.bit_xor(F.xxhash64(F.lit(1), "set_id")).alias("f2"))
+    lists = lists.where("x < y").groupBy("all", "f1", "f2").agg(F.min(F.struct("sig", "hub")).alias("x")).select("x.sig", "x.hub")
+    met = materialize(sigs.join(lists, "sig").select("sig", "hub", "set_id", "component"), "lists")
+    families = components(met.select(F.col("set_id").alias("src"), F.col("hub").alias("dst"))).select(F.col("node").alias("set_id"), F.col("component").alias("family"))
+    small = families.groupBy("family").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= TILE_SETS).select("family")
+    met = met.join(families.join(small, "family"), "set_id", "left").withColumn("group", F.coalesce("family", "hub"))
+    members = met.groupBy("group", "set_id").agg(F.any_value("component").alias("component"), F.collect_list("sig").alias("lists"))
+    members = materialize(members, "meetings")
+    sizes = members.groupBy("group", "component").agg(F.count(F.lit(1)).alias("n"))
+    of_group = sizes.groupBy("group").agg(F.sum("n").alias("all"), F.max(F.struct("n", "component")).alias("main")).where(F.col("all") > TILE_SETS).select("group", "all", F.col("main.n").alias("n_main"), F.col("main.component").alias("main"))
     tiles = lambda n: F.ceil(n / TILE_SETS).cast("int")
     hashed = F.xxhash64("set_id")
-    placed = members.join(main, "sig", "left").withColumn("small", F.col("all") <= TILE_SETS).withColumn("mains", tiles(F.col("n_main"))).withColumn("rest", tiles(F.col("all") - F.col("n_main")))
-    is_main = F.col("component") == F.col("main")
-    placed = placed.withColumn("tile", F.when(F.col("small"), 0).when(is_main, F.pmod(hashed, "mains")).otherwise(F.col("mains") + F.pmod(hashed, F.greatest("rest", F.lit(1)))).cast("int"))
-    whole = F.col("mains") + F.col("rest") - 1
-    partners = F.when(F.col("small"), F.array(F.lit(-1))).when(is_main, F.sequence("mains", whole)).otherwise(F.sequence(F.lit(0), whole))
-    met = placed.withColumn("partner", F.explode(partners))
-    pair = lambda f: F.when(F.col("small"), F.lit(-1)).otherwise(f("tile", "partner"))
-    return met.select("sig", "set_id", "tile", F.when(F.col("small"), F.pmod(F.xxhash64("sig"), bins)).otherwise(F.col("sig")).alias("group"), pair(F.greatest).alias("one"), pair(F.least).alias("two"))
+    placed = members.join(of_group, "group", "left").withColumn("mains", tiles(F.col("n_main"))).withColumn("rest", tiles(F.col("all") - F.col("n_main")))
+    whole, is_main = F.col("all").isNull(), F.col("component") == F.col("main")
+    placed = placed.withColumn("tile", F.when(whole, 0).when(is_main, F.pmod(hashed, "mains")).otherwise(F.col("mains") + F.pmod(hashed, F.greatest("rest", F.lit(1)))).cast("int"))
+    last = F.col("mains") + F.col("rest") - 1
+    partners = F.when(whole, F.array(F.lit(0))).when(is_main, F.when(F.col("rest") > 0, F.sequence("mains", last)).otherwise(F.array().cast("array<int>"))).otherwise(F.sequence(F.lit(0), last))
+    paired = placed.withColumn("partner", F.explode(partners))
+    return paired.select("group", F.greatest("tile", "partner").alias("one"), F.least("tile", "partner").alias("two"), "tile", "set_id", "lists")
 
 
 def cross_links(sigs: DataFrame, sets: DataFrame) -> DataFrame:

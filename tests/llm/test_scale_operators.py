@@ -266,7 +266,7 @@ def test_mixing_meets_its_targets(spark, sf):
     mixed = mixing.mix(docs).withColumn("w", F.col("factor") * F.col("n_tokens")).cache()
     total = mixed.agg(F.sum("n_tokens"), F.sum("w"), F.sum(F.col("probability") * F.col("n_tokens"))).first()
     assert math.isclose(total[0], total[1], rel_tol=1e-6) and math.isclose(total[2], mixing.BUDGET * total[0], rel_tol=1e-6)
-    for dimension, power in (("source", 0.5), ("lang", 0.7), ("topic", 1.0)):
+    for dimension, power in mixing.POWERS.items():
         rows = mixed.groupBy(dimension).agg(F.sum("n_tokens").alias("t"), F.sum("w").alias("w")).collect()
         scale = sum(r.t**power for r in rows)
         for r in rows:
