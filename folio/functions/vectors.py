@@ -78,3 +78,30 @@ def blend(parts: list[tuple[Column, float]]) -> Column:
 
 def _add(x: Column, y: Column, weight: float) -> Column:
     return F.zip_with(x, y, lambda a, b: a + b * weight)
+
+
+def masked_argmax(p: Column, allowed: Column) -> Column:
+    """The best of the allowed labels (an array of numbers), of all where none is."""
+    inside = F.transform(p, lambda v, k: F.when(F.array_contains(allowed, k), v).otherwise(-1.0))
+    return F.when(F.size(allowed) > 0, argmax(inside)).otherwise(argmax(p))
+
+
+def without_prior(p: Column, prior_logs: list[float]) -> Column:
+    """Probabilities with each label's mean log-probability taken out, normalised again."""
+    logs = F.array(*(F.lit(float(x)) for x in prior_logs))
+    return softmax(F.zip_with(p, logs, lambda v, q: F.ln(v + 1e-12) - q))
+
+
+def simplex_grid(n: int, steps: int = 10) -> list[tuple[float, ...]]:
+    """All weights of n parts, in multiples of 1 / steps, that sum to one."""
+    if n == 1:
+        return [(1.0,)]
+    out: list[tuple[int, ...]] = [(k,) for k in range(steps + 1)]
+    for _ in range(n - 2):
+        out = [(*x, k) for x in out for k in range(steps + 1 - sum(x))]
+    return [tuple(k / steps for k in (*x, steps - sum(x))) for x in out]
+
+
+def geometric_grid(low: float, high: float, n: int) -> list[float]:
+    """n numbers from low to high in equal ratios."""
+    return [low * (high / low) ** (k / (n - 1)) for k in range(n)]

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folio.functions import headings as H
 from folio.functions import text as T
 
 TARGET, OVERLAP, LEAST, SECTION_MOST = 200, 40, 25, 260
@@ -41,14 +43,16 @@ def paragraph_chunk(text: Column, title: Column) -> Column:
 
 
 def markdown_sections(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, section_index, heading, section, body) of # headings; text before the first has index 0."""
-    lines = docs.select(key, F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("_at", "_line"))
-    heading = F.regexp_extract("_line", r"^#{1,6}\s+(.*\S)\s*$", 1)
-    running = Window.partitionBy(key).orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
-    marked = lines.withColumn("_h", heading).withColumn("section_index", F.sum(F.when(F.col("_h") != "", 1).otherwise(0)).over(running))
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("_h") == "", F.struct("_at", "_line")))), lambda x: x["_line"]), "\n")
-    out = marked.groupBy(key, "section_index").agg(F.max("_h").alias("heading"), F.trim(body).alias("body"))
-    return out.withColumn("section", F.when(F.col("section_index") == 0, "abstract").otherwise(T.normalise_heading(F.col("heading"))))
+    """(key, section_index, heading, section, body) of # headings; text before the first has index 0.
+
+    One expression over the lines of a text: none becomes a row. Null and empty texts
+    have one empty section; rows that repeat a key are cut each.
+    """
+    pattern = r"^#{1,6}\s+(.*\S)\s*$"
+    parts = H.cut_at_headings(F.col(text), lambda x: x.rlike(pattern), lambda x: F.regexp_extract(x, pattern, 1), keep_empty=True)
+    rows = docs.select(key, F.inline(parts))
+    section = F.when(F.col("section_index") == 0, "abstract").otherwise(T.normalise_heading(F.col("heading")))
+    return rows.select(key, F.col("section_index").cast("long").alias("section_index"), F.coalesce("heading", F.lit("")).alias("heading"), "body", section.alias("section"))
 
 
 def section_chunks(sections: DataFrame, key: str, most: int | None = None) -> DataFrame:
@@ -70,46 +74,100 @@ def classifiable(chunks: DataFrame, key: str) -> DataFrame:
     return chunks.withColumn("_only", only_noise).where(~noise | F.col("_only")).drop("_only")
 
 
-def _pack(paragraphs: list[list[str]]) -> list[list[str]]:
-    """Paragraphs gathered up to the target; each flush starts the next with its last words."""
-    out: list[list[str]] = []
+def _spans(n: int) -> list[tuple[int, int]]:
+    """The word windows of n words."""
+    starts = range(0, max(n - OVERLAP, 1), TARGET - OVERLAP)
+    return [(a, min(a + TARGET, n)) for a in starts] if n else []
+
+
+def _pack(paragraphs: list[str]) -> list[str]:
+    """Paragraphs gathered up to the target; each flush starts the next with its last words.
+
+    A paragraph above the target is cut into windows of its own. A buffer of fewer than
+    ``LEAST`` words is not flushed for a paragraph that doesn't fit, but takes it in.
+    """
+    out: list[str] = []
     held: list[str] = []
-    fresh = False  # does held have words that no chunk has?
-    for words in paragraphs:
+    size = 0
+
+    def flush() -> None:
+        nonlocal held, size
+        piece = "\n\n".join(held).strip()
+        if piece:
+            out.append(piece)
+        tail = piece.split()[-OVERLAP:]
+        held, size = [" ".join(tail)] if tail else [], len(tail)
+
+    for text in paragraphs:
+        words = text.split()
         if len(words) > TARGET:
-            if held and fresh:
-                out.append(held)
-            held, fresh = [], False
-            at = 0
-            while True:
-                out.append(words[at : at + TARGET])
-                if at + TARGET >= len(words):
-                    break
-                at += TARGET - OVERLAP
+            if held:
+                flush()
+            out += [" ".join(words[a:b]) for a, b in _spans(len(words))]
+            held, size = [], 0
             continue
-        if held and len(held) + len(words) > TARGET:
-            out.append(held)
-            held = held[-OVERLAP:]
-        held, fresh = held + words, True
-    if held and fresh:
-        if out and len(held) < LEAST:
-            out[-1] = out[-1] + held
-        else:
-            out.append(held)
+        if size + len(words) > TARGET and size >= LEAST:
+            flush()
+        held.append(text)
+        size += len(words)
+    if held:
+        flush()
     return out
 
 
-def article_chunks(docs: DataFrame, key: str, text: str = "text", paragraph: str = "\n", most: int | None = None) -> DataFrame:
-    """Greedy paragraph packing. What a chunk holds depends on all before it, so each
-    document is folded in Python, in Arrow batches; all or the first ``most`` chunks."""
+_BLANK_LINES = re.compile(r"\n\s*\n+")
+
+
+def _paragraphs(text: str | None) -> list[str]:
+    return [x for x in (p.strip() for p in _BLANK_LINES.split(text or "")) if x]
+
+
+def article_chunks(docs: DataFrame, key: str, text: str = "text", most: int | None = None) -> DataFrame:
+    """Greedy packing of paragraphs, which blank lines part.
+
+    What a chunk holds depends on all before it, so each document is folded in Python,
+    in Arrow batches; all or the first ``most`` chunks. Null and blank texts have none.
+    """
     kind = docs.schema[key].dataType.simpleString()
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = []
-            for k, t in zip(pdf[key], pdf[text], strict=True):
-                parts = [w for w in (p.split() for p in (t or "").split(paragraph)) if w]
-                rows += [(k, n, len(c), " ".join(c)) for n, c in enumerate(_pack(parts)[:most])]
+            rows = [(k, n, len(c.split()), c) for k, t in zip(pdf[key], pdf[text], strict=True) for n, c in enumerate(_pack(_paragraphs(t))[:most])]
             yield pd.DataFrame(rows, columns=[key, "chunk_index", "n_words", "text"])
 
     return docs.select(key, text).mapInPandas(fold, f"{key} {kind}, chunk_index int, n_words int, text string")
+
+
+def document_chunks(docs: DataFrame, key: str, text: str = "text", title: str = "title", most: int | None = None) -> DataFrame:
+    """(key, doc_type, chunk_index, section, n_words, text): every document cut as its type asks.
+
+    A paragraph is one chunk behind its title, an abstract if it reads like one. A paper
+    is its title, then its sections, short ones whole and long ones in windows. An
+    article, or a paper without sections, is its title and packed paragraphs. Blank
+    texts have no chunks but a title's; null titles none.
+    """
+    kind = docs.schema[key].dataType.simpleString()
+    body = F.btrim(F.coalesce(F.col(text), F.lit("")), F.lit(" \t\n\r"))
+    one = paragraph_chunk(body, F.trim(F.col(title)))
+    parts = H.cut_at_headings(F.col(text), lambda x: H.heading_of_line(x).isNotNull(), H.heading_of_line)
+    named = F.transform(parts, lambda x: F.struct(F.when(x["heading"].isNull(), "abstract").otherwise(T.normalise_heading(x["heading"])).alias("section"), x["body"].alias("body")))
+    ready = H.typed(docs, text).select(F.col(key).alias("key"), "doc_type", F.trim(F.col(title)).alias("title"), F.col(text).alias("text"), one.alias("one"), F.when(T.looks_like_abstract(one), "abstract").otherwise("body").alias("one_section"), F.when(F.col("doc_type") == "paper", named).alias("parts"))
+
+    def cut(row) -> list[tuple[str, str]]:
+        if row.doc_type == "paragraph":
+            return [(row.one_section, row.one)] if row.one else []
+        out = [("title", row.title)] if row.title else []
+        if row.doc_type != "paper" or row.parts is None or not len(row.parts):
+            return out + [("body", x) for x in _pack(_paragraphs(row.text))]
+        for part in row.parts:
+            words = part["body"].split()
+            short = len(words) <= SECTION_MOST
+            out += [(part["section"], part["body"])] if short else [(part["section"], " ".join(words[a:b])) for a, b in _spans(len(words))]
+        return out
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(r.key, r.doc_type, n, section, len(x.split()), x) for r in pdf.itertuples() for n, (section, x) in enumerate(cut(r)[:most])]
+            yield pd.DataFrame(rows, columns=[key, "doc_type", "chunk_index", "section", "n_words", "text"])
+
+    return ready.mapInPandas(fold, f"{key} {kind}, doc_type string, chunk_index int, section string, n_words int, text string")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.functions import vectors as V
@@ -11,6 +11,17 @@ from folio.operators.relational import running_sums
 INFINITY = float("inf")
 
 
+def size_histogram(rows: DataFrame, labels: str) -> DataFrame:
+    """(set_size, n, share) of prediction sets."""
+    counts = rows.groupBy(F.size(labels).alias("set_size")).agg(F.count(F.lit(1)).alias("n"))
+    return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))
+
+
+def aps_randomised(probs: Column, uniform: Column) -> Column:
+    """For every label, the mass of labels ranked above it and a share of its own: ``uniform`` is a number in [0, 1) per row."""
+    return F.zip_with(aps(probs), probs, lambda s, p: s - uniform * p)
+
+
 def lac(probs: Column) -> Column:
     """1 - p for every label."""
     return F.transform(probs, lambda p: 1.0 - p)
@@ -33,23 +44,28 @@ def quantiles(calibration: DataFrame, score: str, alphas: list[float], group: st
     """([group,] alpha, n, qhat): order statistic min(k, n - 1) from 0, k = ceil((n + 1)(1 - alpha)).
 
     Infinite where k exceeds n. One running count of the distinct scores serves every
-    alpha, and no score list is gathered.
+    alpha, in one pass and without a join of data: the threshold is the least score whose
+    running count reaches k. Null scores don't count; without any score the threshold is infinite.
     """
     if not all(0 < a < 1 for a in alphas):
         raise ValueError("alpha must be between 0 and 1")
     keys = [group] if group else []
-    sizes = calibration.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    grid = F.explode(F.array(*(F.lit(float(a)) for a in alphas)))
-    want = sizes.select(*keys, "n", grid.alias("alpha")).withColumn("_k", F.ceil((F.col("n") + 1) * (F.lit(1.0) - F.col("alpha")))).withColumn("_at", F.least("_k", F.col("n") - 1) + 1)
-    # how many scores are at or below each distinct score
-    per = calibration.groupBy(*keys, score).agg(F.count(F.lit(1)).alias("_c"))
-    steps = running_sums(per, score, ["_c"], keys).withColumn("_hi", F.col("run__c")).withColumn("_lo", F.col("_hi") - F.col("_c"))
-    steps = steps.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col(score).alias("_score"), "_lo", "_hi")
-    on = (F.col("_at") > F.col("_lo")) & (F.col("_at") <= F.col("_hi"))
-    for k in keys:
-        on = on & (F.col(k) == F.col(f"_{k}"))
-    found = want.join(steps, on, "left")
-    return found.select(*keys, "alpha", "n", F.when(F.col("_k") > F.col("n"), F.lit(INFINITY)).otherwise(F.col("_score")).alias("qhat"))
+    scored = calibration.where(F.col(score).isNotNull())
+    per = scored.groupBy(*keys, score).agg(F.count(F.lit(1)).alias("_c"))
+    steps = running_sums(per, score, ["_c"], keys)
+    sizes = scored.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    # n is one row per group; the steps meet it and shrink to one value per alpha at once
+    if keys:
+        steps = steps.join(sizes, keys)
+    else:
+        steps = steps.withColumn("n", F.lit(sizes.first()[0]).cast("long"))
+    at = lambda a: F.least(F.ceil((F.col("n") + 1) * F.lit(1.0 - a)), F.col("n") - 1) + 1
+    found = [F.min(F.when(F.col("run__c") >= at(float(a)), F.col(score))).alias(f"_q{k}") for k, a in enumerate(alphas)]
+    least = steps.groupBy(*keys).agg(F.coalesce(F.max("n"), F.lit(0).cast("long")).alias("n"), *found)
+    rows = F.explode(F.array(*(F.struct(F.lit(float(a)).alias("alpha"), F.col(f"_q{k}").alias("q")) for k, a in enumerate(alphas))))
+    grid = least.select(*keys, "n", rows.alias("x"))
+    beyond = F.ceil((F.col("n") + 1) * (F.lit(1.0) - F.col("x.alpha"))) > F.col("n")
+    return grid.select(*keys, "x.alpha", "n", F.when(beyond, F.lit(INFINITY)).otherwise(F.col("x.q")).alias("qhat"))
 
 
 def prediction_set(score_vector: Column, qhat: Column) -> Column:

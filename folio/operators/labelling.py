@@ -7,10 +7,21 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folio.operators.relational import cap_groups
+
 PRIMARY_WEIGHT, SECONDARY_SHARE, AMBIGUITY_MARGIN = 2.0, 0.5, 0.25
 CATEGORY_WEIGHT, TITLE_WEIGHT, LEAST_MARGIN, LEAST_SCORE, LEAST_HITS = 3.0, 2.0, 0.20, 2.0, 2
 
 
+def _votes(items: DataFrame, key: str, categories: str, mapping: DataFrame) -> DataFrame:
+    """(key, label, v, o): every vote with its weight and its place."""
+    cats = items.select(key, F.posexplode(categories).alias("_at", "category"))
+    m = cats.join(mapping, "category").withColumn("_w", F.when(F.col("_at") == 0, PRIMARY_WEIGHT).otherwise(1.0))
+    first = F.struct(F.col("label"), (F.col("_w") * F.col("strength")).alias("v"), (2 * F.col("_at")).alias("o"))
+    second = F.struct(F.col("secondary").alias("label"), (F.col("_w") * (1 - F.col("strength")) * SECONDARY_SHARE).alias("v"), (2 * F.col("_at") + 1).alias("o"))
+    return m.select(key, F.explode(F.array(first, second)).alias("x")).where("x.label is not null").select(key, "x.*")
+
+
 def vote_labels(items: DataFrame, key: str, categories: str, mapping: DataFrame) -> DataFrame:
     """A label per item by weighted vote over its categories.
 
@@ -18,12 +29,7 @@ def vote_labels(items: DataFrame, key: str, categories: str, mapping: DataFrame)
     counts double; a secondary label gets half of what strength leaves. Ties go to
     the label voted for first. Items without a mapped category get null, ambiguous.
     """
-    cats = items.select(key, F.posexplode(categories).alias("_at", "category"))
-    m = cats.join(mapping, "category").withColumn("_w", F.when(F.col("_at") == 0, PRIMARY_WEIGHT).otherwise(1.0))
-    first = F.struct(F.col("label"), (F.col("_w") * F.col("strength")).alias("v"), (2 * F.col("_at")).alias("o"))
-    second = F.struct(F.col("secondary").alias("label"), (F.col("_w") * (1 - F.col("strength")) * SECONDARY_SHARE).alias("v"), (2 * F.col("_at") + 1).alias("o"))
-    votes = m.select(key, F.explode(F.array(first, second)).alias("x")).where("x.label is not null")
-    sums = votes.groupBy(key, "x.label").agg(F.sum("x.v").alias("v"), F.min("x.o").alias("o"))
+    sums = _votes(items, key, categories, mapping).groupBy(key, "label").agg(F.sum("v").alias("v"), F.min("o").alias("o"))
     ranked = F.array_sort(F.collect_list(F.struct((-F.col("v")).alias("neg"), "o", "label")))
     out = sums.groupBy(key).agg(ranked.alias("r"), F.sum("v").alias("total"))
     second_v = F.coalesce(-F.try_element_at("r", F.lit(2))["neg"], F.lit(0.0))
@@ -38,26 +44,61 @@ def keyword_pattern(keyword: Column) -> Column:
     return F.when(keyword.contains(" ") | (F.length(keyword) > 12), literal).otherwise(F.concat(F.lit(r"\b"), literal, F.lit(r"\w*")))
 
 
-def keyword_labels(items: DataFrame, key: str, title: str, body: str, category: str, fields: DataFrame) -> DataFrame:
+def keyword_scores(title: Column, body: Column, category: Column, fields: list[tuple]) -> Column:
+    """Per field a struct (neg, field_index, field, hits, cat), best first, ties by field_index.
+
+    ``fields``: (field, field_index, pattern, categories), a parameter of tens of rows.
+    """
+
+    def found(text: Column, pattern: str) -> Column:
+        return F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(pattern), F.lit(0)))
+
+    rows = []
+    for name, index, pattern, categories in fields:
+        t, b = found(title, pattern), found(body, pattern)
+        cat = F.coalesce(category.isin(*categories), F.lit(False)) if categories else F.lit(False)
+        score = F.when(cat, CATEGORY_WEIGHT).otherwise(0.0) + TITLE_WEIGHT * F.size(t) + F.size(F.array_except(b, t))
+        rows.append(F.struct((-score).alias("neg"), F.lit(index).alias("field_index"), F.lit(name).alias("field"), F.size(F.array_union(t, b)).alias("hits"), cat.alias("cat")))
+    return F.array_sort(F.array(*rows))
+
+
+def keyword_labels(items: DataFrame, key: str, title: str, body: str, category: str, fields: list[tuple]) -> DataFrame:
     """Score every field on distinct phrases and the item's category; keep a clear winner.
 
-    ``fields``: field, field_index, pattern (one alternation), categories. The field
-    table is a dimension of tens of rows and is broadcast by Spark's own size check.
+    All fields are looked for in one expression, so a text is read where it lies: no
+    join, no shuffle. Null texts and categories give no evidence; rows that repeat a
+    key are labelled each.
     """
-    def found(text: str) -> Column:
-        return F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.col("pattern"), F.lit(0)))
-
-    every = items.select(key, title, body, category).join(fields, F.lit(True))
-    scored = every.withColumn("_t", found(title)).withColumn("_b", found(body)).withColumn("_cat", F.coalesce(F.array_contains("categories", F.col(category)), F.lit(False)))
-    score = F.when(F.col("_cat"), CATEGORY_WEIGHT).otherwise(0.0) + TITLE_WEIGHT * F.size("_t") + F.size(F.array_except("_b", "_t"))
-    scored = scored.select(key, "field", "field_index", "_cat", score.alias("s"), F.size(F.array_union("_t", "_b")).alias("hits"))
-    r = F.array_sort(F.collect_list(F.struct((-F.col("s")).alias("neg"), "field_index", "field", "hits", "_cat")))
-    out = scored.groupBy(key).agg(r.alias("r"), F.sum("s").alias("total"))
-    top = F.col("r")[0]
-    margin = F.when(F.col("total") > 0, (-top["neg"] + F.coalesce(F.try_element_at("r", F.lit(2))["neg"], F.lit(0.0))) / F.col("total")).otherwise(0.0)
-    enough = (-top["neg"] >= LEAST_SCORE) & (top["_cat"] | (top["hits"] >= LEAST_HITS)) & (margin >= LEAST_MARGIN)
-    evidence = F.when(~enough, "none").when(top["_cat"] & (top["hits"] > 0), "both").when(top["_cat"], "category").otherwise("keyword")
-    return out.select(key, F.when(enough, top["field"]).alias("field"), (-top["neg"]).alias("score"), margin.alias("margin"), evidence.alias("evidence"), F.try_element_at("r", F.lit(2))["field"].alias("runner_up"))
+    scored = items.select(key, keyword_scores(F.col(title), F.col(body), F.col(category), fields).alias("r"))
+    scored = scored.withColumn("total", F.aggregate("r", F.lit(0.0), lambda a, x: a - x["neg"]))
+    top, second = F.col("r")[0], F.try_element_at("r", F.lit(2))
+    margin = F.when(F.col("total") > 0, (-top["neg"] + F.coalesce(second["neg"], F.lit(0.0))) / F.col("total")).otherwise(0.0)
+    enough = (-top["neg"] >= LEAST_SCORE) & (top["cat"] | (top["hits"] >= LEAST_HITS)) & (margin >= LEAST_MARGIN)
+    evidence = F.when(~enough, "none").when(top["cat"] & (top["hits"] > 0), "both").when(top["cat"], "category").otherwise("keyword")
+    return scored.select(key, F.when(enough, top["field"]).alias("field"), (-top["neg"]).alias("score"), margin.alias("margin"), evidence.alias("evidence"), second["field"].alias("runner_up"))
+
+
+def keyword_vote(title: Column, body: Column, fields: list[tuple]) -> Column:
+    """Struct (field, hits): the field with most distinct phrases in title and body, if one leads alone with any."""
+    rows = []
+    for name, index, pattern, _ in fields:
+        hits = F.size(F.array_union(*(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(x, F.lit(""))), F.lit(pattern), F.lit(0))) for x in (title, body))))
+        rows.append(F.struct((-hits).alias("neg"), F.lit(index).alias("at"), F.lit(name).alias("field")))
+    r = F.array_sort(F.array(*rows))
+    first, second = r[0], F.try_element_at(r, F.lit(2))
+    alone = (first["neg"] < 0) & (second.isNull() | (second["neg"] > first["neg"]))
+    return F.struct(F.when(alone, first["field"]).alias("field"), (-first["neg"]).alias("hits"))
+
+
+def vote_distribution(items: DataFrame, key: str, categories: str, mapping: DataFrame, labels: list[str]) -> DataFrame:
+    """(key, p): the weighted votes of an item's categories as shares over ``labels``, in their order.
+
+    An item without a mapped category gets even shares. ``mapping`` is as for vote_labels.
+    """
+    votes = _votes(items, key, categories, mapping).groupBy(key).agg(*(F.sum(F.when(F.col("label") == x, F.col("v")).otherwise(0.0)).alias(f"_{k}") for k, x in enumerate(labels)))
+    sums = F.array(*(F.coalesce(f"_{k}", F.lit(0.0)) for k in range(len(labels))))
+    joined = items.select(key).distinct().join(votes, key, "left").select(key, sums.alias("s")).withColumn("t", F.aggregate("s", F.lit(0.0), lambda a, x: a + x))
+    return joined.select(key, F.transform("s", lambda x: F.when(F.col("t") > 0, x / F.col("t")).otherwise(1.0 / len(labels))).alias("p"))
 
 
 def self_training(scored: DataFrame, label: str, confidence: str, agrees: str, key: str, cap: int, sure: float = 0.9, likely: float = 0.7) -> DataFrame:
@@ -182,3 +223,45 @@ def label_model(votes: DataFrame, columns: list[str], rounds: int = 100, toleran
     schema = ", ".join(f"{c} int" for c in columns) + ", posterior double"
     table = spark.createDataFrame([(*map(int, p), q) for p, q in zip(pats, post, strict=True)], schema)
     return votes.join(table, columns), {"prior": prior, "sensitivity": sens, "specificity": spec}
+
+
+#: Phrasings of three facets that plain cues can't express.
+NAMED_ARTEFACT = r"\b(?:[Ww]e|[Tt]his (?:paper|work)) (?:propose|present|introduce|develop)s? [A-Z][\w-]*[A-Z0-9][\w-]*\s*[,(:]"
+IMPLEMENTATION = ("design and implementation", "designed and implemented", "we implemented", "is implemented in", "is implemented on", "is implemented as")
+EXPERIMENTS = r"(?i)\bexperiments? (?:on|with|show|demonstrate|reveal|indicate|confirm|conducted)|extensive experiments|experimental (?:evaluation|study|analysis|validation|comparison)|\bempirical(?:ly)? (?:results|evaluation|study|analysis|validat\w+|evidence)|evaluated (?:on|using|against|with)|state[- ]of[- ]the[- ]art (?:performance|results|accuracy|methods|approaches|baselines)"
+QUANTITY = r"\d+(?:\.\d+)?\s?(?:%|x\b|×|times\b|percentage points)"
+GAINS = ("improv", "reduc", "increas", "speed", "gain", "outperform", "lower", "boost")
+PROOF = r"(?i)regret bounds?|sample complexity|convergence (?:rate|guarantee)s?|provabl[ey]|theoretical guarantees?|we establish|approximation (?:ratio|factor|algorithm|guarantee)|hardness|decidab|polynomial[- ]time"
+BIG_O = r"(?<![A-Za-z])[OΘΩ]\((?:n|d|k|t|m|T|N|\\|log|1|sqrt|\d)"
+#: Characters before a quantity in which a gain word makes it a result.
+GAIN_REACH = 70
+#: One pattern: a gain word that lies whole within the reach of a quantity.
+QUANTIFIED_GAIN = "(?s)(?:" + "|".join(f"(?i:{g}).{{0,{GAIN_REACH - len(g)}}}" for g in GAINS) + f")(?:{QUANTITY})"
+
+
+def extended_evidence(text: Column) -> dict[str, Column]:
+    """One boolean for each of builds, evaluates and proves, from the text in its own case; null text has none."""
+    text = F.coalesce(text, F.lit(""))
+    low = F.lower(text)
+    built = text.rlike(NAMED_ARTEFACT)
+    for cue in IMPLEMENTATION:
+        built = built | F.contains(low, F.lit(cue))
+    return {"builds": built, "evaluates": text.rlike(EXPERIMENTS) | text.rlike(QUANTIFIED_GAIN), "proves": text.rlike(PROOF) | text.rlike(BIG_O)}
+
+
+def cue_scores(text: Column, cues: dict[str, list[str]]) -> dict[str, Column]:
+    """Per design, how many of its cues occur."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    return {name: sum((F.contains(low, F.lit(c)).cast("int") for c in own), F.lit(0)) for name, own in cues.items()}
+
+
+def cap_fields(df: DataFrame, field: str, key: str, most: int, share: float, seed: str = "fields") -> DataFrame:
+    """Rows of each field up to a cap: ``most``, or less where three medians and a share of all rows are.
+
+    The cap comes from the counts, one row per field, so one huge field can't set its own.
+    """
+    counts = df.where(F.col(field).isNotNull()).groupBy(field).agg(F.count(F.lit(1)).alias("n"))
+    middle, whole = counts.agg(F.median("n"), F.sum("n")).first()
+    if not whole:
+        return df.limit(0)
+    return cap_groups(df.where(F.col(field).isNotNull()), field, key, min(most, max(int(max(middle * 3, whole * share)), 1)), seed)

@@ -156,3 +156,58 @@ def bootstrap_difference(rows: DataFrame, key: str, a: str, b: str, resamples: i
         term /= k + 1
     means = each.withColumn("w", weight).groupBy("r").agg((F.sum(F.col("w") * F.col("d")) / F.nullif(F.sum("w"), F.lit(0))).alias("m"))
     return means.agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"), F.avg("m").alias("mean"))
+
+
+def routing_report(rows: DataFrame, labels: str, under_each: str, truth: str, group_truth: str) -> DataFrame:
+    """Does the shortlist of groups hold the right label? Coverage, candidates, routed and singleton shares.
+
+    ``labels``: array of groups ruled in; ``under_each``: the best label under every group.
+    """
+    size = F.size(labels)
+    hit = F.exists(labels, lambda g: F.element_at(F.col(under_each), g + 1) == F.col(truth))
+    return rows.agg(
+        F.count(F.lit(1)).alias("n"), _share(F.array_contains(labels, F.col(group_truth))).alias("set_coverage"), _share(hit).alias("label_in_candidates"), F.avg(size.cast("double")).alias("avg_candidates"),
+        _share(size != 1).alias("routed"), _share(size == 0).alias("empty"), _share(size == 1).alias("singleton"), F.avg(F.when(size == 1, hit.cast("double"))).alias("singleton_accuracy"),
+    )
+
+
+def cascade_report(rows: DataFrame, group_truth: str, group: str, truth: str, oracle: str, end_to_end: str, groups: list[str] | None = None) -> DataFrame:
+    """Accuracy of the group, of the label under the true and under the predicted group, and what that costs."""
+    right, ideal, real = F.col(group) == F.col(group_truth), F.col(oracle) == F.col(truth), F.col(end_to_end) == F.col(truth)
+    out = rows.groupBy(*(groups or [])).agg(F.count(F.lit(1)).alias("n"), _share(right).alias("group_accuracy"), _share(ideal).alias("oracle_accuracy"), _share(real).alias("end_to_end_accuracy"), F.avg(F.when(right, real.cast("double"))).alias("accuracy_given_group"))
+    return out.withColumn("cascade_loss", F.col("oracle_accuracy") - F.col("end_to_end_accuracy"))
+
+
+def abstaining_agreement(rows: DataFrame, truth: str, predicted: str, allowed: str) -> DataFrame:
+    """Agreement of a labeller that may give no label (null): coverage, strict, and with co-listed labels."""
+    there = F.col(predicted).isNotNull()
+    strict = F.col(truth) == F.col(predicted)
+    co = strict | F.array_contains(allowed, F.col(predicted))
+    return rows.agg(_share(there).alias("coverage"), F.count_if(there).alias("n"), F.avg(F.when(there, strict.cast("double"))).alias("strict"), F.avg(F.when(there, co.cast("double"))).alias("co_listed"))
+
+
+def breakdown(rows: DataFrame, group: str, correct: str, confidence: str) -> DataFrame:
+    """n, accuracy and mean confidence by group."""
+    return rows.groupBy(group).agg(F.count(F.lit(1)).alias("n"), _share(F.col(correct)).alias("accuracy"), F.avg(confidence).alias("confidence"))
+
+
+def weakest(rows: DataFrame, group: str, correct: str, k: int = 8, least: int = 10) -> DataFrame:
+    """The k groups of lowest accuracy among those with enough rows, ties by group."""
+    shares = rows.groupBy(group).agg(F.count(F.lit(1)).alias("n"), _share(F.col(correct)).alias("accuracy")).where(F.col("n") >= least)
+    return shares.orderBy("accuracy", group).limit(k)
+
+
+def kappas(rows: DataFrame, a: str, b: str, group: str) -> DataFrame:
+    """(group, n, agreement, kappa) of two label columns within each group, where both are given."""
+    cells = rows.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(group, a, b).agg(F.count(F.lit(1)).alias("n"))
+    sides = F.explode(F.array(F.struct(F.col(a).alias("x"), F.col("n").alias("na"), F.lit(0).cast("long").alias("nb")), F.struct(F.col(b).alias("x"), F.lit(0).cast("long").alias("na"), F.col("n").alias("nb"))))
+    chance = cells.select(group, sides.alias("s")).groupBy(group, "s.x").agg(F.sum("s.na").alias("na"), F.sum("s.nb").alias("nb")).groupBy(group).agg(F.sum(F.col("na") * F.col("nb")).alias("pe"))
+    same = cells.groupBy(group).agg(F.sum("n").alias("n"), F.sum(F.when(F.col(a) == F.col(b), F.col("n")).otherwise(0)).alias("same"))
+    po, pe = F.col("same") / F.col("n"), F.col("pe") / (F.col("n") * F.col("n"))
+    return same.join(chance, group).select(group, "n", po.alias("agreement"), F.when(pe < 1, (po - pe) / (1 - pe)).alias("kappa"))
+
+
+def smallest_best(curve: DataFrame, setting: str, value: str, slack: float = 1e-9) -> DataFrame:
+    """The smallest setting whose value is the best of the curve."""
+    top = curve.agg(F.max(value)).first()[0]
+    return curve.where(F.col(value) >= F.lit(top) - slack).orderBy(setting).limit(1)

@@ -29,26 +29,97 @@ def sample_per_group(df: DataFrame, groups: list[str], key: str, n: int, seed: s
     return top_per_group(df, groups, [shuffled(key, seed), F.col(key)], n)
 
 
+#: Leading hexadecimal digits of the shuffling hash that cut a group into parts: 256 of them.
+PART_DIGITS = 2
+
+
+def shuffled_ranks(df: DataFrame, groups: list[str], key: str, seed: str, amounts: list[str] | None = None) -> DataFrame:
+    """Add ``_place`` (from 1) and ``_n``, place and size in the shuffled group, and ``_run_<amount>``, running sums.
+
+    A group is cut by the first digits of its hash, each part is ranked on its own and
+    set behind the counts of the parts before it, so no task ranks a whole group. The
+    counts are at most 256 rows a group. Null groups are groups of their own.
+    """
+    amounts = amounts or []
+    cut = df.withColumn("_h", shuffled(key, seed)).withColumn("_part", F.substring("_h", 1, PART_DIGITS))
+    names = [f"_g{k}" for k in range(len(groups))]
+    parts = cut.groupBy(*groups, "_part").agg(F.count(F.lit(1)).alias("_c"), *(F.coalesce(F.sum(a), F.lit(0)).alias(f"_s_{a}") for a in amounts))
+    before = Window.partitionBy(*groups).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = parts.select(*(F.col(g).alias(n) for g, n in zip(groups, names, strict=True)), F.col("_part").alias("_p"), F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"), F.sum("_c").over(Window.partitionBy(*groups)).alias("_n"), *(F.coalesce(F.sum(f"_s_{a}").over(before), F.lit(0)).alias(f"_o_{a}") for a in amounts))
+    on = F.col("_part") == F.col("_p")
+    for g, n in zip(groups, names, strict=True):
+        on = on & F.col(g).eqNullSafe(F.col(n))
+    within = Window.partitionBy(*groups, "_part").orderBy("_h", key)
+    run = within.rowsBetween(Window.unboundedPreceding, 0)
+    out = cut.join(offsets, on).withColumn("_place", F.col("_before") + F.row_number().over(within))
+    for a in amounts:
+        out = out.withColumn(f"_run_{a}", F.col(f"_o_{a}") + F.coalesce(F.sum(a).over(run), F.lit(0)))
+    return out.drop("_h", "_part", "_p", "_before", *names, *(f"_o_{a}" for a in amounts))
+
+
 def add_splits(df: DataFrame, groups: list[str], key: str, train: float = 0.7, val: float = 0.15, seed: str = "split", guarantee: bool = False) -> DataFrame:
     """Stratified train, val and test by place in a shuffled group.
 
     With ``guarantee``, a group of three or more has at least one of val and test.
     """
-    order = Window.partitionBy(*groups).orderBy(shuffled(key, seed), key)
-    n = F.count(F.lit(1)).over(Window.partitionBy(*groups))
-    n_val = F.floor(n * F.lit(val))
-    n_train = F.floor(n * F.lit(train))
+    n = F.col("_n")
+    n_val, n_train = F.floor(n * F.lit(val)), F.floor(n * F.lit(train))
     if guarantee:
         n_val = F.when(n >= 3, F.greatest(n_val, F.lit(1))).otherwise(n_val)
         n_train = F.when(n >= 3, F.least(n_train, n - n_val - 1)).otherwise(n_train)
-    place = F.row_number().over(order)
-    return df.withColumn("split", F.when(place <= n_train, "train").when(place <= n_train + n_val, "val").otherwise("test"))
+    place = F.col("_place")
+    ranked = shuffled_ranks(df, groups, key, seed)
+    return ranked.withColumn("split", F.when(place <= n_train, "train").when(place <= n_train + n_val, "val").otherwise("test")).drop("_place", "_n")
 
 
 def running_cap(df: DataFrame, groups: list[str], key: str, size: str, cap: int, seed: str = "cap") -> DataFrame:
-    """Whole items of a shuffled group while their running size stays within the cap."""
-    w = Window.partitionBy(*groups).orderBy(shuffled(key, seed), key).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("_run", F.sum(size).over(w)).where(F.col("_run") <= cap).drop("_run")
+    """Whole items of a shuffled group while their running size stays within the cap; a null size counts as 0."""
+    return shuffled_ranks(df, groups, key, seed, [size]).where(F.col(f"_run_{size}") <= cap).drop(f"_run_{size}", "_place", "_n")
+
+
+def item_splits(df: DataFrame, item: str, group: str, train: float = 0.7, val: float = 0.15, seed: str = "split") -> DataFrame:
+    """Splits of rows by their item, so that no item's rows are in two of them; ``group`` is an item's stratum."""
+    items = df.groupBy(item).agg(F.min(group).alias("_stratum"))
+    split = add_splits(items, ["_stratum"], item, train, val, seed).select(item, "split")
+    return df.join(split, item)
+
+
+def cap_groups(df: DataFrame, group: str, key: str, cap: int, seed: str = "cap") -> DataFrame:
+    """At most ``cap`` rows of each group, chosen at random; groups below it stay whole."""
+    return shuffled_ranks(df, [group], key, seed).where(F.col("_place") <= cap).drop("_place", "_n")
+
+
+def inject(train: DataFrame, test: DataFrame, pool: DataFrame, key: str, share: float = 0.2, seed: str = "inject") -> DataFrame:
+    """The test rows and as many of the pool as make ``share`` of the test target, none of them in train or test.
+
+    The number is one count; the rows are the first of the shuffled pool.
+    """
+    want = int(round(test.count() * share))
+    fresh = without(pool, [train.select(key), test.select(key)], key)
+    return test.unionByName(fresh.orderBy(shuffled(key, seed), key).limit(want))
+
+
+def most_common(df: DataFrame, column: str, k: int) -> DataFrame:
+    """The k most frequent values with their counts, ties by value; nulls don't count."""
+    counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
+    return counts.orderBy(F.desc("n"), column).limit(k)
+
+
+def join_by_id(left: DataFrame, right: DataFrame, key: str, normalise, suffix: str = "_right") -> DataFrame:
+    """Inner join on the normalised id; columns that both have get a suffix on the right."""
+    other = right.select(normalise(F.col(key)).alias("_id"), *(F.col(c).alias(c + suffix if c in left.columns else c) for c in right.columns if c != key))
+    return left.withColumn("_id", normalise(F.col(key))).join(other, "_id").drop("_id")
+
+
+def flagged(df: DataFrame, key: str, marks: DataFrame, name: str) -> DataFrame:
+    """Add ``name``: is the row's key among those of ``marks``? Keys that are missing there are false."""
+    seen = marks.select(key).where(F.col(key).isNotNull()).distinct().withColumn(name, F.lit(True))
+    return df.join(seen, key, "left").withColumn(name, F.coalesce(name, F.lit(False)))
+
+
+def only(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """Rows whose key is among those of ``wanted``, as a semi-join."""
+    return df.join(wanted.select(key), key, "left_semi")
 
 
 def round_robin(df: DataFrame, groups: list[str], lane: str, key: str, cap: int, seed: str = "rr") -> DataFrame:
@@ -59,8 +130,9 @@ def round_robin(df: DataFrame, groups: list[str], lane: str, key: str, cap: int,
 
 
 def min_support(df: DataFrame, group: str, least: int) -> DataFrame:
-    n = F.count(F.lit(1)).over(Window.partitionBy(group))
-    return df.withColumn("_n", n).where(F.col("_n") >= least).drop("_n")
+    """Rows of groups with at least so many; null groups go. Groups are counted before rows meet them."""
+    counts = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least).select(group)
+    return df.join(counts, group, "left_semi")
 
 
 def without(df: DataFrame, keys: list[DataFrame], key: str) -> DataFrame:
@@ -115,7 +187,7 @@ def fill_quota(available: dict, target: int, max_share: float) -> dict:
 
     Shares of each round go to the categories in name order; a full one leaves. The
     cap is relaxed in steps until the target is met. ``available`` is one number per
-    category, so this runs on the driver over a counted table.
+    category, so this runs on the driver over a counted table of a dimension.
     """
     target = min(target, sum(available.values()))
     quota: dict = {}
@@ -145,6 +217,25 @@ def sample_to_quota(df: DataFrame, group: str, key: str, target: int, max_share:
     if not quota:
         return df.limit(0)
     allowed = F.create_map(*(F.lit(x) for pair in quota.items() for x in pair))
-    w = Window.partitionBy(group).orderBy(shuffled(key, seed), key)
-    ranked = df.where(F.col(group).isin(*quota)).withColumn("_rn", F.row_number().over(w))
-    return ranked.where(F.col("_rn") <= F.element_at(allowed, F.col(group))).drop("_rn")
+    ranked = shuffled_ranks(df.where(F.col(group).isin(*quota)), [group], key, seed)
+    return ranked.where(F.col("_place") <= F.element_at(allowed, F.col(group))).drop("_place", "_n")
+
+
+def quota_per_level(df: DataFrame, level: str, group: str, key: str, target: int, max_share: float, seed: str = "quota") -> DataFrame:
+    """A sample that spreads target evenly over levels (years, for instance) and, in each, over groups by quota.
+
+    Supplies are counted once, one number per level and group; what a level cannot give
+    is not made up for by others.
+    """
+    counts: dict = {}
+    for lv, g, n in df.where(F.col(level).isNotNull() & F.col(group).isNotNull()).groupBy(level, group).count().collect():
+        counts.setdefault(lv, {})[g] = n
+    if not counts:
+        return df.limit(0)
+    per = max(1, target // len(counts))
+    quota = [(lv, g, q) for lv in sorted(counts) for g, q in fill_quota(counts[lv], per, max_share).items()]
+    schema = f"_lv {df.schema[level].dataType.simpleString()}, _g {df.schema[group].dataType.simpleString()}, _q long"
+    table = df.sparkSession.createDataFrame(quota, schema)
+    ranked = shuffled_ranks(df, [level, group], key, seed)
+    met = ranked.join(table, (F.col(level) == F.col("_lv")) & (F.col(group) == F.col("_g")))
+    return met.where(F.col("_place") <= F.col("_q")).drop("_lv", "_g", "_q", "_place", "_n")

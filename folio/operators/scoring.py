@@ -15,22 +15,90 @@ def chunk_weight(section: Column, n_words: Column, probs: Column, classes: int)
     return T.section_prior(section) * F.sqrt(F.greatest(n_words, F.lit(1)) / 200.0) * sure
 
 
-def pool(chunks: DataFrame, key: str, strategy: str = "weighted_mean", weight: str = "weight", order: str = "chunk_index") -> DataFrame:
+def pool(chunks: DataFrame, key: str, strategy: str = "weighted_mean", weight: str = "weight", order: str = "chunk_index", classes: int | None = None) -> DataFrame:
     """(key, n_chunks, probs): mean, max, weighted_mean or weighted_geometric of ``probs``.
 
     ``max`` takes the row whose largest probability is largest, the first on ties. A
-    document whose weights sum to nothing counts its chunks alike.
+    document whose weights sum to nothing counts its chunks alike. One aggregation with
+    a sum per class, so a chunk never becomes several rows; without ``classes`` the
+    first row tells how many there are. A null weight counts as 0.
     """
     if strategy == "max":
         best = F.max_by("probs", F.struct(F.array_max("probs"), -F.col(order)))
         return chunks.groupBy(key).agg(F.count(F.lit(1)).alias("n_chunks"), best.alias("_p")).select(key, "n_chunks", V.renormalised(F.col("_p")).alias("probs"))
-    total = F.sum(weight).over(Window.partitionBy(key))
-    w = F.lit(1.0) if strategy == "mean" else F.when(total > 0, F.col(weight)).otherwise(1.0)
-    long = chunks.select(key, order, w.alias("_w"), "probs").select(key, order, "_w", F.posexplode("probs").alias("k", "p"))
-    value = F.exp(F.sum(F.col("_w") * F.ln(F.greatest("p", F.lit(V.TINY)))) / F.sum("_w")) if strategy == "weighted_geometric" else F.sum(F.col("_w") * F.col("p")) / F.sum("_w")
-    per_class = long.groupBy(key, "k").agg(value.alias("p"), F.count(F.lit(1)).alias("n_chunks"))
-    probs = F.transform(F.array_sort(F.collect_list(F.struct("k", "p"))), lambda x: x["p"])
-    return per_class.groupBy(key).agg(F.max("n_chunks").cast("long").alias("n_chunks"), probs.alias("_p")).select(key, "n_chunks", V.renormalised(F.col("_p")).alias("probs"))
+    if classes is None:
+        first = chunks.select(F.size("probs")).first()
+        classes = first[0] if first else 0
+    geometric = strategy == "weighted_geometric"
+    at = lambda k: F.ln(F.greatest(F.col("probs")[k], F.lit(V.TINY))) if geometric else F.col("probs")[k]
+    w = F.coalesce(F.col(weight), F.lit(0.0)) if strategy != "mean" else F.lit(1.0)
+    sums = [F.sum(w * at(k)).alias(f"_w{k}") for k in range(classes)] + [F.sum(at(k)).alias(f"_s{k}") for k in range(classes)]
+    held = chunks.groupBy(key).agg(F.count(F.lit(1)).alias("n_chunks"), F.sum(w).alias("_t"), *sums)
+    mean = lambda k: F.when(F.col("_t") > 0, F.try_divide(F.col(f"_w{k}"), F.col("_t"))).otherwise(F.col(f"_s{k}") / F.col("n_chunks"))
+    probs = F.array(*(F.exp(mean(k)) if geometric else mean(k) for k in range(classes)))
+    return held.select(key, "n_chunks", V.renormalised(probs).alias("probs"))
+
+
+def pool_section(chunks: DataFrame, key: str, sections: list[str], **how) -> DataFrame:
+    """Documents pooled over their chunks of some sections alone; those without any are absent."""
+    return pool(chunks.where(F.col("section").isin(*sections)), key, **how)
+
+
+def largest_per_class(blocks: DataFrame, key: str, classes: int) -> DataFrame:
+    """(key, n_blocks, probs): each class's largest probability over the blocks of a document."""
+    most = F.array(*(F.max(F.col("probs")[k]) for k in range(classes)))
+    return blocks.groupBy(key).agg(F.count(F.lit(1)).alias("n_blocks"), most.alias("probs"))
+
+
+#: The order in which sections are read for a document's design.
+READ_ORDER = ("methods", "abstract", "introduction")
+
+
+def read_order(chunks: DataFrame, key: str, order: tuple[str, ...] = READ_ORDER, fallback: int = 2) -> DataFrame:
+    """The chunks of the first section in ``order`` that a document has, else its longest few; with ``source``."""
+    place = F.array_position(F.array(*(F.lit(x) for x in order)), F.col("section"))
+    mine = F.when(place > 0, place)
+    per = Window.partitionBy(key)
+    ranked = chunks.withColumn("_at", mine).withColumn("_first", F.min("_at").over(per)).withColumn("_rank", F.row_number().over(per.orderBy(F.desc("n_words"), "chunk_index")))
+    kept = ranked.where((F.col("_at") == F.col("_first")) | (F.col("_first").isNull() & (F.col("_rank") <= fallback)))
+    return kept.withColumn("source", F.when(F.col("_first").isNull(), "fallback").otherwise(F.col("section"))).drop("_at", "_first", "_rank")
+
+
+def mean_logs(rows: DataFrame, probs: str, classes: int) -> list[float]:
+    """Mean log-probability of each class: a prior to be taken out."""
+    row = rows.agg(*(F.avg(F.ln(F.col(probs)[k] + 1e-12)) for k in range(classes))).first()
+    return [x or 0.0 for x in row]
+
+
+def blend_curve(rows: DataFrame, parts: list[str], truth: str, grid: list[tuple[float, ...]]) -> DataFrame:
+    """(weights, accuracy) of every blend of probability columns; rows are read once, the grid is constants."""
+    hits = [F.avg((V.argmax(V.blend([(F.col(p), w) for p, w in zip(parts, weights, strict=True)])) == F.col(truth)).cast("double")).alias(f"_{k}") for k, weights in enumerate(grid)]
+    row = F.explode(F.array(*(F.struct(F.array(*(F.lit(float(w)) for w in weights)).alias("weights"), F.col(f"_{k}").alias("accuracy")) for k, weights in enumerate(grid))))
+    return rows.agg(*hits).select(row.alias("x")).select("x.*")
+
+
+def searched_temperature(rows: DataFrame, logits: str, label: str, low: float = 0.05, high: float = 20.0, rounds: int = 12) -> float:
+    """The temperature of least loss by golden-section search on its logarithm; 1 if that doesn't lower the loss."""
+    import math
+
+    loss = lambda ts: {r["temperature"]: r["nll"] for r in temperature_by_grid(rows, logits, label, ts).collect()}
+    a, b, ratio = math.log(low), math.log(high), (math.sqrt(5) - 1) / 2
+    for _ in range(rounds):
+        c, d = b - ratio * (b - a), a + ratio * (b - a)
+        found = loss([math.exp(c), math.exp(d)])
+        if found[math.exp(c)] <= found[math.exp(d)]:
+            b = d
+        else:
+            a = c
+    t = math.exp((a + b) / 2)
+    both = loss([t, 1.0])
+    return t if both[t] < both[1.0] else 1.0
+
+
+def adopt_temperature(raw: float, fitted: float, guard_raw: float | None = None, guard_fitted: float | None = None) -> bool:
+    """Does a fitted temperature lower the calibration error, on the guard slice too if there is one?"""
+    guarded = guard_raw is None or guard_fitted is None or guard_fitted < guard_raw
+    return fitted < raw and guarded
 
 
 def verdict(probs: Column) -> Column:
@@ -130,6 +198,32 @@ def neighbour_vote(found: DataFrame, labels: DataFrame, key: str, label: str, qu
     return sums.select(query_key, label, (F.col("_v") / F.sum("_v").over(per)).alias("p"))
 
 
+def soft_vote(found: DataFrame, targets: DataFrame, key: str, probs: str, classes: int, query_key: str = "query_id", scale: float = 0.05) -> DataFrame:
+    """(query, probs): neighbours' target vectors averaged by exp((s - best) / scale)."""
+    per = Window.partitionBy(query_key)
+    w = found.withColumn("_w", F.exp((F.col("similarity") - F.max("similarity").over(per)) / scale)).join(targets.select(key, probs), key)
+    mean = F.array(*(F.sum(F.col("_w") * F.col(probs)[k]) / F.sum("_w") for k in range(classes)))
+    return w.groupBy(query_key).agg(mean.alias("probs"))
+
+
+def examples(found: DataFrame, labels: DataFrame, key: str, label: str, k: int, barred: DataFrame | None = None, query_key: str = "query_id") -> DataFrame:
+    """(query, key, label, similarity, place): the nearest of each label, the k best of those.
+
+    ``barred``: (query, key) pairs that may not be shown, such as a query's own document.
+    """
+    rows = found if barred is None else found.join(barred, [query_key, key], "left_anti")
+    named = rows.join(labels.select(key, label), key)
+    own = Window.partitionBy(query_key, label).orderBy(F.desc("similarity"), key)
+    best = named.withColumn("_r", F.row_number().over(own)).where("_r = 1").drop("_r")
+    place = Window.partitionBy(query_key).orderBy(F.desc("similarity"), key)
+    return best.withColumn("place", F.row_number().over(place)).where(F.col("place") <= k).select(query_key, key, label, "similarity", "place")
+
+
+def best_under_each(logits: Column, ballots: list[list[int]]) -> Column:
+    """For each ballot (labels that a group allows), its best label; the first on ties."""
+    return F.array(*(V.masked_argmax(V.softmax(logits), F.array(*(F.lit(k) for k in own))) for own in ballots))
+
+
 def subspaces(vectors: DataFrame, label: str, r: int, vector: str = "embedding") -> dict:
     """By label, the top r principal axes (uncentred), from d * d sums that Spark adds up."""
     import numpy as np

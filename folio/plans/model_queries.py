@@ -143,7 +143,7 @@ def temperature_curve(spark: SparkSession, sf: str) -> DataFrame:
 
 _KNN = """
 WITH u AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
-n AS (SELECT q.vec_id AS query_id, s.vec_id, s.label, list_cosine_similarity(q.e, s.e) AS sim FROM u q JOIN u s ON q.vec_id % 20 = 0 AND s.vec_id % 20 <> 0),
+n AS (SELECT q.vec_id AS query_id, s.vec_id, s.label, list_cosine_similarity(q.e, s.e) AS sim FROM u q JOIN u s ON q.vec_id % 20 = 0 AND s.vec_id <> q.vec_id),
 k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id) AS rank FROM n)
 """
 

@@ -82,7 +82,7 @@ def guessed_titles(spark: SparkSession, sf: str) -> DataFrame:
 @query(r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(text, '\S+') AS w FROM documents),
 c AS (SELECT doc_id, w, len(w) AS n, CASE WHEN len(w) = 0 THEN 0 WHEN len(w) <= 200 THEN 1 ELSE CAST(ceil((len(w) - 200) / 160.0) AS INT) + 1 END AS m FROM w),
-s AS (SELECT doc_id, w, n, unnest(range(least(m, 64))) AS k FROM c)
+s AS (SELECT doc_id, w, n, unnest(range(m)) AS k FROM c)
 SELECT doc_id, CAST(k AS INT) AS chunk_index, CAST(least(k * 160 + 200, n) - k * 160 AS INT) AS n_words, md5(array_to_string(w[k * 160 + 1 : least(k * 160 + 200, n)], ' ')) AS text_md5 FROM s""")
 def window_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return chunking.window_chunks(docs_of(spark, sf), "doc_id").select("doc_id", "chunk_index", "n_words", F.md5("text").alias("text_md5"))
@@ -137,16 +137,15 @@ _FIELDS = [("tions", 0, r"tion\w*|thing\w*", ["src1", "src2"]), ("hands", 1, r"h
 
 @query(r"""
 WITH f(field, i, pattern, cats) AS (VALUES """ + ", ".join(f"('{f}', {i}, '{p}', {c or '[]::VARCHAR[]'})" for f, i, p, c in _FIELDS) + r"""),
-x AS (SELECT doc_id, field, i, list_contains(cats, source) AS cat, list_distinct(regexp_extract_all(lower(substring(text, 1, 80)), pattern)) AS t, list_distinct(regexp_extract_all(lower(text), pattern)) AS b FROM documents, f WHERE lang = 'en'),
+x AS (SELECT doc_id, field, i, list_contains(cats, source) AS cat, list_distinct(regexp_extract_all(lower(substring(text, 1, 80)), pattern)) AS t, list_distinct(regexp_extract_all(lower(text), pattern)) AS b FROM documents, f),
 s AS (SELECT doc_id, field, i, cat, CASE WHEN cat THEN 3.0 ELSE 0.0 END + 2.0 * len(t) + len(list_filter(b, lambda v: NOT list_contains(t, v))) AS s, len(list_distinct(list_concat(t, b))) AS hits FROM x),
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, i) AS rn, sum(s) OVER (PARTITION BY doc_id) AS total FROM s),
 g AS (SELECT a.doc_id, a.field, a.s, a.cat, a.hits, b.field AS runner_up, CASE WHEN a.total > 0 THEN (a.s - b.s) / a.total ELSE 0.0 END AS margin FROM r a JOIN r b ON a.doc_id = b.doc_id AND a.rn = 1 AND b.rn = 2),
 v AS (SELECT *, s >= 2 AND (cat OR hits >= 2) AND margin >= 0.2 AS ok FROM g)
 SELECT doc_id, CASE WHEN ok THEN field END AS field, CAST(s AS DOUBLE) AS score, round(CAST(margin AS DOUBLE), 6) AS margin, CASE WHEN NOT ok THEN 'none' WHEN cat AND hits > 0 THEN 'both' WHEN cat THEN 'category' ELSE 'keyword' END AS evidence, runner_up FROM v""")
 def keyword_fields(spark: SparkSession, sf: str) -> DataFrame:
-    fields = spark.createDataFrame(_FIELDS, "field string, field_index int, pattern string, categories array<string>")
     items = docs_of(spark, sf).withColumn("title", F.substring("text", 1, 80))
-    out = labelling.keyword_labels(items, "doc_id", "title", "text", "source", fields)
+    out = labelling.keyword_labels(items, "doc_id", "title", "text", "source", _FIELDS)
     return out.withColumn("margin", F.round("margin", 6))
 
 
