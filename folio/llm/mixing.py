@@ -78,9 +78,9 @@ def topic_of(counts: list[Column], shares: list[float]) -> Column:
     return out
 
 
-def corpus_shares(docs: DataFrame) -> list[float]:
-    """Each topic group's share of all words that have one."""
-    sums = docs.select(initials(F.col("text")).alias("_firsts")).agg(*(F.sum(c) for c in group_counts(F.col("_firsts")))).first()
+def corpus_shares(counted: DataFrame) -> list[float]:
+    """Each topic group's share of all words that have one, from columns c0, c1, ..."""
+    sums = counted.agg(*(F.sum(f"c{k}") for k in range(TOPICS))).first()
     whole = sum(x or 0 for x in sums)
     return [(x or 0) / whole if whole else 0.0 for x in sums]
 
@@ -177,9 +177,18 @@ def weighed(docs: DataFrame, powers: dict[str, float] | None = None, budget: flo
     """(doc, n_tokens, topic, factor, probability, sampled); ``doc`` holds the row as it was."""
     powers = POWERS | (powers or {})
     base = docs.select(F.struct("*").alias("doc"), *(F.coalesce(F.col(x).cast("string"), F.lit(NULL)).alias(x) for x in ("source", "lang")), initials(F.col("text")).alias("firsts"), *([] if topic is None else [topic.alias("topic")]))
-    own = topic_of(group_counts(F.col("firsts")), corpus_shares(docs)) if topic is None else F.coalesce(F.col("topic").cast("string"), F.lit(NULL))
+    if topic is None:
+        # texts are read twice: once for these few numbers a row, once for the verdict
+        counts = [c.alias(f"c{k}") for k, c in enumerate(group_counts(F.col("firsts")))]
+        counted = materialize(base.select("source", "lang", F.length("firsts").cast("long").alias("n_tokens"), *counts), "word-counts")
+        shares = corpus_shares(counted)
+        cells = cells_of(counted.withColumn("topic", topic_of([F.col(f"c{k}") for k in range(TOPICS)], shares)))
+        own = topic_of(group_counts(F.col("firsts")), shares)
+    else:
+        own = F.coalesce(F.col("topic").cast("string"), F.lit(NULL))
+        cells = cells_of(base.select("source", "lang", own.alias("topic"), F.length("firsts").cast("long").alias("n_tokens")))
     tagged = base.select("doc", "source", "lang", own.alias("topic"), F.length("firsts").cast("long").alias("n_tokens"))
-    cells = materialize(cells_of(tagged), "cells")
+    cells = materialize(cells, "cells")
     goals = {d: (targets or {}).get(d, softened_targets(cells, d, powers[d])) for d in DIMENSIONS}
     goals = {d: materialize(g, f"target-{d}") for d, g in goals.items()}
     fitted, _ = fit(cells, goals)
