@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.llm import simple8b, storage
-from folio.llm.shared import materialize, scratch_path, spread_over
+from folio.llm.shared import dealt, materialize, scratch_path, spread_over
 from folio.llm.tokenizing import encoder, text_groups
 
 MAGIC = 0x31304232385346  # "FS82B01"
