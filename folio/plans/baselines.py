@@ -11,7 +11,7 @@ CLASSIFIERS = ("logreg", "svm", "nb", "rf")
 
 
 def vectorizer(max_features: int = 50_000, min_df: int = 2) -> list:
-    """Words and word pairs, stop words removed, idf, unit length; counts capped by log in fitting."""
+    """Words and word pairs, stop words removed, raw counts times idf, unit length. The vocabulary is sent to the driver."""
     return [
         RegexTokenizer(inputCol="text", outputCol="_words", pattern=r"\W+", minTokenLength=2),
         StopWordsRemover(inputCol="_words", outputCol="_kept"),

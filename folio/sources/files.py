@@ -21,9 +21,15 @@ KINDS = {"txt": "text", "text": "text", "md": "markdown", "markdown": "markdown"
 
 
 def read_shards(spark: SparkSession, *globs: str, schema: StructType | str | None = None) -> DataFrame:
-    """Parquet of all globs as one table; a fallback glob goes last."""
+    """Parquet of the first glob that has files; the others are its fallbacks."""
     reader = spark.read if schema is None else spark.read.schema(schema)
-    return reader.parquet(*globs)
+    for k, glob in enumerate(globs):
+        try:
+            return reader.parquet(glob)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND" or k == len(globs) - 1:
+                raise
+    raise ValueError("no glob given")
 
 
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:

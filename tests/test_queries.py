@@ -51,3 +51,20 @@ def test_gives_rows(spark, sf, name):
 def test_entry_and_registry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("name", ["keyword_fields", "keyword_votes", "conformal_bank", "conformal_bank_by_class", "coverage_curve", "language_splits", "pooled_weighted_mean"])
+def test_plans_join_no_data_crosswise(spark, sf, name, capsys):
+    OWN[name](spark, sf).explain()
+    plan = capsys.readouterr().out
+    assert "Scan parquet" in plan or "FileScan" in plan
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_a_fallback_glob_is_read_only_when_needed(spark, tmp_path):
+    from folio.sources.files import read_shards
+
+    for k in range(2):
+        spark.range(k + 1).write.parquet(f"{tmp_path}/set{k}")
+    assert read_shards(spark, f"{tmp_path}/none*", f"{tmp_path}/set1").count() == 2
+    assert read_shards(spark, f"{tmp_path}/set0", f"{tmp_path}/set1").count() == 1
