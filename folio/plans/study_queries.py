@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.operators import conformal, corpora, labelling, studies
+from folio.functions import headings as H
+from folio.functions import text as T
+from folio.operators import conformal, corpora, labelling, layout, studies
 from folio.operators import relational as R
 from folio.plans import model_queries as M
 from folio.plans.text_queries import docs_of
@@ -185,3 +187,20 @@ def guarded_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Rows that no training table has, as evaluation sets must be."""
     held = R.without(docs_of(spark, sf).select("doc_id", "lang"), [spark.read.parquet(f"{sf}/labels.parquet").where("toxic = 1").select("doc_id")], "doc_id")
     return held.select("doc_id", F.coalesce(F.col("lang") == "en", F.lit(False)).alias("is_first"))
+
+
+# --- typeset documents: eight words a line, the first two lines large, every fifth somewhat larger ---
+
+
+@query(rf"""WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '\S+') AS w FROM documents), i AS (SELECT doc_id, w, unnest(range(0, (len(w) + 7) // 8)) AS i FROM w),
+l AS (SELECT doc_id, i, array_to_string(w[i * 8 + 1:i * 8 + 8], ' ') AS t, CASE WHEN i < 2 THEN 20 WHEN i % 5 = 3 THEN 12 ELSE 10 END AS size FROM i), n AS (SELECT doc_id, size, count(*) AS n FROM l GROUP BY doc_id, size),
+b AS (SELECT doc_id, arg_max(size, (n, -size)) AS body, max(size) AS top FROM n GROUP BY doc_id), h AS (SELECT doc_id, count(*) AS n FROM l JOIN b USING (doc_id) WHERE size < CASE WHEN top > body * 1.15 THEN top ELSE 99 END
+  AND (regexp_extract(t, '(?i)^[ \t]*({T.LEAD_INS})\s*[-—–:.]+', 1) <> '' OR (size >= body * 1.08 AND NOT regexp_matches(t, '[.,;]$') AND regexp_matches(t, '[A-Za-z]{{3,}}') AND NOT regexp_matches(t, {"'" + H.CAPTION + "'"}))) GROUP BY doc_id),
+x AS (SELECT doc_id, max(t) FILTER (i = 0) AS a, max(t) FILTER (i = 1) AS b FROM l GROUP BY doc_id), y AS (SELECT doc_id, CASE WHEN regexp_matches(a, '-$') AND regexp_matches(b, '^\p{{Ll}}') THEN regexp_replace(a, '-$', '') || b ELSE a || ' ' || b END AS t FROM x)
+SELECT b.doc_id, CASE WHEN top > body * 1.15 AND regexp_matches(y.t, '[A-Za-z]{{3,}}') THEN md5(y.t) END AS title_md5, coalesce(h.n, 0) AS n_headings FROM b JOIN y USING (doc_id) LEFT JOIN h ON h.doc_id = b.doc_id""")
+def typeset_outlines(spark: SparkSession, sf: str) -> DataFrame:
+    """Titles and headings by the size of lines."""
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"\S+"), F.lit(0))
+    lines = F.transform(F.sequence(F.lit(0), F.ceil(F.size("w") / 8).cast("int") - 1), lambda i: F.struct((i / 40).cast("int").alias("page"), i.alias("line"), F.when(i < 2, 20.0).when(i % 5 == 3, 12.0).otherwise(10.0).alias("size"), F.lit(False).alias("bold"), F.array_join(F.slice("w", i * 8 + 1, 8), " ").alias("text")))
+    rows = docs_of(spark, sf).select("doc_id", words.alias("w")).where(F.size("w") > 0).select("doc_id", F.inline(lines))
+    return layout.outline(rows, "doc_id").select("doc_id", F.md5("title").alias("title_md5"), F.size("headings").cast("long").alias("n_headings"))

@@ -224,6 +224,15 @@ def test_baselines_learn(spark, name):
     assert out.where("prediction = label").count() >= 57
 
 
+def test_trees_on_chosen_terms(spark):
+    rows = [(f"{'alpha beta' if k % 2 else 'delta epsilon'} word{k % 5} noise{k % 3}", float(k % 2)) for k in range(60)] + [(None, 0.0)]
+    df = spark.createDataFrame(rows, "text string, label double")
+    model = baselines.fit_baseline(df, "rf", 200, best_terms=6)
+    terms = model.stages[4].vocabulary
+    assert {t for k in model.stages[6].selectedFeatures for t in terms[k].split()} == {"alpha", "beta", "delta", "epsilon"}
+    assert model.transform(df.where("text is not null")).where("prediction = label").count() == 60
+
+
 def test_bank_round_trip(spark, tmp_path):
     bank = spark.createDataFrame([(0.1, 50, 0.7), (0.01, 50, math.inf)], "alpha double, n long, qhat double")
     reports.save_bank(bank, str(tmp_path / "bank"))
