@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folio.functions import text as T
 from folio.operators.relational import cap_groups
 
 PRIMARY_WEIGHT, SECONDARY_SHARE, AMBIGUITY_MARGIN = 2.0, 0.5, 0.25
@@ -125,6 +126,29 @@ DESIGN_RULES = [
 ]
 DEFAULT_DESIGN = "Design & Creation (Design Science)"
 
+#: The worldview and the kind of method that go with each design.
+STANCES = {
+    "Formal / Theoretical": ("positivist", "secondary"),
+    "Experiment / Empirical Evaluation": ("positivist", "quantitative"),
+    "Design & Creation (Design Science)": ("pragmatist", "quantitative"),
+    "Case Study": ("interpretivist", "mixed"),
+    "Survey (empirical study of respondents)": ("positivist", "mixed"),
+    "Systematic Literature Review / Secondary Study": ("positivist", "secondary"),
+    "Simulation & Modelling": ("positivist", "quantitative"),
+    "Qualitative Field Study / Grounded Theory": ("interpretivist", "qualitative"),
+    "Action Research": ("critical", "mixed"),
+}
+
+
+def worldview(design: Column) -> Column:
+    """That of a design; of an unknown one or null, positivist."""
+    return T.looked_up(design, {d: s[0] for d, s in STANCES.items()}, "positivist")
+
+
+def method(design: Column) -> Column:
+    """That of a design; of an unknown one or null, quantitative."""
+    return T.looked_up(design, {d: s[1] for d, s in STANCES.items()}, "quantitative")
+
 
 def _holds(yes: tuple[str, ...], no: tuple[str, ...]) -> Column:
     out = F.lit(True)
