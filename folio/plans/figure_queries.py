@@ -127,10 +127,10 @@ def figure_agreement(spark: SparkSession, sf: str) -> DataFrame:
 _DESIGNS = [*labelling.STANCES, "Unknown"]
 
 
-@query("WITH s(design, worldview, method) AS (VALUES " + ", ".join(f"('{d}', '{w}', '{m}')" for d, (w, m) in labelling.STANCES.items()) + "), d AS (SELECT p_partkey, [" + ", ".join(f"'{d}'" for d in _DESIGNS) + f"][p_size % {len(_DESIGNS)} + 1] AS design, CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE '  ' || p_mfgr || ' ' END AS area FROM part) SELECT p_partkey, coalesce(worldview, 'positivist') AS worldview, coalesce(method, 'quantitative') AS method, CASE trim(area) WHEN 'Manufacturer#1' THEN 'CS' WHEN 'Manufacturer#2' THEN 'IS' END AS mapped FROM d LEFT JOIN s USING (design)")
+@query("WITH s(design, worldview, method) AS (VALUES " + ", ".join(f"('{d}', '{w}', '{m}')" for d, (w, m) in labelling.STANCES.items()) + "), d AS (SELECT p_partkey, [" + ", ".join(f"'{d}'" for d in _DESIGNS) + f"][p_size % {len(_DESIGNS)} + 1] AS design, CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE '  ' || p_brand || ' ' END AS area FROM part) SELECT p_partkey, coalesce(worldview, 'positivist') AS worldview, coalesce(method, 'quantitative') AS method, CASE trim(area) WHEN 'Brand#11' THEN 'CS' WHEN 'Brand#12' THEN 'IS' END AS mapped FROM d LEFT JOIN s USING (design)")
 def design_stances(spark: SparkSession, sf: str) -> DataFrame:
     """Worldview and method of designs, and the label of an area, by lookup."""
     design = F.element_at(F.array(*(F.lit(d) for d in _DESIGNS)), (F.col("p_size") % len(_DESIGNS) + 1).cast("int"))
-    area = F.when(F.col("p_partkey") % 5 != 0, F.concat(F.lit("  "), F.col("p_mfgr"), F.lit(" ")))
-    mapped = T.looked_up(area, {"Manufacturer#1": "CS", "Manufacturer#2": "IS"})
+    area = F.when(F.col("p_partkey") % 5 != 0, F.concat(F.lit("  "), F.col("p_brand"), F.lit(" ")))
+    mapped = T.looked_up(area, {"Brand#11": "CS", "Brand#12": "IS"})
     return spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", labelling.worldview(design).alias("worldview"), labelling.method(design).alias("method"), mapped.alias("mapped"))
