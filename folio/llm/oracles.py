@@ -110,3 +110,15 @@ p AS (SELECT *, lag(c1) OVER d AS p1, lag(c2) OVER d AS p2, (SELECT count(*) FRO
 s AS (SELECT doc_id, sum(CASE WHEN c3 > 0 THEN ln(c3 / p2) WHEN c2 > 0 THEN ln(c2 / p1) + CASE WHEN i > 1 THEN ln(0.4) ELSE 0 END ELSE ln(greatest(c1, 1) / greatest(others, 1)) + least(i, 2) * ln(0.4) END) AS score,
   count(*) FILTER (CASE WHEN i = 0 THEN false WHEN i = 1 THEN c2 = 0 ELSE c3 = 0 END) AS late FROM p GROUP BY doc_id)
 SELECT w.doc_id, len(w.w) AS n_tokens, coalesce(late, 0) AS n_backoff, round(coalesce(score, 0.0), 4) AS log_score, CASE WHEN len(w.w) > 0 THEN round(score / len(w.w), 6) END AS mean_log_score FROM w LEFT JOIN s USING (doc_id)"""
+
+#: Terms of a text: runs of ASCII letters and digits and of all wider characters.
+_TERMS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+ORACLES["op12_lexical_search"] = f"""
+WITH d AS MATERIALIZED (SELECT doc_id, {_TERMS} AS w FROM documents),
+c AS (SELECT count(*) FILTER (len(w) > 0) AS n_docs, sum(len(w))::BIGINT AS n_terms FROM d),
+p AS MATERIALIZED (SELECT doc_id, term, count(*) AS tf, any_value(n) AS n FROM (SELECT doc_id, len(w) AS n, unnest(w) AS term FROM d) GROUP BY doc_id, term),
+f AS MATERIALIZED (SELECT term, floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1)))::BIGINT AS weight FROM (SELECT term, count(*) AS df FROM p GROUP BY term), c),
+i AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark WHERE item_id IS NOT NULL),
+s AS (SELECT item_id, doc_id, sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // n_terms))))::BIGINT AS score FROM i JOIN f USING (term) JOIN p USING (term), c GROUP BY item_id, doc_id)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 10"""

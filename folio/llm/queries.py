@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm import jaccard, lmscore, mixing, neardup, packing, quality, secrets, tokenfiles, toxicity, warc
+from folio.llm import jaccard, lexical, lmscore, mixing, neardup, packing, quality, secrets, tokenfiles, toxicity, warc
 from folio.llm.shared import read_table, scratch_path
 
 
@@ -69,6 +69,11 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = lexical.build_index(read_table(spark, sf_dir, "documents"))
+    return lexical.search(index, read_table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mixing": op1_source_mixing,
     "op2_embedding_near_dedup": op2_embedding_near_dedup,
@@ -80,4 +85,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op12_lexical_search": op12_lexical_search,
 }
