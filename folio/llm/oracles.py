@@ -122,3 +122,22 @@ f AS MATERIALIZED (SELECT term, floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1))
 i AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark WHERE item_id IS NOT NULL),
 s AS (SELECT item_id, doc_id, sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // n_terms))))::BIGINT AS score FROM i JOIN f USING (term) JOIN p USING (term), c GROUP BY item_id, doc_id)
 SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 10"""
+
+#: CRC-32 bit by bit, over the digits of a whole number.
+_CRC = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({}::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+  lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda r, z: CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END)))"""
+
+ORACLES["op13_prefix_trie"] = f"""
+WITH t AS MATERIALIZED (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, '')) AS pos, struct_pack(role := coalesce(role, ''), text := coalesce(text, '')) AS turn
+  FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, conv_id - conv_id % 5 AS base, {_CRC.format("conv_id")} % 9 AS head FROM (SELECT DISTINCT conv_id FROM t)),
+r AS (SELECT c.conv_id, pos, turn FROM c JOIN t ON t.conv_id = c.base AND pos <= head UNION ALL SELECT c.conv_id, pos, turn FROM c JOIN t USING (conv_id) WHERE pos > head),
+p AS MATERIALIZED (SELECT c.conv_id, coalesce(list(turn ORDER BY pos) FILTER (pos IS NOT NULL), []) AS path FROM c LEFT JOIN r USING (conv_id) GROUP BY c.conv_id),
+m AS MATERIALIZED (SELECT conv_id AS member, d AS depth, path[1 : d] AS path, len(path) = d AS ends FROM (SELECT conv_id, path, unnest(range(len(path) + 1)) AS d FROM p)),
+n AS MATERIALIZED (SELECT path, depth, min(member) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(member::VARCHAR, ',' ORDER BY member) FILTER (ends), '')) AS ends_sha256,
+  CASE WHEN depth > 0 THEN (count(*) - 1) * octet_length(encode(path[-1].text)) ELSE 0 END AS saved FROM m GROUP BY path, depth),
+u AS (SELECT path[1 : depth - 1] AS path, depth - 1 AS depth, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY ALL),
+k AS MATERIALIZED (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN u USING (path, depth)),
+s AS (SELECT a.path, a.depth, count(*) FILTER (b.n_children = 0) AS n_leaves, sum(b.saved) AS saved_tokens FROM n a JOIN k b ON b.depth >= a.depth AND b.path[1 : a.depth] = a.path GROUP BY a.path, a.depth)
+SELECT k.conv_id, k.depth, v.conv_id AS parent_conv_id, k.n_convs, k.n_children, s.n_leaves, s.saved_tokens::BIGINT AS saved_tokens, k.ends_sha256
+FROM k JOIN s USING (path, depth) LEFT JOIN n v ON v.depth = k.depth - 1 AND v.path = k.path[1 : k.depth - 1]"""

@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm import jaccard, lexical, lmscore, mixing, neardup, packing, quality, secrets, tokenfiles, toxicity, warc
-from folio.llm.shared import read_table, scratch_path
+from folio.llm import jaccard, lexical, lmscore, mixing, neardup, packing, prefixtrie, quality, secrets, tokenfiles, toxicity, warc
+from folio.llm.shared import materialize, read_table, scratch_path
 
 
 def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,6 +74,11 @@ def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(index, read_table(spark, sf_dir, "benchmark"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = materialize(prefixtrie.turns_of(read_table(spark, sf_dir, "conversations")), "turns")
+    return prefixtrie.trie(prefixtrie.rebuilt(turns))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mixing": op1_source_mixing,
     "op2_embedding_near_dedup": op2_embedding_near_dedup,
@@ -86,4 +91,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_lm_scoring": op9_lm_scoring,
     "op10_best_fit_packing": op10_best_fit_packing,
     "op12_lexical_search": op12_lexical_search,
+    "op13_prefix_trie": op13_prefix_trie,
 }
