@@ -111,6 +111,14 @@ s AS (SELECT doc_id, sum(CASE WHEN c3 > 0 THEN ln(c3 / p2) WHEN c2 > 0 THEN ln(c
   count(*) FILTER (CASE WHEN i = 0 THEN false WHEN i = 1 THEN c2 = 0 ELSE c3 = 0 END) AS late FROM p GROUP BY doc_id)
 SELECT w.doc_id, len(w.w) AS n_tokens, coalesce(late, 0) AS n_backoff, round(coalesce(score, 0.0), 4) AS log_score, CASE WHEN len(w.w) > 0 THEN round(score / len(w.w), 6) END AS mean_log_score FROM w LEFT JOIN s USING (doc_id)"""
 
+#: Exact search. On the small tables the radius of every query covers all codes, so nothing may be missed there.
+ORACLES["op11_nearest_neighbours"] = """
+WITH v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS x FROM embeddings
+  WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, sqrt(list_reduce(list_prepend(0.0::DOUBLE, list_transform(list_zip(q.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), lambda s, d: s + d)) AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id AND len(c.x) = len(q.x))
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS rank FROM s) WHERE rank <= 10"""
+
 #: Terms of a text: runs of ASCII letters and digits and of all wider characters.
 _TERMS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm import jaccard, lexical, lmscore, mixing, neardup, packing, prefixtrie, quality, secrets, tokenfiles, toxicity, warc
+from folio.llm import hashindex, jaccard, lexical, lmscore, mixing, neardup, packing, prefixtrie, quality, secrets, tokenfiles, toxicity, warc
 from folio.llm.shared import materialize, read_table, scratch_path
 
 
@@ -69,6 +69,11 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
 
 
+def op11_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings")
+    return hashindex.nearest(vectors, vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding"))
+
+
 def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = lexical.build_index(read_table(spark, sf_dir, "documents"))
     return lexical.search(index, read_table(spark, sf_dir, "benchmark"))
@@ -90,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_nearest_neighbours": op11_nearest_neighbours,
     "op12_lexical_search": op12_lexical_search,
     "op13_prefix_trie": op13_prefix_trie,
 }
