@@ -80,15 +80,14 @@ def keyword_labels(items: DataFrame, key: str, title: str, body: str, category:
 
 
 def keyword_vote(title: Column, body: Column, fields: list[tuple]) -> Column:
-    """Struct (field, hits): the field with most distinct phrases in title and body, if one leads alone with any."""
+    """Struct (field, hits): the field with most distinct phrases in title and body, the first of equals; null without any."""
     rows = []
     for name, index, pattern, _ in fields:
         hits = F.size(F.array_union(*(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(x, F.lit(""))), F.lit(pattern), F.lit(0))) for x in (title, body))))
         rows.append(F.struct((-hits).alias("neg"), F.lit(index).alias("at"), F.lit(name).alias("field")))
     r = F.array_sort(F.array(*rows))
-    first, second = r[0], F.try_element_at(r, F.lit(2))
-    alone = (first["neg"] < 0) & (second.isNull() | (second["neg"] > first["neg"]))
-    return F.struct(F.when(alone, first["field"]).alias("field"), (-first["neg"]).alias("hits"))
+    first = r[0]
+    return F.struct(F.when(first["neg"] < 0, first["field"]).alias("field"), (-first["neg"]).alias("hits"))
 
 
 def vote_distribution(items: DataFrame, key: str, categories: str, mapping: DataFrame, labels: list[str]) -> DataFrame:

@@ -38,10 +38,12 @@ def shuffled_ranks(df: DataFrame, groups: list[str], key: str, seed: str, amount
 
     A group is cut by the first digits of its hash, each part is ranked on its own and
     set behind the counts of the parts before it, so no task ranks a whole group. The
-    counts are at most 256 rows a group. Null groups are groups of their own.
+    counts are at most 256 rows a group. Null groups are groups of their own; rows with a
+    null key are shuffled by their other columns.
     """
     amounts = amounts or []
-    cut = df.withColumn("_h", shuffled(key, seed)).withColumn("_part", F.substring("_h", 1, PART_DIGITS))
+    other = F.md5(F.concat(F.xxhash64(*df.columns).cast("string"), F.lit(f"-{seed}")))
+    cut = df.withColumn("_h", F.coalesce(shuffled(key, seed), other)).withColumn("_part", F.substring("_h", 1, PART_DIGITS))
     names = [f"_g{k}" for k in range(len(groups))]
     parts = cut.groupBy(*groups, "_part").agg(F.count(F.lit(1)).alias("_c"), *(F.coalesce(F.sum(a), F.lit(0)).alias(f"_s_{a}") for a in amounts))
     before = Window.partitionBy(*groups).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

@@ -153,43 +153,6 @@ def fitted_temperature(curve: DataFrame) -> float:
     return curve.agg(F.min_by("temperature", F.struct("nll", "temperature"))).first()[0]
 
 
-def nearest(queries: DataFrame, store: DataFrame, k: int, query_key: str = "query_id", key: str = "vec_id", vector: str = "embedding", block_rows: int = 2048, skip_own: bool = False) -> DataFrame:
-    """(query, key, similarity, rank) of the k most similar stored vectors, by cosine.
-
-    With ``skip_own``, a stored row with the query's own id is not an answer.
-
-    Both sides are cut into blocks by hash; a pair of blocks is one group whose
-    products are a matrix product, and only its k best per query leave it.
-    """
-    import numpy as np
-    import pyarrow as pa
-
-    n_q, n_s = queries.count(), store.count()
-    q_blocks, s_blocks = max(1, -(-n_q // block_rows)), max(1, -(-n_s // block_rows))
-    cut = lambda df, name, n: df.select(F.col(name).alias("id"), F.col(vector).cast("array<double>").alias("v")).withColumn("own", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
-    q = cut(queries, query_key, q_blocks).select("id", "v", F.lit(True).alias("asks"), F.col("own").alias("a"), F.explode(F.sequence(F.lit(0), F.lit(s_blocks - 1))).alias("b"))
-    s = cut(store, key, s_blocks).select("id", "v", F.lit(False).alias("asks"), F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("a"), F.col("own").alias("b"))
-
-    def best(table: pa.Table) -> pa.Table:
-        asks, ids = table.column("asks").to_numpy(), table.column("id").to_numpy()
-        x = np.array(table.column("v").to_pylist(), dtype=np.float64)
-        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-        left, right = np.flatnonzero(asks), np.flatnonzero(~asks)
-        right = right[np.argsort(ids[right], kind="stable")]
-        similarity = x[left] @ x[right].T
-        if skip_own:
-            similarity[ids[left][:, None] == ids[right]] = -np.inf
-        kept = min(k, len(right))
-        order = np.argsort(-similarity, axis=1, kind="stable")[:, :kept]
-        value = np.take_along_axis(similarity, order, 1).ravel()
-        there = value != -np.inf
-        return pa.table([np.repeat(ids[left], kept)[there], ids[right][order].ravel()[there], value[there]], [query_key, key, "similarity"])
-
-    found = q.unionByName(s).groupBy("a", "b").applyInArrow(best, f"{query_key} long, {key} long, similarity double")
-    w = Window.partitionBy(query_key).orderBy(F.desc("similarity"), key)
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
 def neighbour_vote(found: DataFrame, labels: DataFrame, key: str, label: str, query_key: str = "query_id", scale: float = 0.05) -> DataFrame:
     """(query, label, p): neighbours vote by exp((s - best) / scale), normalised."""
     per = Window.partitionBy(query_key)

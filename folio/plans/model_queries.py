@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.functions import vectors as V
-from folio.operators import conformal, labelling, metrics, scoring
+from folio.operators import conformal, labelling, metrics, neighbours, scoring
 from folio.operators import relational as R
 from folio.plans import reports
 
@@ -156,7 +156,7 @@ def nearest_vectors(spark: SparkSession, sf: str) -> DataFrame:
 def _nearest(spark: SparkSession, sf: str) -> DataFrame:
     """The queries are the vectors whose id is divisible by 20, held against all but themselves."""
     v = vectors_of(spark, sf)
-    return scoring.nearest(v.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id"), v, 10, skip_own=True)
+    return neighbours.nearest(v.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id"), v, 10, skip_own=True)
 
 
 @query(_KNN + ", w AS (SELECT query_id, label, exp((sim - max(sim) OVER (PARTITION BY query_id)) / 0.05) AS w FROM k WHERE rank <= 10), g AS (SELECT query_id, label, sum(w) AS w FROM w GROUP BY query_id, label) SELECT query_id, label, round(w / sum(w) OVER (PARTITION BY query_id), 6) AS p FROM g")
@@ -164,6 +164,32 @@ def neighbour_votes(spark: SparkSession, sf: str) -> DataFrame:
     return scoring.neighbour_vote(_nearest(spark, sf), vectors_of(spark, sf), "vec_id", "label").withColumn("p", F.round("p", 6))
 
 
+#: The nearest of even label among a query's fifteen nearest, five at most.
+_FLAGGED = _KNN + """, f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS place FROM k WHERE rank <= 15 AND label % 2 = 0),
+e AS (SELECT * FROM f WHERE place <= 5)
+"""
+
+
+def _flagged(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    v = vectors_of(spark, sf)
+    queries = v.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id")
+    return queries, v, neighbours.nearest_with(queries, v.withColumn("even", F.col("label") % 2 == 0), 5, "even", skip_own=True)
+
+
+@query(_FLAGGED + "SELECT query_id, vec_id, round(sim, 6) AS similarity, CAST(place AS INT) AS rank FROM e")
+def flagged_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    return _flagged(spark, sf)[2].withColumn("similarity", F.round("similarity", 6))
+
+
+@query(_FLAGGED + """, w AS (SELECT query_id, label, exp((sim - max(sim) OVER (PARTITION BY query_id)) / 0.05) AS w, place FROM e),
+g AS (SELECT query_id, label, sum(w) AS w, min(place) AS place FROM w GROUP BY query_id, label),
+b AS (SELECT query_id, label, w / sum(w) OVER (PARTITION BY query_id) AS share, row_number() OVER (PARTITION BY query_id ORDER BY w DESC, place) AS rn FROM g)
+SELECT q.vec_id AS query_id, coalesce(b.label, -1) AS label, round(coalesce(share, 0), 6) AS share FROM embeddings q LEFT JOIN b ON b.query_id = q.vec_id AND rn = 1 WHERE q.vec_id % 20 = 0""")
+def evidence_votes(spark: SparkSession, sf: str) -> DataFrame:
+    queries, v, found = _flagged(spark, sf)
+    return neighbours.vote_or_default(queries, found, v, "vec_id", "label", -1).withColumn("share", F.round("share", 6))
+
+
 @query()
 def subspace_labels(spark: SparkSession, sf: str) -> DataFrame:
     """A label for every vector; the axes are fitted without those whose id is divisible by 20."""

@@ -207,7 +207,7 @@ _WORDS = [("tions", 0, r"tion\w*", []), ("ers", 1, r"\w*ering|erst\w*", []), ("n
 
 @query(r"""WITH f(field, i, pattern) AS (VALUES """ + ", ".join(f"('{f}', {i}, '{p}')" for f, i, p, _ in _WORDS) + r"""),
 x AS (SELECT doc_id, field, i, len(list_distinct(list_concat(regexp_extract_all(lower(coalesce(source, '')), pattern), regexp_extract_all(lower(coalesce(text, '')), pattern)))) AS n FROM documents, f),
-r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, i) AS rn, lead(n) OVER (PARTITION BY doc_id ORDER BY n DESC, i) AS next FROM x) SELECT doc_id, CASE WHEN n > 0 AND n > next THEN field END AS field, CAST(n AS INT) AS hits FROM r WHERE rn = 1""")
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, i) AS rn FROM x) SELECT doc_id, CASE WHEN n > 0 THEN field END AS field, CAST(n AS INT) AS hits FROM r WHERE rn = 1""")
 def keyword_votes(spark: SparkSession, sf: str) -> DataFrame:
     return docs_of(spark, sf).select("doc_id", labelling.keyword_vote(F.col("source"), F.col("text"), _WORDS).alias("x")).select("doc_id", "x.*")
 

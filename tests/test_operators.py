@@ -264,3 +264,29 @@ def test_event_windows(spark, sf):
     events = spark.read.parquet(f"{sf}/events.parquet")
     out = stream.events_per_window(events, "1 day")
     assert out.agg(F.sum("n")).first()[0] == events.count()
+
+
+def test_the_first_field_wins_a_tie(spark):
+    from folio.operators import labelling
+
+    fields = [("a", 0, "x+", []), ("b", 1, "y+", [])]
+    df = spark.createDataFrame([("x y", None), ("Y", "yy x"), (None, "none"), ("x", "X")], "title string, body string")
+    found = [tuple(r[0]) for r in df.select(labelling.keyword_vote(F.col("title"), F.col("body"), fields)).collect()]
+    assert found == [("a", 1), ("b", 2), (None, 0), ("a", 1)]
+
+
+def test_rows_with_null_keys_keep_their_place(spark):
+    from folio.operators import relational as R
+
+    df = spark.createDataFrame([(None if k % 5 == 0 else k, "g" if k % 2 else None, k) for k in range(40)], "id long, g string, size long")
+    split = R.add_splits(df, ["g"], "id")
+    assert split.count() == 40 and split.where("split = 'train'").count() == 28
+    assert R.cap_groups(df, "g", "id", 3).count() == 6
+    assert sorted(r.size for r in R.running_cap(df, ["g"], "id", "size", 10**6).collect()) == list(range(40))
+
+
+def test_padded_headings_count(spark):
+    from folio.functions import headings
+
+    df = spark.createDataFrame([("INTRODUCTION" + " " * 150 + "\nsome words here.\nMETHODS",)], "t string")
+    assert df.select(headings.candidate_headings(F.col("t"))).first()[0] == ["INTRODUCTION", "METHODS"]
