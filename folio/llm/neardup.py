@@ -197,7 +197,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tile_rows:
         for start, cosine in links_between(x[left], x[right], threshold) if len(left) and len(right) else ():
             mine = left[start : start + len(cosine)]
             for i, j in zip(*np.nonzero(np.abs(cosine - threshold) < CLOSE), strict=True):
-                p, q = given[mine[i]], given[right[j]]
+                p, q = (y / np.abs(y).max() for y in (given[mine[i]], given[right[j]]))  # so that no square overflows
                 cosine[i, j] = p @ q / np.sqrt((p @ p) * (q @ q))
             links = cosine >= threshold
             if same:

@@ -6,7 +6,8 @@ into pieces, each a word with the white space before it; every new piece is enco
 by the tokenizers library, and the ids of a text are those of its pieces. Pieces
 recur, so most are found by hash (64 bits, mixed with the white space) in a table of
 arrays, and no Python code runs per word. Texts with white space beyond ASCII, whose
-pieces could join, are encoded whole.
+pieces could join, are encoded whole, and so are texts that hold the string of one of the
+tokenizer's added tokens, such as ``<|endoftext|>``: it is that token's id, as in the library.
 """
 
 from __future__ import annotations
@@ -119,7 +120,7 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings are ordinary text
+        self.added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.separator = self._separator()
         self._forget()
 
@@ -180,6 +181,7 @@ class PieceEncoder:
         if self.table.size > REMEMBERED_PIECES:
             self._forget()
         odd = [k for k, x in enumerate(column.to_pylist()) if x and not x.isascii() and _ODD_SPACE.search(x)] if _may_be_odd(column) else []
+        odd = sorted({*odd, *_holding(column, self.added)})
         key, begin, end, of, data = _pieces(column)
         which = self.table.find(key)
         new = np.flatnonzero(which < 0)
@@ -210,6 +212,16 @@ def _may_be_odd(column: pa.Array) -> bool:
     return bool(pc.any(pc.match_substring_regex(column, r"[\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]")).as_py())
 
 
+def _holding(column: pa.Array, strings: list[str]) -> list[int]:
+    """The texts that hold any of the strings."""
+    import pyarrow.compute as pc
+
+    found = np.zeros(len(column), bool)
+    for x in strings:
+        found |= pc.fill_null(pc.match_substring(column, x), False).to_numpy(zero_copy_only=False)
+    return np.flatnonzero(found).tolist()
+
+
 _encoders: dict[str, PieceEncoder] = {}
 
 

@@ -235,3 +235,26 @@ def test_lm_scoring_counts_contexts_of_two_words(spark, tmp_path):
         assert a[:3] == b[:3] and abs(a[3] - b[3]) < 1e-3
 
 
+
+
+def test_vectors_of_extreme_size_link(spark):
+    rows = [(k, [s * x for x in v], 0) for k, (s, v) in enumerate([(1e200, [1.0, 0.0]), (1e-200, [0.93, 0.367559518]), (1.0, [0.0, -1.0])])]
+    out = {r.vec_id: (r.n_links, r.component_id) for r in neardup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert out == {0: (1, 0), 1: (1, 0), 2: (0, 2)}
+
+
+def test_ids_are_those_of_the_plain_library_call():
+    import public_tokenizers
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from folio.llm.tokenizing import PieceEncoder
+
+    rng = np.random.default_rng(9)
+    parts = ["<|endoftext|>", "<|startoftext|>", " ", "\n", "word", "é", "\u00a0", "12", "<|", "|>", "日本", "'s", ".", "  "]
+    texts = ["".join(rng.choice(parts, rng.integers(0, 12))) for _ in range(2000)]
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        path = public_tokenizers.path(name)
+        ids, of = PieceEncoder(path).encode(pa.array(texts))
+        plain = Tokenizer.from_file(path)
+        assert [ids[a:b].tolist() for a, b in zip(of[:-1], of[1:], strict=True)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]

@@ -25,7 +25,6 @@ def texts(spark, sf):
 
 def tokenizer(name):
     tok = Tokenizer.from_file(public_tokenizers.path(name))
-    tok.encode_special_tokens = True
     return tok
 
 
