@@ -140,21 +140,31 @@ def lift(rows: DataFrame, signal: str, outcome: str) -> DataFrame:
     return rows.agg(with_.alias("with_signal"), without.alias("without_signal"), F.when(without > 0, with_ / without).alias("lift"))
 
 
-def bootstrap_difference(rows: DataFrame, key: str, a: str, b: str, resamples: int = 2000, seed: int = 0) -> DataFrame:
-    """95 % interval of mean(a - b) by Poisson bootstrap.
-
-    Each row's weight in each resample is drawn from a hash of its key, so rows are
-    weighed where they are and only sums, two per resample, are shuffled.
+def bootstrap_difference(rows: DataFrame, a: str, b: str, resamples: int = 2000, seed: int = 0) -> DataFrame:
+    """95 % interval of mean(a - b) by Poisson bootstrap, from the counts of distinct differences.
+
+    How often a difference that n rows have is drawn in a resample is Poisson of mean n,
+    as the sum of n draws of mean 1 is. So rows are counted first; each task adds up the
+    resamples over its differences and sends two numbers for each, however many rows there
+    are. Draws are seeded by the difference itself: the same in every run. Rows where a or
+    b is null don't count; without rows all three numbers are null.
     """
-    r = F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))
-    each = rows.select(key, (F.col(a).cast("double") - F.col(b).cast("double")).alias("d"), r.alias("r"))
-    u = F.pmod(F.xxhash64(key, "r", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    weight, mass, term = F.lit(0), 0.0, 0.36787944117144233
-    for k in range(8):  # the Poisson distribution of mean 1, inverted
-        mass += term
-        weight = weight + (u >= mass).cast("int")
-        term /= k + 1
-    means = each.withColumn("w", weight).groupBy("r").agg((F.sum(F.col("w") * F.col("d")) / F.nullif(F.sum("w"), F.lit(0))).alias("m"))
+    gap = F.col(a).cast("double") - F.col(b).cast("double")
+    cells = rows.select(gap.alias("d")).where("d is not null").groupBy("d").agg(F.count(F.lit(1)).alias("n"))
+
+    def draw(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        weight, total = np.zeros(resamples), np.zeros(resamples)
+        for batch in batches:
+            for d, n in zip(batch.column("d").to_pylist(), batch.column("n").to_pylist(), strict=True):
+                times = np.random.default_rng([seed, *np.array([d + 0.0]).view(np.uint32).tolist()]).poisson(n, resamples)
+                weight, total = weight + times, total + times * d
+        if weight.any():
+            yield pa.RecordBatch.from_arrays([pa.array(range(resamples), pa.int32()), pa.array(weight), pa.array(total)], ["r", "w", "s"])
+
+    means = cells.mapInArrow(draw, "r int, w double, s double").groupBy("r").agg((F.sum("s") / F.nullif(F.sum("w"), F.lit(0.0))).alias("m"))
     return means.agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"), F.avg("m").alias("mean"))
 
 

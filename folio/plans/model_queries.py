@@ -347,7 +347,7 @@ def nation_hierarchy(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def paired_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
     d = scored(spark, sf).select("vec_id", F.col("correct").alias("a"), (F.col("truth") == 0).alias("b"))
-    return metrics.bootstrap_difference(d, "vec_id", "a", "b")
+    return metrics.bootstrap_difference(d, "a", "b")
 
 
 # --- labels ---

@@ -21,11 +21,15 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write the rows and read them back: their lineage ends at the files, which go when the application ends."""
-    spark = df.sparkSession
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A path that no other run uses; what is there goes when the application ends."""
     top = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/folio-{spark.sparkContext.applicationId}-tables")
     top.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(top)
-    path = f"{top.toString()}/{uuid.uuid4().hex}/{name}"
+    return f"{top.toString()}/{uuid.uuid4().hex}/{name}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write the rows and read them back: their lineage ends at the files."""
+    path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -87,7 +87,7 @@ def test_queries_chunk_whole_texts_and_pages(spark, tmp_path):
 
 def test_paired_bootstrap_draws_2000_resamples(spark, sf):
     rows = model_queries.scored(spark, sf).selectExpr("vec_id", "correct AS a", "truth = 0 AS b")
-    got, expected, fewer = model_queries.paired_bootstrap(spark, sf).first(), *(metrics.bootstrap_difference(rows, "vec_id", "a", "b", n).first() for n in (2000, 200))
+    got, expected, fewer = model_queries.paired_bootstrap(spark, sf).first(), *(metrics.bootstrap_difference(rows, "a", "b", n).first() for n in (2000, 200))
     near = lambda r: pytest.approx(tuple(r), abs=1e-9)
     assert tuple(got) == near(expected) and tuple(got) != near(fewer)
 
