@@ -32,6 +32,8 @@ from folio.llm.shared import materialize
 
 #: Turns of a partition on average, and of a subtrie at most.
 PARTITION_TURNS, MOST_TURNS = 25_000, 100_000
+#: Ids that are hashed at once.
+RUN_IDS = 8192
 #: A rebuilt conversation begins like the first of its five.
 FAMILY, LONGEST_HEAD = 5, 9
 
@@ -65,30 +67,51 @@ def rebuilt(turns: DataFrame) -> DataFrame:
     return both.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("path"))
 
 
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, list[int]]]:
+    """Neighbouring ids of one path, ``RUN_IDS`` at a time."""
+    whole, ids = None, []
+    for batch in batches:
+        for key, conv in zip(batch.column("whole").to_pylist(), batch.column("conv_id").to_pylist(), strict=True):
+            if key != whole or len(ids) >= RUN_IDS:
+                if ids:
+                    yield whole, ids
+                whole, ids = key, []
+            ids.append(conv)
+    if ids:
+        yield whole, ids
+
+
 def _ends(convs: DataFrame) -> DataFrame:
     """Per whole path, the digest of its conversations' ids in numerical order.
 
-    Ids stream through the hash in sorted order, so a path that a third of all conversations
-    share needs no more memory than others.
+    Ids are sorted by range, so those of a path that many share are ordered and written out
+    by many tasks; the task that hashes a path reads a few long runs of ids, one at a time.
     """
 
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole, ids in _runs(batches):
+            text = ",".join(map(str, ids)).encode()
+            yield pa.RecordBatch.from_arrays([pa.array([whole], pa.binary()), pa.array([ids[0]], pa.int64()), pa.array([text], pa.binary())], ["whole", "first", "ids"])
+
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole, state = None, None
+        whole, state = None, hashlib.sha256()
         for batch in batches:
             done = []
-            for key, conv in zip(batch.column("whole").to_pylist(), batch.column("conv_id").to_pylist(), strict=True):
-                if key != whole:
-                    if state is not None:
-                        done.append((whole, state.hexdigest()))
-                    whole, state = key, hashlib.sha256(str(conv).encode())
-                else:
-                    state.update(b",%d" % conv)
+            for key, ids in zip(batch.column("whole").to_pylist(), batch.column("ids").to_pylist(), strict=True):
+                if key == whole:
+                    state.update(b"," + ids)
+                    continue
+                if whole is not None:
+                    done.append((whole, state.hexdigest()))
+                whole, state = key, hashlib.sha256(ids)
             if done:
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in done], pa.binary()), pa.array([x for _, x in done])], ["whole", "ends"])
-        if state is not None:
+        if whole is not None:
             yield pa.RecordBatch.from_arrays([pa.array([whole], pa.binary()), pa.array([state.hexdigest()])], ["whole", "ends"])
 
-    return convs.select("whole", "conv_id").repartition("whole").sortWithinPartitions("whole", "conv_id").mapInArrow(digests, "whole binary, ends string")
+    keys = ["whole", "conv_id"]
+    runs = convs.select(*keys).repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(joined, "whole binary, first long, ids binary")
+    return runs.repartition("whole").sortWithinPartitions("whole", "first").mapInArrow(digests, "whole binary, ends string")
 
 
 def weighted_paths(convs: DataFrame) -> DataFrame:

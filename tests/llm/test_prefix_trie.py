@@ -67,7 +67,9 @@ def test_nodes_as_the_plain_version(spark, sizes):
     assert nodes(df, *sizes) == brute(sequences(rows))
 
 
-def test_equal_conversations_are_one_path(spark):
+@pytest.mark.parametrize("run", [7, 8192])
+def test_equal_conversations_are_one_path(spark, monkeypatch, run):
+    monkeypatch.setattr(prefixtrie, "RUN_IDS", run)
     rows = [(5 * k, t, "user", f"turn {t}") for k in range(200) for t in range(3)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     turns = materialize(prefixtrie.turns_of(df), "turns")
