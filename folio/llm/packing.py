@@ -6,8 +6,10 @@ has the same mix of lengths and no group grows with the data; each group is pack
 in one task. A group starts from best-fit decreasing. Then the emptiest bins are
 dissolved: local search moves a document, exchanges one for one or two for one
 between underfull bins whenever that raises the sum of squared fills, until bins
-run empty or nothing improves. A group needs at most about one sequence more than
-its tokens fill; with the default group that is under one in a thousand.
+run empty or nothing improves. Where many pieces are short, a group needs about one
+sequence more than its tokens fill. Where all are long it stops short of the best: of
+2,100 pieces that fit into 700 sequences by threes it makes 708, of 2,000 pieces of 1,300
+to 1,700 tokens 916 where 896 would do.
 
 Null text counts as empty: only its end id. Rows with equal doc_id stay separate
 pieces but can't be told apart in the result. Extra columns are ignored. An empty
