@@ -18,7 +18,7 @@ import re
 import numpy as np
 import pyarrow as pa
 
-from folio.llm.bytehash import Words, mix
+from folio.llm.bytehash import Words, mix, text_bytes
 from folio.llm.memory import release
 
 U64 = np.uint64
@@ -213,13 +213,10 @@ def _may_be_odd(column: pa.Array) -> bool:
 
 
 def _holding(column: pa.Array, strings: list[str]) -> list[int]:
-    """The texts that hold any of the strings."""
-    import pyarrow.compute as pc
-
-    found = np.zeros(len(column), bool)
-    for x in strings:
-        found |= pc.fill_null(pc.match_substring(column, x), False).to_numpy(zero_copy_only=False)
-    return np.flatnonzero(found).tolist()
+    """The texts that hold any of the strings; all bytes are searched at once, texts only where that finds any."""
+    raw = text_bytes(column)[1].tobytes()
+    some = [x for x in strings if x.encode() in raw]
+    return [k for k, text in enumerate(column.to_pylist()) if text and any(x in text for x in some)] if some else []
 
 
 _encoders: dict[str, PieceEncoder] = {}
