@@ -48,10 +48,33 @@ def calibration_error(rows: DataFrame, confidence: str, correct: str, bins: int
     return per.agg((F.sum(F.col("n") * F.abs(F.col("accuracy") - F.col("confidence"))) / F.sum("n")).alias("ece"))
 
 
+def _kind(truth: str, predicted: str, allowed: str, adjacent: str) -> Column:
+    return F.when(F.col(truth) == F.col(predicted), "correct").when(F.array_contains(allowed, F.col(predicted)), "co_listed").when(F.array_contains(adjacent, F.col(predicted)), "adjacent").otherwise("genuine")
+
+
 def error_kinds(rows: DataFrame, truth: str, predicted: str, allowed: str, adjacent: str) -> DataFrame:
     """Counts of correct, co_listed (in allowed), adjacent and genuine."""
-    kind = F.when(F.col(truth) == F.col(predicted), "correct").when(F.array_contains(allowed, F.col(predicted)), "co_listed").when(F.array_contains(adjacent, F.col(predicted)), "adjacent").otherwise("genuine")
-    return rows.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    return rows.groupBy(_kind(truth, predicted, allowed, adjacent).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def confused_pairs(rows: DataFrame, truth: str, predicted: str, allowed: str, adjacent: str, k: int = 5) -> DataFrame:
+    """(kind, truth, predicted, n, place): the k commonest pairs of each kind of error, ties by truth, then predicted."""
+    kind = _kind(truth, predicted, allowed, adjacent)
+    pairs = rows.select(kind.alias("kind"), truth, predicted).where("kind <> 'correct'").groupBy("kind", truth, predicted).agg(F.count(F.lit(1)).alias("n"))
+    place = F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("n"), truth, predicted))
+    return pairs.withColumn("place", place).where(F.col("place") <= k)
+
+
+def margin_bands(rows: DataFrame, margin: str, correct: str, edges: list[float]) -> DataFrame:
+    """(low, high, n, accuracy, mean_margin) of margins from one edge to below the next.
+
+    The last band has no upper end; margins below the first edge, and null ones, are in no band.
+    """
+    m = F.col(margin)
+    pairs = list(zip(edges, [*edges[1:], None], strict=True))
+    band = F.coalesce(*(F.when((m >= a) & (F.lit(True) if b is None else m < b), F.struct(F.lit(a).alias("low"), F.lit(b).cast("double").alias("high"))) for a, b in pairs))
+    held = rows.select(band.alias("b"), m.alias("m"), F.col(correct).alias("c")).where(F.col("b").isNotNull())
+    return held.groupBy("b.low", "b.high").agg(F.count(F.lit(1)).alias("n"), _share(F.col("c")).alias("accuracy"), F.avg("m").alias("mean_margin"))
 
 
 def hierarchical(rows: DataFrame, truth: str, predicted: str, truth_parent: str, predicted_parent: str) -> DataFrame:

@@ -124,11 +124,27 @@ def only(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
     return df.join(wanted.select(key), key, "left_semi")
 
 
-def round_robin(df: DataFrame, groups: list[str], lane: str, key: str, cap: int, seed: str = "rr") -> DataFrame:
-    """Up to cap rows per group, taken in turn from its lanes."""
+def round_robin(df: DataFrame, groups: list[str], lane: str, key: str, cap: int, seed: str = "rr", priority: list[str] | None = None) -> DataFrame:
+    """Up to cap rows per group, taken in turn from its lanes.
+
+    In each turn the lanes of ``priority`` come first, in its order, then others by name.
+    No lane can give more than cap rows, so longer ones are cut before a group is ranked.
+    """
     within = Window.partitionBy(*groups, lane).orderBy(shuffled(key, seed), key)
-    turn = Window.partitionBy(*groups).orderBy("_turn", lane)
-    return df.withColumn("_turn", F.row_number().over(within)).withColumn("_rn", F.row_number().over(turn)).where(F.col("_rn") <= cap).drop("_turn", "_rn")
+    at = F.array_position(F.array(*(F.lit(x) for x in priority or [])).cast("array<string>"), F.col(lane).cast("string"))
+    first = F.when(at > 0, at).otherwise(len(priority or []) + 1)
+    turn = Window.partitionBy(*groups).orderBy("_turn", first, lane)
+    cut = df.withColumn("_turn", F.row_number().over(within)).where(F.col("_turn") <= cap)
+    return cut.withColumn("_rn", F.row_number().over(turn)).where(F.col("_rn") <= cap).drop("_turn", "_rn")
+
+
+def members(df: DataFrame, group: str, member: str) -> DataFrame:
+    """(group, members): the distinct members of each group, sorted; null members are left out, a null group is a group.
+
+    Pairs are made distinct before a group is gathered, which then holds each member once.
+    """
+    pairs = df.select(group, member).distinct()
+    return pairs.groupBy(group).agg(F.sort_array(F.collect_list(member)).alias("members"))
 
 
 def min_support(df: DataFrame, group: str, least: int) -> DataFrame:

@@ -371,24 +371,6 @@ def order_votes(spark: SparkSession, sf: str) -> DataFrame:
     return labelling.vote_labels(orders, "o_orderkey", "categories", mapping).select("o_orderkey", "label", F.round("margin", 6).alias("margin"), "ambiguous")
 
 
-_BITS = ", ".join(f"(i >> {k}) & 1 = 1 AS {name}" for k, name in enumerate(labelling.FACETS))
-_RULES = ", ".join("CASE WHEN " + " AND ".join([*yes, *(f"NOT {n}" for n in no)]) + f" THEN '{name}' END" for name, yes, no in labelling.DESIGN_RULES)
-
-
-@query(f"WITH b AS (SELECT i, {_BITS} FROM range(256) t(i)), d AS (SELECT i, list_filter([{_RULES}], lambda x: x IS NOT NULL) AS l FROM b) SELECT i AS id, coalesce(l[1], '{labelling.DEFAULT_DESIGN}') AS first_design, CASE WHEN len(l) = 0 THEN 1 ELSE len(list_distinct(l)) END AS n_designs FROM d")
-def design_rules(spark: SparkSession, sf: str) -> DataFrame:
-    """All 256 combinations of the eight facets."""
-    bits = spark.range(256).select("id", *((F.shiftright("id", k).bitwiseAND(1) == 1).alias(name) for k, name in enumerate(labelling.FACETS)))
-    d = labelling.derive_designs()
-    return bits.select("id", d[0].alias("first_design"), F.size(d).cast("long").alias("n_designs"))
-
-
-@query()
-def design_decisions(spark: SparkSession, sf: str) -> DataFrame:
-    grid = spark.range(4**5).select("id", *(F.pmod(F.floor(F.col("id") / 4**k), F.lit(4)).cast("int").alias(n) for k, n in enumerate(("case", "survey", "design", "experiment", "simulation"))))
-    return grid.select("id", labelling.decide_design(["case", "survey"], "design", "experiment", "simulation").alias("x")).select("id", "x.*")
-
-
 @query("""WITH a AS (SELECT o_orderkey, o_orderpriority, o_totalprice, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM orders WHERE o_totalprice >= 300000 OR (o_totalprice >= 200000 AND o_orderstatus = 'F')) SELECT o_orderkey, o_orderpriority FROM a WHERE rn <= 50""")
 def pseudo_labels(spark: SparkSession, sf: str) -> DataFrame:
     o = spark.read.parquet(f"{sf}/orders.parquet").withColumn("backed", F.col("o_orderstatus") == "F")

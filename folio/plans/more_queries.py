@@ -242,21 +242,6 @@ def joint_probabilities(spark: SparkSession, sf: str) -> DataFrame:
     return M.long(M.scored(spark, sf).withColumn("probs", scoring.joint(F.col("probs"), other, 0.3)), "vec_id")
 
 
-_HOT = {name: f"(CASE WHEN (i >> {k}) & 1 = 1 THEN 0.9::DOUBLE ELSE 0.2 END)" for k, name in enumerate(labelling.FACETS)}
-_BEST: dict[str, list[str]] = {}
-for _name, _yes, _no in labelling.DESIGN_RULES:
-    _BEST.setdefault(_name, []).append(" * ".join([*(_HOT[f] for f in _yes), *(f"(1 - {_HOT[f]})" for f in _no)]))
-
-
-@query("WITH d AS (SELECT i, unnest([" + ", ".join(f"{{'design': {quoted(n)}, 'v': greatest({', '.join(v)})}}" for n, v in _BEST.items()) + "]) AS x FROM range(256) t(i)) SELECT i AS id, x.design AS design, round(x.v / sum(x.v) OVER (PARTITION BY i), 6) AS p FROM d")
-def design_shares(spark: SparkSession, sf: str) -> DataFrame:
-    """Design probabilities of all 256 combinations of sure and doubtful facets."""
-    p = [F.when(F.shiftright("id", k).bitwiseAND(1) == 1, 0.9).otherwise(0.2).alias(f"p_{name}") for k, name in enumerate(labelling.FACETS)]
-    shares = labelling.design_distribution()
-    rows = F.array(*(F.struct(F.lit(n).alias("design"), c.alias("p")) for n, c in shares.items()))
-    return spark.range(256).select("id", *p).select("id", F.inline(rows)).withColumn("p", F.round("p", 6))
-
-
 @query(M._P + """, b AS (SELECT vec_id, k, p, p >= 0.15 AS inside, ln(p + 1e-12) AS lp FROM p), m AS (SELECT k, avg(lp) AS m FROM b GROUP BY k),
 a AS (SELECT b.*, exp(lp - m - max(lp - m) OVER (PARTITION BY vec_id)) AS a FROM b JOIN m USING (k)), q AS (SELECT *, a / sum(a) OVER (PARTITION BY vec_id) AS q FROM a), z AS (SELECT *, 0.5 * p + 0.5 * q AS s, bool_or(inside) OVER (PARTITION BY vec_id) AS has_any FROM q),
 o AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY CASE WHEN has_any AND NOT inside THEN -1 ELSE s END DESC, k) AS rn FROM z) SELECT vec_id, k AS label FROM o WHERE rn = 1""")
@@ -418,11 +403,67 @@ def smallest_best_weight(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.smallest_best(blend_search(spark, sf), "weight", "accuracy")
 
 
-@query(r"""SELECT doc_id, decode(from_base64(to_base64(encode(coalesce(source, ''))))) AS decoded, len(string_split_regex(coalesce(lang, ''), '[aeiou]')) AS n_parts, regexp_matches(upper(coalesce(source, '')), '[A-Z]') AS capitals, ltrim('##' || coalesce(source, ''), '#') AS stripped,
+@query(r"""SELECT doc_id, decode(from_base64(to_base64(encode(coalesce(source, ''))))) AS decoded, len(string_split_regex(coalesce(lang, ''), '[aeiou]')) AS n_parts, upper(coalesce(source, '')) = coalesce(source, '') AND lower(coalesce(source, '')) <> coalesce(source, '') AS capitals, ltrim('##' || coalesce(source, ''), '#') AS stripped,
   CASE WHEN strpos(substring('abcabc' || coalesce(lang, ''), 3), 'a') > 0 THEN strpos(substring('abcabc' || coalesce(lang, ''), 3), 'a') + 2 ELSE 0 END AS found_at, '{"lang":"' || lang || '","n":' || n_chars || '}' AS as_json, map_extract(map(['x', 'y'], [n_chars, doc_id]), 'y')[1] AS from_map FROM documents""")
 def text_primitives(spark: SparkSession, sf: str) -> DataFrame:
     source, lang = F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit(""))
     return docs_of(spark, sf).select(
-        "doc_id", F.decode(F.unbase64(F.base64(F.encode(source, "UTF-8"))), "UTF-8").alias("decoded"), F.size(F.split(lang, "[aeiou]")).cast("long").alias("n_parts"), (F.upper(source) != F.lower(source)).alias("capitals"), F.ltrim(F.concat(F.lit("##"), source), F.lit("#")).alias("stripped"),
+        "doc_id", F.decode(F.unbase64(F.base64(F.encode(source, "UTF-8"))), "UTF-8").alias("decoded"), F.size(F.split(lang, "[aeiou]")).cast("long").alias("n_parts"), T.all_capitals(source).alias("capitals"), F.ltrim(F.concat(F.lit("##"), source), F.lit("#")).alias("stripped"),
         F.locate("a", F.concat(F.lit("abcabc"), lang), 3).cast("long").alias("found_at"), F.when(F.col("lang").isNotNull() & F.col("n_chars").isNotNull(), F.to_json(F.struct("lang", F.col("n_chars").alias("n")))).alias("as_json"), F.element_at(F.map_from_arrays(F.array(F.lit("x"), F.lit("y")), F.array("n_chars", "doc_id")), "y").alias("from_map"),
     )
+
+
+_KIND = "CASE WHEN predicted = (truth + 1) % 6 THEN 'co_listed' WHEN predicted IN ((truth + 2) % 6, (truth + 3) % 6) THEN 'adjacent' ELSE 'genuine' END"
+
+
+@query(M._P + f", k AS (SELECT {_KIND} AS kind, truth, predicted, count(*) AS n FROM v WHERE truth <> predicted GROUP BY 1, 2, 3) SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY kind ORDER BY n DESC, truth, predicted) AS INT) AS place FROM k) WHERE place <= 3")
+def confused_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """The commonest confusions of each kind."""
+    t = lambda k: ((F.col("truth") + k) % 6).cast("int")
+    return metrics.confused_pairs(M.scored(spark, sf).withColumn("allowed", F.array(t(1))).withColumn("near", F.array(t(2), t(3))), "truth", "predicted", "allowed", "near", 3)
+
+
+@query(M._P + ", b(low, high) AS (VALUES (0.0::DOUBLE, 0.05::DOUBLE), (0.05, 0.15), (0.15, 0.4), (0.4, NULL)) SELECT low, high, count(*) AS n, round(avg(correct::INT), 6) AS accuracy, round(avg(gap), 6) AS mean_margin FROM v JOIN b ON gap >= low AND (high IS NULL OR gap < high) GROUP BY low, high")
+def margin_bands(spark: SparkSession, sf: str) -> DataFrame:
+    """Accuracy by the lead of the best label."""
+    bands = metrics.margin_bands(M.scored(spark, sf), "gap", "correct", [0.0, 0.05, 0.15, 0.4])
+    return bands.select("low", "high", "n", F.round("accuracy", 6).alias("accuracy"), F.round("mean_margin", 6).alias("mean_margin"))
+
+
+@query("""
+WITH a AS (SELECT doc_id, source, lang, row_number() OVER (PARTITION BY source, lang ORDER BY md5(doc_id || '-rr'), doc_id) AS turn FROM documents),
+b AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY turn, CASE lang WHEN 'fr' THEN 1 WHEN 'de' THEN 2 ELSE 3 END, lang) AS rn FROM a) SELECT doc_id, source, lang FROM b WHERE rn <= 7""")
+def capped_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """Seven documents of each source, in turn by language, two languages before the others."""
+    return R.round_robin(docs_of(spark, sf), ["source"], "lang", "doc_id", 7, priority=["fr", "de"]).select("doc_id", "source", "lang")
+
+
+@query("SELECT p_brand, array_to_string(list_sort(list(DISTINCT p_type)), ',') AS kinds FROM part GROUP BY p_brand")
+def kinds_by_brand(spark: SparkSession, sf: str) -> DataFrame:
+    """What each label covers: the categories that map to it."""
+    return R.members(spark.read.parquet(f"{sf}/part.parquet"), "p_brand", "p_type").select("p_brand", F.array_join("members", ",").alias("kinds"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN CASE WHEN o_orderkey % 2 = 0 THEN 2000 + o_orderkey % 100 END ELSE year(o_orderdate) END AS year FROM orders""")
+def submission_years(spark: SparkSession, sf: str) -> DataFrame:
+    """Years of first versions; where there is none, of the identifier, which not all orders have."""
+    key = F.col("o_orderkey")
+    created = F.date_format("o_orderdate", "EEE, d MMM yyyy HH:mm:ss")
+    version = lambda n, c: F.struct(F.lit(n).alias("version"), c.alias("created"))
+    versions = F.when(key % 7 != 0, F.array(version("v1", created), version("v2", F.lit("Mon, 2 Apr 1907 19:18:42 GMT"))))
+    name = F.when(key % 2 == 0, F.format_string("%02d05.%05d", key % 100, key % 100_000))
+    return spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", F.coalesce(T.year_of_versions(versions), T.year_of_id(name)).cast("long").alias("year"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN o_orderstatus || '|' || replace(o_orderpriority, ' ', '|') WHEN o_orderkey % 3 = 1 THEN o_orderstatus || '|' || o_orderpriority ELSE '' END AS categories FROM orders""")
+def order_categories(spark: SparkSession, sf: str) -> DataFrame:
+    """Categories that come as one text, as a list, or not at all."""
+    key = F.col("o_orderkey")
+    given = F.when(key % 3 == 0, F.array(F.concat_ws(" ", "o_orderstatus", "o_orderpriority"))).when(key % 3 == 1, F.array("o_orderstatus", "o_orderpriority"))
+    return spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", F.array_join(T.category_list(given), "|").alias("categories"))
+
+
+@query(r"SELECT doc_id FROM documents WHERE len(regexp_extract_all(text, '\s+')) >= 20")
+def long_enough(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents of at least 21 words, by their runs of spaces."""
+    return docs_of(spark, sf).where(T.space_runs(F.col("text")) >= 20).select("doc_id")

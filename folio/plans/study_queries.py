@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from folio.functions import headings as H
 from folio.functions import text as T
-from folio.operators import conformal, corpora, labelling, layout, studies
+from folio.operators import conformal, corpora, layout, studies
 from folio.operators import relational as R
 from folio.plans import model_queries as M
 from folio.plans.text_queries import docs_of
@@ -161,21 +161,6 @@ def strategy_comparison(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(studies.strategies(chunks, "doc", truth, "y", list(_POOLED), 6), "accuracy")
 
 
-#: Facet k of case i: over its threshold in the first 256 cases by bit k, in no other.
-_LOW = {f: f"(0.2 + 0.01 * ((i * 5 + {k} * 3) % 8))::DOUBLE" for k, f in enumerate(labelling.FACETS)}
-_SET = {f: f"(i < 256 AND (i >> {k}) & 1 = 1)" for k, f in enumerate(labelling.FACETS)}
-_WHEN = [(name, " AND ".join([*(_SET[f] for f in yes), *(f"NOT {_SET[f]}" for f in no)]), " * ".join([*(f"p_{f}" for f in yes), *(f"(1 - p_{f})" for f in no)])) for name, yes, no in labelling.DESIGN_RULES]
-
-
-@query("WITH f AS (SELECT i, " + ", ".join(f"CASE WHEN {_SET[f]} THEN 0.6::DOUBLE + 0.04 * ((i + {k}) % 9) ELSE {_LOW[f]} END AS p_{f}" for k, f in enumerate(labelling.FACETS)) + " FROM range(512) t(i)), r AS (SELECT *, " + " OR ".join(_SET.values()) + " AS fired, list_filter([" + ", ".join(f"CASE WHEN {c} THEN '{n}' END" for n, c, _ in _WHEN) + "], lambda x: x IS NOT NULL) AS ds, CASE " + " ".join(f"WHEN {c} THEN {p}" for _, c, p in _WHEN) + " END AS sure, greatest(" + ", ".join(f"p_{f}" for f in labelling.FACETS) + ") AS best FROM f) SELECT i AS id, CASE WHEN fired THEN coalesce(ds[1], '" + labelling.DEFAULT_DESIGN + "') " + " ".join(f"WHEN p_{f} = best THEN '{next((n for n, yes, _ in labelling.DESIGN_RULES if yes == (f,)), labelling.DEFAULT_DESIGN)}'" for f in labelling.FACETS) + " END AS design, CASE WHEN fired THEN 'facets' ELSE 'top_facet' END AS source, CASE WHEN NOT fired THEN 'NO_EVIDENCE' WHEN sure < 0.45 THEN 'LOW_CONFIDENCE' WHEN len(list_distinct(ds)) > 1 THEN 'UNDERDETERMINED' END AS flag FROM r")
-def resolved_designs(spark: SparkSession, sf: str) -> DataFrame:
-    """Designs with and without evidence, over all combinations of facets and as many without any."""
-    i = F.col("id")
-    probs = {f: F.when((i < 256) & (F.shiftright("id", k).bitwiseAND(1) == 1), 0.6 + 0.04 * ((i + k) % 9)).otherwise(0.2 + 0.01 * ((i * 5 + k * 3) % 8)) for k, f in enumerate(labelling.FACETS)}
-    cases = spark.range(512).select("id", *(c.alias(f"p_{f}") for f, c in probs.items()))
-    return cases.select("id", studies.resolved_design({f: F.col(f"p_{f}") for f in labelling.FACETS}, {}).alias("x")).select("id", "x.*")
-
-
 @query("WITH b AS (SELECT p_brand, count(*) AS n, max(p_size) AS largest FROM part GROUP BY p_brand) SELECT p_brand, CAST(row_number() OVER (ORDER BY n DESC, largest DESC, p_brand) AS INT) AS place FROM b")
 def brand_ranking(spark: SparkSession, sf: str) -> DataFrame:
     brands = spark.read.parquet(f"{sf}/part.parquet").groupBy("p_brand").agg(F.count(F.lit(1)).alias("n"), F.max("p_size").alias("largest"))

@@ -105,25 +105,6 @@ def section_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return chunks.select("page_id", "chunk_index", "section", "n_words")
 
 
-#: Headings and the sections they stand for.
-_HEADINGS = [("## 3 Methodology", "methods"), ("1. Introduction", "introduction"), ("_Datasets_", "methods"), ("References", "references"), ("Author Contributions", "acknowledgements"), ("Data Availability", "acknowledgements"), ("4.2 Ablation Study", "results"), ("Conclusions and Future Work", "conclusion"), ("Threats to Validity", "discussion"), ("Related Work", "related_work"), ("Problem Formulation", "background"), ("Abstract", "abstract"), ("", "other"), ("Zebra", "other")]
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in _HEADINGS) + ") AS t(heading, section)")
-def heading_sections(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.createDataFrame([(a,) for a, _ in _HEADINGS], "heading string").select("heading", T.normalise_heading(F.col("heading")).alias("section"))
-
-
-#: Identifiers with year and bare form.
-_IDS = [("2301.01234v2", 2023, "2301.01234"), ("math.PR/0601001", 2006, "0601001"), ("cs/9901001v1", 1999, "cs/9901001"), ("https://x.org/abs/2210.00001v3", None, "2210.00001"), ("nonsense", None, "nonsense")]
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', CAST({b or 'NULL'} AS INT), '{c}')" for a, b, c in _IDS) + ") AS t(id, year, bare)")
-def identifiers(spark: SparkSession, sf: str) -> DataFrame:
-    i = F.col("id")
-    return spark.createDataFrame([(a,) for a, _, _ in _IDS], "id string").select("id", T.year_of_id(i).alias("year"), T.norm_id(i).alias("bare"))
-
-
 _CUES = ["the", "ing ", "tion", "queau", "xyzzy"]
 
 
@@ -229,26 +210,6 @@ def conversation_texts(spark: SparkSession, sf: str) -> DataFrame:
     return c.groupBy("conv_id").agg(R.ordered_concat("text", "turn").alias("text"), F.count(F.lit(1)).alias("n_turns"), F.count_distinct("role").alias("n_roles"), F.min_by("role", "turn").alias("first_role"))
 
 
-_NOTES = [(1, "Accepted to STOC 2024", None), (2, "code available at github.com/x", None), (3, None, "ACM Computing Surveys"), (4, "we ran a chi-square test", None), (5, "industry track, position paper", "Winter Simulation Conference"), (6, None, None)]
-
-
-@query("SELECT * FROM (VALUES (1, 'theory_venue'), (2, 'code_release'), (3, 'survey_venue'), (4, ''), (5, 'industry_track;simulation_venue;position'), (6, '')) AS t(id, found)")
-def venue_signals(spark: SparkSession, sf: str) -> DataFrame:
-    rows = spark.createDataFrame(_NOTES, "id int, comments string, journal string")
-    flags = evidence.signals(F.col("comments"), F.col("journal"))
-    return rows.select("id", F.array_join(F.filter(F.array(*(F.when(c, n) for n, c in flags.items())), lambda x: x.isNotNull()), ";").alias("found"))
-
-
-_TOPICS = [(1, ["Machine Learning", "databases", "Databases "]), (2, ["machine learning", "databases"]), (3, ["mathematics"]), (4, ["other"]), (5, ["machine learning", "mathematics"])]
-
-
-@query("SELECT * FROM (VALUES (1, 'IS'), (2, NULL), (3, NULL), (4, NULL), (5, 'DS')) AS t(id, label)")
-def topic_labels(spark: SparkSession, sf: str) -> DataFrame:
-    items = spark.createDataFrame(_TOPICS, "id int, topics array<string>")
-    mapping = spark.createDataFrame([("machine learning", "DS"), ("databases", "IS"), ("mathematics", "DS")], "topic string, label string")
-    return evidence.topic_majority(items, "id", "topics", mapping, ["mathematics"])
-
-
 @query()
 def document_types(spark: SparkSession, sf: str) -> DataFrame:
     return H.typed(docs_of(spark, sf)).select("doc_id", "n_structural", "doc_type")

@@ -37,6 +37,16 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').csv(path)
 
 
+def read_optional_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The same of a side table that may be absent: then it has no rows."""
+    try:
+        return read_csv(spark, path, schema)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
 def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON lines; a truncated last line is dropped."""
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
