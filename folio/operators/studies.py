@@ -61,13 +61,17 @@ def areas(rows: DataFrame, area: str, truth: str, predicted: str, k: int = 3) ->
     return cells.groupBy(area).agg(F.sum("c").alias("n"), (F.sum("h") / F.sum("c")).alias("hit_rate"), named.alias("top"))
 
 
-def recalibrated(old: DataFrame, new: DataFrame, test: DataFrame, scores: str, own: str, truth: str, predicted: str, alphas: list[float]) -> DataFrame:
-    """Per alpha and source of calibration (``old``, ``new``): what the sets of the test rows hold and route."""
+def recalibrated(old: DataFrame, new: DataFrame, test: DataFrame, scores: str, own: str, truth: str, predicted: str, alphas: list[float], by: str | None = None) -> DataFrame:
+    """Per alpha and source of calibration (``old``, ``new``): what the sets of the test rows hold and route.
+
+    With ``by`` (such as a mark of ambiguous rows) for each of its values, null among them.
+    """
     grid = []
     for name, rows in (("old", old), ("new", new)):
         grid += [F.struct(F.lit(name).alias("calibration"), F.lit(float(r["alpha"])).alias("alpha"), F.lit(float(r["qhat"])).alias("qhat")) for r in conformal.quantiles(rows, own, alphas).collect()]
-    each = test.select(scores, truth, predicted, F.explode(F.array(*grid)).alias("g")).withColumn("_set", conformal.prediction_set(F.col(scores), F.col("g.qhat")))
-    return conformal.evaluate_sets(each.select("g.*", "_set", truth, predicted), "_set", truth, predicted, ["calibration", "alpha", "qhat"])
+    own_groups = [by] if by else []
+    each = test.select(scores, truth, predicted, *own_groups, F.explode(F.array(*grid)).alias("g")).withColumn("_set", conformal.prediction_set(F.col(scores), F.col("g.qhat")))
+    return conformal.evaluate_sets(each.select("g.*", "_set", truth, predicted, *own_groups), "_set", truth, predicted, [*own_groups, "calibration", "alpha", "qhat"])
 
 
 def document_sets(chunks: DataFrame, key: str, strategy: str, qhat: float, classes: int, method: str = "lac") -> DataFrame:

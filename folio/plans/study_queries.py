@@ -142,6 +142,14 @@ def recalibration_study(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(r.select("calibration", "alpha", "n", "coverage", "avg_size", "routed"), "coverage", "avg_size", "routed")
 
 
+@query(ORACLES["recalibration_study"].replace("SELECT calibration, alpha, count(*) AS n", "SELECT gap < 0.1 AS ambiguous, calibration, alpha, count(*) AS n").replace("FROM t GROUP BY calibration, alpha", "FROM t JOIN v USING (vec_id) GROUP BY ambiguous, calibration, alpha"))
+def recalibration_by_ambiguity(spark: SparkSession, sf: str) -> DataFrame:
+    """The same apart for rows whose best two labels are close."""
+    fit, test = M._halves(spark, sf)
+    r = studies.recalibrated(fit.where("vec_id % 2 = 0"), fit.where("vec_id % 2 = 1"), test.withColumn("ambiguous", F.col("gap") < 0.1), "scores", "own", "truth", "predicted", [0.1, 0.2], "ambiguous")
+    return rounded(r.select("ambiguous", "calibration", "alpha", "n", "coverage", "avg_size", "routed"), "coverage", "avg_size", "routed")
+
+
 @query(M._Q + """, d AS (SELECT doc, k, avg(p) AS q FROM p JOIN c USING (vec_id) GROUP BY doc, k), even AS (SELECT doc, k, greatest(q, 1e-9) / sum(greatest(q, 1e-9)) OVER (PARTITION BY doc) AS p FROM d)
 SELECT doc, arg_max(k, (p, -k)) AS predicted, string_agg(k::VARCHAR, ',' ORDER BY k) FILTER (1.0 - p <= (SELECT qhat FROM q WHERE alpha = 0.2)) AS found FROM even GROUP BY doc""")
 def document_sets(spark: SparkSession, sf: str) -> DataFrame:
