@@ -14,6 +14,11 @@ PRIMARY_WEIGHT, SECONDARY_SHARE, AMBIGUITY_MARGIN = 2.0, 0.5, 0.25
 CATEGORY_WEIGHT, TITLE_WEIGHT, LEAST_MARGIN, LEAST_SCORE, LEAST_HITS = 3.0, 2.0, 0.20, 2.0, 2
 
 
+def once(value: Column, use) -> Column:
+    """``use(value)`` with the value evaluated once, however often ``use`` names it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _votes(items: DataFrame, key: str, categories: str, mapping: DataFrame) -> DataFrame:
     """(key, label, v, o): every vote with its weight and its place."""
     cats = items.select(key, F.posexplode(categories).alias("_at", "category"))
@@ -39,6 +44,39 @@ def vote_labels(items: DataFrame, key: str, categories: str, mapping: DataFrame)
     return items.join(voted, key, "left").withColumn("margin", F.coalesce("margin", F.lit(0.0))).withColumn("ambiguous", F.col("label").isNull() | (F.col("margin") < AMBIGUITY_MARGIN))
 
 
+def voted(categories: Column, mapping: list[tuple]) -> Column:
+    """Struct (label, margin, co_listed, ambiguous): the vote of vote_labels as one expression over an array of categories.
+
+    ``mapping``: (category, label, strength, secondary or None), a parameter of tens of
+    rows. Rows are labelled where they lie: no join, no shuffle. Null, empty and unmapped
+    categories give a null label, margin 0 and no labels.
+    """
+    names = [x for x in dict.fromkeys(x for _, a, _, b in mapping for x in (a, b)) if x is not None]
+    known = F.map_from_arrays(F.array(*(F.lit(m[0]) for m in mapping)), F.array(*(F.struct(F.lit(a).alias("label"), F.lit(float(s)).alias("strength"), F.lit(b).cast("string").alias("secondary")) for _, a, s, b in mapping)))
+
+    def vote(m: Column, at: Column) -> Column:
+        w = F.when(at == 0, PRIMARY_WEIGHT).otherwise(1.0)
+        first = F.struct(m["label"].alias("label"), (w * m["strength"]).alias("v"), (2 * at).alias("o"))
+        return F.array(first, F.struct(m["secondary"].alias("label"), (w * (1 - m["strength"]) * SECONDARY_SHARE).alias("v"), (2 * at + 1).alias("o")))
+
+    votes = F.filter(F.flatten(F.transform(F.coalesce(categories, F.array().cast("array<string>")), lambda c, at: once(F.try_element_at(known, c), lambda m: vote(m, at)))), lambda x: x["label"].isNotNull())
+
+    def add(sums: Column, x: Column) -> Column:
+        """Fold a vote into the array of (neg, o, label), a place for each label."""
+        return F.transform(sums, lambda s: F.when(s["label"] == x["label"], F.struct((s["neg"] - x["v"]).alias("neg"), F.least(s["o"], x["o"]).alias("o"), s["label"].alias("label"))).otherwise(s))
+
+    unvoted = F.array(*(F.struct(F.lit(0.0).alias("neg"), F.lit(None).cast("int").alias("o"), F.lit(x).alias("label")) for x in names))
+    ranked = F.array_sort(F.filter(F.aggregate(votes, unvoted, add), lambda s: s["o"].isNotNull()))
+
+    def verdict(r: Column) -> Column:
+        total = F.aggregate(r, F.lit(0.0), lambda a, x: a - x["neg"])
+        top, second = F.try_element_at(r, F.lit(1)), F.coalesce(F.try_element_at(r, F.lit(2))["neg"], F.lit(0.0))
+        margin = F.when(total > 0, (second - top["neg"]) / total).otherwise(0.0)
+        return F.struct(top["label"].alias("label"), margin.alias("margin"), F.transform(r, lambda x: x["label"]).alias("co_listed"), (top["label"].isNull() | (margin < AMBIGUITY_MARGIN)).alias("ambiguous"))
+
+    return once(ranked, verdict)
+
+
 def keyword_pattern(keyword: Column) -> Column:
     """Literal for phrases and long words; short words may go on to the right."""
     literal = F.concat(F.lit(r"\Q"), keyword, F.lit(r"\E"))
@@ -51,16 +89,25 @@ def keyword_scores(title: Column, body: Column, category: Column, fields: list[t
     ``fields``: (field, field_index, pattern, categories), a parameter of tens of rows.
     """
 
-    def found(text: Column, pattern: str) -> Column:
-        return F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(pattern), F.lit(0)))
-
-    rows = []
-    for name, index, pattern, categories in fields:
-        t, b = found(title, pattern), found(body, pattern)
+    def scorer(name: str, index: int, categories):
         cat = F.coalesce(category.isin(*categories), F.lit(False)) if categories else F.lit(False)
-        score = F.when(cat, CATEGORY_WEIGHT).otherwise(0.0) + TITLE_WEIGHT * F.size(t) + F.size(F.array_except(b, t))
-        rows.append(F.struct((-score).alias("neg"), F.lit(index).alias("field_index"), F.lit(name).alias("field"), F.size(F.array_union(t, b)).alias("hits"), cat.alias("cat")))
-    return F.array_sort(F.array(*rows))
+
+        def score(x: Column) -> Column:
+            points = F.when(cat, CATEGORY_WEIGHT).otherwise(0.0) + TITLE_WEIGHT * F.size(x["t"]) + F.size(F.array_except(x["b"], x["t"]))
+            return F.struct((-points).alias("neg"), F.lit(index).alias("field_index"), F.lit(name).alias("field"), F.size(F.array_union(x["t"], x["b"])).alias("hits"), cat.alias("cat"))
+
+        return score
+
+    return F.array_sort(once(_lowered(title, body), lambda low: F.array(*(once(_found(low, pattern), scorer(name, index, categories)) for name, index, pattern, categories in fields))))
+
+
+def _lowered(title: Column, body: Column) -> Column:
+    return F.struct(F.lower(F.coalesce(title, F.lit(""))).alias("t"), F.lower(F.coalesce(body, F.lit(""))).alias("b"))
+
+
+def _found(low: Column, pattern: str) -> Column:
+    """The distinct phrases of lowered title and body."""
+    return F.struct(*(F.array_distinct(F.regexp_extract_all(low[k], F.lit(pattern), F.lit(0))).alias(k) for k in ("t", "b")))
 
 
 def keyword_labels(items: DataFrame, key: str, title: str, body: str, category: str, fields: list[tuple]) -> DataFrame:
@@ -81,13 +128,11 @@ def keyword_labels(items: DataFrame, key: str, title: str, body: str, category:
 
 def keyword_vote(title: Column, body: Column, fields: list[tuple]) -> Column:
     """Struct (field, hits): the field with most distinct phrases in title and body, the first of equals; null without any."""
-    rows = []
-    for name, index, pattern, _ in fields:
-        hits = F.size(F.array_union(*(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(x, F.lit(""))), F.lit(pattern), F.lit(0))) for x in (title, body))))
-        rows.append(F.struct((-hits).alias("neg"), F.lit(index).alias("at"), F.lit(name).alias("field")))
-    r = F.array_sort(F.array(*rows))
-    first = r[0]
-    return F.struct(F.when(first["neg"] < 0, first["field"]).alias("field"), (-first["neg"]).alias("hits"))
+    def hits(low: Column) -> Column:
+        return F.array(*(F.struct(once(_found(low, pattern), lambda x: -F.size(F.array_union(x["t"], x["b"]))).alias("neg"), F.lit(index).alias("at"), F.lit(name).alias("field")) for name, index, pattern, _ in fields))
+
+    best = F.array_min(once(_lowered(title, body), hits))
+    return once(best, lambda first: F.struct(F.when(first["neg"] < 0, first["field"]).alias("field"), (-first["neg"]).alias("hits")))
 
 
 def vote_distribution(items: DataFrame, key: str, categories: str, mapping: DataFrame, labels: list[str]) -> DataFrame:

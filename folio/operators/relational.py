@@ -8,16 +8,22 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 
 def shuffled(key: str, seed: str = "0") -> Column:
     return F.md5(F.concat(F.col(key).cast("string"), F.lit(f"-{seed}")))
 
 
-def keep_first(df: DataFrame, keys: list[str], order: list) -> DataFrame:
-    """One row per key, the first in the order."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """One row per key, the first in ascending order, nulls first; equal rows in the order leave one of them.
+
+    Strings are grouped by their SHA-256, and each task keeps one row per key before
+    the shuffle, so a key that many rows share costs one row a task. Null keys are one group.
+    """
+    of = [F.sha2(k, 256) if isinstance(df.schema[k].dataType, StringType) else F.col(k) for k in keys]
+    by = df.groupBy(*(c.alias(f"_k{n}") for n, c in enumerate(of)))
+    return by.agg(F.min_by(F.struct(*df.columns), F.struct(*order)).alias("_first")).select("_first.*")
 
 
 def top_per_group(df: DataFrame, groups: list[str], order: list, k: int) -> DataFrame:
@@ -161,27 +167,49 @@ def without(df: DataFrame, keys: list[DataFrame], key: str) -> DataFrame:
     return df.join(seen.distinct(), key, "left_anti")
 
 
-def running_sums(df: DataFrame, order: str, amounts: list[str], keys: list[str] | None = None, descending: bool = False, buckets: int = 1024) -> DataFrame:
-    """Add ``run_<amount>``: inclusive running sums in the order of a numeric column.
+def running_sums(df: DataFrame, order: str, amounts: list[str], keys: list[str] | None = None, descending: bool = False, buckets: int = 256) -> DataFrame:
+    """Add ``run_<amount>``: inclusive running sums in the order of a column, by itself within each group of ``keys``.
+
+    Values are cut at approximate quantiles, of each group its own; a bucket runs by
+    itself, behind the totals of those before it (at most ``buckets`` rows a group), so
+    neither a hot group nor an outlier puts all rows in one task. The sums are exact
+    wherever the cuts lie. Null keys are a group, null values come first in ascending
+    order and last in descending. Rows of equal order must be merged beforehand.
+    """
+    keys = keys or []
+    names = [f"_k{n}" for n in range(len(keys))]
+    cut = bucketed(df, order, keys, buckets)
+    before = Window.partitionBy(*names).orderBy(F.desc("_p") if descending else F.asc("_p")).rowsBetween(Window.unboundedPreceding, -1)
+    totals = cut.groupBy(*(F.col(k).alias(n) for k, n in zip(keys, names, strict=True)), F.col("_b").alias("_p")).agg(*(F.sum(a).alias(a) for a in amounts))
+    offsets = totals.select(*names, "_p", *(F.coalesce(F.sum(a).over(before), F.lit(0)).alias(f"_o_{a}") for a in amounts))
+    run = Window.partitionBy(*keys, "_b").orderBy(F.desc(order) if descending else F.asc(order)).rowsBetween(Window.unboundedPreceding, 0)
+    out = _joined_null_safe(cut, offsets, [*keys, "_b"], [*names, "_p"])
+    return out.select(*df.columns, *((F.col(f"_o_{a}") + F.coalesce(F.sum(a).over(run), F.lit(0))).alias(f"run_{a}") for a in amounts))
+
+
+def bucketed(df: DataFrame, order: str, keys: list[str], buckets: int) -> DataFrame:
+    """Add ``_b``, how many of the approximate quantiles of its group a value lies above; 0 for nulls.
 
-    Without keys the values are cut into buckets of equal width; each bucket runs on
-    its own, behind the totals of those before it (at most ``buckets`` rows), so no task
-    gets the whole table. Rows of equal order must be merged beforehand.
+    Equal values share a bucket.
     """
-    by = F.desc(order) if descending else F.asc(order)
+    names = [f"_k{n}" for n in range(len(keys))]
+    cuts = F.percentile_approx(order, [n / buckets for n in range(1, buckets)], 10 * buckets)
     if keys:
-        run = Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, 0)
-        return df.select("*", *(F.sum(a).over(run).alias(f"run_{a}") for a in amounts))
-    lo, hi = df.agg(F.min(order), F.max(order)).first()
-    width = (hi - lo) if lo is not None and hi > lo else 1.0
-    place = F.least(F.floor((F.col(order) - F.lit(lo or 0)) / F.lit(width) * buckets), F.lit(buckets - 1)).cast("int")
-    cut = df.withColumn("_b", place)
-    before = Window.orderBy(F.desc("_b") if descending else F.asc("_b")).rowsBetween(Window.unboundedPreceding, -1)
-    totals = cut.groupBy("_b").agg(*(F.sum(a).alias(a) for a in amounts))
-    offsets = totals.select("_b", *(F.coalesce(F.sum(a).over(before), F.lit(0)).alias(f"_o_{a}") for a in amounts))
-    run = Window.partitionBy("_b").orderBy(by).rowsBetween(Window.unboundedPreceding, 0)
-    out = cut.join(offsets, "_b")
-    return out.select(*df.columns, *((F.col(f"_o_{a}") + F.sum(a).over(run)).alias(f"run_{a}") for a in amounts))
+        edges = df.groupBy(*(F.col(k).alias(n) for k, n in zip(keys, names, strict=True))).agg(cuts.alias("_edges"))
+        known = _joined_null_safe(df, edges, keys, names)
+    else:
+        found = df.agg(cuts).first()[0] or []
+        known = df.withColumn("_edges", F.array(*(F.lit(e) for e in found)).cast(ArrayType(df.schema[order].dataType)))
+    place = F.when(F.col(order).isNull() | F.col("_edges").isNull(), 0).otherwise(F.size(F.filter("_edges", lambda e: e < F.col(order))))
+    return known.withColumn("_b", place).drop("_edges")
+
+
+def _joined_null_safe(left: DataFrame, right: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
+    """Inner join of ``keys`` with ``names``, which go; nulls meet nulls."""
+    on = F.lit(True)
+    for k, n in zip(keys, names, strict=True):
+        on = on & F.col(k).eqNullSafe(F.col(n))
+    return left.join(right, on).drop(*names)
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
@@ -200,60 +228,64 @@ def ordered_concat(text: str, order: str) -> Column:
     return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, text))), lambda x: x[text]), " ")
 
 
-def fill_quota(available: dict, target: int, max_share: float) -> dict:
-    """An even spread of target over categories, none above its supply or the cap.
+#: How far the cap is relaxed, in multiples of the wished share and then as plain shares.
+RELAXED, PLAIN_SHARES = (1.0, 1.5, 2.0), (0.5, 0.75, 1.0)
+
+
+def quotas(supply: DataFrame, level: str, group: str, n: str, target: int | Column, max_share: float) -> DataFrame:
+    """(level, group, quota): an even spread of a target over the groups of each level, none above its supply or the cap.
+
+    ``supply`` has a row per level and group. The cap is a share of the target and is
+    relaxed in steps until the supplies below it meet the target; a target above all
+    supplies is cut to them. Groups share equally: those that have less give all, the
+    others stand at one water level, and what is left over goes one each to the first
+    by name. Nulls and groups without supply get none; a level that gets none is absent.
 
-    Shares of each round go to the categories in name order; a full one leaves. The
-    cap is relaxed in steps until the target is met. ``available`` is one number per
-    category, so this runs on the driver over a counted table of a dimension.
+    The water level is found from the histogram of limits, at most as many rows a level
+    as it has distinct supplies; a level's groups are ranked once, by name.
     """
-    target = min(target, sum(available.values()))
-    quota: dict = {}
-    if target <= 0:
-        return quota
-    for share in (max_share, 1.5 * max_share, 2 * max_share, 0.5, 0.75, 1.0):
-        cap = max(1, int(target * min(1.0, share)))
-        limit = {c: min(n, cap) for c, n in available.items() if n > 0}
-        quota, left, live = dict.fromkeys(limit, 0), target, sorted(limit)
-        while left > 0 and live:
-            even = max(1, left // len(live))
-            for c in list(live):
-                give = min(limit[c] - quota[c], even, left)
-                quota[c] += give
-                left -= give
-                if quota[c] >= limit[c]:
-                    live.remove(c)
-        if left == 0:
-            break
-    return {c: q for c, q in quota.items() if q > 0}
+    rows = supply.where(F.col(level).isNotNull() & F.col(group).isNotNull() & (F.col(n) > 0))
+    rows = rows.select(F.col(level).alias("_lv"), F.col(group).alias("_g"), F.col(n).cast("long").alias("_s"), F.lit(target).cast("long").alias("_t"))
+    whole = rows.groupBy("_lv").agg(F.least(F.max("_t"), F.sum("_s")).alias("_want")).where(F.col("_want") > 0)
+    shares = F.array(*(F.lit(float(min(1.0, k * max_share))) for k in RELAXED), *(F.lit(k) for k in PLAIN_SHARES))
+    caps = whole.select("_lv", "_want", F.posexplode(F.transform(shares, lambda x: F.greatest(F.lit(1), F.floor(F.col("_want") * x)).cast("long"))).alias("_step", "_cap"))
+    counts = rows.groupBy("_lv", "_s").agg(F.count(F.lit(1)).alias("_n"))
+    limits = counts.join(caps, "_lv").groupBy("_lv", "_step", "_want", "_cap", F.least("_s", "_cap").alias("_limit")).agg(F.sum("_n").alias("_n"))
+    enough = limits.groupBy("_lv", "_step").agg(F.sum(F.col("_limit") * F.col("_n")).alias("_all"), F.max("_want").alias("_w")).where(F.col("_all") >= F.col("_w"))
+    limits = limits.join(enough.groupBy("_lv").agg(F.min("_step").alias("_step")), ["_lv", "_step"], "left_semi")
+
+    below = Window.partitionBy("_lv").orderBy("_limit").rowsBetween(Window.unboundedPreceding, -1)
+    above = Window.partitionBy("_lv").orderBy("_limit").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    given = F.coalesce(F.sum(F.col("_limit") * F.col("_n")).over(below), F.lit(0))
+    steps = limits.select("*", given.alias("_given"), F.sum("_n").over(above).alias("_live"))
+    steps = steps.withColumn("_water", F.floor((F.col("_want") - F.col("_given")) / F.col("_live")))
+    # the first limit that stands above what an even share would give
+    short = F.col("_limit") > F.col("_water")
+    water = steps.groupBy("_lv").agg(F.max("_cap").alias("_cap"), F.min(F.when(short, F.struct("_limit", "_water", (F.col("_want") - F.col("_given") - F.col("_water") * F.col("_live")).alias("_over")))).alias("_at"))
+    known = rows.join(water, "_lv").withColumn("_limit", F.least("_s", "_cap")).withColumn("_open", F.coalesce(F.col("_limit") > F.col("_at._water"), F.lit(False)))
+    rank = F.row_number().over(Window.partitionBy("_lv", "_open").orderBy("_g"))
+    quota = F.when(F.col("_open"), F.col("_at._water") + (rank <= F.col("_at._over")).cast("long")).otherwise(F.col("_limit"))
+    return known.select(F.col("_lv").alias(level), F.col("_g").alias(group), quota.cast("long").alias("quota")).where("quota > 0")
+
+
+def _within_quota(df: DataFrame, level: str, group: str, key: str, quota: DataFrame, seed: str) -> DataFrame:
+    ranked = shuffled_ranks(df.where(F.col(level).isNotNull() & F.col(group).isNotNull()), [level, group], key, seed)
+    return ranked.join(quota.withColumnRenamed("quota", "_q"), [level, group]).where(F.col("_place") <= F.col("_q")).select(*df.columns)
 
 
 def sample_to_quota(df: DataFrame, group: str, key: str, target: int, max_share: float, seed: str = "quota") -> DataFrame:
-    """A shuffled sample that meets the quota of every category."""
-    supply = {r[0]: r[1] for r in df.where(F.col(group).isNotNull()).groupBy(group).count().collect()}
-    quota = fill_quota(supply, target, max_share)
-    if not quota:
-        return df.limit(0)
-    allowed = F.create_map(*(F.lit(x) for pair in quota.items() for x in pair))
-    ranked = shuffled_ranks(df.where(F.col(group).isin(*quota)), [group], key, seed)
-    return ranked.where(F.col("_place") <= F.element_at(allowed, F.col(group))).drop("_place", "_n")
+    """A shuffled sample that meets the quota of every category; rows without a category are in none."""
+    all_rows = df.withColumn("_level", F.lit(0))
+    supply = all_rows.groupBy("_level", group).agg(F.count(F.lit(1)).alias("_supply"))
+    return _within_quota(all_rows, "_level", group, key, quotas(supply, "_level", group, "_supply", target, max_share), seed).drop("_level")
 
 
 def quota_per_level(df: DataFrame, level: str, group: str, key: str, target: int, max_share: float, seed: str = "quota") -> DataFrame:
     """A sample that spreads target evenly over levels (years, for instance) and, in each, over groups by quota.
 
-    Supplies are counted once, one number per level and group; what a level cannot give
-    is not made up for by others.
+    Supplies are counted once; what a level cannot give is not made up for by others. A
+    level has at least one row as its target.
     """
-    counts: dict = {}
-    for lv, g, n in df.where(F.col(level).isNotNull() & F.col(group).isNotNull()).groupBy(level, group).count().collect():
-        counts.setdefault(lv, {})[g] = n
-    if not counts:
-        return df.limit(0)
-    per = max(1, target // len(counts))
-    quota = [(lv, g, q) for lv in sorted(counts) for g, q in fill_quota(counts[lv], per, max_share).items()]
-    schema = f"_lv {df.schema[level].dataType.simpleString()}, _g {df.schema[group].dataType.simpleString()}, _q long"
-    table = df.sparkSession.createDataFrame(quota, schema)
-    ranked = shuffled_ranks(df, [level, group], key, seed)
-    met = ranked.join(table, (F.col(level) == F.col("_lv")) & (F.col(group) == F.col("_g")))
-    return met.where(F.col("_place") <= F.col("_q")).drop("_lv", "_g", "_q", "_place", "_n")
+    supply = df.where(F.col(level).isNotNull() & F.col(group).isNotNull()).groupBy(level, group).agg(F.count(F.lit(1)).alias("_supply"))
+    levels = supply.agg(F.count_distinct(level)).first()[0]
+    return _within_quota(df, level, group, key, quotas(supply, level, group, "_supply", max(1, target // max(levels, 1)), max_share), seed)

@@ -367,8 +367,8 @@ g AS (SELECT a.o_orderkey, a.label, (a.v - coalesce(b.v, 0)) / a.total AS margin
 SELECT o.o_orderkey, g.label, round(coalesce(g.margin, 0.0), 6) AS margin, g.label IS NULL OR g.margin < 0.25 AS ambiguous FROM orders o LEFT JOIN g USING (o_orderkey)""")
 def order_votes(spark: SparkSession, sf: str) -> DataFrame:
     orders = spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", F.array("o_orderpriority", "o_orderstatus").alias("categories"))
-    mapping = spark.createDataFrame(_MAP, "category string, label string, strength double, secondary string")
-    return labelling.vote_labels(orders, "o_orderkey", "categories", mapping).select("o_orderkey", "label", F.round("margin", 6).alias("margin"), "ambiguous")
+    won = orders.select("o_orderkey", labelling.voted(F.col("categories"), _MAP).alias("v"))
+    return won.select("o_orderkey", "v.label", F.round("v.margin", 6).alias("margin"), "v.ambiguous")
 
 
 @query("""WITH a AS (SELECT o_orderkey, o_orderpriority, o_totalprice, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM orders WHERE o_totalprice >= 300000 OR (o_totalprice >= 200000 AND o_orderstatus = 'F')) SELECT o_orderkey, o_orderpriority FROM a WHERE rn <= 50""")

@@ -16,7 +16,7 @@ from folio.operators import chunking, conformal, evidence, labelling, metrics, s
 from folio.operators import relational as R
 from folio.plans import model_queries as M
 from folio.plans import reports
-from folio.plans.text_queries import docs_of
+from folio.plans.text_queries import docs_of, quota_sql
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -173,7 +173,10 @@ def injected_tests(spark: SparkSession, sf: str) -> DataFrame:
     return R.inject(train, test, o.where("o_orderpriority IN ('2-HIGH', '5-LOW')"), "o_orderkey").select("o_orderkey")
 
 
-@query()
+_ORDER_LEVELS = "SELECT o_orderkey, year(o_orderdate) AS level, o_orderpriority AS g FROM orders"
+
+
+@query(quota_sql(_ORDER_LEVELS, "o_orderkey", "greatest(1, 350 // (SELECT count(DISTINCT level) FROM s))", 0.4) + " SELECT o_orderkey, CAST(level AS INT) AS year, g AS o_orderpriority FROM p JOIN q USING (level, g) WHERE place <= q")
 def quota_by_year(spark: SparkSession, sf: str) -> DataFrame:
     o = spark.read.parquet(f"{sf}/orders.parquet").withColumn("year", F.year("o_orderdate"))
     return R.quota_per_level(o, "year", "o_orderpriority", "o_orderkey", 350, 0.4).select("o_orderkey", "year", "o_orderpriority")

@@ -146,7 +146,7 @@ def facet_label_model(spark: SparkSession, sf: str) -> DataFrame:
 @query("""
 SELECT min(doc_id) AS doc_id, md5(text) AS text_md5 FROM documents GROUP BY text""")
 def distinct_texts(spark: SparkSession, sf: str) -> DataFrame:
-    return R.keep_first(docs_of(spark, sf), ["text"], ["doc_id"]).select("doc_id", F.md5("text").alias("text_md5"))
+    return R.keep_first(docs_of(spark, sf).select("doc_id", "text"), ["text"], ["doc_id"]).select("doc_id", F.md5("text").alias("text_md5"))
 
 
 @query(r"""
@@ -190,7 +190,19 @@ def round_robin_languages(spark: SparkSession, sf: str) -> DataFrame:
     return R.round_robin(docs_of(spark, sf), ["source"], "lang", "doc_id", 9).select("doc_id", "source", "lang")
 
 
-@query()
+def quota_sql(rows: str, key: str, target: str, share: float) -> str:
+    """The sample of ``rows``, a table (level, g, key): the water level is tried out among all whole numbers."""
+    steps = ", ".join(f"({k}, least(1.0::DOUBLE, {m}::DOUBLE * {share}::DOUBLE))" for k, m in enumerate((1.0, 1.5, 2.0))) + ", (3, 0.5::DOUBLE), (4, 0.75::DOUBLE), (5, 1.0::DOUBLE)"
+    return f"""
+WITH s AS (SELECT level, g, count(*) AS s FROM ({rows}) WHERE level IS NOT NULL AND g IS NOT NULL GROUP BY level, g), w AS (SELECT level, CAST(least({target}, sum(s)) AS BIGINT) AS want FROM s GROUP BY level),
+c AS (SELECT level, want, step, greatest(1, CAST(floor(want * x) AS BIGINT)) AS cap FROM w, (VALUES {steps}) v(step, x)), f AS (SELECT level, step FROM s JOIN c USING (level) GROUP BY level, step, want HAVING sum(least(s, cap)) >= want),
+l AS (SELECT level, g, least(s, cap) AS l, want FROM s JOIN c USING (level) WHERE (level, step) IN (SELECT level, min(step) FROM f GROUP BY level)),
+t AS (SELECT level, want, unnest(range(want + 1)) AS water FROM w), h AS (SELECT level, max(water) AS water FROM (SELECT level, water FROM l JOIN t USING (level) GROUP BY level, water, t.want HAVING sum(least(l, water)) <= t.want) GROUP BY level),
+q AS (SELECT level, g, least(l, water) + CASE WHEN l > water AND row_number() OVER (PARTITION BY level, l > water ORDER BY g) <= want - sum(least(l, water)) OVER (PARTITION BY level) THEN 1 ELSE 0 END AS q FROM l JOIN h USING (level)),
+p AS (SELECT *, row_number() OVER (PARTITION BY level, g ORDER BY md5({key} || '-quota'), {key}) AS place FROM ({rows}))"""
+
+
+@query(quota_sql("SELECT doc_id, 0 AS level, lang AS g FROM documents", "doc_id", "120", 0.3) + " SELECT doc_id, g AS lang FROM p JOIN q USING (level, g) WHERE place <= q")
 def quota_sample(spark: SparkSession, sf: str) -> DataFrame:
     return R.sample_to_quota(docs_of(spark, sf), "lang", "doc_id", 120, 0.3).select("doc_id", "lang")
 

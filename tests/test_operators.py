@@ -73,15 +73,6 @@ def test_noise_sections_go_unless_alone(spark):
     assert sorted((r.doc_id, r.section) for r in kept.collect()) == [(1, "methods"), (2, "references")]
 
 
-def test_quota_meets_target_and_supply():
-    assert R.fill_quota({"a": 100, "b": 5, "c": 100}, 60, 0.5) == {"a": 28, "b": 5, "c": 27}
-    assert R.fill_quota({"a": 3}, 10, 0.3) == {"a": 3}
-    assert R.fill_quota({}, 10, 0.3) == {}
-    for supply, target in (({"a": 50, "b": 1}, 40), ({"a": 7, "b": 7, "c": 7}, 21), ({"x": 1000, "y": 10, "z": 1}, 500)):
-        q = R.fill_quota(supply, target, 0.3)
-        assert sum(q.values()) == min(target, sum(supply.values())) and all(q[k] <= supply[k] for k in q)
-
-
 def test_splits_with_guarantee(spark):
     rows = R.add_splits(spark.createDataFrame([(k, "g") for k in range(3)], "id long, g string"), ["g"], "id", guarantee=True)
     assert sorted(r.split for r in rows.collect()) == ["test", "train", "val"]
