@@ -14,11 +14,6 @@ PRIMARY_WEIGHT, SECONDARY_SHARE, AMBIGUITY_MARGIN = 2.0, 0.5, 0.25
 CATEGORY_WEIGHT, TITLE_WEIGHT, LEAST_MARGIN, LEAST_SCORE, LEAST_HITS = 3.0, 2.0, 0.20, 2.0, 2
 
 
-def once(value: Column, use) -> Column:
-    """``use(value)`` with the value evaluated once, however often ``use`` names it."""
-    return F.transform(F.array(value), use)[0]
-
-
 def _votes(items: DataFrame, key: str, categories: str, mapping: DataFrame) -> DataFrame:
     """(key, label, v, o): every vote with its weight and its place."""
     cats = items.select(key, F.posexplode(categories).alias("_at", "category"))
@@ -59,7 +54,7 @@ def voted(categories: Column, mapping: list[tuple]) -> Column:
         first = F.struct(m["label"].alias("label"), (w * m["strength"]).alias("v"), (2 * at).alias("o"))
         return F.array(first, F.struct(m["secondary"].alias("label"), (w * (1 - m["strength"]) * SECONDARY_SHARE).alias("v"), (2 * at + 1).alias("o")))
 
-    votes = F.filter(F.flatten(F.transform(F.coalesce(categories, F.array().cast("array<string>")), lambda c, at: once(F.try_element_at(known, c), lambda m: vote(m, at)))), lambda x: x["label"].isNotNull())
+    votes = F.filter(F.flatten(F.transform(F.coalesce(categories, F.array().cast("array<string>")), lambda c, at: T.once(F.try_element_at(known, c), lambda m: vote(m, at)))), lambda x: x["label"].isNotNull())
 
     def add(sums: Column, x: Column) -> Column:
         """Fold a vote into the array of (neg, o, label), a place for each label."""
@@ -74,7 +69,7 @@ def voted(categories: Column, mapping: list[tuple]) -> Column:
         margin = F.when(total > 0, (second - top["neg"]) / total).otherwise(0.0)
         return F.struct(top["label"].alias("label"), margin.alias("margin"), F.transform(r, lambda x: x["label"]).alias("co_listed"), (top["label"].isNull() | (margin < AMBIGUITY_MARGIN)).alias("ambiguous"))
 
-    return once(ranked, verdict)
+    return T.once(ranked, verdict)
 
 
 def keyword_pattern(keyword: Column) -> Column:
@@ -98,7 +93,7 @@ def keyword_scores(title: Column, body: Column, category: Column, fields: list[t
 
         return score
 
-    return F.array_sort(once(_lowered(title, body), lambda low: F.array(*(once(_found(low, pattern), scorer(name, index, categories)) for name, index, pattern, categories in fields))))
+    return F.array_sort(T.once(_lowered(title, body), lambda low: F.array(*(T.once(_found(low, pattern), scorer(name, index, categories)) for name, index, pattern, categories in fields))))
 
 
 def _lowered(title: Column, body: Column) -> Column:
@@ -129,10 +124,10 @@ def keyword_labels(items: DataFrame, key: str, title: str, body: str, category:
 def keyword_vote(title: Column, body: Column, fields: list[tuple]) -> Column:
     """Struct (field, hits): the field with most distinct phrases in title and body, the first of equals; null without any."""
     def hits(low: Column) -> Column:
-        return F.array(*(F.struct(once(_found(low, pattern), lambda x: -F.size(F.array_union(x["t"], x["b"]))).alias("neg"), F.lit(index).alias("at"), F.lit(name).alias("field")) for name, index, pattern, _ in fields))
+        return F.array(*(F.struct(T.once(_found(low, pattern), lambda x: -F.size(F.array_union(x["t"], x["b"]))).alias("neg"), F.lit(index).alias("at"), F.lit(name).alias("field")) for name, index, pattern, _ in fields))
 
-    best = F.array_min(once(_lowered(title, body), hits))
-    return once(best, lambda first: F.struct(F.when(first["neg"] < 0, first["field"]).alias("field"), (-first["neg"]).alias("hits")))
+    best = F.array_min(T.once(_lowered(title, body), hits))
+    return T.once(best, lambda first: F.struct(F.when(first["neg"] < 0, first["field"]).alias("field"), (-first["neg"]).alias("hits")))
 
 
 def vote_distribution(items: DataFrame, key: str, categories: str, mapping: DataFrame, labels: list[str]) -> DataFrame:

@@ -40,27 +40,30 @@ def heading_of(text: Column, size: Column, bold: Column, body: Column, title_siz
 
 def title_of(first_page: Column, title_size: Column) -> Column:
     """The first run of lines at the title's size, of (line, size, text) in order; hyphenated breaks rejoined."""
-    at_size = F.transform(first_page, lambda x: x["size"] >= title_size - BAND)
-    begin = F.array_position(at_size, F.lit(True)).cast("int")
-    after = F.slice(first_page, F.greatest(begin, F.lit(1)), F.size(first_page))
-    length = F.array_position(F.transform(after, lambda x: x["size"] >= title_size - BAND), F.lit(False)).cast("int")
-    run = F.transform(F.when(length > 0, F.slice(after, 1, F.greatest(length - 1, F.lit(0)))).otherwise(after), lambda x: x["text"])
-
     def join(so_far: Column, t: Column) -> Column:
         broken = so_far.rlike("-$") & t.rlike(r"^\p{Ll}")
         return F.when(so_far == "", t).when(broken, F.concat(F.regexp_replace(so_far, "-$", ""), t)).otherwise(F.concat_ws(" ", so_far, t))
 
-    title = F.trim(F.regexp_replace(F.aggregate(run, F.lit(""), join), r"\s+", " "))
-    n = T.word_count(title)
-    return F.when((begin > 0) & (n >= 2) & (n <= 40) & title.rlike("[A-Za-z]{3,}"), title)
+    def joined(run: Column) -> Column:
+        texts = F.transform(run, lambda x: x["text"])
+        return T.once(F.trim(F.regexp_replace(F.aggregate(texts, F.lit(""), join), r"\s+", " ")), lambda t: F.when(T.word_count(t).between(2, 40) & t.rlike("[A-Za-z]{3,}"), t))
+
+    def first_run(at_size: Column) -> Column:
+        begin = F.array_position(at_size, F.lit(True)).cast("int")
+        rest = F.slice(at_size, F.greatest(begin, F.lit(1)), F.size(at_size))
+        length = F.array_position(rest, F.lit(False)).cast("int")
+        size = F.when(length > 0, length - 1).otherwise(F.size(rest))
+        return F.when(begin > 0, joined(F.slice(first_page, begin, size)))
+
+    return T.once(F.transform(first_page, lambda x: x["size"] >= title_size - BAND), first_run)
 
 
 def outline(lines: DataFrame, key: str) -> DataFrame:
     """(key, title, headings in order) of every document that has lines; ``sections_at`` cuts its text at them."""
     there = lines.withColumn("text", F.btrim("text", F.lit(" \t\n\r"))).where("text <> '' AND size IS NOT NULL")
-    known = there.join(sizes(there, key), key)
-    heading = heading_of(F.col("text"), F.col("size"), F.coalesce("bold", F.lit(False)), F.col("body"), F.col("title_size"))
-    heads = F.when(heading.isNotNull(), F.struct("page", "line", heading.alias("h")))
+    joined = there.join(sizes(there, key), key)
+    known = joined.withColumn("_h", heading_of(F.col("text"), F.col("size"), F.coalesce("bold", F.lit(False)), F.col("body"), F.col("title_size")))
+    heads = F.when(F.col("_h").isNotNull(), F.struct("page", "line", F.col("_h").alias("h")))
     first = F.when(F.col("page") == 0, F.struct("line", "size", "text"))
     found = known.groupBy(key).agg(F.max("title_size").alias("title_size"), F.array_sort(F.collect_list(heads)).alias("heads"), F.array_sort(F.collect_list(first)).alias("first"))
     return found.select(key, title_of(F.col("first"), F.col("title_size")).alias("title"), F.transform("heads", lambda x: x["h"]).alias("headings"))

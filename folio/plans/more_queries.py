@@ -16,7 +16,7 @@ from folio.operators import chunking, conformal, evidence, labelling, metrics, s
 from folio.operators import relational as R
 from folio.plans import model_queries as M
 from folio.plans import reports
-from folio.plans.text_queries import docs_of, quota_sql
+from folio.plans.text_queries import docs_of, lines_sql, parts_sql, quota_sql, quoted, re2
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -32,10 +32,6 @@ def query(sql: str | None = None):
     return add
 
 
-def quoted(x: str) -> str:
-    return "'" + x.replace("'", "''") + "'"
-
-
 def pick(phrases: list[str], by: str = "doc_id") -> Column:
     """The phrase that a row's id chooses."""
     return F.element_at(F.array(*(F.lit(x) for x in phrases)), (F.col(by) % len(phrases) + 1).cast("int"))
@@ -45,17 +41,6 @@ def pick_sql(phrases: list[str], by: str = "doc_id") -> str:
     return "[" + ", ".join(map(quoted, phrases)) + f"][{by} % {len(phrases)} + 1]"
 
 
-def re2(pattern: str) -> str:
-    """A condition on ``k`` in the other engine's patterns, which know no lookahead."""
-    parts = {r"\bsummary\b(?!\s+of\s+contributions)": r"(len(regexp_extract_all(k, '\bsummary\b')) > len(regexp_extract_all(k, '\bsummary\s+of\s+contributions')))", r"\bsurvey\b(?! (data|respondents))": r"(len(regexp_extract_all(k, '(?i)\bsurvey\b')) > len(regexp_extract_all(k, '(?i)\bsurvey (data|respondents)')))"}
-    found = []
-    for special, sql in parts.items():
-        if special in pattern:
-            found.append(sql)
-            pattern = pattern.replace("|" + special, "").replace(special + "|", "")
-    return "(" + " OR ".join([f"regexp_matches(k, {quoted(pattern)})", *found]) + ")"
-
-
 # --- texts ---
 
 
@@ -131,7 +116,7 @@ def document_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return chunking.document_chunks(d, "doc_id").select("doc_id", "doc_type", "chunk_index", "section", "n_words", F.md5("text").alias("text_md5"))
 
 
-@query()
+@query(r"""WITH d AS (SELECT doc_id, 'Lead' || chr(10) || 'ABSTRACT' || chr(10) || 'short' || chr(10) || '2. Methods' || chr(10) || coalesce(text, '') || chr(10) || 'References' || chr(10) || '[1] one' AS t FROM documents), """ + lines_sql("d", "doc_id") + ", " + parts_sql("doc_id") + " SELECT doc_id, i AS section_index, heading, section, CAST(length(body) AS INT) AS n_chars FROM s WHERE body <> ''")
 def text_sections(spark: SparkSession, sf: str) -> DataFrame:
     """Sections of documents between their heading lines; three are set before each text."""
     t = F.concat(F.lit("Lead\nABSTRACT\nshort\n2. Methods\n"), F.coalesce("text", F.lit("")), F.lit("\nReferences\n[1] one"))

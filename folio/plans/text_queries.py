@@ -88,17 +88,90 @@ def window_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return chunking.window_chunks(docs_of(spark, sf), "doc_id").select("doc_id", "chunk_index", "n_words", F.md5("text").alias("text_md5"))
 
 
+def quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def re2(pattern: str) -> str:
+    """A condition on ``k`` in the other engine's patterns, which know no lookahead."""
+    parts = {r"\bsummary\b(?!\s+of\s+contributions)": r"(len(regexp_extract_all(k, '\bsummary\b')) > len(regexp_extract_all(k, '\bsummary\s+of\s+contributions')))", r"\bsurvey\b(?! (data|respondents))": r"(len(regexp_extract_all(k, '(?i)\bsurvey\b')) > len(regexp_extract_all(k, '(?i)\bsurvey (data|respondents)')))"}
+    found = []
+    for special, sql in parts.items():
+        if special in pattern:
+            found.append(sql)
+            pattern = pattern.replace("|" + special, "").replace(special + "|", "")
+    return "(" + " OR ".join([f"regexp_matches(k, {quoted(pattern)})", *found]) + ")"
+
+
+def key_sql(heading: str) -> str:
+    return rf"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(trim({heading})), '[\s#*_]*$', ''), '^[\s#*_]*(?:\d+[.):]?\s*)*', ''), '[^a-z\s]+', ' ', 'g'), '\s+', ' ', 'g'))"
+
+
+#: SQL: the canonical section of a heading whose key is ``k``.
+SECTION_SQL = "CASE WHEN k = '' THEN 'other' " + " ".join(f"WHEN {re2(p)} THEN '{s}'" for s, p in T.SECTION_PATTERNS) + " ELSE 'other' END"
+STRUCTURAL_SQL = "(" + ", ".join(f"'{s}'" for s in T.STRUCTURAL_SECTIONS) + ")"
+BLANK_SQL = "' ' || chr(9) || chr(10) || chr(13)"
+
+
+def tidy_sql(t: str) -> str:
+    return rf"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace({t}, '(\w)-\n(\w)', '\1\2', 'g'), '(?im)^[ \t]*({T.LEAD_INS})\s*[-—–:.]+[ \t]*', '\1' || chr(10), 'g'), '[ \t]+', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), {BLANK_SQL})"
+
+
+def lines_sql(texts: str, key: str) -> str:
+    """CTEs from ``texts``, a table (key, t): ``l`` its lines (o, x) with the heading h that each is, or null."""
+    return rf"""
+l0 AS (SELECT {key}, u.x AS x, u.o AS o, trim(regexp_extract(u.x, {quoted(H._LINE)}, 1)) AS hd FROM {texts}, unnest(string_split(coalesce(t, ''), chr(10))) WITH ORDINALITY AS u(x, o)),
+l AS (SELECT {key}, x, o, CASE WHEN hd <> '' AND len(regexp_extract_all(hd, '\S+')) <= 9 AND NOT regexp_matches(hd, '[.,;:]$') AND regexp_matches(hd, '[A-Za-z]{{3,}}') AND NOT regexp_matches(hd, {quoted(H.CAPTION)})
+  AND (regexp_matches({key_sql('hd')}, {quoted(H.STRICT_NAMES)}) OR regexp_matches(hd, {quoted(H.NUMBERED)}) OR regexp_matches(hd, {quoted(H._CAPITALS)})) THEN hd END AS h FROM l0)"""
+
+
+def parts_sql(key: str, lead: str = "'abstract'") -> str:
+    """CTEs from ``l``: ``s`` the sections (i, heading, section, body) between its headings, empty ones too."""
+    return f"""
+n AS (SELECT *, count(h) OVER (PARTITION BY {key} ORDER BY o) AS i FROM l),
+p AS (SELECT {key}, i, max(h) AS heading, trim(coalesce(string_agg(x, chr(10) ORDER BY o) FILTER (h IS NULL), ''), {BLANK_SQL}) AS body FROM n GROUP BY {key}, i),
+k AS (SELECT *, {key_sql("coalesce(heading, '')")} AS k FROM p), s AS (SELECT {key}, i, heading, body, CASE WHEN i = 0 THEN {lead} ELSE {SECTION_SQL} END AS section FROM k)"""
+
+
+def type_sql(t: str, n_structural: str) -> str:
+    """The type of a text, and behind it ``confidence``, as a struct."""
+    words, refs, abstract = rf"len(regexp_extract_all({t}, '\S+'))", f"regexp_matches({t}, {quoted(T.REFERENCES_LINE)})", f"regexp_matches({t}, {quoted(T.ABSTRACT_LINE)})"
+    score = f"((CASE WHEN {abstract} AND {refs} THEN 25 WHEN {refs} THEN 10 ELSE 0 END + CASE WHEN len(regexp_extract_all({t}, {quoted(T.CITATION)})) / greatest(1.0::DOUBLE, {words} / 1000.0::DOUBLE) >= 5 THEN 20 ELSE 0 END + CASE WHEN {words} > 3000 THEN 5 ELSE 0 END) / 100.0::DOUBLE)"
+    return f"CASE WHEN {n_structural} >= {T.PAPER_SECTIONS} THEN 'paper' WHEN {words} <= {T.PARAGRAPH_WORDS} THEN 'paragraph' WHEN {score} >= {T.PAPER_SCORE} THEN 'paper' ELSE 'article' END"
+
+
+def markdown_sql(html: str) -> str:
+    x = html
+    for tag in ("script", "style", "head"):
+        x = rf"regexp_replace({x}, '(?is)<{tag}\b.*?</{tag}>', ' ', 'g')"
+    for level in range(1, 7):
+        x = rf"regexp_replace({x}, '(?is)<h{level}\b[^>]*>(.*?)</h{level}>', chr(10) || '{'#' * level} \1' || chr(10), 'g')"
+    x = rf"regexp_replace({x}, '(?i)</?(p|div|li|ul|ol|br|tr|table|section|article|nav|body|html)\b[^>]*>', chr(10), 'g')"
+    x = rf"regexp_replace({x}, '(?s)<[^>]*>', '', 'g')"
+    for entity, mark in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "'"), ("&amp;", "&")):
+        x = f"replace({x}, '{entity}', {quoted(mark)})"
+    return rf"trim(regexp_replace(regexp_replace({x}, '[ \t]+', ' ', 'g'), '\s*\n\s*', chr(10), 'g'))"
+
+
+_PAGES_SQL = rf"""
+WITH d AS (SELECT page_id, {markdown_sql('html')} AS t FROM pages), l AS (SELECT page_id, u.x AS x, u.o AS o, nullif(regexp_extract(u.x, '^#{{1,6}}\s+(.*\S)\s*$', 1), '') AS h FROM d, unnest(string_split(coalesce(t, ''), chr(10))) WITH ORDINALITY AS u(x, o)), {parts_sql('page_id')}"""
+
+
 @query()
 def article_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return chunking.article_chunks(docs_of(spark, sf), "doc_id").select("doc_id", "chunk_index", "n_words", F.md5("text").alias("text_md5"))
 
 
-@query()
+@query(_PAGES_SQL + " SELECT page_id, i AS section_index, coalesce(heading, '') AS heading, section, CAST(length(body) AS INT) AS n_chars FROM s")
 def markdown_page_sections(spark: SparkSession, sf: str) -> DataFrame:
     return page_sections(spark.read.parquet(f"{sf}/pages.parquet")).select("page_id", "section_index", "heading", "section", F.length("body").alias("n_chars"))
 
 
-@query()
+@query(_PAGES_SQL + rf""", w AS (SELECT page_id, i, section, len(regexp_extract_all(body, '\S+')) AS n FROM s),
+c AS (SELECT *, CASE WHEN n <= {chunking.SECTION_MOST} THEN 1 ELSE CAST(ceil((n - 200) / 160.0) AS INT) + 1 END AS m FROM w WHERE n > 0),
+x AS (SELECT page_id, i, section, j, CASE WHEN m = 1 THEN n ELSE least(j * 160 + 200, n) - j * 160 END AS n_words FROM (SELECT *, unnest(range(m)) AS j FROM c)),
+y AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY i, j) - 1 AS chunk_index, section IN ('references', 'acknowledgements') AS noise FROM x)
+SELECT page_id, CAST(chunk_index AS INT) AS chunk_index, section, CAST(n_words AS INT) AS n_words FROM (SELECT *, bool_and(noise) OVER (PARTITION BY page_id) AS alone FROM y) WHERE NOT noise OR alone""")
 def section_chunks(spark: SparkSession, sf: str) -> DataFrame:
     sections = page_sections(spark.read.parquet(f"{sf}/pages.parquet"))
     chunks = chunking.classifiable(chunking.section_chunks(sections, "page_id"), "page_id")
@@ -222,7 +295,9 @@ def conversation_texts(spark: SparkSession, sf: str) -> DataFrame:
     return c.groupBy("conv_id").agg(R.ordered_concat("text", "turn").alias("text"), F.count(F.lit(1)).alias("n_turns"), F.count_distinct("role").alias("n_roles"), F.min_by("role", "turn").alias("first_role"))
 
 
-@query()
+@query("WITH d AS (SELECT doc_id, text AS t FROM documents), " + lines_sql("d", "doc_id") + ", k AS (SELECT doc_id, " + key_sql("h") + f""" AS k FROM l WHERE h IS NOT NULL),
+c AS (SELECT doc_id, count(DISTINCT section) AS n FROM (SELECT doc_id, {SECTION_SQL} AS section FROM k) WHERE section IN {STRUCTURAL_SQL} GROUP BY doc_id),
+e AS (SELECT doc_id, coalesce(t, '') AS t, CAST(coalesce(n, 0) AS INT) AS n_structural FROM d LEFT JOIN c USING (doc_id)) SELECT doc_id, n_structural, """ + type_sql("t", "n_structural") + " AS doc_type FROM e")
 def document_types(spark: SparkSession, sf: str) -> DataFrame:
     return H.typed(docs_of(spark, sf)).select("doc_id", "n_structural", "doc_type")
 

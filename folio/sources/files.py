@@ -5,7 +5,9 @@ from __future__ import annotations
 import importlib.util
 import io
 import re
+import zipfile
 from collections.abc import Iterator
+from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.errors import AnalysisException
@@ -94,12 +96,53 @@ def _pdf(data: bytes) -> tuple[str | None, str]:
     return None, "\n".join(pages)
 
 
+_WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+
+
+def docx_paragraphs(data: bytes) -> list[tuple[str | None, str]]:
+    """(style name, text) of the paragraphs in the body of a word-processor file; those of tables are left out."""
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        body = ElementTree.fromstring(z.read("word/document.xml")).find(f"{_WORD}body")
+        names = {}
+        if "word/styles.xml" in z.namelist():
+            for style in ElementTree.fromstring(z.read("word/styles.xml")).iter(f"{_WORD}style"):
+                name = style.find(f"{_WORD}name")
+                if name is not None:
+                    names[style.get(f"{_WORD}styleId")] = name.get(f"{_WORD}val")
+    marks = {f"{_WORD}tab": "\t", f"{_WORD}br": "\n", f"{_WORD}cr": "\n"}
+    out = []
+    for p in [] if body is None else body.findall(f"{_WORD}p"):
+        style = p.find(f"{_WORD}pPr/{_WORD}pStyle")
+        own = None if style is None else style.get(f"{_WORD}val")
+        runs = [x for r in p.iter(f"{_WORD}r") for x in r]
+        out.append((names.get(own, own), "".join(x.text or "" if x.tag == f"{_WORD}t" else marks.get(x.tag, "") for x in runs)))
+    return out
+
+
 def _docx(data: bytes) -> tuple[str | None, str]:
-    from docx import Document
+    paragraphs = [((style or "").lower(), text) for style, text in docx_paragraphs(data)]
+    lines = [("# " if style.startswith("heading") else "") + text for style, text in paragraphs]
+    return next((text for style, text in paragraphs if style.startswith("title")), None), "\n".join(lines)
+
+
+def read_styled(spark: SparkSession, path: str) -> DataFrame:
+    """Word-processor files of a folder as paragraphs (path, place, style, text, error), read in parallel.
+
+    ``documents.from_paragraphs`` makes documents of them. A file that can't be read is one row with an error.
+    """
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for name, data in zip(pdf["path"], pdf["content"], strict=True):
+                try:
+                    rows += [(name, n, style, text, None) for n, (style, text) in enumerate(docx_paragraphs(bytes(data)))]
+                except Exception as e:  # one bad file is a row, whatever is wrong with it
+                    rows.append((name, 0, None, None, f"{type(e).__name__}: {e}"[:300]))
+            yield pd.DataFrame(rows, columns=["path", "place", "style", "text", "error"])
 
-    paragraphs = Document(io.BytesIO(data)).paragraphs
-    lines = [("# " if p.style.name.lower().startswith("heading") else "") + p.text for p in paragraphs]
-    return next((p.text for p in paragraphs if p.style.name == "Title"), None), "\n".join(lines)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[dD][oO][cC][xX]").load(path).select("path", "content")
+    return files.mapInPandas(parse, "path string, place int, style string, text string, error string")
 
 
 def _markdown(data: bytes) -> tuple[str | None, str]:

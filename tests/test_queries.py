@@ -7,11 +7,11 @@ import numpy as np
 import pytest
 
 import __spark_entry__ as entry
-from folio.plans import ballot_queries, facet_queries, figure_queries, model_queries, more_queries, study_queries, table_queries, term_queries, text_queries
+from folio.plans import ballot_queries, document_queries, facet_queries, figure_queries, model_queries, more_queries, study_queries, table_queries, term_queries, text_queries
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-OWN = text_queries.QUERIES | model_queries.QUERIES | more_queries.QUERIES | study_queries.QUERIES | figure_queries.QUERIES | term_queries.QUERIES | table_queries.QUERIES | ballot_queries.QUERIES | facet_queries.QUERIES
-SQL = text_queries.ORACLES | model_queries.ORACLES | more_queries.ORACLES | study_queries.ORACLES | figure_queries.ORACLES | term_queries.ORACLES | table_queries.ORACLES | ballot_queries.ORACLES | facet_queries.ORACLES
+OWN = text_queries.QUERIES | model_queries.QUERIES | more_queries.QUERIES | study_queries.QUERIES | figure_queries.QUERIES | term_queries.QUERIES | table_queries.QUERIES | ballot_queries.QUERIES | facet_queries.QUERIES | document_queries.QUERIES
+SQL = text_queries.ORACLES | model_queries.ORACLES | more_queries.ORACLES | study_queries.ORACLES | figure_queries.ORACLES | term_queries.ORACLES | table_queries.ORACLES | ballot_queries.ORACLES | facet_queries.ORACLES | document_queries.ORACLES
 
 
 @pytest.fixture(scope="module")
