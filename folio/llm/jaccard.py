@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from folio.llm.blockcounts import U64, corpus_size, in_blocks, joined_totals, totals, with_totals
 from folio.llm.bytehash import Words, distinct_sets, mix
-from folio.llm.components import components, spanning
+from folio.llm.components import components, forest, spanning
 from folio.llm.memory import release
 from folio.llm.shared import materialize
 
@@ -58,6 +58,8 @@ TIER_SIZE, TIER_CLASSES = 12, 6
 TILE_SETS = 128
 #: Keys over which the sets of a component are dealt.
 SALTS = 16
+#: Links of a group that wait to be thinned to a forest.
+FOREST_ROWS = 1 << 14
 #: Shingles in a matrix product at once.
 COLUMNS = 8192
 
@@ -220,9 +222,10 @@ def _linked(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
 
 
 def _compare(table: pa.Table) -> pa.Table:
-    """Links within the lists of one group, or between two tiles of it, as a forest.
+    """Links within the lists of one group, or between two tiles of it, as one forest.
 
-    Lists are taken one by one, so sets that share none are never compared.
+    Lists are taken one by one, so sets that share none are never compared; links that
+    several lists find leave once, so a group gives fewer rows than it has sets.
     """
     sets = [np.frombuffer(x, U64) for x in table.column("shingles").to_pylist()]
     ids, tile = table.column("set_id").to_numpy(), table.column("tile").to_numpy()
@@ -238,6 +241,9 @@ def _compare(table: pa.Table) -> pa.Table:
         if len(left) and len(right) and len(own) > 1:
             new = spanning(_linked([sets[k] for k in left], [sets[k] for k in right]), ids[left], ids[right])
             a, b = np.concatenate([a, new[0]]), np.concatenate([b, new[1]])
+            if len(a) > FOREST_ROWS:
+                a, b = forest(a, b)
+    a, b = forest(a, b)
     release()
     return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["src", "dst"])
 
