@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from math import comb
+from math import exp, lgamma, log, log1p, pi, sqrt
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -111,12 +111,40 @@ def kappa(rows: DataFrame, a: str, b: str) -> DataFrame:
     return joined.select("n", agree.alias("agreement"), F.when(chance < 1, (agree - chance) / (1 - chance)).alias("kappa"))
 
 
+def _stirling_rest(n: int) -> float:
+    """ln n! less Stirling's formula for it."""
+    if n < 16:
+        return lgamma(n + 1) - (n + 0.5) * log(n) + n - 0.5 * log(2 * pi) if n else 0.0
+    return (1 / 12 - (1 / 360 - (1 / 1260 - 1 / 1680 / n**2) / n**2) / n**2) / n
+
+
+def _fair_coin(n: int, k: int) -> float:
+    """The chance of k heads in n throws, without the difference of large logarithms."""
+    if k == 0 or k == n:
+        return exp(-n * log(2))
+    d = (n - 2 * k) / n
+    apart = n / 2 * ((1 - d) * log1p(-d) + (1 + d) * log1p(d))
+    return exp(_stirling_rest(n) - _stirling_rest(k) - _stirling_rest(n - k) - apart) * sqrt(n / (2 * pi * k * (n - k)))
+
+
+def _two_sided(b: int, c: int) -> float:
+    """Twice the chance of min(b, c) heads or fewer in b + c throws, at most 1."""
+    n, k = b + c, min(b, c)
+    term = total = _fair_coin(n, k)
+    while k and term > total * 1e-17:  # each term is less than the one before
+        term *= k / (n - k + 1)
+        total += term
+        k -= 1
+    return min(1.0, 2 * total)
+
+
 def mcnemar(rows: DataFrame, first: str, second: str) -> dict:
-    """Exact two-sided McNemar test of two boolean columns, from two counts."""
+    """Exact two-sided McNemar test of two boolean columns, from two counts.
+
+    Its sum starts at the largest term and ends where the rest is below a double's last place.
+    """
     b, c = rows.agg(F.count_if(F.col(first) & ~F.col(second)), F.count_if(~F.col(first) & F.col(second))).first()
-    n = b + c
-    p = 1.0 if n == 0 else min(1.0, 2 * sum(comb(n, k) for k in range(min(b, c) + 1)) / 2**n)
-    return {"first_only": b, "second_only": c, "p_value": p}
+    return {"first_only": b, "second_only": c, "p_value": 1.0 if b == c else _two_sided(b, c)}
 
 
 def roc_auc(rows: DataFrame, score: str, truth: str, groups: list[str] | None = None) -> DataFrame:
