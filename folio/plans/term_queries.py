@@ -30,11 +30,14 @@ def query(sql: str):
 
 
 def _terms(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, int]:
-    """Documents, counts of words and word pairs, the 50,000 most frequent of these, and the number of documents."""
+    """Documents, counts of words and word pairs, the 50,000 most frequent of these, and the number of documents.
+
+    Counts are taken again where they are used: they are several times the texts.
+    """
     docs = docs_of(spark, sf)
     n = docs.count()
-    counts = written(T.term_counts(docs, "doc_id", "text"), "term-counts")
-    return docs, counts, T.vocabulary(counts, n), n
+    counts = T.term_counts(docs, "doc_id", "text", also=("lang",))
+    return docs, counts, written(T.vocabulary(counts, n), "vocabulary"), n
 
 
 @query(_TERMS + "SELECT term, df, n, row_number() OVER (ORDER BY md5(term), term) - 1 AS term_id FROM v")
@@ -59,6 +62,6 @@ SELECT query_id, doc_id, round(similarity, 6) AS similarity, rank::INTEGER AS ra
 def text_neighbours(spark: SparkSession, sf: str) -> DataFrame:
     """The ten nearest documents of each whose id is divisible by 20, by cosine of sublinear weights."""
     docs, counts, terms, n = _terms(spark, sf)
-    vectors = written(T.weights(counts, T.numbered(terms), n, "doc_id", "term_id"), "text-vectors")
-    found, _ = T.term_neighbours(vectors, docs.where("doc_id % 20 = 0"), 10, "doc_id", "term_id")
+    vectors = T.weights(counts, written(T.numbered(terms), "numbered"), n, "doc_id", "term_id")
+    found = T.block_neighbours(vectors, docs.where("doc_id % 20 = 0"), 10, "doc_id")
     return found.select(F.col("query").alias("query_id"), F.col("id").alias("doc_id"), F.round("similarity", 6).alias("similarity"), "rank")
