@@ -62,9 +62,8 @@ class CountScorer:
     def probabilities(self, texts: list[str | None]) -> np.ndarray:
         out = np.empty((len(texts), len(self.classes)))
         for k, text in enumerate(texts):
-            n = np.bincount(CELLS[self.kind](text or ""), minlength=BUCKETS)
-            at = np.flatnonzero(n)
-            s = self.sharpness * (n[at] @ self.weights[at]) / max(n.sum(), 1)
+            at = CELLS[self.kind](text or "")  # a cell per feature: no pass over all buckets for each text
+            s = self.sharpness * self.weights[at].sum(0) / max(len(at), 1)
             e = np.exp(s - s.max())
             out[k] = e / e.sum()
         return out
@@ -88,9 +87,13 @@ def class_counts(rows: DataFrame, text: str, label: str, classes: list[str], kin
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums = np.zeros((len(classes), BUCKETS), np.int64)
         for pdf in batches:
+            waiting: list[list[np.ndarray]] = [[] for _ in classes]
             for x, y in zip(pdf["t"], pdf["y"], strict=True):
                 if y in at:
-                    sums[at[y]] += np.bincount(CELLS[kind](x or ""), minlength=BUCKETS)
+                    waiting[at[y]].append(CELLS[kind](x or ""))
+            for k, cells in enumerate(waiting):
+                if cells:
+                    sums[k] += np.bincount(np.concatenate(cells), minlength=BUCKETS)
         k, cell = np.nonzero(sums)
         yield pd.DataFrame({"class": k, "cell": cell, "n": sums[k, cell]})
 
