@@ -2,25 +2,40 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, NaiveBayes, OneVsRest, RandomForestClassifier
-from pyspark.ml.feature import IDF, Binarizer, CountVectorizer, NGram, Normalizer, RegexTokenizer, SQLTransformer, StopWordsRemover, UnivariateFeatureSelector
+from pyspark.ml.feature import IDF, Binarizer, CountVectorizerModel, NGram, Normalizer, RegexTokenizer, SQLTransformer, StopWordsRemover, UnivariateFeatureSelector
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from folio.operators.terms import most_frequent
 
 CLASSIFIERS = ("logreg", "svm", "nb", "rf", "gbt")
 
 
-def vectorizer(max_features: int = 50_000, min_df: int = 2) -> list:
-    """Words and word pairs, stop words removed, raw counts times idf, unit length. The vocabulary is sent to the driver."""
-    return [
+def terms_of(rows: DataFrame, max_features: int = 50_000, min_df: int = 2) -> list[str]:
+    """The most frequent of ``_terms``, in ``min_df`` texts and in no more than 0.9 of them; ties by term.
+
+    Terms are counted in one aggregation: ``CountVectorizer``, given a share as a limit, keeps
+    the terms of all texts in memory, many times the texts.
+    """
+    lists = F.array(*(F.struct(c.alias("terms"), F.lit(n).alias("n"), F.lit(df).alias("df")) for c, n, df in ((F.col("_terms"), 1, 0), (F.array_distinct("_terms"), 0, 1))))
+    each = rows.select(F.explode(lists).alias("l")).select(F.explode("l.terms").alias("term"), "l.n", "l.df")
+    found = most_frequent(each.groupBy("term").agg(F.sum("df").alias("df"), F.sum("n").alias("n")), rows.count(), min_df, 0.9, max_features)
+    return [r.term for r in sorted(found.select("term", "n").collect(), key=lambda r: (-r.n, r.term))]
+
+
+def vectorizer(train: DataFrame, max_features: int = 50_000, min_df: int = 2) -> list:
+    """Words and word pairs, stop words removed, raw counts times idf, unit length. The vocabulary, found in ``train``, is sent to the driver."""
+    words = [
         RegexTokenizer(inputCol="text", outputCol="_words", pattern=r"\W+", minTokenLength=2),
         StopWordsRemover(inputCol="_words", outputCol="_kept"),
         NGram(n=2, inputCol="_kept", outputCol="_pairs"),
         SQLTransformer(statement="SELECT *, concat(_kept, _pairs) AS _terms FROM __THIS__"),
-        CountVectorizer(inputCol="_terms", outputCol="_counts", vocabSize=max_features, minDF=min_df, maxDF=0.9),
-        IDF(inputCol="_counts", outputCol="_idf"),
-        Normalizer(inputCol="_idf", outputCol="features", p=2.0),
     ]
+    counts = CountVectorizerModel.from_vocabulary(terms_of(PipelineModel(words).transform(train), max_features, min_df), inputCol="_terms", outputCol="_counts")
+    counts.set(counts.vocabSize, max_features)
+    return [*words, counts, IDF(inputCol="_counts", outputCol="_idf"), Normalizer(inputCol="_idf", outputCol="features", p=2.0)]
 
 
 def classifier(name: str):
@@ -49,6 +64,7 @@ def fit_baseline(train: DataFrame, name: str = "logreg", max_features: int = 50_
     With ``best_terms``, as trees need it, the classifier sees the presence of so many
     terms, chosen by chi-squared, instead of the weights of all.
     """
-    terms = vectorizer(max_features)
+    rows = train.select("text", "label").na.fill({"text": ""})
+    terms = vectorizer(rows, max_features)
     stages = terms if best_terms is None else [*terms[:-2], *chosen_terms(best_terms)]
-    return Pipeline(stages=[*stages, classifier(name)]).fit(train.select("text", "label").na.fill({"text": ""}))
+    return Pipeline(stages=[*stages, classifier(name)]).fit(rows)
