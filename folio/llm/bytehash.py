@@ -23,6 +23,10 @@ _WINDOW_FACTORS = _rng.integers(1, 1 << 63, 64, dtype=np.uint64) * U64(2) + U64(
 
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: ASCII letters and digits, ASCII marks.
+IS_LETTER, IS_MARK = np.zeros(256, bool), np.zeros(256, bool)
+IS_LETTER[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+IS_MARK[33:127] = ~IS_LETTER[33:127]
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -61,10 +65,22 @@ def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarr
     return offsets - offsets[0], data[offsets[0] : offsets[-1]]
 
 
+def _marks_after_letters(part: np.ndarray) -> np.ndarray:
+    """Places of the ASCII marks that follow an ASCII letter or digit, or a letter from U+00C0 to U+00FF."""
+    mark = np.flatnonzero(IS_MARK[part])
+    mark = mark[mark > 0]
+    before = part[mark - 1]
+    latin = (part[mark - 2] == 0xC3) & (before >= 0x80) & (before != 0x97) & (before != 0xB7)
+    return mark[IS_LETTER[before] | latin]
+
+
 class Words:
-    """Start, end (bytes) and hash of each word; ``of[i]:of[i + 1]`` are those of text i."""
+    """Start, end (bytes) and hash of each word; ``of[i]:of[i + 1]`` are those of text i.
+
+    With ``marks``, an ASCII mark after a letter or digit begins a word of its own, as do texts.
+    """
 
-    def __init__(self, column: pa.Array, lower: bool = False):
+    def __init__(self, column: pa.Array, lower: bool = False, marks: bool = False):
         self.offsets, self.data = text_bytes(column)
         offsets, data = self.offsets, self.data
         starts, ends, hashes = [], [], []
@@ -80,6 +96,8 @@ class Words:
             opens[0] = True
             opens[1:] = ~inside[:-1]
             opens[edge[np.searchsorted(edge, a) : np.searchsorted(edge, b)] - a] = True
+            if marks:
+                opens[_marks_after_letters(part)] = True
             closes = np.empty(len(part), bool)
             closes[-1] = True
             closes[:-1] = opens[1:] | ~inside[1:]

@@ -17,14 +17,36 @@ BLOCK = 4096
 SLOTS = [(1, 64), (240, 0), (120, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (1, 60)]
 _COUNT = np.array([n for n, _ in SLOTS])
 _WORDS = np.array([2] + [1] * 15)
+#: Bits of every value below 65,536.
+_SHORT = np.frexp(np.arange(1 << 16))[1].astype(np.uint8)
+#: Blocks whose selectors are chosen at once, so that their arrays stay in a core's cache.
+_AT_ONCE = 64
 
 
 def _bit_lengths(values: np.ndarray) -> np.ndarray:
+    if int(values.max()) < len(_SHORT):
+        return _SHORT[values]
     high = (values >> U64(32)).astype(np.float64)
     low = (values & U64(0xFFFFFFFF)).astype(np.float64)
     return np.where(high > 0, np.frexp(high)[1] + 32, np.frexp(low)[1]).astype(np.uint8)
 
 
+def _choices(bits: np.ndarray) -> np.ndarray:
+    """The selector of most values that can begin at each place; bits: a row per block."""
+    choice = np.zeros(bits.shape, np.int8)
+    for k in range(len(SLOTS) - 1, 0, -1):  # the selector of most values last, so that it stays
+        count, width = SLOTS[k]
+        run = bits <= width
+        have = 1
+        while have < count and run.any():  # places from which so many values are narrow enough
+            step = min(have, count - have)
+            run = run[:, :-step] & run[:, step:]
+            have += step
+        if have == count:
+            np.copyto(choice[:, : run.shape[1]], k, where=run)
+    return choice
+
+
 def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All words, and the word at which each block begins."""
     values = values.astype(U64)
@@ -33,30 +55,19 @@ def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not n:
         return np.zeros(0, U64), np.zeros(0, np.int64)
     ends = np.minimum(np.arange(1, blocks + 1) * BLOCK, n)
-    bits = _bit_lengths(values)
-    most = int(bits.max())
-    choice = np.zeros(n, np.int8)
-    inside = np.repeat(ends, BLOCK)[:n] - np.arange(n)  # values left in the block
-    for k in range(len(SLOTS) - 1, 0, -1):  # the selector of most values last, so that it stays
-        count, width = SLOTS[k]
-        if most <= width:
-            choice[inside >= count] = k
-            continue
-        # of the values that are narrow enough, those that begin a run of count
-        narrow = np.flatnonzero(bits <= width)
-        if len(narrow) >= count:
-            run = narrow[: len(narrow) - count + 1][narrow[count - 1 :] - narrow[: len(narrow) - count + 1] == count - 1]
-            choice[run[inside[run] >= count]] = k
+    bits = np.full((blocks, BLOCK), 255, np.uint8)  # what follows the last value fits no selector
+    bits.ravel()[:n] = _bit_lengths(values)
+    choice = np.concatenate([_choices(bits[k : k + _AT_ONCE]) for k in range(0, blocks, _AT_ONCE)]).ravel()
     # walk all blocks side by side
-    at = np.arange(blocks) * BLOCK
-    steps, live = [], np.arange(blocks)
-    while len(live):
-        steps.append((live, at[live].copy()))
-        at[live] += _COUNT[choice[at[live]]]
-        live = live[at[live] < ends[live]]
-    block = np.concatenate([b for b, _ in steps])
-    first = np.concatenate([p for _, p in steps])
-    first = first[np.argsort(block, kind="stable")]
+    begins = np.zeros(n, bool)
+    at, end = np.arange(blocks) * BLOCK, ends
+    while len(at):
+        begins[at] = True
+        at = at + _COUNT[choice[at]]
+        live = at < end
+        if not live.all():
+            at, end = at[live], end[live]
+    first = np.flatnonzero(begins)
     picked = choice[first]
     sizes = _WORDS[picked]
     where = np.cumsum(sizes) - sizes
@@ -74,8 +85,7 @@ def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             for j in range(count):
                 word |= padded[first[mine] + j] << U64(j * width)
         words[where[mine]] = word
-    begins = np.searchsorted(first, np.arange(blocks) * BLOCK)
-    return words, where[begins]
+    return words, where[np.searchsorted(first, np.arange(blocks) * BLOCK)]
 
 
 def decode(words: np.ndarray, offsets: np.ndarray, n: int) -> np.ndarray:

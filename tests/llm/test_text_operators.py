@@ -95,6 +95,33 @@ def test_simple8b_round_trip(values):
         assert (simple8b.decode_block(words, offsets, len(v), b) == v[b * simple8b.BLOCK : (b + 1) * simple8b.BLOCK]).all()
 
 
+def greedy_simple8b(values):
+    """Words of each block: the first selector whose values all fit, one value after the other."""
+    words, offsets = [], []
+    for a in range(0, len(values), simple8b.BLOCK):
+        block, k = values[a : a + simple8b.BLOCK], 0
+        offsets.append(len(words))
+        while k < len(block):
+            for s, (count, width) in list(enumerate(simple8b.SLOTS))[1:]:
+                if k + count <= len(block) and all(v < 1 << width for v in block[k : k + count]):
+                    words.append((s << 60) + sum(v << (j * width) for j, v in enumerate(block[k : k + count])))
+                    k += count
+                    break
+            else:
+                words += [0, block[k]]
+                k += 1
+    return words, offsets
+
+
+@pytest.mark.parametrize("most", [1, 2, 17, 40, 64])
+def test_simple8b_words_are_the_greedy_ones(most):
+    rng = np.random.default_rng(most)
+    bits = np.repeat(rng.integers(0, most + 1, 600), rng.integers(1, 60, 600)).tolist()
+    values = [int(x) >> (64 - b) for x, b in zip(rng.integers(1 << 62, 1 << 63, len(bits), dtype=np.uint64) * np.uint64(2), bits, strict=True)]
+    words, offsets = simple8b.encode(np.array(values, np.uint64))
+    assert (words.tolist(), offsets.tolist()) == greedy_simple8b(values)
+
+
 def check_tokens(rows, texts):
     tok, at = tokenizer("byte_bpe_50k.json"), 0
     assert len(rows) == len(texts)
