@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,20 +30,18 @@ def query(sql: str):
     return add
 
 
-def _terms(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, int]:
-    """Documents, counts of words and word pairs, the 50,000 most frequent of these, and the number of documents.
-
-    Counts are taken again where they are used: they are several times the texts.
-    """
+def _terms(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, int]:
+    """Documents, their 50,000 most frequent words and word pairs, and the number of documents."""
     docs = docs_of(spark, sf)
     n = docs.count()
-    counts = T.term_counts(docs, "doc_id", "text", also=("lang",))
-    return docs, counts, written(T.vocabulary(counts, n), "vocabulary"), n
+    if docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
+        return docs, written(T.frequent_terms(docs, n, "doc_id", "text"), "vocabulary"), n
+    return docs, written(T.vocabulary(T.term_counts(docs, "doc_id", "text"), n), "vocabulary"), n
 
 
 @query(_TERMS + "SELECT term, df, n, row_number() OVER (ORDER BY md5(term), term) - 1 AS term_id FROM v")
 def text_vocabulary(spark: SparkSession, sf: str) -> DataFrame:
-    return T.numbered(_terms(spark, sf)[2])
+    return T.numbered(_terms(spark, sf)[1])
 
 
 @query(_TERMS + """, k AS (SELECT lang, count(*) / sum(count(*)) OVER () AS share FROM documents WHERE lang IS NOT NULL GROUP BY lang),
@@ -50,7 +49,8 @@ o AS (SELECT term, lang, count(*) AS o FROM c JOIN v USING (term) WHERE lang IS
 n AS (SELECT term, sum(o) AS n FROM o GROUP BY term)
 SELECT term, round(sum((coalesce(o, 0) - n * share) ** 2 / (n * share)), 6) AS chi2 FROM n CROSS JOIN k LEFT JOIN o USING (term, lang) GROUP BY term""")
 def term_dependence(spark: SparkSession, sf: str) -> DataFrame:
-    docs, counts, terms, _ = _terms(spark, sf)
+    docs, terms, _ = _terms(spark, sf)
+    counts = T.term_counts(docs, "doc_id", "text", also=("lang",))
     return T.dependence(counts, terms, docs, "doc_id", "lang").withColumn("chi2", F.round("chi2", 6))
 
 
@@ -61,7 +61,11 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(similari
 SELECT query_id, doc_id, round(similarity, 6) AS similarity, rank::INTEGER AS rank FROM r WHERE rank <= 10""")
 def text_neighbours(spark: SparkSession, sf: str) -> DataFrame:
     """The ten nearest documents of each whose id is divisible by 20, by cosine of sublinear weights."""
-    docs, counts, terms, n = _terms(spark, sf)
-    vectors = T.weights(counts, written(T.numbered(terms), "numbered"), n, "doc_id", "term_id")
-    found = T.block_neighbours(vectors, docs.where("doc_id % 20 = 0"), 10, "doc_id")
+    docs, terms, n = _terms(spark, sf)
+    kept = written(T.numbered(terms), "numbered")
+    idf = np.zeros(kept.count())
+    for r in kept.select("term_id", "df").collect():
+        idf[r.term_id] = np.log((1.0 + n) / (1.0 + r.df)) + 1.0
+    asks = F.coalesce(F.col("doc_id") % 20 == 0, F.lit(False))
+    found = T.row_neighbours(T.term_rows(docs, kept, "doc_id", "text", asks), 10, idf)
     return found.select(F.col("query").alias("query_id"), F.col("id").alias("doc_id"), F.round("similarity", 6).alias("similarity"), "rank")
