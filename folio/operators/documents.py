@@ -64,13 +64,13 @@ def from_lines(lines: DataFrame, key: str) -> DataFrame:
     The text is cut at the outline's headings. If that finds too few structural sections,
     cuts at heading lines replace it, where they find strictly more.
     """
-    rows = F.array_sort(F.collect_list(F.struct("page", "line", F.coalesce("text", F.lit("")).alias("t"))))
-    texts = lines.groupBy(key).agg(rows.alias("_l")).select(key, T.tidy(F.array_join(F.transform("_l", lambda x: x["t"]), "\n")).alias("text"))
-    found = texts.join(layout.outline(lines, key), key, "left").withColumn("_at", H.sections_at(F.col("text"), F.col("headings")))
+    known = layout.outlined(layout.gathered(lines, key))
+    texts = known.withColumn("text", T.tidy(F.array_join(F.transform("lines", lambda x: x["text"]), "\n"))).withColumn("title", F.when(F.col(key).isNotNull(), F.col("title"))).drop("lines")
+    found = texts.withColumn("_at", H.sections_at(F.col("text"), F.when(F.col(key).isNotNull(), F.col("headings"))))
     doubted = F.when(n_structural(F.col("_at")) < TRUSTED_SECTIONS, line_sections(F.col("text")))
     both = found.withColumn("_lines", doubted)
     better = F.coalesce(n_structural(F.col("_lines")) > n_structural(F.col("_at")), F.lit(False))
-    return _typed(both.withColumn("sections", F.when(better, F.col("_lines")).otherwise(F.col("_at"))), key, F.lit(True), from_pdf=True)
+    return _typed(both.withColumn("sections", F.when(better, F.col("_lines")).otherwise(F.col("_at"))), key, F.lit(True), from_pdf=True)  # one shuffle of the lines
 
 
 def from_paragraphs(paragraphs: DataFrame, key: str) -> DataFrame:

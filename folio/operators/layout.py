@@ -1,7 +1,7 @@
 """Titles and headings of typeset documents, from the size and weight of their lines.
 
 Lines come from any extractor, a row each: key, page and line (both from 0), size, bold,
-text. A document's sizes are counted first; what is set clearly larger than the
+text. They are gathered once, a row per document. What is set clearly larger than the
 commonest size is a heading, the largest band is the title. Null and blank lines don't
 count; ties of the commonest size go to the smaller. Documents without lines are absent.
 """
@@ -20,11 +20,25 @@ TITLE_RATIO, HEADING_RATIO = 1.15, 1.08
 BAND = 0.5
 
 
-def sizes(lines: DataFrame, key: str) -> DataFrame:
-    """(key, body, title_size): the commonest size, and the largest where it stands out, else null."""
-    per = lines.groupBy(key, "size").agg(F.count(F.lit(1)).alias("n"))
-    found = per.groupBy(key).agg(F.max_by("size", F.struct("n", (-F.col("size")).alias("s"))).alias("body"), F.max("size").alias("top"))
-    return found.select(key, "body", F.when(F.col("top") > F.col("body") * TITLE_RATIO, F.col("top")).alias("title_size"))
+def gathered(lines: DataFrame, key: str) -> DataFrame:
+    """(key, lines): a document's lines by page and line, null texts as empty ones."""
+    row = F.struct("page", "line", F.coalesce("text", F.lit("")).alias("text"), F.col("size").cast("double").alias("size"), F.coalesce("bold", F.lit(False)).alias("bold"))
+    return lines.groupBy(key).agg(F.array_sort(F.collect_list(row)).alias("lines"))
+
+
+def sizes(own: Column) -> Column:
+    """Struct (body, title_size) of the sizes of lines: the commonest size, and the largest where it stands out, else null."""
+    def found(own: Column) -> Column:
+        starts = F.filter(F.transform(own, lambda x, k: F.when((k == 0) | (x != F.try_element_at(own, F.greatest(k, F.lit(1)))), k + 1)), lambda k: k.isNotNull())
+
+        def runs(starts: Column) -> Column:
+            end = lambda k: F.coalesce(F.try_element_at(starts, k + 2), F.size(own) + 1)
+            return F.array_max(F.transform(starts, lambda at, k: F.struct((end(k) - at).alias("n"), (-F.try_element_at(own, at)).alias("s"), F.try_element_at(own, at).alias("size"))))["size"]
+
+        top = F.try_element_at(own, F.lit(-1))
+        return T.once(T.once(starts, runs), lambda body: F.struct(body.alias("body"), F.when(top > body * TITLE_RATIO, top).alias("title_size")))
+
+    return T.once(F.array_sort(own), found)
 
 
 def heading_of(text: Column, size: Column, bold: Column, body: Column, title_size: Column) -> Column:
@@ -34,7 +48,8 @@ def heading_of(text: Column, size: Column, bold: Column, body: Column, title_siz
     plain = (n >= 1) & (n <= 9) & ~text.rlike(r"[.,;]$") & text.rlike("[A-Za-z]{3,}") & ~text.rlike(H.CAPTION)
     capitals = (F.upper(text) == text) & (F.lower(text) != text)
     strong = bold & (H.is_strict_name(text) | text.rlike(H.NUMBERED) | capitals)
-    heading = F.when(lead != "", lead).when(plain & ((size >= body * HEADING_RATIO) | strong), text)
+    large = size >= body * HEADING_RATIO
+    heading = F.when(lead != "", lead).when((large | bold) & plain & (large | strong), text)  # nearly all lines are neither
     return F.when(title_size.isNull() | (size < title_size), heading)
 
 
@@ -58,12 +73,21 @@ def title_of(first_page: Column, title_size: Column) -> Column:
     return T.once(F.transform(first_page, lambda x: x["size"] >= title_size - BAND), first_run)
 
 
+def outlined(docs: DataFrame) -> DataFrame:
+    """Add title and headings, in order, to documents with their ``lines`` gathered; null for those without lines that count."""
+    trimmed = F.transform("lines", lambda x: F.struct(x["page"].alias("page"), x["line"].alias("line"), x["size"].alias("size"), x["bold"].alias("bold"), F.btrim(x["text"], F.lit(" \t\n\r")).alias("text")))
+    kept = docs.withColumn("_kept", F.filter(trimmed, lambda x: (x["text"] != "") & x["size"].isNotNull()))
+    sized = kept.withColumn("_s", sizes(F.transform("_kept", lambda x: x["size"])))
+    head = lambda x: F.struct(x["page"].alias("page"), x["line"].alias("line"), heading_of(x["text"], x["size"], x["bold"], F.col("_s.body"), F.col("_s.title_size")).alias("h"))
+    heads = F.array_sort(F.filter(F.transform("_kept", head), lambda x: x["h"].isNotNull()))
+    first = F.array_sort(F.transform(F.filter("_kept", lambda x: x["page"] == 0), lambda x: F.struct(x["line"].alias("line"), x["size"].alias("size"), x["text"].alias("text"))))
+    known = sized.withColumn("_first", first).withColumn("_n", F.size("_kept")).withColumn("_heads", heads)
+    there = F.col("_n") > 0
+    found = known.withColumn("title", F.when(there, title_of(F.col("_first"), F.col("_s.title_size")))).withColumn("headings", F.when(there, F.transform("_heads", lambda x: x["h"])))
+    return found.drop("_kept", "_s", "_first", "_n", "_heads")
+
+
 def outline(lines: DataFrame, key: str) -> DataFrame:
     """(key, title, headings in order) of every document that has lines; ``sections_at`` cuts its text at them."""
-    there = lines.withColumn("text", F.btrim("text", F.lit(" \t\n\r"))).where("text <> '' AND size IS NOT NULL")
-    joined = there.join(sizes(there, key), key)
-    known = joined.withColumn("_h", heading_of(F.col("text"), F.col("size"), F.coalesce("bold", F.lit(False)), F.col("body"), F.col("title_size")))
-    heads = F.when(F.col("_h").isNotNull(), F.struct("page", "line", F.col("_h").alias("h")))
-    first = F.when(F.col("page") == 0, F.struct("line", "size", "text"))
-    found = known.groupBy(key).agg(F.max("title_size").alias("title_size"), F.array_sort(F.collect_list(heads)).alias("heads"), F.array_sort(F.collect_list(first)).alias("first"))
-    return found.select(key, title_of(F.col("first"), F.col("title_size")).alias("title"), F.transform("heads", lambda x: x["h"]).alias("headings"))
+    there = lines.where(F.col(key).isNotNull() & F.col("size").isNotNull() & (F.btrim("text", F.lit(" \t\n\r")) != ""))
+    return outlined(gathered(there, key)).select(key, "title", "headings")

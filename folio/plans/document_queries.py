@@ -72,5 +72,5 @@ def typeset_lines(spark: SparkSession, sf: str) -> DataFrame:
 def typeset_documents(spark: SparkSession, sf: str) -> DataFrame:
     """Typeset documents cut at their outlines, or at heading lines where those tell more."""
     d = documents.from_lines(typeset_lines(spark, sf), "doc_id")
-    rows = d.select("doc_id", "title", "n_structural", "doc_type", F.posexplode("sections").alias("section_index", "_s"))  # one pass: a join would make the documents twice
+    rows = d.select("doc_id", "title", "n_structural", "doc_type", F.posexplode_outer("sections").alias("section_index", "_s")).where("section_index IS NOT NULL")  # one pass: a join, or the filter that Spark puts before a plain explode, would make the documents twice
     return rows.select("doc_id", F.col("section_index").cast("long").alias("section_index"), "_s.heading", "_s.section", F.md5("_s.body").alias("body_md5"), F.md5("title").alias("title_md5"), "n_structural", "doc_type")
