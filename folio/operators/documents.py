@@ -65,7 +65,7 @@ def from_lines(lines: DataFrame, key: str) -> DataFrame:
     cuts at heading lines replace it, where they find strictly more.
     """
     known = layout.outlined(layout.gathered(lines, key))
-    texts = known.withColumn("text", T.tidy(F.array_join(F.transform("lines", lambda x: x["text"]), "\n"))).withColumn("title", F.when(F.col(key).isNotNull(), F.col("title"))).drop("lines")
+    texts = known.withColumn("_t", F.array_join(F.transform("lines", lambda x: x["text"]), "\n")).withColumn("text", T.tidy(F.col("_t"))).withColumn("title", F.when(F.col(key).isNotNull(), F.col("title"))).drop("lines", "_t")
     found = texts.withColumn("_at", H.sections_at(F.col("text"), F.when(F.col(key).isNotNull(), F.col("headings"))))
     doubted = F.when(n_structural(F.col("_at")) < TRUSTED_SECTIONS, line_sections(F.col("text")))
     both = found.withColumn("_lines", doubted)

@@ -23,7 +23,7 @@ BAND = 0.5
 def gathered(lines: DataFrame, key: str) -> DataFrame:
     """(key, lines): a document's lines by page and line, null texts as empty ones."""
     row = F.struct("page", "line", F.coalesce("text", F.lit("")).alias("text"), F.col("size").cast("double").alias("size"), F.coalesce("bold", F.lit(False)).alias("bold"))
-    return lines.groupBy(key).agg(F.array_sort(F.collect_list(row)).alias("lines"))
+    return lines.groupBy(key).agg(F.sort_array(F.collect_list(row)).alias("lines"))
 
 
 def sizes(own: Column) -> Column:
@@ -38,7 +38,7 @@ def sizes(own: Column) -> Column:
         top = F.try_element_at(own, F.lit(-1))
         return T.once(T.once(starts, runs), lambda body: F.struct(body.alias("body"), F.when(top > body * TITLE_RATIO, top).alias("title_size")))
 
-    return T.once(F.array_sort(own), found)
+    return T.once(F.sort_array(own), found)
 
 
 def heading_of(text: Column, size: Column, bold: Column, body: Column, title_size: Column) -> Column:
@@ -79,8 +79,8 @@ def outlined(docs: DataFrame) -> DataFrame:
     kept = docs.withColumn("_kept", F.filter(trimmed, lambda x: (x["text"] != "") & x["size"].isNotNull()))
     sized = kept.withColumn("_s", sizes(F.transform("_kept", lambda x: x["size"])))
     head = lambda x: F.struct(x["page"].alias("page"), x["line"].alias("line"), heading_of(x["text"], x["size"], x["bold"], F.col("_s.body"), F.col("_s.title_size")).alias("h"))
-    heads = F.array_sort(F.filter(F.transform("_kept", head), lambda x: x["h"].isNotNull()))
-    first = F.array_sort(F.transform(F.filter("_kept", lambda x: x["page"] == 0), lambda x: F.struct(x["line"].alias("line"), x["size"].alias("size"), x["text"].alias("text"))))
+    heads = F.sort_array(F.filter(F.transform("_kept", head), lambda x: x["h"].isNotNull()))
+    first = F.sort_array(F.transform(F.filter("_kept", lambda x: x["page"] == 0), lambda x: F.struct(x["line"].alias("line"), x["size"].alias("size"), x["text"].alias("text"))))
     known = sized.withColumn("_first", first).withColumn("_n", F.size("_kept")).withColumn("_heads", heads)
     there = F.col("_n") > 0
     found = known.withColumn("title", F.when(there, title_of(F.col("_first"), F.col("_s.title_size")))).withColumn("headings", F.when(there, F.transform("_heads", lambda x: x["h"])))
